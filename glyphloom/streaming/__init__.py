@@ -1,0 +1,6 @@
+"""No stream operators: the engine's inputs are bounded.
+
+The workloads served here pull a corpus lazily and stop after the first N rows.
+In Spark that is a bounded scan with an ordered limit, see
+``glyphloom.operators.ranking.first_n`` and ``first_n_per_group``.
+"""
