@@ -174,7 +174,7 @@ def _as_round(chosen: list[tuple[int, int, int, int]]):
 # --- training ----------------------------------------------------------------
 
 def train(words: DataFrame, target_size: int, by=("label", "config"), exact: bool = True,
-          min_pair_count: int = 1, candidates: int = 2048, rewrite_every: int = 12) -> Vocabulary:
+          min_pair_count: int = 1, candidates: int = 256, rewrite_every: int = 12) -> Vocabulary:
     """Learn one vocabulary per group from ``(*by, word, n)``.
 
     ``candidates`` bounds what one round brings to the driver per group; pairs

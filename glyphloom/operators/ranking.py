@@ -34,20 +34,23 @@ def with_bucket(df: DataFrame, order: str, buckets: int | None = None) -> DataFr
     return Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(df)
 
 
-def with_prefix(df: DataFrame, value: Column, out: str, order: str,
-                group: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
+def with_prefix(df: DataFrame, value: Column, out: str, order: str, group: tuple[str, ...] = (),
+                total: str | None = None, buckets: int | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all earlier rows of the group.
 
     Bucket totals give each bucket its offset, a window inside the bucket does the
-    rest; no task ever holds more than one bucket of one group.
+    rest; no task ever holds more than one bucket of one group. ``total`` names an
+    optional column for the sum over the whole group, read off the same totals.
     """
     df = with_bucket(df.withColumn("_value", value.cast("bigint")), order, buckets)
     keys = [*group, "_bucket"]
-    totals = df.groupBy(*keys).agg(F.sum("_value").alias("_total"))
-    over = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    if not group:  # one row per bucket: bounded by the bucket count
-        over = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_offset"))
+    totals = df.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
+    # At most one row per bucket and group reaches this window.
+    every = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = every.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
+        *([F.sum("_sum").over(every).alias(total)] if total else []))
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (df.join(offsets, keys)
             .withColumn(out, F.col("_offset") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
@@ -55,16 +58,14 @@ def with_prefix(df: DataFrame, value: Column, out: str, order: str,
 
 
 def with_position(df: DataFrame, out: str = "position", order: str = "doc_id",
-                  group: tuple[str, ...] = ()) -> DataFrame:
+                  group: tuple[str, ...] = (), total: str | None = None) -> DataFrame:
     """Zero-based position of each row in the whole table (or in its group)."""
-    return with_prefix(df, F.lit(1), out, order, group)
+    return with_prefix(df, F.lit(1), out, order, group, total)
 
 
 def positional_split(df: DataFrame, train_share: float = 0.9) -> DataFrame:
     """First share of the positions is ``train``, the rest ``validation``."""
-    total = df.select(F.count("*").alias("_rows"))  # one row
-    ranked = with_position(df).crossJoin(F.broadcast(total))
-    return ranked.withColumn("split", F.when(
+    return with_position(df, total="_rows").withColumn("split", F.when(
         F.col("position") < F.floor(F.col("_rows") * F.lit(train_share)), "train"
     ).otherwise("validation")).drop("_rows")
 
