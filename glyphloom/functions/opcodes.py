@@ -17,6 +17,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from glyphloom.functions import patterns as p
 from glyphloom.functions import text as t
@@ -44,7 +45,7 @@ def _mark_table() -> dict[int, str]:
     return table
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _split_marks(s: pd.Series) -> pd.Series:
     # Positions past PARAM_MAX cannot be addressed, so the tail stays composed.
     reach, table = p.PARAM_MAX + 1, _mark_table()

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import patterns as p
 from glyphloom.functions import text as t
-from glyphloom.session import written
+from glyphloom.session import spread, written
 
 FIRST_MERGE = 0x110000      # symbols below are code points
 _BITS = 21                  # a symbol fits in 21 bits, a group in the 21 above two of them
@@ -192,7 +192,7 @@ def train(words: DataFrame, target_size: int, by=("label", "config"), exact: boo
 
     gid = F.create_map(*[x for i, name in enumerate(names) for x in (
         F.struct(*[F.lit(v).alias(k) for k, v in zip(by, name)]), F.lit(i))])
-    state = written(words.filter(F.length("word") > 1).select(
+    state = written(spread(words, "word").filter(F.length("word") > 1).select(
         F.element_at(gid, F.struct(*by)).alias("gid"),
         F.transform(F.split("word", ""), F.ascii).alias("symbols"), "n"), "state")
 

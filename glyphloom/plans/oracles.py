@@ -112,7 +112,7 @@ x AS (SELECT j.label, j.config, j.vocab_size, d.concepts, d.concepts * 100.0 / d
              CASE WHEN tokens > 0 THEN chars / tokens ELSE 0 END AS cpt, {_INFL} AS infl,
              {_DIFF.format(t=128000)} AS vdiff
       FROM j JOIN (SELECT label, config, concepts, vocab_size AS entries FROM d) d USING (label, config))
-SELECT label, CASE config WHEN 'split' THEN 3 WHEN 'llama' THEN 6 WHEN 'metaspace' THEN 10 END AS ord,
+SELECT label, CAST(CASE config WHEN 'split' THEN 3 WHEN 'llama' THEN 6 WHEN 'metaspace' THEN 10 END AS BIGINT) AS ord,
        '| **' || CASE config WHEN 'split' THEN 'Split Only' WHEN 'llama' THEN 'Llama Split Only'
                              ELSE 'Metaspace Only' END || '** | ' || vocab_size || ' | ' || concepts || ' | ' ||
        printf('%.2f%%', density) || ' | ' || printf('%.4f', cpt) || ' | ' ||
@@ -264,8 +264,8 @@ i AS (SELECT {keys}, doc_id, piece, count(*) AS run FROM e GROUP BY {keys}, doc_
 
 
 _FOLDED = "run BETWEEN 3 AND 255 AND length(piece) <= 255"
-SQL["piece_runs"] = f"""WITH {_islands(_arrays(['split']), 'label')}
-SELECT label, piece, run, count(*) AS n FROM i WHERE {_FOLDED} GROUP BY ALL"""
+SQL["piece_runs"] = f"""WITH {_islands(_arrays(PLAIN), 'label, config')}
+SELECT label, config AS pre_tokenizer, piece, run, count(*) AS n FROM i WHERE {_FOLDED} GROUP BY ALL"""
 _FIVE = ("split", "llama", "metaspace", "metaspace_split", "metaspace_whitespace")
 SQL["config_piece_counts"] = f"""WITH {_islands(_arrays(_FIVE), 'label, config')},
 t AS (SELECT label, config, CAST(sum(run) AS BIGINT) AS pieces,

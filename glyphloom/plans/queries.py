@@ -285,9 +285,11 @@ def roundtrip_audit(spark, sf):
 
 @query
 def piece_runs(spark, sf):
-    runs = pcs.unit_arrays(_text(spark, sf), FACTORED).select("label", F.inline("units"))
+    factored = ("split_factored", "llama_factored", "metaspace_factored")
+    runs = pcs.unit_arrays(_text(spark, sf), factored).select(
+        "label", F.substring_index("stream", "+", 1).alias("pre_tokenizer"), F.inline("units"))
     return runs.filter(F.col("run") > 1).groupBy(
-        "label", "piece", F.col("run").cast("bigint").alias("run")).agg(F.count("*").alias("n"))
+        "label", "pre_tokenizer", "piece", F.col("run").cast("bigint").alias("run")).agg(F.count("*").alias("n"))
 
 
 @query
