@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import patterns as p
 from glyphloom.functions import text as t
-from glyphloom.session import spread, written
+from glyphloom.session import small_table, spread, written
 
 FIRST_MERGE = 0x110000      # symbols below are code points
 _BITS = 21                  # a symbol fits in 21 bits, a group in the 21 above two of them
@@ -238,7 +238,7 @@ def _tables(spark: SparkSession, words: DataFrame, by, names, groups, rounds, ex
             ((s, "merge", ranks[s]) for s in g.symbols))
         vocab += [(*name, token, i, kind, rank) for i, (token, kind, rank) in enumerate(entries)]
     return Vocabulary(
-        spark.createDataFrame(merges, f"{keys}, rank bigint, left string, right string, "
+        small_table(spark, merges, f"{keys}, rank bigint, left string, right string, "
                                       "token string, n bigint, mode string"),
-        spark.createDataFrame(vocab, f"{keys}, token string, id bigint, kind string, merge_rank bigint"),
+        small_table(spark, vocab, f"{keys}, token string, id bigint, kind string, merge_rank bigint"),
         rounds, mode)

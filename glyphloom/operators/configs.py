@@ -4,6 +4,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphloom.session import small_table
+
 
 @dataclass(frozen=True)
 class TokenizerConfig:
@@ -58,6 +60,6 @@ def config_table(spark: SparkSession, names=None) -> DataFrame:
     rows = [(i, c.name, c.title, c.pre_tokenizer, c.baseline, c.capitalize, c.repeat,
              c.serialize, c.split_operators)
             for i, c in enumerate(CATALOGUE[n] for n in (names or CATALOGUE))]
-    return spark.createDataFrame(rows, (
+    return small_table(spark, rows, (
         "ord int, config string, title string, pre_tokenizer string, baseline string, "
         "capitalize boolean, repeat boolean, serialize boolean, split_operators boolean"))

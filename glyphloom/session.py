@@ -3,7 +3,10 @@
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", memory: str = "12g", **conf: str) -> SparkSession:
@@ -50,6 +53,15 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A driver-side list as a table whose size the optimizer knows."""
+    fields = StructType.fromDDL(schema)
+    columns = zip(*rows) if rows else [[] for _ in fields]
+    arrow = pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, fields)],
+                     names=fields.names)
+    return spark.createDataFrame(arrow, fields)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use every core when the scan yields fewer splits than cores; else do nothing.
 

@@ -76,7 +76,7 @@ def training_lines(df: DataFrame) -> DataFrame:
     Emulates "one document and a newline per record" without writing the file:
     each document becomes its lines, each still ending in its newline.
     """
-    lines = F.split(F.concat("text", F.lit("\n")), "(?<=\n)(?!$)")
+    lines = F.split(F.concat("text", F.lit("\n")), r"(?<=\n)(?!\z)")
     return df.select("label", "doc_id", F.explode(lines).alias("text"))
 
 
