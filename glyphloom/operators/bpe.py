@@ -7,24 +7,26 @@ merges are applied on the fly while the next round counts, and every few rounds
 the rewritten table is written out. All groups advance in the same jobs.
 
 **Exact mode.** Pairs rank by (count desc, left id, right id), ids being code
-points and then merges in order of birth. A round may take the longest ranked
-prefix in which no pair starts with a symbol that another one ends with. Taking
-that prefix at once equals taking it one by one:
-
-* occurrences of two prefix pairs never overlap, so one leaves the other's count
-  alone;
-* a pair that appears because ``(a, b)`` was merged, ``(x, ab)`` or ``(ab, y)``,
-  occurs at most as often as ``(x, a)`` or ``(b, y)`` did. Those touch ``(a, b)``,
-  so they are not in the prefix and rank after all of it; on equal counts the new
-  pair does too, since its new symbol has the largest id;
+points and then merges in order of birth. A round brings the best pairs of a group
+to the driver, which takes them in rank order for as long as it knows their counts:
+
+* merging ``(a, b)`` changes only pairs that touch it, ``(x, a)`` and ``(b, y)``,
+  and makes ``(x, ab)`` and ``(ab, y)``, which occur at most as often as those;
+* how often two pairs touch, ``x a b`` or ``a b y``, is counted along with the
+  pairs for a watch list chosen the round before; where both are on it and neither
+  was disturbed otherwise, the counts after the merge are known exactly;
+* everywhere else the old count stays as an upper bound, and a round ends when a
+  pair known only by a bound comes first, or the list's last rank is reached (no
+  pair outside the list, nor any pair made from one, can come before it);
 * ``(a, a)`` touches itself, and a merge that spells an existing symbol adds to
-  that symbol's pairs, so either closes the prefix after itself.
+  that symbol's pairs, so either ends the round after itself.
 
 **Relaxed mode** skips a touching pair instead of stopping there, down to half the
 round's top count. It needs far fewer rounds; its merges are not those of exact
 mode and the output says so.
 """
 
+import heapq
 import itertools
 from dataclasses import dataclass
 
@@ -86,7 +88,18 @@ def _apply(values, rows, gids, rounds):
     return values, rows
 
 
-def _counter(rounds):
+def _sums(keys, weights):
+    found, where = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, where, weights)
+    return found, total
+
+
+def _counter(rounds, watched):
+    """Partial counts per batch: of pairs, and of watched pairs that touch.
+
+    A touching couple is reported as ``-1 - (index * len(watched) + index)``.
+    """
     def count(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -97,10 +110,15 @@ def _counter(rounds):
             if len(values) < 2:
                 continue
             key, inside = _pair_keys(values, rows, gids)
-            pairs, where = np.unique(key[inside], return_inverse=True)
-            total = np.zeros(len(pairs), np.int64)
-            np.add.at(total, where, weight[rows[:-1][inside]])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(total)], ["pair", "n"])
+            found = [_sums(key[inside], weight[rows[:-1][inside]])]
+            if len(watched) and len(key) > 1:
+                at = np.minimum(np.searchsorted(watched, key), len(watched) - 1)
+                seen = inside & (watched[at] == key)
+                both = seen[:-1] & seen[1:]
+                couple = -1 - (at[:-1][both] * len(watched) + at[1:][both])
+                found.append(_sums(couple, weight[rows[:-2][both]]))
+            pairs, totals = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(totals)], ["pair", "n"])
     return count
 
 
@@ -122,6 +140,16 @@ def _rewriter(rounds):
 
 # --- driver side: the choice of merges in one group --------------------------
 
+@dataclass
+class _Pair:
+    """What a round knows of a pair: its count, or an upper bound of it."""
+
+    n: int
+    exact: bool = True
+    original: bool = True     # counted by the job, not made by a merge of this round
+    side: str = ""            # the side on which merges of this round touched it
+
+
 class _Group:
     """Merge list of one group. Holds at most ``target_size`` strings."""
 
@@ -131,54 +159,138 @@ class _Group:
         self.symbols: list[str] = []             # k-th new symbol
         self.ids: dict[str, int] = {}
         self.merges: list[tuple] = []            # (left, right, token, n)
-        self.merge_ids: list[tuple[int, int, int]] = []
+        self.watched: set[tuple[int, int]] = set()
         self.done = self.room <= 0
 
     def text(self, symbol: int) -> str:
         return chr(symbol) if symbol < FIRST_MERGE else self.symbols[symbol - FIRST_MERGE]
 
-    def take(self, ranked, exact: bool, floor: int):
-        """Queue the merges of one round; returns ``[(left, right, new)]``."""
+    def merge(self, left: int, right: int, n: int) -> tuple[int, bool]:
+        """Record a merge; returns its symbol and whether the string was known."""
+        token = self.text(left) + self.text(right)
+        known = token in self.ids
+        if not known:
+            self.ids[token] = FIRST_MERGE + len(self.symbols)
+            self.symbols.append(token)
+        self.merges.append((self.text(left), self.text(right), token, int(n)))
+        return self.ids[token], known
+
+    @property
+    def full(self) -> bool:
+        return len(self.symbols) >= self.room
+
+    def take_relaxed(self, ranked, floor: int):
+        """Every pair that touches none taken before, down to half the top count."""
         chosen, lefts, rights = [], set(), set()
-        least = floor if exact or not ranked else max(floor, ranked[0][2] / 2)
+        least = max(floor, ranked[0][2] / 2) if ranked else floor
         for left, right, n in ranked:
-            if n < least or len(self.symbols) >= self.room:
+            if n < least or self.full:
                 break
-            if left in rights or right in lefts:
-                if exact:
-                    break
+            if left not in rights and right not in lefts:
+                chosen.append((left, right, self.merge(left, right, n)[0]))
+                lefts.add(left)
+                rights.add(right)
+        return chosen
+
+    def take_exact(self, ranked, last, touching, floor: int, watch: int):
+        """Pairs in rank order while their counts are known; see the module text.
+
+        ``last`` is the final rank of a truncated list; ``touching`` counts how
+        often two watched pairs overlap.
+        """
+        live = {(a, b): _Pair(n) for a, b, n in ranked}
+        starts, ends = {}, {}
+        for pair in live:
+            starts.setdefault(pair[0], set()).add(pair)
+            ends.setdefault(pair[1], set()).add(pair)
+        heap = [(-n, a, b) for a, b, n in ranked]
+        heapq.heapify(heap)
+
+        def add(pair, known: _Pair):
+            if known.n > 0:
+                live[pair] = known
+                starts.setdefault(pair[0], set()).add(pair)
+                ends.setdefault(pair[1], set()).add(pair)
+                heapq.heappush(heap, (-known.n, *pair))
+
+        chosen = []
+        while heap and not self.full:
+            rank = heap[0]
+            pair = rank[1:]
+            top = live.get(pair)
+            if top is None or top.n != -rank[0]:
+                heapq.heappop(heap)     # an entry from before a count changed
                 continue
-            token = self.text(left) + self.text(right)
-            known = token in self.ids
-            if not known:
-                self.ids[token] = FIRST_MERGE + len(self.symbols)
-                self.symbols.append(token)
-            self.merges.append((self.text(left), self.text(right), token, int(n)))
-            self.merge_ids.append((left, right, self.ids[token]))
-            chosen.append((left, right, self.ids[token]))
-            lefts.add(left)
-            rights.add(right)
-            if exact and (known or left == right):
+            if not top.exact or top.n < floor or (last and rank > last):
                 break
-        self.done = not chosen or len(self.symbols) >= self.room
+            left, right = pair
+            new, known = self.merge(left, right, top.n)
+            chosen.append((left, right, new))
+            del live[pair]
+            starts[left].discard(pair)
+            ends[right].discard(pair)
+            if known or left == right:
+                break
+            clean = top.original and not top.side and pair in self.watched
+            after = [(q, "left", (pair, q), [(new, q[1])]) for q in starts.get(right, ())]
+            before = [(q, "right", (q, pair), [(q[0], new)]) for q in ends.get(left, ())]
+            for q, side, key, made in after + before:
+                other = live[q]
+                bound = min(top.n, other.n)
+                if q == (right, left):          # touches on both sides
+                    made = [(new, left), (right, new), (new, new)]
+                counted = (clean and other.original and other.exact and other.side in ("", side)
+                           and q in self.watched and q[0] != q[1] and q != (right, left))
+                if counted:
+                    n = touching.get(key, 0)
+                    other.n -= n
+                    other.side = side
+                    if n:
+                        heapq.heappush(heap, (-other.n, *q))
+                    add(made[0], _Pair(n, original=False))
+                else:
+                    other.exact = False
+                    for new_pair in made:
+                        if new_pair not in live:
+                            add(new_pair, _Pair(bound, exact=False, original=False))
+        best = heapq.nlargest(watch, live.items(), key=lambda x: x[1].n)
+        self.watched = {pair for pair, _ in best}
         return chosen
 
 
-def _as_round(chosen: list[tuple[int, int, int, int]]):
-    keys = np.array([(g << (2 * _BITS)) | (a << _BITS) | b for g, a, b, _ in chosen], np.int64)
-    news = np.array([new for *_, new in chosen], np.int64)
-    order = np.argsort(keys)
-    return keys[order], news[order]
+def _key(gid: int, left: int, right: int) -> int:
+    return (gid << (2 * _BITS)) | (left << _BITS) | right
+
+
+def _as_rounds(chosen: list[tuple[int, list]]):
+    """Merges of all groups as steps that can each be applied at once.
+
+    A step ends where a merge touches, or uses, one of the same group and step.
+    """
+    steps: list[list[tuple[int, int]]] = []
+    for gid, merges in chosen:
+        at, lefts, rights, born = 0, set(), set(), set()
+        for left, right, new in merges:
+            if left in rights or right in lefts or left in born or right in born:
+                at, lefts, rights, born = at + 1, set(), set(), set()
+            if at == len(steps):
+                steps.append([])
+            steps[at].append((_key(gid, left, right), new))
+            lefts.add(left)
+            rights.add(right)
+            born.add(new)
+    return [tuple(np.array(x, np.int64) for x in zip(*sorted(step))) for step in steps]
 
 
 # --- training ----------------------------------------------------------------
 
 def train(words: DataFrame, target_size: int, by=("label", "config"), exact: bool = True,
-          min_pair_count: int = 1, candidates: int = 256, rewrite_every: int = 12) -> Vocabulary:
+          min_pair_count: int = 1, candidates: int = 512, watch: int = 256, rewrite_every: int = 60) -> Vocabulary:
     """Learn one vocabulary per group from ``(*by, word, n)``.
 
-    ``candidates`` bounds what one round brings to the driver per group; pairs
-    beyond it are seen again in later rounds, so it changes speed, not results.
+    ``candidates`` and ``watch`` bound what one round brings to the driver per
+    group; pairs beyond them are seen again in later rounds, so they change speed,
+    not results.
     """
     spark = words.sparkSession
     words = written(words.select(*by, "word", "n"), "words")
@@ -197,26 +309,39 @@ def train(words: DataFrame, target_size: int, by=("label", "config"), exact: boo
         F.transform(F.split("word", ""), F.ascii).alias("symbols"), "n"), "state")
 
     top = Window.partitionBy("gid").orderBy(F.desc("n"), "pair")
-    queue, rounds = [], 0
+    queue, rounds, mask = [], 0, (1 << _BITS) - 1
     while not all(g.done for g in groups):
         active = [i for i, g in enumerate(groups) if not g.done]
+        watched = np.array(sorted(_key(i, *pair) for i in active for pair in groups[i].watched), np.int64)
         counts = (state.filter(F.col("gid").isin(active))
-                  .mapInArrow(_counter(queue), "pair bigint, n bigint")
-                  .groupBy("pair").agg(F.sum("n").alias("n"))
-                  .withColumn("gid", F.shiftright("pair", 2 * _BITS)))
-        best = (counts.withColumn("rank", F.row_number().over(top))
-                .filter(F.col("rank") <= candidates).select("gid", "pair", "n").toArrow())
-        ranked = {i: [] for i in active}
-        mask = (1 << _BITS) - 1
-        for g, pair, n in zip(*(best.column(c).to_pylist() for c in ("gid", "pair", "n"))):
-            ranked[g].append(((pair >> _BITS) & mask, pair & mask, n))
+                  .mapInArrow(_counter(queue, watched), "pair bigint, n bigint")
+                  .groupBy("pair").agg(F.sum("n").alias("n")))
+        # Each touching couple is a window group of its own and so always kept.
+        gid = F.when(F.col("pair") < 0, F.col("pair")).otherwise(F.shiftright("pair", 2 * _BITS))
+        best = (counts.withColumn("gid", gid).withColumn("rank", F.row_number().over(top))
+                .filter(F.col("rank") <= candidates).select("pair", "n").toArrow())
+        ranked, touching = {i: [] for i in active}, {}
+        for key, n in zip(best.column("pair").to_pylist(), best.column("n").to_pylist()):
+            if key >= 0:
+                ranked[key >> (2 * _BITS)].append(((key >> _BITS) & mask, key & mask, n))
+            else:
+                first, second = (int(watched[k]) for k in divmod(-1 - key, len(watched)))
+                couple = tuple(((k >> _BITS) & mask, k & mask) for k in (first, second))
+                touching.setdefault(first >> (2 * _BITS), {})[couple] = n
         chosen = []
         for i in active:
+            group = groups[i]
             ranked[i].sort(key=lambda x: (-x[2], x[0], x[1]))
-            chosen += [(i, *m) for m in groups[i].take(ranked[i], exact, min_pair_count)]
-        if chosen:
-            queue.append(_as_round(chosen))
-            rounds += 1
+            if exact:
+                a, b, n = ranked[i][-1] if len(ranked[i]) >= candidates else (0, 0, 0)
+                taken = group.take_exact(ranked[i], (-n, a, b) if n else None,
+                                         touching.get(i, {}), min_pair_count, watch)
+            else:
+                taken = group.take_relaxed(ranked[i], min_pair_count)
+            chosen.append((i, taken))
+            group.done = not taken or group.full
+        rounds += 1
+        queue += _as_rounds(chosen)
         if len(queue) >= rewrite_every:
             state = written(state.mapInArrow(_rewriter(queue), STATE), "state")
             queue = []
