@@ -78,8 +78,17 @@ def collapse_piece_runs(pieces: Column) -> Column:
         ).otherwise(F.array_repeat(
             F.struct(r["piece"].alias("piece"), F.lit(1).alias("run")), r["run"]))))
 
-    empty = F.array().cast("array<struct<piece:string,run:int>>")
-    return t.let(pieces, lambda ps: F.when(F.size(ps) > 0, spread(runs(ps))).otherwise(empty))
+    def has_run(ps: Column) -> Column:
+        return (F.size(ps) > 2) & F.exists(
+            F.sequence(F.lit(2), F.greatest(F.size(ps) - 1, F.lit(2))),
+            lambda i: (F.get(ps, i) == F.get(ps, i - 1)) & (F.get(ps, i) == F.get(ps, i - 2)))
+
+    return t.let(pieces, lambda ps: F.when(has_run(ps), spread(runs(ps))).otherwise(single_units(ps)))
+
+
+def single_units(pieces: Column) -> Column:
+    """Array of ``(piece, run)`` with every run 1."""
+    return F.transform(pieces, lambda x: F.struct(x.alias("piece"), F.lit(1).alias("run")))
 
 
 def running_sum(values: Column, chunk: int = 256) -> Column:

@@ -23,8 +23,10 @@ def lower_words(text: Column) -> Column:
 def repetition_rate(text: Column, n: int = 2) -> Column:
     """1 - distinct / all word n-grams; 0 when there are fewer than ``n`` words."""
     def rate(words: Column) -> Column:
+        # Words hold no white space, so the joined form stands for the n-gram, and
+        # strings, unlike arrays, are told apart by hash.
         grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)),
-                            lambda i: F.slice(words, i, F.lit(n)))
+                            lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
         return t.let(grams, lambda g: F.lit(1.0) - F.size(F.array_distinct(g)) / F.size(g))
 
     return t.let(lower_words(text), lambda w: F.when(F.size(w) >= n, rate(w)).otherwise(F.lit(0.0)))

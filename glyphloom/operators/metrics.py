@@ -48,11 +48,12 @@ def vocab_diff(size: Column, base_size: Column, target: Column) -> Column:
 
 
 def concept_density(vocab: DataFrame, by=("label",), token: str = "token",
-                    opcodes: str | None = None) -> DataFrame:
+                    opcodes: str | None = None, unlisted: int = 0) -> DataFrame:
     """Distinct concepts, entries and their ratio in percent.
 
     Special tokens count as entries, not as concepts; where ``opcodes`` names a
-    true flag, entries made of operators alone are counted apart.
+    true flag, entries made of operators alone are counted apart. ``unlisted`` is
+    the number of special tokens a vocabulary of plain pieces does not list.
     """
     col = F.col(token)
     special = col.isin(*p.SPECIAL_TOKENS)
@@ -60,14 +61,6 @@ def concept_density(vocab: DataFrame, by=("label",), token: str = "token",
     df = vocab.withColumn("_key", F.nullif(t.concept_key(col), F.lit("")))
     df = df.withColumn("_key", F.when(~special & ~opcode, F.col("_key")))
     return df.groupBy(*by).agg(
-        F.count_distinct("_key").alias("concepts"), F.count("*").alias("vocab_size"),
+        F.count_distinct("_key").alias("concepts"), (F.count("*") + unlisted).alias("vocab_size"),
         F.count_if(opcode).alias("opcode_tokens"),
     ).withColumn("density", ratio(F.col("concepts") * 100.0, F.col("vocab_size")))
-
-
-def word_vocabulary(counts: DataFrame, by=("label",), token: str = "piece") -> DataFrame:
-    """Distinct pieces plus the special tokens of each group."""
-    entries = counts.select(*by, F.col(token).alias("token")).distinct()
-    special = entries.select(*by).distinct().withColumn(
-        "token", F.explode(F.array(*map(F.lit, p.SPECIAL_TOKENS))))
-    return entries.unionByName(special)

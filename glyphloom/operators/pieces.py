@@ -70,9 +70,7 @@ def unit_arrays(corpus: DataFrame, config_names) -> DataFrame:
 
     def units(stream: str) -> Column:
         pieces = F.col(f"_p_{stream.removesuffix('+runs')}")
-        if stream.endswith("+runs"):
-            return pc.collapse_piece_runs(pieces)
-        return F.transform(pieces, lambda x: F.struct(x.alias("piece"), F.lit(1).alias("run")))
+        return pc.collapse_piece_runs(pieces) if stream.endswith("+runs") else pc.single_units(pieces)
 
     streams = dict.fromkeys(stream_of(c) for c in configs)
     rows = [F.struct(F.lit(s).alias("stream"), units(s).alias("units")) for s in streams]

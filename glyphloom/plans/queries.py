@@ -90,7 +90,7 @@ def run_results_scan(spark, sf):
 @query
 def vocab_report(spark, sf):
     df = mt.with_baseline(b.piece_metrics(_text(spark, sf)), baselines=b.BASELINES)
-    concepts = mt.concept_density(_piece_vocabulary(_text(spark, sf)), ["label", "config"])
+    concepts = _piece_concepts(_text(spark, sf))
     df = df.join(concepts.select("label", "config", "concepts", "density"), ["label", "config"]).select(
         "label", F.lit(128_000).cast("bigint").alias("target_vocab_size"), "config",
         F.col("vocab_size").alias("actual_vocab_size"), "concepts", "density",
@@ -240,14 +240,16 @@ def vocab_diff(spark, sf):
         r6(mt.vocab_diff(F.col("vocab_size"), F.col("base_vocab_size"), F.col("target"))).alias("vocab_diff"))
 
 
-def _piece_vocabulary(docs):
+def _piece_concepts(docs):
+    """Concepts of the distinct training pieces, with five special tokens on top."""
     counts = b.split_counts(docs, b.PLAIN).filter(F.col("n_train") > 0)
-    return mt.word_vocabulary(counts.withColumnRenamed("pre_tokenizer", "config"), ("label", "config"))
+    return mt.concept_density(counts.withColumnRenamed("pre_tokenizer", "config"),
+                              ["label", "config"], "piece", unlisted=len(p.SPECIAL_TOKENS))
 
 
 @query
 def concept_density(spark, sf):
-    df = mt.concept_density(_piece_vocabulary(_text(spark, sf)), ["label", "config"])
+    df = _piece_concepts(_text(spark, sf))
     return df.withColumn("density", r6("density"))
 
 
