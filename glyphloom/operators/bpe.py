@@ -56,6 +56,20 @@ class Vocabulary:
 
 # --- task side ---------------------------------------------------------------
 
+def _joined(batches, rows: int = 65_536):
+    """Batches put together until they hold ``rows`` rows: fewer partial sums."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _flat(batch):
     """Symbols of a batch laid end to end, with the row each belongs to."""
     col = batch.column("symbols")
@@ -70,14 +84,35 @@ def _pair_keys(values, rows, gids):
     return key, inside
 
 
-def _apply(values, rows, gids, rounds):
-    """Apply rounds of merges to every row at once."""
-    for keys, news in rounds:
+def _find(keys, key):
+    """Index into sorted ``keys`` for each ``key``, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return at, keys[at] == key
+
+
+def _apply(values, rows, gids, steps):
+    """Apply steps of merges to every row.
+
+    A row changes only if it holds the pair of some merge as it stands, so the
+    steps run over those rows alone. Rows come back whole, but not in order.
+    """
+    if not steps or len(values) < 2:
+        return values, rows
+    key, inside = _pair_keys(values, rows, gids)
+    hit = inside & _find(np.unique(np.concatenate([keys for keys, _ in steps])), key)[1]
+    changes = np.zeros(len(gids), bool)
+    changes[rows[:-1][hit]] = True
+    part = changes[rows]
+    rest = values[~part], rows[~part]
+    values, rows = values[part], rows[part]
+    for keys, news in steps:
         if len(values) < 2:
             break
         key, inside = _pair_keys(values, rows, gids)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = inside & (keys[at] == key)
+        at, found = _find(keys, key)
+        hit = inside & found
+        if not hit.any():
+            continue
         # Only (a, a) can hit twice in a row: keep every other hit of such a run.
         index = np.arange(len(hit))
         head = hit & ~np.concatenate(([False], hit[:-1]))
@@ -85,7 +120,7 @@ def _apply(values, rows, gids, rounds):
         values[:-1][hit] = news[at[hit]]
         keep = np.concatenate(([True], ~hit))
         values, rows = values[keep], rows[keep]
-    return values, rows
+    return np.concatenate((rest[0], values)), np.concatenate((rest[1], rows))
 
 
 def _sums(keys, weights):
@@ -95,25 +130,23 @@ def _sums(keys, weights):
     return found, total
 
 
-def _counter(rounds, watched):
+def _counter(steps, watched):
     """Partial counts per batch: of pairs, and of watched pairs that touch.
 
     A touching couple is reported as ``-1 - (index * len(watched) + index)``.
     """
     def count(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _joined(batches):
             gids = batch.column("gid").to_numpy().astype(np.int64)
             weight = batch.column("n").to_numpy()
-            values, rows = _apply(*_flat(batch), gids, rounds)
+            values, rows = _apply(*_flat(batch), gids, steps)
             if len(values) < 2:
                 continue
             key, inside = _pair_keys(values, rows, gids)
             found = [_sums(key[inside], weight[rows[:-1][inside]])]
             if len(watched) and len(key) > 1:
-                at = np.minimum(np.searchsorted(watched, key), len(watched) - 1)
-                seen = inside & (watched[at] == key)
+                at, found_at = _find(watched, key)
+                seen = inside & found_at
                 both = seen[:-1] & seen[1:]
                 couple = -1 - (at[:-1][both] * len(watched) + at[1:][both])
                 found.append(_sums(couple, weight[rows[:-2][both]]))
@@ -122,13 +155,12 @@ def _counter(rounds, watched):
     return count
 
 
-def _rewriter(rounds):
+def _rewriter(steps):
     def rewrite(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _joined(batches):
             gids = batch.column("gid").to_numpy().astype(np.int64)
-            values, rows = _apply(*_flat(batch), gids, rounds)
+            values, rows = _apply(*_flat(batch), gids, steps)
+            values = values[np.argsort(rows, kind="stable")]
             sizes = np.bincount(rows, minlength=batch.num_rows)
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             symbols = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
@@ -285,7 +317,7 @@ def _as_rounds(chosen: list[tuple[int, list]]):
 # --- training ----------------------------------------------------------------
 
 def train(words: DataFrame, target_size: int, by=("label", "config"), exact: bool = True,
-          min_pair_count: int = 1, candidates: int = 512, watch: int = 256, rewrite_every: int = 60) -> Vocabulary:
+          min_pair_count: int = 1, candidates: int = 512, watch: int = 256, rewrite_every: int = 40) -> Vocabulary:
     """Learn one vocabulary per group from ``(*by, word, n)``.
 
     ``candidates`` and ``watch`` bound what one round brings to the driver per
