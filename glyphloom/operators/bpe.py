@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import patterns as p
 from glyphloom.functions import text as t
-from glyphloom.session import small_table, spread, written
+from glyphloom.session import remove, small_table, spread, work_dir, written, written_at
 
 FIRST_MERGE = 0x110000      # symbols below are code points
 _BITS = 21                  # a symbol fits in 21 bits, a group in the 21 above two of them
@@ -334,11 +334,11 @@ def train(words: DataFrame, target_size: int, by=("label", "config"), exact: boo
     if not groups:
         return _tables(spark, words, by, names, groups, 0, exact)
 
-    gid = F.create_map(*[x for i, name in enumerate(names) for x in (
-        F.struct(*[F.lit(v).alias(k) for k, v in zip(by, name)]), F.lit(i))])
-    state = written(spread(words, "word").filter(F.length("word") > 1).select(
-        F.element_at(gid, F.struct(*by)).alias("gid"),
-        F.transform(F.split("word", ""), F.ascii).alias("symbols"), "n"), "state")
+    numbers = F.broadcast(small_table(  # one row per group
+        spark, [(*name, i) for i, name in enumerate(names)], f"{_ddl(words, by)}, gid int"))
+    path = work_dir(spark, "state")
+    state = written_at(spread(words, "word").filter(F.length("word") > 1).join(numbers, list(by)).select(
+        "gid", F.transform(F.split("word", ""), F.ascii).alias("symbols"), "n"), path)
 
     top = Window.partitionBy("gid").orderBy(F.desc("n"), "pair")
     queue, rounds, mask = [], 0, (1 << _BITS) - 1
@@ -375,14 +375,21 @@ def train(words: DataFrame, target_size: int, by=("label", "config"), exact: boo
         rounds += 1
         queue += _as_rounds(chosen)
         if len(queue) >= rewrite_every:
-            state = written(state.mapInArrow(_rewriter(queue), STATE), "state")
+            old, path = path, work_dir(spark, "state")
+            state = written_at(state.mapInArrow(_rewriter(queue), STATE), path)
+            remove(spark, old)
             queue = []
+    remove(spark, path)
     return _tables(spark, words, by, names, groups, rounds, exact)
 
 
+def _ddl(df: DataFrame, by) -> str:
+    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
+
+
 def _tables(spark: SparkSession, words: DataFrame, by, names, groups, rounds, exact) -> Vocabulary:
     mode = "exact" if exact else "relaxed"
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema if f.name in by)
+    keys = _ddl(words, by)
     merges = [(*name, k, *m, mode) for name, g in zip(names, groups) for k, m in enumerate(g.merges)]
     vocab = []
     for name, g in zip(names, groups):

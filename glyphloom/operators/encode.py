@@ -16,7 +16,8 @@ from glyphloom.operators.configs import CATALOGUE
 from glyphloom.operators.pieces import stream_of
 
 MAX_BROADCAST_ENTRIES = 8_000_000   # merges + vocabulary entries shipped to a task
-HOT_UNITS = 100_000                 # units joined by broadcast
+HOT_UNITS = 100_000                 # units joined by broadcast ...
+HOT_LENGTH = 64                     # ... and their longest piece, so their bytes are bounded too
 KEYS = ["label", "config"]
 
 
@@ -119,7 +120,7 @@ def split_by_heat(units: DataFrame, coded: DataFrame, on: list[str], hot: int =
     Pieces follow Zipf's law, so a fixed number of units covers nearly all
     occurrences; only the others are moved to meet their row.
     """
-    ranked = coded.orderBy(F.desc("n"), *on).limit(hot)
+    ranked = coded.filter(F.length("piece") <= HOT_LENGTH).orderBy(F.desc("n"), *on).limit(hot)
     near = F.broadcast(ranked.select(*on, F.struct("ids", "dropped").alias("_hot")))
     met = units.join(near, on, "left")
     tail = met.filter(F.col("_hot").isNull()).drop("_hot").join(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.operators.metrics import ratio
 from glyphloom.operators.ranking import with_position, with_prefix
+from glyphloom.session import written
 
 STREAM = ("label", "config")
 
@@ -18,10 +19,11 @@ def stream_offsets(encoded: DataFrame, by=STREAM, order: str = "doc_id") -> Data
     """Add ``start``, the position of the document's first id in the concatenated
     stream, and ``stream_size``.
 
-    Only ``(by, doc_id, length)`` goes through the prefix sum; the ids stay put
-    until the join on the document key.
+    Only ``(by, doc_id, length)`` goes through the prefix sum, from a written
+    table, as it is read three times; the ids stay put until the join on the
+    document key.
     """
-    sizes = encoded.select(*by, order, F.size("ids").alias("_len"))
+    sizes = written(encoded.select(*by, order, F.size("ids").alias("_len")), "sizes")
     starts = with_prefix(sizes, F.col("_len"), "start", order, by, "stream_size").drop("_len")
     return encoded.join(starts, [*by, order])
 

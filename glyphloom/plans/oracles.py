@@ -380,6 +380,20 @@ SQL["surface_collapse"] = f"""
 WITH c AS ({_counts('split')})
 SELECT label, lower(translate(piece[1:256], '{_FROM}', '{_TO}')) || piece[257:] AS base,
        count(DISTINCT piece) AS surface_forms, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL"""
+_CODES = {"TILDE": 57601, "ACUTE": 57602, "GRAVE": 57603, "CIRCUMFLEX": 57604, "DIAERESIS": 57605,
+          "RING_ABOVE": 57608, "CEDILLA": 57612}
+_CODE_CASE = "CASE " + " ".join(
+    f"WHEN contains('{marked}', c[i]) THEN {_CODES[name]}" for name, (marked, _) in _MARKED.items()) + " END"
+_BARE = f"translate(c[i], '{_FROM}', '{_TO}')"
+SQL["encode_case_and_marks"] = f"""
+WITH e AS (SELECT label, piece, n, string_split(piece, '') AS c FROM ({_counts('split')}))
+SELECT label,
+  array_to_string([chr(CAST({_CODE_CASE} AS INTEGER)) || chr(CAST(57343 + i AS INTEGER))
+    for i in range(1, least(len(c), 256) + 1) if contains('{_FROM}', c[i])], '') ||
+  array_to_string([chr(57600) || chr(CAST(57343 + i AS INTEGER)) for i in range(1, least(len(c), 256) + 1)
+    if {_IS_CAPITAL.replace('ch', '@').replace('@', _BARE)}], '') ||
+  lower(translate(piece[1:256], '{_FROM}', '{_TO}')) || piece[257:] AS encoded,
+  CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY ALL"""
 SQL["char_repeat_ops"] = f"""WITH {_CHARS},
 e AS (SELECT *, pos - row_number() OVER (PARTITION BY label, piece, ch ORDER BY pos) AS island FROM x),
 i AS (SELECT label, piece, n, ch, count(*) AS run FROM e GROUP BY label, piece, n, ch, island)

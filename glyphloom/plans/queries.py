@@ -542,6 +542,14 @@ def encode_pieces(spark, sf):
     return dic.groupBy("label", "encoded").agg(F.sum("n").alias("n"))
 
 
+@query
+def encode_case_and_marks(spark, sf):
+    """Encoded distinct pieces with repetition off."""
+    counts = pcs.piece_counts(_text(spark, sf), ["split"])
+    dic = oc.with_opcodes(counts, capitalize=True, repeat=False, serialize=True)
+    return dec.encode_units(dic).groupBy("label", "encoded").agg(F.sum("n").alias("n"))
+
+
 @query
 def decode_pieces(spark, sf):
     """Decoded units, counted; must equal the units of the text."""

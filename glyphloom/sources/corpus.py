@@ -34,7 +34,8 @@ def scan(spark: SparkSession, spec: CorpusSpec) -> DataFrame:
         doc_id = F.col(spec.id_column).cast("bigint")
     else:
         doc_id = F.monotonically_increasing_id()
-    return df.select(label.cast("string").alias("label"), doc_id.alias("doc_id"),
+    label = F.coalesce(label.cast("string"), F.lit(""))  # a label is a join key
+    return df.select(label.alias("label"), doc_id.alias("doc_id"),
                      F.col(text_column).alias("text"))
 
 
