@@ -91,7 +91,7 @@ def single_units(pieces: Column) -> Column:
     return F.transform(pieces, lambda x: F.struct(x.alias("piece"), F.lit(1).alias("run")))
 
 
-def running_sum(values: Column, chunk: int = 256) -> Column:
+def running_sum(values: Column, chunk: int = 64) -> Column:
     """Exclusive prefix sums of an int array, in chunks so that appends stay short."""
     state = F.expr("CAST(named_struct('total', 0, 'before', array()) AS struct<total:int,before:array<int>>)")
 
