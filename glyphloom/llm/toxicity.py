@@ -8,8 +8,8 @@ Training keeps, per coordinate, the sums ``z`` and ``n`` of follow-the-
 regularized-leader. A bounded sample of labelled rows is dealt to a fixed number
 of shards; in an epoch every shard starts from the common state and goes through
 its rows one by one, then each coordinate's changes are averaged over the shards
-that touched it. Only the state (``2**bits`` coordinates a shard) meets on the
-driver. L1 leaves few weights other than zero; they are broadcast and every
+that touched it. A shard leaves out coordinates that only a few of its texts
+have. Only the states of the bounded sample's coordinates meet on the driver. L1 leaves few weights other than zero; they are broadcast and every
 text of the corpus is scored in one pass without a shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField
+from pyspark.sql.types import DoubleType, IntegerType, StructField
 
 from glyphloom.llm.frames import appended
 from glyphloom.llm.wordhash import PUNCTUATED, mix, runs, word_slices
@@ -34,12 +34,16 @@ from glyphloom.session import written
 
 @dataclass(frozen=True)
 class Settings:
-    """``rows`` bounds the labelled sample, ``shards`` and ``bits`` what reaches the driver."""
+    """``rows`` bounds the labelled sample and so what reaches the driver.
+
+    A shard includes the coordinates that at least ``least`` of its texts have.
+    """
 
     rows: int = 20_000
     shards: int = 6
     epochs: int = 10
-    bits: int = 20
+    bits: int = 22
+    least: int = 4
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 8.0
@@ -92,13 +96,10 @@ def features(column, bits: int) -> list[bytes]:
 
 
 class _State:
-    """z and n of all coordinates; the last one is the bias, which isn't shrunk."""
+    """z and n of some coordinates, the last one being the bias, which isn't shrunk."""
 
-    def __init__(self, s: Settings, z=None, n=None):
-        size = (1 << s.bits) + 1
-        self.s = s
-        self.z = np.zeros(size) if z is None else z
-        self.n = np.zeros(size) if n is None else n
+    def __init__(self, s: Settings, z: np.ndarray, n: np.ndarray):
+        self.s, self.z, self.n = s, z, n
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         s, z = self.s, self.z[at]
@@ -106,8 +107,7 @@ class _State:
         shrunk = np.where(bias, z, np.sign(z) * np.maximum(np.abs(z) - s.l1, 0))
         return -shrunk / ((s.beta + np.sqrt(self.n[at])) / s.alpha + np.where(bias, 0, s.l2))
 
-    def learn(self, features: np.ndarray, label: float) -> None:
-        at = np.append(features, len(self.z) - 1)
+    def learn(self, at: np.ndarray, label: float) -> None:
         w = self.weights(at)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
         n = self.n[at]
@@ -115,6 +115,14 @@ class _State:
         self.n[at] = n + g * g
 
 
+def _lookup(keys: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values of ``at`` in a map of ascending keys, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(at))
+    place = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+    return np.where(keys[place] == at, values[place], 0.0)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
                     usable: Column | None = None) -> DataFrame:
     """(text, label) of at most ``rows`` labelled documents, those of the smallest id hashes.
@@ -130,47 +138,75 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
             .join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label"))
 
 
-def _epoch(common, epoch: int, s: Settings):
-    """The work of one shard: from the common state through its rows, to the changes."""
+_PACKED = "shard int, labels binary, lengths binary, features binary, coordinates binary"
 
-    def shard(group: pa.Table) -> pa.Table:
-        z, n = common.value
-        own = _State(s, z.copy(), n.copy())
-        labels = group["label"].to_numpy()
-        order = np.random.default_rng([epoch, group["shard"][0].as_py()])
-        rows = [np.frombuffer(x, np.int32) for x in group["features"].to_pylist()]
-        for i in order.permutation(np.argsort(group["doc_id"].to_numpy(), kind="stable")):
-            own.learn(rows[i], labels[i])
-        at = np.flatnonzero(own.n != n)
-        blobs = [at.astype(np.int32), (own.z - z)[at].astype(np.float32), (own.n - n)[at].astype(np.float32)]
-        return pa.table({k: pa.array([b.tobytes()], pa.binary()) for k, b in zip("azn", blobs)})
 
-    return shard
+def _packer(s: Settings):
+    """One row of a shard: the coordinates it includes, and each text's places among them."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["doc_id"].to_numpy(), kind="stable")
+        rows = [np.frombuffer(x, np.int32) for x in features(group["text"], s.bits)]
+        rows = [rows[i] for i in order]
+        found, counts = np.unique(np.concatenate(rows), return_counts=True)
+        found = found[counts >= s.least]
+        inside = [np.searchsorted(found, r[np.isin(r, found, assume_unique=True)]).astype(np.int32) for r in rows]
+        blobs = [group["label"].to_numpy()[order].astype(np.float64), np.array([len(r) for r in inside], np.int32),
+                 np.concatenate(inside).astype(np.int32), found.astype(np.int32)]
+        arrays = [pa.array([group["shard"][0].as_py()], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)]
+        return pa.table(arrays, names=["shard", "labels", "lengths", "features", "coordinates"])
+
+    return pack
+
+
+def _epoch(common, epoch: int, s: Settings):
+    """From the common state through each shard's rows, to the changes of its coordinates."""
+
+    def run(batches):
+        keys, z0, n0 = common.value
+        for batch in batches:
+            for r in batch.to_pylist():
+                at = np.append(np.frombuffer(r["coordinates"], np.int32), 1 << s.bits)
+                labels, bounds = np.frombuffer(r["labels"]), np.cumsum(np.frombuffer(r["lengths"], np.int32))
+                rows = np.split(np.frombuffer(r["features"], np.int32), bounds[:-1])
+                z, n = _lookup(keys, z0, at), _lookup(keys, n0, at)
+                own = _State(s, z.copy(), n.copy())
+                for i in np.random.default_rng([epoch, r["shard"]]).permutation(len(rows)):
+                    own.learn(np.append(rows[i], len(at) - 1), labels[i])
+                moved = np.flatnonzero(own.n != n)
+                blobs = [at[moved].astype(np.int32), (own.z - z)[moved], (own.n - n)[moved]]
+                yield pa.RecordBatch.from_arrays([pa.array([b.tobytes()], pa.binary()) for b in blobs], names=["a", "z", "n"])
+
+    return run
 
 
 def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
-    """Model of a bounded table (doc_id, text, label)."""
-    s, sc = settings, sample.sparkSession.sparkContext
+    """Model of a bounded table (doc_id, text, label), learnt shard by shard and averaged after each epoch."""
+    s, spark = settings, sample.sparkSession
     dealt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(s.shards)).cast("int")
-    rows = appended(sample, "text", [StructField("features", BinaryType())],
-                    lambda column: [pa.array(features(column, s.bits), pa.binary())])
-    rows = written(rows.select(dealt.alias("shard"), "doc_id", "label", "features"), "labelled")
-    state = _State(s)
+    rows = written(sample.withColumn("shard", dealt).select("shard", "doc_id", "text", "label")
+                   .groupBy("shard").applyInArrow(_packer(s), _PACKED), "labelled")
+    keys, z, n = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
     for epoch in range(s.epochs):
-        common = sc.broadcast((state.z, state.n))
-        parts = rows.groupBy("shard").applyInArrow(_epoch(common, epoch, s), "a binary, z binary, n binary").collect()
-        touched, dz, dn = (np.zeros(len(state.z)) for _ in range(3))
-        for part in sorted(parts, key=lambda r: bytes(r.a)):
-            at = np.frombuffer(part.a, np.int32)
-            touched[at] += 1
-            dz[at] += np.frombuffer(part.z, np.float32)
-            dn[at] += np.frombuffer(part.n, np.float32)
-        touched = np.maximum(touched, 1)
-        state.z, state.n = state.z + dz / touched, state.n + dn / touched
+        common = spark.sparkContext.broadcast((keys, z, n))
+        parts = rows.mapInArrow(_epoch(common, epoch, s), "a binary, z binary, n binary").collect()
         common.unpersist()
-    w = state.weights(np.arange(len(state.z)))
+        if not parts:
+            break
+        parts.sort(key=lambda r: bytes(r.a))
+        a = np.concatenate([np.frombuffer(r.a, np.int32) for r in parts])
+        every = np.union1d(keys, a)
+        z, n = _lookup(keys, z, every), _lookup(keys, n, every)
+        place = np.searchsorted(every, a)
+        touched = np.maximum(np.bincount(place, minlength=len(every)), 1)
+        z += np.bincount(place, np.concatenate([np.frombuffer(r.z) for r in parts]), len(every)) / touched
+        n += np.bincount(place, np.concatenate([np.frombuffer(r.n) for r in parts]), len(every)) / touched
+        keys = every
+    if not len(keys):
+        return Model(s.bits)
+    w = _State(s, z, n).weights(np.arange(len(z)))
     at = np.flatnonzero(w[:-1])
-    return Model(s.bits, at, w[at], float(w[-1]))
+    return Model(s.bits, keys[at], w[at], float(w[-1]))
 
 
 def _logits(column, model: Model, dense: np.ndarray) -> np.ndarray:
@@ -191,7 +227,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def compute(column):
         m = sent.value
-        dense = np.zeros(1 << m.bits)
+        dense = np.zeros(1 << m.bits, np.float32)
         dense[m.coordinates] = m.weights
         p = 1 / (1 + np.exp(-np.clip(_logits(column, m, dense), -35, 35)))
         return [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
