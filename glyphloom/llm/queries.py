@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import toxicity
+from glyphloom.llm import minmax, pii, topk, toxicity, vptree, warc
 from glyphloom.llm.frames import remainder, table
 
 QUERIES = {}
@@ -24,3 +24,29 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.scored(docs, toxicity.fit(sample))
     return scores.select("doc_id", (F.coalesce(remainder("doc_id", 5), F.lit(-1)) == 0).alias("held_out"),
                          "score", "predicted")
+
+
+@query
+def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detected(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.archived(table(spark, sf_dir, "pages"), payload=False)
+    return archive.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest_neighbours(table(spark, sf_dir, "embeddings"))
