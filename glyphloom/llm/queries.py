@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import minmax, pii, topk, toxicity, vptree, warc
+from glyphloom.llm import bpe_fold, minmax, mixing, pii, topk, toxicity, vptree, warc
 from glyphloom.llm.frames import remainder, table
 
 QUERIES = {}
@@ -50,3 +50,27 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def public_codec(vocabulary: str = VOCABULARY) -> bpe_fold.Codec:
+    """Codec of a public byte-level vocabulary, read where the tokenizer files are installed."""
+    import public_tokenizers
+
+    return bpe_fold.Codec(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = public_codec()
+    encoded = codec.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return bpe_fold.digests(codec.decoded(encoded)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = mixing.mixed(docs, table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "n_tokens", "domain", "posterior", "rate")
