@@ -1,11 +1,56 @@
-"""The corpus pipeline: stages of the training-data operators applied to documents, in order."""
+"""The corpus pipeline: five training-data operators over documents, one after the other.
 
-STAGES = []
+Each stage takes all rows that its predecessor kept and gives documents with the
+same columns; the last gives the encoded corpus. Stages are written as Parquet
+and read again in between, by ``run`` in the shared folder.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from glyphloom.llm import bpe_fold, minmax, mixing, pii, toxicity
+from glyphloom.llm.frames import table
+from glyphloom.llm.queries import public_codec
+from glyphloom.session import written
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt on the labelled ones, scores below 0.5."""
+    model = toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", toxicity.Settings.rows))
+    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (similarity of 0.8 or more): its smallest id."""
+    return minmax.kept(docs, minmax.Settings(hundredths=80)).select(*docs.columns)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rates say; every document stays at least once."""
+    return mixing.remixed(docs, table(spark, sf_dir, "labels"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the text they decode to."""
+    codec = public_codec()
+    both = bpe_fold.digests(codec.decoded(codec.encoded(docs.select("doc_id", "lang", "source", "text"))))
+    return both.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [("toxicity", without_toxic), ("minmax_dedup", without_near_copies), ("pii", without_personal_data),
+          ("mixing", mixed), ("bpe", encoded)]
+
+#: The stages learn models, sample seeds and merge by rank: nothing SQL can say; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the digests, without the ids themselves."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs.drop("ids")

@@ -10,9 +10,9 @@ document so that the expected tokens of the domains match their targets.
   temperature that is chosen on sampled documents not used for the counts, so
   posteriors stay soft.
 * Rates start at 1. Each step is one aggregation to as many sums as domains; a
-  document's next rate is its last one less the posterior-weighted relative
-  misses of the domains, not below 0. Rates are replayed from the short history
-  of misses, so no state is kept between steps and a lost executor loses none.
+  document's next rate is its last one less the posterior-weighted gradient of
+  the domains, projected to 0 and above. Rates are replayed from the short history
+  of gradients, so no state is kept between steps and a lost executor loses none.
 
 Defined results: a null or empty text has no tokens, the prior as posterior and a
 rate like any other; labelled rows with a null id or domain don't teach; a
@@ -41,8 +41,7 @@ class Settings:
 
     rows: int = 10_000
     tilt: float = 0.7
-    step: float = 0.8
-    steps: int = 60
+    steps: int = 30
     close: float = 1e-6
 
 
@@ -144,44 +143,86 @@ def member_shares(docs: DataFrame, classifier: Classifier, text: str = "text") -
     return appended(docs, text, fields, compute)
 
 
-def _totals(shares: DataFrame, rate: Column, domains: int) -> np.ndarray:
-    sums = [F.sum(rate * F.col("n_tokens") * F.get("posterior", F.lit(d))) for d in range(domains)]
-    row = shares.agg(*(x.alias(f"d{d}") for d, x in enumerate(sums))).first()
-    return np.array([x or 0.0 for x in row])
+def _summed(shares: DataFrame, values) -> np.ndarray:
+    """Sum over all rows of ``values(tokens, posteriors)``, a vector of fixed length."""
+    def run(batches):
+        total = None
+        for batch in batches:
+            p = batch.column(1)
+            if len(p):
+                part = values(batch.column(0).to_numpy(), p.flatten().to_numpy().reshape(len(p), -1))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], names=["at", "x"])
+
+    rows = (shares.select(F.col("n_tokens").cast("double"), "posterior").mapInArrow(run, "at long, x double")
+            .groupBy("at").agg(F.sum("x").alias("x")).collect())
+    out = np.zeros(len(rows))
+    for r in rows:
+        out[r["at"]] = r.x
+    return out
+
+
+def _replayed(p: np.ndarray, moves: list[np.ndarray]) -> np.ndarray:
+    rate = np.ones(len(p))
+    for move in moves:
+        rate = np.maximum(rate - p @ move, 0)
+    return rate
 
 
-def fitted_rates(shares: DataFrame, domains: list, targets: dict | None, s: Settings) -> Column:
-    """Rate of each row of ``shares`` (n_tokens, posterior).
+def fitted_rates(shares: DataFrame, domains: list, targets: dict | None, s: Settings,
+                 keep: bool = True) -> DataFrame:
+    """``shares`` (n_tokens, posterior) with ``rate``.
 
-    ``targets`` gives weights by domain. Their sum is scaled so that the domain
-    that is fullest for its weight keeps its tokens and the others gain; the mix
-    is the same at any scale.
+    ``targets`` gives weights by domain. The mix is the same at any scale; with
+    ``keep`` the scale is such that a pure member of the domain that is fullest for
+    its weight has rate 1, so no document goes (unless a rate is fitted to 0). The gradient is taken in the metric of the domains'
+    overlaps (a square matrix of as many rows as domains, one aggregation), in
+    which a step without projection solves the least squares.
     """
-    rate, have = F.lit(1.0), _totals(shares, F.lit(1.0), len(domains))
-    if not have.sum():
-        return rate
-    weights = np.array([targets.get(d, 0.0) for d in domains]) if targets else (have / have.sum()) ** s.tilt
-    weights = weights / weights.sum()
-    wanted = weights * np.max(have[weights > 0] / weights[weights > 0])
-    floor = np.maximum(wanted, 1e-9 * wanted.sum())
-    for _ in range(s.steps):
-        misses = (have - wanted) / floor
-        if np.abs(misses).max() < s.close:
-            break
-        move = sum((F.get("posterior", F.lit(d)) * float(s.step * m) for d, m in enumerate(misses)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-        have = _totals(shares, rate, len(domains))
-    return rate
+    have = _summed(shares, lambda n, p: n @ p)
+    moves: list[np.ndarray] = []
+    if have.sum():
+        weights = np.array([targets.get(d, 0.0) for d in domains]) if targets else (have / have.sum()) ** s.tilt
+        weights = weights / weights.sum()
+        wanted = weights * np.max(have[weights > 0] / weights[weights > 0])
+        overlap = _summed(shares, lambda n, p: ((p * n[:, None]).T @ p).ravel()).reshape(len(domains), -1)
+        overlap += np.eye(len(domains)) * 1e-9 * overlap.trace()
+        while len(moves) < s.steps and np.abs(have - wanted).max() > s.close * wanted.sum():
+            moves.append(np.linalg.solve(overlap, have - wanted))
+            have = _summed(shares, lambda n, p: (n * _replayed(p, moves)) @ p)
+
+    least = _replayed(np.eye(len(domains)), moves).min() if keep else 1.0
+    least = least if least > 0 else 1.0
+
+    def compute(column):
+        p = column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, len(domains)))
+        return [pa.array(_replayed(p, moves) / least)]
+
+    return appended(shares, "posterior", [StructField("rate", DoubleType())], compute).select(
+        *(c for c in shares.columns if c != "rate"), "rate")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, domain: Column | None = None, targets: dict | None = None,
-          s: Settings = Settings()) -> DataFrame:
-    """``docs`` without its text, with ``n_tokens``, ``domain``, ``posterior`` and ``rate``.
+          keep_text: bool = False, s: Settings = Settings()) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``domain``, ``posterior`` and ``rate``; its text goes unless it is kept.
 
-    The domain of a labelled document is by default its language and quality.
+    The domain of a labelled document is by default its language.
     """
-    if domain is None:
-        domain = F.concat_ws("/", "lang", F.col("quality").cast("string"))
+    domain = F.col("lang") if domain is None else domain
     classifier = fit(sampled(docs, labels, domain, s.rows))
-    shares = written(member_shares(docs, classifier).drop("text"), "shares")
-    return shares.withColumn("rate", fitted_rates(shares, classifier.domains, targets, s))
+    shares = member_shares(docs, classifier)
+    shares = written(shares if keep_text else shares.drop("text"), "shares")
+    return fitted_rates(shares, classifier.domains, targets, s)
+
+
+def remixed(docs: DataFrame, labels: DataFrame, targets: dict | None = None, s: Settings = Settings()) -> DataFrame:
+    """``docs``, each row as many times as its rate says: the whole part, and one more by the hash of its id.
+
+    The expected tokens of the domains are then in the targets' proportions.
+    """
+    rated = mixed(docs, labels, targets=targets, keep_text=True, s=s)
+    chance = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    copies = F.floor(F.col("rate") + chance + 1e-9).cast("int")
+    return rated.withColumn("_copies", copies).where("_copies > 0").select(
+        *docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")

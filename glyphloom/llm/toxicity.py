@@ -15,7 +15,7 @@ text of the corpus is scored in one pass without a shuffle.
 Defined results: a null or empty text has no features and gets the score of the
 bias; rows with a null label or null id don't train; a repeated label row counts
 once, with its largest label; without labelled rows, or with one label only, the
-score is that of the bias learnt so far (0.5 for none); very long texts are
+score is that of the bias learnt so far (0 if nothing could be learnt); very long texts are
 hashed whole, in slices.
 """
 
@@ -57,7 +57,7 @@ class Model:
     bits: int
     coordinates: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    bias: float = 0.0
+    bias: float = -35.0
 
 
 def _features(words, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
     documents aren't shuffled.
     """
     picked = (labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("label"))
-              .where(F.col("_id").isNotNull() & F.col("label").isNotNull() & usable)
+              .where(F.col("_id").isNotNull() & F.col("label").isNotNull() & (F.lit(True) if usable is None else usable))
               .groupBy("_id").agg(F.max("label").alias("label"))
               .orderBy(F.xxhash64("_id"), "_id").limit(rows))
     return (docs.select("doc_id", "text")
