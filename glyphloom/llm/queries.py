@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import bpe_fold, minmax, mixing, pii, topk, toxicity, vptree, warc
+from glyphloom.llm import bpe_fold, minmax, mixing, pii, substrings, topk, toxicity, vptree, warc
 from glyphloom.llm.frames import remainder, table
 
 QUERIES = {}
@@ -74,3 +74,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rated = mixing.mixed(docs, table(spark, sf_dir, "labels"))
     return rated.select("doc_id", "n_tokens", "domain", "posterior", "rate")
+
+
+@query
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
