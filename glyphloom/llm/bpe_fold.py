@@ -21,12 +21,14 @@ length takes as many steps as distinct ranks merge in it, each linear in it.
 
 import base64
 import json
+import re
+import sys
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
@@ -34,14 +36,15 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 from glyphloom.llm.frames import appended, quoted
 from glyphloom.session import written
 
-HOT_WORDS = 600_000
+HOT_WORDS = 400_000
 HOT_LETTERS = 64          # longer words are never broadcast
+SHORT = 64
 _BUCKETS = 1 << 16
 _NONE = 1 << 30
 _GAP = b"\xff\xff\xff\xff"
 _TEXT, _RARE = "_text", "_rare"
 #: White space of the Unicode standard, where \\s differs between engines.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def rank_table(path: str) -> list[bytes]:
@@ -54,14 +57,28 @@ def rank_table(path: str) -> list[bytes]:
     return pieces
 
 
-def engine_pattern(pattern: str) -> str:
-    """The pattern with its white space spelled out."""
-    return pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
+def _class(category: str) -> str:
+    """Body of a character class: all code points of a general category."""
+    out, start = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == category
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
 
 
 @lru_cache(4)
 def _words(pattern: str):
-    return regex.compile(engine_pattern(pattern)).findall
+    """What finds all words of a text; properties and white space are spelled out for the standard engine."""
+    spelled = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
+    for category in "LN":
+        body = _class(category)
+        spelled = re.sub(r"\[\^([^\]]*)\\p\{%s\}" % category, lambda m: f"[^{m[1]}{body}", spelled)
+        spelled = spelled.replace(r"\p{%s}" % category, f"[{body}]")
+    return re.compile(spelled).findall
 
 
 def pair_map(pieces: list[bytes]) -> tuple[list, list]:
@@ -134,17 +151,40 @@ def _step(t: Column, p: Column) -> Column:
     return F.when(F.size(p) < 2, stop).otherwise(_let(ranks, merge))
 
 
+def _single(t: Column, p: Column, r: Column) -> Column:
+    """(pieces, ranks of neighbouring pairs) after the leftmost merge of the lowest rank."""
+    def merge(low):
+        def at(pos):
+            left = F.when(pos > 1, F.array(_merged(t, F.get(p, pos - 2), low))).otherwise(F.array().cast("array<int>"))
+            right = F.when(pos + 1 < F.size(p), F.array(_merged(t, low, F.get(p, pos + 1)))).otherwise(
+                F.array().cast("array<int>"))
+            pieces = F.concat(F.slice(p, 1, pos - 1), F.array(low), F.slice(p, pos + 2, F.size(p)))
+            ranks = F.concat(F.slice(r, 1, F.greatest(pos - 2, F.lit(0))), left, right, F.slice(r, pos + 2, F.size(r)))
+            return F.struct(pieces.alias("p"), ranks.alias("r"))
+
+        return F.when(low == _NONE, F.struct(p.alias("p"), F.array().cast("array<int>").alias("r"))).otherwise(
+            _let(F.array_position(r, low).cast("int"), at))
+
+    return _let(F.array_min(r), merge)
+
+
+def _pair_ranks(t: Column, p: Column) -> Column:
+    return F.when(F.size(p) > 1, F.transform(_places(F.size(p) - 1), lambda i: _merged(t, F.get(p, i), F.get(p, i + 1)))
+                  ).otherwise(F.array().cast("array<int>"))
+
+
 def folded(t: Column, ids: Column) -> Column:
-    """Ids of a word given as the ids of its bytes (never empty)."""
+    """Ids of a word given as the ids of its bytes (never empty).
+
+    Short words take one merge a step, which is cheapest for them; long ones take
+    all merges of a rank a step, which keeps their number of steps small.
+    """
+    short = F.aggregate(_places(F.size(ids)), F.struct(ids.alias("p"), _pair_ranks(t, ids).alias("r")),
+                        lambda s, _: F.when(F.size(s["r"]) > 0, _single(t, s["p"], s["r"])).otherwise(s), lambda s: s["p"])
     start = F.struct(ids.alias("p"), F.lit(True).alias("more"))
-    return F.aggregate(_places(F.size(ids)), start, lambda s, _: F.when(s["more"], _step(t, s["p"])).otherwise(s),
+    long = F.aggregate(_places(F.size(ids)), start, lambda s, _: F.when(s["more"], _step(t, s["p"])).otherwise(s),
                        lambda s: s["p"])
-
-
-def _lists(values: list, kind) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
-    flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32), kind))
+    return F.when(F.size(ids) <= SHORT, short).otherwise(long)
 
 
 class Codec:
@@ -155,25 +195,30 @@ class Codec:
         of_byte = {p: i for i, p in enumerate(self.pieces) if len(p) == 1}
         self.of_byte = np.array([of_byte[bytes([b])] for b in range(256)], np.int32)
 
-    def _start(self, word: str) -> np.ndarray:
-        return self.of_byte[np.frombuffer(word.encode(), np.uint8)]
+    def _start(self, words: list[bytes]) -> pa.ListArray:
+        """The ids of each word's bytes."""
+        offsets = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.of_byte[np.frombuffer(b"".join(words), np.uint8)]))
 
     def counts(self, docs: DataFrame, text: str) -> DataFrame:
         """(word, n) of all words short enough to be broadcast."""
         pattern = self.pattern
 
+        def counted(found):
+            words = [w for w in found if len(w) <= HOT_LETTERS]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([found[w] for w in words], pa.int64())],
+                                              names=["word", "n"])
+
         def run(batches):
-            find = _words(pattern)
+            find, found = _words(pattern), Counter()
             for batch in batches:
-                found = Counter()
                 for value in batch.column(0).to_pylist():
                     if value:
                         found.update(find(value))
-                words = [w for w in found if len(w) <= HOT_LETTERS]
-                for lo in range(0, len(words), 50_000):
-                    part = words[lo:lo + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()),
-                                                      pa.array([found[w] for w in part], pa.int64())], names=["word", "n"])
+                    if len(found) > 100_000:
+                        yield counted(found)
+                        found.clear()
+            yield counted(found)
 
         partial = docs.select(quoted(text).alias("text")).mapInArrow(run, "word string, n long")
         return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -191,7 +236,7 @@ class Codec:
         start = self._start
 
         def compute(column):
-            return [_lists([start(w) for w in column.to_pylist()], pa.int32())]
+            return [start([w.encode() for w in column.to_pylist()])]
 
         hot = appended(counts.where(F.col("n") >= least).select("word"), "word",
                        [StructField("bytes", ArrayType(IntegerType()))], compute)
@@ -221,7 +266,7 @@ class Codec:
 
         def look_up(column):
             find, get = _words(pattern), known().get
-            ids, rare = [], []
+            ids, rare, counts = [], [], []
             for value in column.to_pylist():
                 words = find(value) if value else []
                 parts = list(map(get, words))
@@ -229,10 +274,10 @@ class Codec:
                 for i in missing:
                     parts[i] = _GAP
                 ids.append(b"".join(parts))
-                rare.append([start(words[i]) for i in missing])
-            inner = _lists([w for r in rare for w in r], pa.int32())
-            outer = np.concatenate(([0], np.cumsum([len(r) for r in rare]))).astype(np.int32)
-            return [pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(outer), inner)]
+                rare.extend(words[i].encode() for i in missing)
+                counts.append(len(missing))
+            outer = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            return [pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(outer), start(rare))]
 
         looked = appended(docs.withColumn(_TEXT, quoted(text)), _TEXT,
                           [StructField("ids", BinaryType()), StructField(_RARE, ArrayType(ArrayType(IntegerType())))], look_up)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 _IN = "_in_"
+#: Rows that ``appended`` works on at once, so that Python objects of a batch stay few.
+ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +39,10 @@ def appended(df: DataFrame, column: str, fields: list[StructField],
     names = schema.names
 
     def run(batches):
-        for batch in batches:
-            arrays = compute(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                arrays = compute(batch.column(batch.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=names)
 
     return source.mapInArrow(run, schema)
