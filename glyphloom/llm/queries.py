@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import bpe_fold, minmax, mixing, pii, substrings, topk, toxicity, vptree, warc
+from glyphloom.llm import bpe_fold, minmax, mixing, pii, pitman_yor, substrings, topk, toxicity, vptree, warc
 from glyphloom.llm.frames import remainder, table
 
 QUERIES = {}
@@ -80,3 +80,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 5), F.lit(-1)) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", (~held_out).alias("train"), "text")
+    return pitman_yor.scored(docs).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                                          "base_score", "score")
