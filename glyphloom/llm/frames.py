@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 _IN = "_in_"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that ``appended`` works on at once, so that Python objects of a batch stay few.
 ROWS = 1000
 
@@ -16,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold few rows, which here are whole texts, unless the session asks for another number."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
+
+
 def quoted(name: str) -> Column:
     """Column by its exact name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -32,6 +39,7 @@ def appended(df: DataFrame, column: str, fields: list[StructField],
 
     A column of ``df`` that bears the name of a new one is replaced.
     """
+    small_batches(df.sparkSession)
     new = {f.name for f in fields}
     kept = [c for c in df.columns if c not in new]
     source = df.select(*map(quoted, kept), quoted(column).alias(_IN))

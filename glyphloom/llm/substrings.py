@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from glyphloom.llm.frames import appended
+from glyphloom.llm.frames import appended, small_batches
 from glyphloom.llm.wordhash import mix, run_positions, runs, word_slices
 from glyphloom.session import written
 
@@ -54,7 +54,7 @@ class Settings:
     """``shard`` bounds the segments that one automaton takes in."""
 
     width: int = 20
-    shard: int = 4096
+    shard: int = 2048
 
 
 class Automaton:
@@ -263,6 +263,7 @@ def _later(rows: DataFrame, firsts: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, start, n): stretches of n repeated windows from word ``start`` of a document on."""
     spark, width = docs.sparkSession, s.width
+    small_batches(spark)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = (texts.mapInArrow(_anchor_counter(width), "anchor long, n long")
               .groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"))
