@@ -42,6 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.llm.frames import small_batches
 from glyphloom.llm.wordhash import mix, word_slices
 from glyphloom.session import written
 
@@ -65,27 +66,40 @@ class Settings:
 
 # --- events -------------------------------------------------------------------
 
-def _blocks(batches):
-    """(ids, training flags, words per document, hashes with an end after each document, document of each)."""
+def _gathered(batches):
+    """Tables of at most BLOCK_DOCS rows and, but for a longer text, BLOCK_BYTES of text."""
+    held, docs, size = [], 0, 0
     for batch in batches:
-        sizes = batch.column(2).cast(pa.large_string()).fill_null("")
-        lengths = np.diff(np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset:sizes.offset + len(sizes) + 1])
+        texts = batch.column(2).cast(pa.large_string()).fill_null("")
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
         at = 0
         while at < batch.num_rows:
-            reach = int(np.searchsorted(np.cumsum(lengths[at:at + BLOCK_DOCS]), BLOCK_BYTES, "right"))
-            part = batch.slice(at, max(reach, 1))
-            at += part.num_rows
-            hashes, owners, counts = [], [], []
-            for words in word_slices(part.column(2), lower=True):
-                bounds, n = words.bounds, len(words.bounds) - 1
-                out = np.full(len(words.hashes) + n, END)
-                place = np.arange(len(words.hashes)) + words.owner()
-                out[place] = words.hashes
-                hashes.append(out)
-                counts.append(np.diff(bounds))
-                owners.append(np.repeat(np.arange(words.rows[0], words.rows[1]), np.diff(bounds) + 1))
-            yield (part.column(0), part.column(1).to_numpy(zero_copy_only=False).astype(bool), np.concatenate(counts),
-                   np.concatenate(hashes), np.concatenate(owners))
+            room = int(np.searchsorted(ends, ends[at] + BLOCK_BYTES - size, "right")) - 1 - at
+            n = min(room, BLOCK_DOCS - docs, batch.num_rows - at)
+            if n <= 0 and held:
+                yield pa.Table.from_batches(held)
+                held, docs, size = [], 0, 0
+                continue
+            n = max(n, 1)
+            held.append(batch.slice(at, n))
+            docs, size, at = docs + n, size + int(ends[at + n] - ends[at]), at + n
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _blocks(batches):
+    """(ids, training flags, words per document, hashes with an end after each document, document of each)."""
+    for part in _gathered(batches):
+        hashes, owners, counts = [], [], []
+        for words in word_slices(part.column(2), lower=True):
+            bounds, n = words.bounds, len(words.bounds) - 1
+            out = np.full(len(words.hashes) + n, END)
+            out[np.arange(len(words.hashes)) + words.owner()] = words.hashes
+            hashes.append(out)
+            counts.append(np.diff(bounds))
+            owners.append(np.repeat(np.arange(words.rows[0], words.rows[1]), np.diff(bounds) + 1))
+        yield (part.column(0), part.column(1).to_numpy().astype(bool), np.concatenate(counts),
+               np.concatenate(hashes), np.concatenate(owners))
 
 
 def _frequent(docs: DataFrame, most: int) -> np.ndarray:
@@ -343,6 +357,7 @@ def _documents(group: pa.Table) -> pa.Table:
 def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of ``docs`` (doc_id, train, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "train", "text")
     frequent = _frequent(docs, s.contexts)
     sent = spark.sparkContext.broadcast(frequent)
