@@ -15,9 +15,9 @@ empty and links with nothing. Two documents are linked if their sets' similarity
    which in a group of edited copies is the original or one close to it. That is
    one pair a member, not all pairs of a bucket.
 4. Pairs are confirmed on full sets; confirmed ones are joined into components.
-5. Buckets that still hold several components are compared in blocks of bounded
-   size, on signatures and only across components; pairs that may reach the
-   threshold (six standard deviations of slack) are confirmed likewise.
+5. Documents of buckets that still hold several components are gathered in
+   clusters and compared in blocks of bounded size, on full sets and only across
+   components; a block gives one link for each two components that it joins.
 
 So no pair that shares a bucket is lost. At the threshold, four rows a band and
 twenty bands miss a pair with probability (1 - 0.85^4)^20 = 4e-7. The bitmap that
@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
+from pyspark.sql.types import ArrayType, LongType, StructField
 
 from glyphloom.llm.components import components
 from glyphloom.llm.frames import appended
@@ -47,13 +47,14 @@ _SLOTS = 1 << 24
 
 @dataclass(frozen=True)
 class Settings:
-    """Similarity in hundredths; ``block`` bounds the rows compared in one group."""
+    """Similarity in hundredths; ``block`` and ``block_shingles`` bound the documents of a chunk and their sets."""
 
     hundredths: int = 85
     width: int = 5
     permutations: int = 40
     rows: int = 4
     block: int = 2048
+    block_shingles: int = 1_000_000
 
 
 def shingle_sets(column, width: int = 5):
@@ -73,7 +74,7 @@ def shingle_sets(column, width: int = 5):
 
 
 def _signatures(sets: list[np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Minima and maxima of each set (none for an empty one), and the set's two sums."""
+    """Minima and maxima of each set (0 for an empty one), and the set's two sums."""
     sizes = np.array([len(x) for x in sets])
     full = np.flatnonzero(sizes)
     values = np.zeros((len(sets), 2 * s.permutations), np.uint64)
@@ -94,11 +95,11 @@ def _signatures(sets: list[np.ndarray], s: Settings) -> tuple[np.ndarray, np.nda
 
 
 def sketches(docs: DataFrame, text: str = "text", s: Settings = Settings()) -> DataFrame:
-    """``docs`` with ``n_shingles``, ``set_a``, ``set_b``, ``bands`` (null for an empty set) and ``signature``."""
+    """``docs`` with ``n_shingles``, ``set_a``, ``set_b`` and ``bands`` (null for an empty set)."""
     bands = 2 * s.permutations // s.rows
 
     def compute(column):
-        n, a, b, keys, signatures = [], [], [], [], []
+        n, a, b, keys = [], [], [], []
         sets, size = [], 0
         todo = shingle_sets(column, s.width)
         while True:
@@ -115,7 +116,6 @@ def sketches(docs: DataFrame, text: str = "text", s: Settings = Settings()) -> D
                 odd = np.arange(1, 2 * s.rows, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 seed = np.arange(bands, dtype=np.uint64)
                 keys.append(mix((rows * odd).sum(axis=2) + mix(seed + np.uint64(1))).view(np.int64))
-                signatures.extend(r.tobytes() for r in values.astype(np.uint16))
                 sets, size = [], 0
             if x is None:
                 break
@@ -124,11 +124,10 @@ def sketches(docs: DataFrame, text: str = "text", s: Settings = Settings()) -> D
         empty = np.append(np.array(n, np.int64) == 0, False)
         offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands, mask=empty)
         return [pa.array(n, pa.int64()), pa.array(join(a, np.int64)), pa.array(join(b, np.int64)),
-                pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(signatures, pa.binary())]
+                pa.ListArray.from_arrays(offsets, pa.array(flat))]
 
     fields = [StructField("n_shingles", LongType()), StructField("set_a", LongType()),
-              StructField("set_b", LongType()), StructField("bands", ArrayType(LongType())),
-              StructField("signature", BinaryType())]
+              StructField("set_b", LongType()), StructField("bands", ArrayType(LongType()))]
     return appended(docs, text, fields, compute)
 
 
@@ -181,8 +180,8 @@ def _close(a: str, b: str, s: Settings):
     return 100 * F.least(a, b) >= s.hundredths * F.greatest(a, b)
 
 
-def _leader_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """One pair a member and bucket: the member with the bucket's leader. members: (key, id, n)."""
+def _leader_pairs(members: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """One pair a member and bucket, the member and its leader, and the rows of ``members`` (key, id, n) in such buckets."""
     counts = written(members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
     shared = written(members.join(counts, "key"), "shared")
     fame = written(shared.groupBy("id").agg(F.sum("m").alias("fame")), "fame")
@@ -196,41 +195,61 @@ def _leader_pairs(members: DataFrame, s: Settings) -> DataFrame:
 
 
 def _comparer(s: Settings):
-    """Pairs of one block, across components, whose signatures allow the threshold."""
-    total = 2 * s.permutations
-    j = s.hundredths / 100
-    least = int(total * (j - 6 * (j * (1 - j) / total) ** 0.5))
+    """Links between the components of one block: one for each pair of components that it joins.
 
+    Shingles that two documents of the block share become the bits of a row, so
+    the sizes of all intersections with a document are a few vector operations.
+    """
     def compare(group: pa.Table) -> pa.Table:
-        ids, n, comp, side = (group[c].to_numpy() for c in ("id", "n", "component", "side"))
-        rows = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(len(ids), -1)
-        _, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
-        first, second = [], []
-        for i in np.flatnonzero(comp != size.argmax()):
-            other = np.flatnonzero((comp != comp[i]) & ((side != side[i]) | (side == 2))
-                                   & (100 * np.minimum(n, n[i]) >= s.hundredths * np.maximum(n, n[i])))
-            hits = other[(rows[other] == rows[i]).sum(axis=1) >= least]
-            first.append(np.minimum(ids[hits], ids[i]))
-            second.append(np.maximum(ids[hits], ids[i]))
-        pick = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-        return pa.table({"a": pick(first), "b": pick(second)})
+        ids, comp = group["id"].to_numpy(), group["component"].to_numpy()
+        sets = group["shingles"].combine_chunks()
+        size = sets.value_lengths().to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(ids)), size)
+        _, column, times = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = times > 1
+        at = np.flatnonzero(shared[column])
+        column, owner = (np.cumsum(shared) - 1)[column[at]], owner[at]
+        rows = np.zeros((len(ids), (int(shared.sum()) + 63) // 64 * 8), np.uint8)
+        np.bitwise_or.at(rows, (owner, column >> 3), (1 << (column & 7)).astype(np.uint8))
+        rows = rows.view(np.uint64)
+        _, comp, members = np.unique(comp, return_inverse=True, return_counts=True)
+        joined = np.arange(len(members))
+        links = []
+        for i in np.flatnonzero(comp != members.argmax()):
+            other = np.flatnonzero((joined[comp] != joined[comp[i]])
+                                   & (100 * np.minimum(size, size[i]) >= s.hundredths * np.maximum(size, size[i])))
+            both = np.bitwise_count(rows[other] & rows[i]).sum(axis=1, dtype=np.int64)
+            for j in other[100 * both >= s.hundredths * (size[other] + size[i] - both)]:
+                if joined[comp[i]] != joined[comp[j]]:
+                    joined[joined == joined[comp[j]]] = joined[comp[i]]
+                    links.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return compare
 
 
-def _rest_pairs(shared: DataFrame, labels: DataFrame, signatures: DataFrame, s: Settings) -> DataFrame:
-    """Pairs across the components that still share a bucket."""
+def _rest_links(shared: DataFrame, labels: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Links between components that still share a bucket.
+
+    Documents that are linked through such buckets form a cluster; a cluster is
+    dealt to chunks of bounded size, and every two chunks meet in one block.
+    """
     members = written(shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
     mixed = written(members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                               F.count("*").alias("size")).where("x <> y"), "mixed")
-    rest = members.join(mixed.select("key", "size"), "key")
-    chunks = F.ceil(F.col("size") / s.block).cast("int")
-    rest = rest.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                       side.alias("side"), "id", "n", "component").join(signatures, "id")
-    return rest.groupBy("key", "i", "j").applyInArrow(_comparer(s), "a long, b long").distinct()
+                                               F.min("id").alias("least")).where("x <> y"), "mixed")
+    rest = written(members.join(mixed.select("key", "least"), "key"), "rest")
+    clusters = written(components(rest.where("id <> least").select("id", "least").distinct())
+                       .withColumnRenamed("component", "cluster"), "clusters")
+    rest = rest.groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component")).join(clusters, "id")
+    rest = written(rest, "rest")
+    chunks = F.greatest(F.ceil(F.count("*") / s.block), F.ceil(F.sum("n") / s.block_shingles)).cast("int")
+    sizes = written(rest.groupBy("cluster").agg(chunks.alias("chunks")), "sizes")
+    sets = written(_sets_of(docs, rest.select("id"), s), "sets").dropDuplicates(["id"])
+    dealt = rest.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id",
+                          "component").join(sets, "id")
+    return blocks.groupBy("cluster", "i", "j").applyInArrow(_comparer(s), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -239,12 +258,12 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     sketch = written(sketches(docs, "text", s), "sketches")
     classes = written(sketch.where("bands is not null and doc_id is not null").groupBy("set_a", "set_b")
                       .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"),
-                           F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
+                           F.first("bands").alias("bands")), "classes")
     members = classes.select(F.explode("bands").alias("key"), "id", "n")
     pairs, shared = _leader_pairs(members, s)
     links = written(confirmed(pairs, docs, s), "links")
     labels = written(components(links), "labels")
-    more = written(confirmed(_rest_pairs(shared, labels, classes.select("id", "signature"), s), docs, s), "links")
+    more = written(_rest_links(shared, labels, docs, s), "links")
     labels = components(links.unionByName(more))
     named = (classes.select("set_a", "set_b", "id").join(labels, "id", "left")
              .select("set_a", "set_b", F.coalesce("component", "id").alias("component_id")))
