@@ -51,6 +51,7 @@ _DOC_BITS, _TIMES_BITS, _CONTEXT_BITS = 12, 3, 17
 BLOCK_DOCS = 1 << _DOC_BITS
 BLOCK_BYTES = 12 << 20
 SMALL = 64
+PART_PAIRS = 200_000
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ class Settings:
     classes: int = 256
     samples: int = 3
     strength: float = 1.0
-    bucket_events: int = 3_000_000
+    bucket_events: int = 2_000_000
 
 
 # --- events -------------------------------------------------------------------
@@ -173,33 +174,44 @@ def _packed(sent, buckets: int, s: Settings):
 
 
 class _Bucket:
-    """Events of a bucket: word, pair of word and context, count and place of the document."""
+    """Events of a bucket, in order of word and context: their pair, count and place of the document."""
 
     def __init__(self, parts, frequent: np.ndarray):
         unpack = zstandard.ZstdDecompressor()
         parts = sorted(((p["block"], pickle.loads(unpack.decompress(p["events"]))) for p in parts), key=lambda p: p[0])
         self.blocks = [(block, p[3], p[5]) for block, p in parts]
-        words = np.concatenate([p[0] for _, p in parts])
-        self.words, index = np.unique(words, return_inverse=True)
-        index = np.repeat(index, np.concatenate([p[1] for _, p in parts]))
+        self.words, index = np.unique(np.concatenate([p[0] for _, p in parts]), return_inverse=True)
+        key = np.repeat(index << _CONTEXT_BITS, np.concatenate([p[1] for _, p in parts]))
         event = np.concatenate([p[2] for _, p in parts])
-        shift = np.repeat(np.cumsum([0, *(p[3] for _, p in parts[:-1])]), [len(p[2]) for _, p in parts])
+        shift = np.cumsum([0, *(p[3] for _, p in parts[:-1])])
+        doc = np.repeat(shift.astype(np.int32), [len(p[2]) for _, p in parts])
         train = np.concatenate([np.unpackbits(p[4], count=p[3]) for _, p in parts]).astype(bool)
-        self.times = (event & ((1 << _TIMES_BITS) - 1)).astype(np.int32) + 1
-        self.doc = ((event >> _TIMES_BITS) & (BLOCK_DOCS - 1)).astype(np.int64) + shift
-        key = (index.astype(np.int64) << _CONTEXT_BITS) | (event >> (_TIMES_BITS + _DOC_BITS)).astype(np.int64)
-        del event, index, shift
-        key, self.pair = np.unique(key, return_inverse=True)
-        self.word = key >> _CONTEXT_BITS
-        self.context = key & ((1 << _CONTEXT_BITS) - 1)
+        del parts, index
+        key |= event >> (_TIMES_BITS + _DOC_BITS)
+        doc += ((event >> _TIMES_BITS) & (BLOCK_DOCS - 1)).astype(np.int32)
+        order = np.argsort(key, kind="stable")  # sorted stretches, one a block, that only need merging
+        key, self.doc = key[order], doc[order]
+        self.times = (event[order] & ((1 << _TIMES_BITS) - 1)).astype(np.uint8) + np.uint8(1)
+        del event, doc, order
+        first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+        self.pair = np.cumsum(first, dtype=np.int32) - np.int32(1)
+        key = key[first]
+        self.word = (key >> _CONTEXT_BITS).astype(np.int32)
+        self.context = (key & ((1 << _CONTEXT_BITS) - 1)).astype(np.int32)
         learnt = train[self.doc]
-        self.count = np.bincount(self.pair[learnt], self.times[learnt], len(key)).astype(np.int64)
+        self.count = np.bincount(self.pair[learnt], self.times[learnt], len(key)).astype(np.int32)
         self.docs = len(train)
         self.hot = np.minimum(np.searchsorted(frequent, self.words), len(frequent) - 1)
         self.hot[frequent[self.hot] != self.words] = -1
 
-    def by_word(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, values, len(self.words))
+    def parts(self):
+        """Stretches of pairs of whole words: (pairs, words) as slices."""
+        ends = np.searchsorted(self.word, np.arange(len(self.words)), "right")
+        at = word = 0
+        while word < len(ends):
+            to = max(int(np.searchsorted(ends, at + PART_PAIRS, "right")), word + 1)
+            yield slice(at, int(ends[to - 1])), slice(word, to)
+            at, word = int(ends[to - 1]), to
 
 
 # --- seating ------------------------------------------------------------------
@@ -247,23 +259,25 @@ def _first_sums(sent, buckets: int, s: Settings):
             for row in range(batch.num_rows):
                 number = batch.column(0)[row].as_py()
                 b = _Bucket(batch.column(1)[row].as_py(), frequent)
-                seen = (b.count > 0).astype(np.int64)
-                ones, twos = (b.count == 1).sum(), (b.count == 2).sum()
+                rng = np.random.default_rng(number)
+                ones, twos, all_ = (b.count == 1).sum(), (b.count == 2).sum(), max((b.count > 0).sum() * buckets, 1)
                 d = _discount(ones, twos)
-                t_context = np.bincount(b.context, seen, 1 << _CONTEXT_BITS) * buckets
-                t_word = b.by_word(seen) * np.where(b.hot >= 0, buckets, 1)
-                share = t_word / max(seen.sum() * buckets, 1)
-                fresh = (s.strength + d * t_context[b.context]) * share[b.word]
-                tables = seat(b.count, fresh, d, np.random.default_rng(number))
-                c_context = np.bincount(b.context, b.count, 1 << _CONTEXT_BITS)
-                t_context = np.bincount(b.context, tables, 1 << _CONTEXT_BITS)
-                c_word, t_word = b.by_word(b.count), b.by_word(tables)
-                rare, hot = (b.hot < 0) & (c_word > 0), b.hot >= 0
-                at = np.flatnonzero(c_context)
-                out = [(np.zeros(len(at)), at, c_context[at], t_context[at]),
-                       (np.ones(hot.sum()), b.hot[hot], c_word[hot], t_word[hot])]
+                opened = np.bincount(b.context, b.count > 0, 1 << _CONTEXT_BITS) * buckets
+                c_context, t_context = np.zeros(1 << _CONTEXT_BITS), np.zeros(1 << _CONTEXT_BITS)
+                c_word, t_word = np.zeros(len(b.words)), np.zeros(len(b.words))
+                for pairs, words in b.parts():
+                    word, context, count = b.word[pairs] - words.start, b.context[pairs], b.count[pairs]
+                    size = words.stop - words.start
+                    share = np.bincount(word, count > 0, size) * np.where(b.hot[words] >= 0, buckets, 1) / all_
+                    tables = seat(count, (s.strength + d * opened[context]) * share[word], d, rng)
+                    np.add.at(c_context, context, count)
+                    np.add.at(t_context, context, tables)
+                    c_word[words], t_word[words] = np.bincount(word, count, size), np.bincount(word, tables, size)
+                rare, hot, at = (b.hot < 0) & (c_word > 0), b.hot >= 0, np.flatnonzero(c_context)
                 totals = [rare.sum(), ones, twos, (t_word[rare] == 1).sum(), (t_word[rare] == 2).sum(), t_word[rare].sum()]
-                out.append((np.full(6, 2), np.arange(6), np.array(totals), np.zeros(6)))
+                out = [(np.zeros(len(at)), at, c_context[at], t_context[at]),
+                       (np.ones(hot.sum()), b.hot[hot], c_word[hot], t_word[hot]),
+                       (np.full(6, 2), np.arange(6), np.array(totals), np.zeros(6))]
                 kind, key, c, t = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(key.astype(np.int64)),
                                                   pa.array(c.astype(float)), pa.array(t.astype(float))],
@@ -314,6 +328,29 @@ def _parent(t_word: np.ndarray, m: _Sums, s: Settings) -> np.ndarray:
     return (np.maximum(t_word - d, 0) + (s.strength + d * m.words) / (m.words + 1)) / all_
 
 
+def _pair_scores(b: _Bucket, m: _Sums, number: int, s: Settings):
+    """Score, base score and whether the word is known, of each pair of a bucket."""
+    score, base = np.zeros(len(b.word), np.float32), np.zeros(len(b.word))
+    known = np.zeros(len(b.word), bool)
+    for pairs, words in b.parts():
+        word, context, count = b.word[pairs] - words.start, b.context[pairs], b.count[pairs]
+        size, place, hot = words.stop - words.start, b.hot[words], b.hot[words] >= 0
+        c_word = np.where(hot, m.c_word[place], np.bincount(word, count, size))
+        d, c_all, t_all = m.discount, m.c_context[context], m.t_context[context]
+        t_word, p = np.bincount(word, count > 0, size), np.zeros(len(word))
+        for sample in range(s.samples):
+            parent = _parent(np.where(hot, m.t_word[place], t_word), m, s)[word]
+            rng = np.random.default_rng([number, sample, words.start])
+            tables = seat(count, (s.strength + d * t_all) * parent, d, rng)
+            t_word = np.bincount(word, tables, size)
+            parent = _parent(np.where(hot, m.t_word[place], t_word), m, s)[word]
+            p += (count - d * tables + (s.strength + d * t_all) * parent) / (s.strength + c_all)
+        score[pairs] = np.log10(p / s.samples)
+        base[pairs] = np.log10((c_word + 0.5) / (m.tokens + 0.5 * (m.words + 1)))[word]
+        known[pairs] = (c_word > 0)[word]
+    return score, base, known
+
+
 def _scores(sent, s: Settings):
     """Sums by document of a block in one bucket: score, base score, known tokens."""
     def run(batches):
@@ -322,25 +359,14 @@ def _scores(sent, s: Settings):
             for row in range(batch.num_rows):
                 number = batch.column(0)[row].as_py()
                 b = _Bucket(batch.column(1)[row].as_py(), m.frequent)
-                hot = b.hot >= 0
-                c_word = np.where(hot, m.c_word[b.hot], b.by_word(b.count))
-                d, c_all, t_all = m.discount, m.c_context[b.context], m.t_context[b.context]
-                back = (s.strength + d * t_all) / (s.strength + c_all)
-                t_word, p = b.by_word(np.minimum(b.count, 1)), np.zeros(len(b.word))
-                for sample in range(s.samples):
-                    parent = _parent(np.where(hot, m.t_word[b.hot], t_word), m, s)[b.word]
-                    tables = seat(b.count, (s.strength + d * t_all) * parent, d, np.random.default_rng([number, sample]))
-                    t_word = b.by_word(tables)
-                    parent = _parent(np.where(hot, m.t_word[b.hot], t_word), m, s)[b.word]
-                    p += (b.count - d * tables) / (s.strength + c_all) + back * parent
-                score = np.log10(p / s.samples)
-                base = np.log10((c_word + 0.5) / (m.tokens + 0.5 * (m.words + 1)))[b.word]
-                sums = [np.bincount(b.doc, v[b.pair] * b.times, b.docs) for v in (score, base, (c_word > 0)[b.word])]
+                sums = [np.bincount(b.doc, v[b.pair] * b.times, b.docs) for v in _pair_scores(b, m, number, s)]
                 at = 0
                 for block, n, head in b.blocks:
-                    parts = [x[at:at + n] for x in sums]
+                    score, base, known = (x[at:at + n] for x in sums)
                     at += n
-                    rows = [pickle.dumps((parts[0].astype(np.float32), parts[1], parts[2].astype(np.int32), head))]
+                    # 32 bits keep seven digits of a part; the parts of a document are summed in 64
+                    small = np.uint16 if known.max(initial=0) < 1 << 16 else np.uint32
+                    rows = [pickle.dumps((score.astype(np.float32), base.astype(np.float32), known.astype(small), head))]
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array(rows, pa.binary())], names=["block", "sums"])
 
     return run
