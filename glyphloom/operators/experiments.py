@@ -32,6 +32,11 @@ def baseline_of(config: Column, baselines: dict[str, str] | None = None) -> Colu
     return F.coalesce(F.element_at(F.create_map(*pairs), config), config)
 
 
+def is_baseline(config: Column) -> Column:
+    """Whether a configuration of the catalogue has no baseline but itself; unknown ones aren't."""
+    return config.isin([c.name for c in CATALOGUE.values() if not c.baseline])
+
+
 def paired_inflation(results: DataFrame, ratio: str = "char_to_token_ratio",
                      baselines: dict[str, str] | None = None) -> DataFrame:
     """Per-seed inflation in percent against the same seed of the baseline.
@@ -42,6 +47,8 @@ def paired_inflation(results: DataFrame, ratio: str = "char_to_token_ratio",
     base = results.select("dataset", F.col("config").alias("baseline"), "seed",
                           F.col(ratio).alias("_base"))
     df = results.withColumn("baseline", baseline_of(F.col("config"), baselines))
+    if baselines is None:  # a configuration outside the catalogue has nothing to be compared with
+        df = df.where(F.col("config").isin(list(CATALOGUE)))
     return (df.join(base, ["dataset", "baseline", "seed"])
             .filter((F.col(ratio) > 0) & (F.col("_base") > 0))
             .select("dataset", "config", "seed",
@@ -50,9 +57,9 @@ def paired_inflation(results: DataFrame, ratio: str = "char_to_token_ratio",
 
 # --- formatting --------------------------------------------------------------
 
-def plus_minus(fmt: str, mean: Column, std: Column, n: Column, unit: str = "") -> Column:
+def plus_minus(fmt: str, mean: Column, std: Column, n: Column, unit: str = "", single: str | None = None) -> Column:
     """``mean ± std``; the mean alone for one run; ``N/A`` for none."""
-    one = F.format_string(fmt + unit, mean)
+    one = F.format_string((single or fmt) + unit, mean)
     return (F.when(F.coalesce(n, F.lit(0)) == 0, "N/A").when(n == 1, one)
             .otherwise(F.format_string(fmt + unit + " ± " + fmt.replace("+", "") + unit, mean, std)))
 
@@ -74,5 +81,6 @@ def title_of(config: Column) -> Column:
 
 
 def order_of(config: Column) -> Column:
+    """Place in the catalogue; configurations outside it come after all others."""
     pairs = [x for i, c in enumerate(CATALOGUE) for x in (F.lit(c), F.lit(i))]
-    return F.element_at(F.create_map(*pairs), config)
+    return F.coalesce(F.element_at(F.create_map(*pairs), config), F.lit(len(CATALOGUE)))

@@ -47,9 +47,9 @@ def vocab_report(metrics: DataFrame) -> DataFrame:
     return with_headings(rows, section, VOCAB_COLUMNS, ["label", "target_vocab_size"])
 
 
-def _stat(results: DataFrame, value: str, fmt: str, unit: str = "") -> Column:
-    """``mean ± std`` of a result column inside an aggregation over seeds."""
-    return ex.plus_minus(fmt, F.avg(value), F.stddev_pop(value), F.count(value), unit)
+def _stat(results: DataFrame, value: str, fmt: str, unit: str = "", single: str | None = None) -> Column:
+    """``mean ± std`` of a result column inside an aggregation over seeds; ``single`` formats a lone run."""
+    return ex.plus_minus(fmt, F.avg(value), F.stddev_pop(value), F.count(value), unit, single)
 
 
 def sweep_report(results: DataFrame) -> DataFrame:
@@ -57,9 +57,9 @@ def sweep_report(results: DataFrame) -> DataFrame:
     infl = ex.paired_inflation(results).groupBy("dataset", "config").agg(
         ex.plus_minus("%+.2f", F.avg("inflation"), F.stddev_pop("inflation"),
                       F.count("inflation"), "%%").alias("infl"))
-    is_base = F.col("config") == ex.baseline_of(F.col("config"))
+    is_base = ex.is_baseline(F.col("config"))
     rows = results.groupBy("dataset", "config").agg(
-        _stat(results, "vocab_size", "%,.1f").alias("vocab"),
+        _stat(results, "vocab_size", "%,.1f", single="%,.0f").alias("vocab"),
         _stat(results, "char_to_token_ratio", "%.3f").alias("cpt"),
         _stat(results, "tokens_per_sec", "%.1f").alias("tps"),
         _stat(results, "chars_per_sec", "%.1f").alias("cps"),

@@ -13,9 +13,9 @@ from glyphloom.operators import pieces as pcs
 from glyphloom.operators.configs import CATALOGUE
 
 TEXTS = [
-    "Hello, world! 123 + 456 == 579.", "def f(x):\n\treturn x\n", '"""doc"""\n\n\n\tpass',
-    "hi_there, this_is_a_variable_name.", "Hello, world! Café naïve résumé.",
-    "    def my_function():\n", "        ", "return 'Hello, World!'\n", "____Hello, Hello, Hello!",
+    "Rain, again? 12 + 30 == 42.", "while q:\n\tq -= 1\n", '"""note"""\n\n\n\tbreak',
+    "so_far, some_snake_case_words.", "Señor Muñoz ate à la crème, façade.",
+    "    for k in rows:\n", "        ", "print('Good, Evening?')\n", "____Again, again, Again?",
     "!  x", "\t\t x", "a\r\nb\rc", "a\u00A0b c", "", "it's I'LL  go", "😀😀 e\u0301",
 ]
 
@@ -35,10 +35,10 @@ def test_pieces_join_to_the_text(spark, name):
 
 def test_split_isolates(spark):
     got = dict(zip(TEXTS, cut(spark, "split")))
-    assert got["hi_there, this_is_a_variable_name."] == [
-        "hi_there", ",", " ", "this_is_a_variable_name", "."]
+    assert got["so_far, some_snake_case_words."] == [
+        "so_far", ",", " ", "some_snake_case_words", "."]
     assert got["!  x"] == ["!", " ", " ", "x"]
-    assert got['"""doc"""\n\n\n\tpass'] == ['"""', "doc", '"""', "\n\n\n", "\t", "pass"]
+    assert got['"""note"""\n\n\n\tbreak'] == ['"""', "note", '"""', "\n\n\n", "\t", "break"]
     assert got["a\u00A0b c"] == ["a\u00A0b c"]
 
 
