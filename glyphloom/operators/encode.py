@@ -178,11 +178,13 @@ def split_tokens(ids: DataFrame, vocab: DataFrame) -> DataFrame:
 def decode_stream(df: DataFrame, stream: str, out: str = "decoded") -> DataFrame:
     """Undo operators and metaspace in whole token streams, one per document.
 
-    Each operator prefix governs the text up to the next prefix. Distinct encoded
-    stretches are decoded once.
+    Streams of plain configurations are fused tokens as they are, private-use
+    characters included. In the others each operator prefix governs the text up to
+    the next prefix, and distinct encoded stretches are decoded once.
     """
     keys = [*KEYS, "doc_id"]
-    parts = df.select(*keys, F.posexplode(oc.encoded_units(F.col(stream))).alias("at", "unit"))
+    factored = F.col("config").isin([c.name for c in CATALOGUE.values() if c.factored])
+    parts = df.filter(factored).select(*keys, F.posexplode(oc.encoded_units(F.col(stream))).alias("at", "unit"))
     has_op = F.regexp_like("unit", F.lit(f"^{p.OP_TOKEN}"))
     done = oc.with_decoded(parts.filter(has_op).select("unit").distinct(), "unit", "_decoded")
     plain = parts.filter(~has_op).withColumn("_decoded", F.col("unit"))
@@ -190,25 +192,27 @@ def decode_stream(df: DataFrame, stream: str, out: str = "decoded") -> DataFrame
     text = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "_decoded"))).alias("w"))
     text = text.select(*keys, F.array_join(F.col("w._decoded"), "").alias(out))
     metaspace = F.col("config").startswith("metaspace")
-    return df.join(text, keys, "left").withColumn(out, F.coalesce(out, F.lit(""))).withColumn(
+    fused = F.when(factored, F.coalesce(out, F.lit(""))).otherwise(F.col(stream))
+    return df.join(text, keys, "left").withColumn(out, fused).withColumn(
         out, F.when(metaspace, t.from_metaspace(F.col(out))).otherwise(F.col(out)))
 
 
 # --- round trip --------------------------------------------------------------
 
 def roundtrip_classes(corpus: DataFrame, decoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Class of every document's round trip, compared with its NFC text.
+    """Class of every document's round trip.
 
-    ``lossless``, or for a mismatch: ``unk`` (an unknown token was emitted), ``oov``
+    ``lossless`` if the text comes back as it was, ``normalized`` if its NFC form
+    does, or for a mismatch: ``unk`` (an unknown token was emitted), ``oov``
     (a lost character is not in the vocabulary), ``opcode_oov`` (an operator or a
     parameter is not), ``long`` (256 characters or more) and ``failure``. Every
     class is reported; none counts as a success.
     """
     lossy = F.col("config").contains("whitespace")
-    df = decoded.join(corpus.select("label", "doc_id", t.nfc(F.col("text")).alias("text")),
+    df = decoded.join(corpus.select("label", "doc_id", "text", t.nfc(F.col("text")).alias("nfc")),
                       ["label", "doc_id"])
-    expected = F.when(lossy, t.strip_newline_tab(F.col("text"))).otherwise(F.col("text"))
-    df = t.materialize(df, expected=expected)
+    raw, expected = (F.when(lossy, t.strip_newline_tab(F.col(c))).otherwise(F.col(c)) for c in ("text", "nfc"))
+    df = t.materialize(df, raw=raw, expected=expected)
     lost = F.filter(F.array_except(t.chars(F.col("expected")), t.chars(F.col("decoded"))),
                     lambda c: F.regexp_like(c, F.lit(r"(?U)\S")))
     bad = df.filter(F.col("decoded") != F.col("expected"))
@@ -216,8 +220,8 @@ def roundtrip_classes(corpus: DataFrame, decoded: DataFrame, vocab: DataFrame) -
                .join(vocab.select(*KEYS, "token"), [*KEYS, "token"], "left_anti")
                .select(*KEYS, "doc_id").distinct().withColumn("has_oov", F.lit(True)))
     df = df.join(missing, [*KEYS, "doc_id"], "left")
-    return df.select(*KEYS, "doc_id", F.when(F.col("decoded") == F.col("expected"), "lossless")
-                     .when(F.col("has_unk"), "unk").when(F.col("has_oov"), "oov")
+    return df.select(*KEYS, "doc_id", F.when(F.col("decoded") == F.col("raw"), "lossless")
+                     .when(F.col("decoded") == F.col("expected"), "normalized").when(F.col("has_unk"), "unk").when(F.col("has_oov"), "oov")
                      .when(F.col("dropped") > 0, "opcode_oov").when(F.length("expected") < 256, "failure").otherwise("long").alias("outcome"))
 
 

@@ -403,12 +403,13 @@ f AS (SELECT label, repeat(piece, run) AS decoded, 1 AS n FROM i WHERE {_FOLDED}
       UNION ALL SELECT label, piece, run FROM i WHERE NOT ({_FOLDED}))
 SELECT label, decoded, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY ALL"""
 SQL["decode_corpus"] = """
-WITH a AS (SELECT DISTINCT lang AS label, unnest(string_split(nfc_normalize(text), '')) AS ch
-           FROM documents WHERE doc_id % 10 <> 9),
-v AS (SELECT lang AS label, doc_id, nfc_normalize(text) AS text FROM documents WHERE doc_id % 10 = 9),
-o AS (SELECT DISTINCT label, doc_id FROM (SELECT label, doc_id, unnest(string_split(text, '')) AS ch FROM v)
-      ANTI JOIN a USING (label, ch))
-SELECT label, doc_id, text FROM v ANTI JOIN o USING (label, doc_id)"""
+WITH a AS (SELECT lang AS label, list(DISTINCT ch) AS known FROM (
+             SELECT lang, unnest(string_split(nfc_normalize(text) || chr(10), '')) AS ch FROM documents WHERE doc_id % 10 <> 9)
+           GROUP BY lang),
+v AS (SELECT lang AS label, doc_id, nfc_normalize(text) AS text FROM documents WHERE doc_id % 10 = 9)
+SELECT label, config, doc_id,
+       array_to_string(list_filter(string_split(text, ''), lambda c: list_contains(known, c)), '') AS text
+FROM v JOIN a USING (label) CROSS JOIN (SELECT unnest(['split', 'llama']) AS config)"""
 
 # --- packing metrics ---------------------------------------------------------
 _SIZES = f"""

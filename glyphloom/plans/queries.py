@@ -641,13 +641,22 @@ def encode_corpus(spark, sf):
                      F.md5(F.array_join("ids", ",")).alias("content"))
 
 
+def _decoded(spark, sf, configs):
+    prof = _profile(spark, sf)
+    df = enc.decode_ids(prof.encoded().filter(F.col("config").isin(configs)), prof.vocabulary.vocab)
+    return df.select("label", "config", "doc_id", F.col("decoded").alias("text"))
+
+
 @query
 def decode_corpus(spark, sf):
-    """Decoded validation documents of the configurations that can spell them all."""
-    prof = _profile(spark, sf)
-    df = enc.decode_ids(prof.encoded(), prof.vocabulary.vocab)
-    known = df.filter(F.col("dropped") == 0)
-    return known.filter(F.col("config") == "split").select("label", "doc_id", F.col("decoded").alias("text"))
+    """All validation documents, encoded and decoded by the plain configurations."""
+    return _decoded(spark, sf, [c for c in REPORT_CONFIGS if not CATALOGUE[c].factored])
+
+
+@query
+def decode_factored(spark, sf):
+    """All validation documents, encoded and decoded by the configurations with operators."""
+    return _decoded(spark, sf, [c for c in REPORT_CONFIGS if CATALOGUE[c].factored])
 
 
 @query

@@ -62,8 +62,8 @@ def profile(train: DataFrame, validation: DataFrame, target_size: int = 128_000,
     """Learn vocabularies on ``train`` and encode the distinct units of ``validation``."""
     words = dec.word_counts(dec.dictionary(training_lines(nonblank(train)), configs))
     vocabulary = bpe.train(words, target_size, exact=exact, min_pair_count=min_pair_count)
-    valid = pcs.normalized(nonblank(validation))
-    units = pcs.unit_arrays(valid, configs)
+    valid = nonblank(validation)
+    units = pcs.unit_arrays(pcs.normalized(valid), configs)
     dic = dec.factor(pcs.unit_counts(units), configs)
     coded = written(encode.encode_dictionary(dic, vocabulary.merges, vocabulary.vocab), "coded")
     return Profile(vocabulary, valid, units, coded, target_size, tuple(configs))

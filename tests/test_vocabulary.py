@@ -153,3 +153,26 @@ def test_profile_round_trip_and_saved_tables(spark):
     words = v.vocab.select("label", "config").distinct().withColumn("word", F.lit("hello"))
     again = encode.encode_words(words, merges, vocab).exceptAll(encode.encode_words(words, v.merges, v.vocab))
     assert again.isEmpty()
+
+
+def test_private_use_text(spark):
+    """Plain configurations give private-use text back; with operators it is reported, not hidden."""
+    odd = "abc \uE100\uE000 x abc"
+    rows = [("l", i, "abc x y z abc xyz") for i in range(3)] + [("l", 9, odd)]
+    df = spark.createDataFrame(rows, "label string, doc_id bigint, text string")
+    prof = profile(df, df, 60, ("split", "split_factored"))
+    decoded = encode.decode_ids(prof.encoded(), prof.vocabulary.vocab)
+    got = {r.config: r.decoded for r in decoded.filter("doc_id = 9").collect()}
+    assert got["split"] == odd
+    found = {(r.config, r.outcome): r.docs for r in prof.roundtrip().collect()}
+    assert found[("split", "lossless")] == 4 and found[("split_factored", "lossless")] == 3
+    audit = dec.decode_units(dec.dictionary(df, ("split", "split_factored")))
+    lost = {(r.config, r.piece) for r in audit.filter(~F.col("lossless")).collect()}
+    assert {c for c, _ in lost} == {"split_factored"}
+
+
+def test_normal_form_is_its_own_class(spark):
+    rows = [("l", 1, "caf\u00e9 caf\u00e9"), ("l", 2, "cafe\u0301 cafe\u0301")]
+    df = spark.createDataFrame(rows, "label string, doc_id bigint, text string")
+    found = {(r.config, r.outcome): r.docs for r in profile(df, df, 40, ("split",)).roundtrip().collect()}
+    assert found == {("split", "lossless"): 1, ("split", "normalized"): 1}
