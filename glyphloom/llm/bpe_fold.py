@@ -21,11 +21,6 @@ length takes as many steps as distinct ranks merge in it, each linear in it.
 
 import base64
 import json
-import re
-import sys
-import unicodedata
-from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +29,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
 from glyphloom.llm.frames import appended, quoted
+from glyphloom.llm.pretokens import PATTERN, HashIndex, pretokens, spread
+from glyphloom.llm.wordhash import BYTES, columns_bytes, hashes_of
 from glyphloom.session import written
 
-HOT_WORDS = 400_000
-HOT_LETTERS = 64          # longer words are never broadcast
+HOT_WORDS = 1_000_000
+HOT_LETTERS = 64          # bytes; longer words are never broadcast
 SHORT = 64
 _BUCKETS = 1 << 16
 _NONE = 1 << 30
-_GAP = b"\xff\xff\xff\xff"
+_GAP_ID = 0xFFFFFFFF
 _TEXT, _RARE = "_text", "_rare"
-#: White space of the Unicode standard, where \\s differs between engines.
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def rank_table(path: str) -> list[bytes]:
@@ -57,30 +52,6 @@ def rank_table(path: str) -> list[bytes]:
     return pieces
 
 
-def _class(category: str) -> str:
-    """Body of a character class: all code points of a general category."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == category
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
-
-
-@lru_cache(4)
-def _words(pattern: str):
-    """What finds all words of a text; properties and white space are spelled out for the standard engine."""
-    spelled = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
-    for category in "LN":
-        body = _class(category)
-        spelled = re.sub(r"\[\^([^\]]*)\\p\{%s\}" % category, lambda m: f"[^{m[1]}{body}", spelled)
-        spelled = spelled.replace(r"\p{%s}" % category, f"[{body}]")
-    return re.compile(spelled).findall
-
-
 def pair_map(pieces: list[bytes]) -> tuple[list, list]:
     """Buckets of pair keys and of merged ids: every way to cut a piece into two pieces."""
     rank = {p: i for i, p in enumerate(pieces) if p}
@@ -187,11 +158,20 @@ def folded(t: Column, ids: Column) -> Column:
     return F.when(F.size(ids) <= SHORT, short).otherwise(long)
 
 
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column, and the bounds of each row's; a null has none."""
+    rows = [x or b"" for x in column.to_pylist()]
+    bounds = np.concatenate(([0], np.cumsum([len(x) // 4 for x in rows]))).astype(np.int64)
+    return np.frombuffer(b"".join(rows), "<u4"), bounds
+
+
 class Codec:
     """Encoder and decoder of one vocabulary; ``path`` names a rank file, ``pattern`` what splits text."""
 
-    def __init__(self, path: str, pattern: str):
-        self.pieces, self.pattern = rank_table(path), pattern
+    def __init__(self, path: str, pattern: str = PATTERN):
+        if pattern != PATTERN:
+            raise ValueError("texts can be split by the public byte-level pattern only")
+        self.pieces = rank_table(path)
         of_byte = {p: i for i, p in enumerate(self.pieces) if len(p) == 1}
         self.of_byte = np.array([of_byte[bytes([b])] for b in range(256)], np.int32)
 
@@ -201,31 +181,25 @@ class Codec:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.of_byte[np.frombuffer(b"".join(words), np.uint8)]))
 
     def counts(self, docs: DataFrame, text: str) -> DataFrame:
-        """(word, n) of all words short enough to be broadcast."""
-        pattern = self.pattern
-
-        def counted(found):
-            words = [w for w in found if len(w) <= HOT_LETTERS]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([found[w] for w in words], pa.int64())],
-                                              names=["word", "n"])
-
+        """(word, n) of words short enough to be broadcast, counted where a block of texts has them at least twice."""
         def run(batches):
-            find, found = _words(pattern), Counter()
             for batch in batches:
-                for value in batch.column(0).to_pylist():
-                    if value:
-                        found.update(find(value))
-                    if len(found) > 100_000:
-                        yield counted(found)
-                        found.clear()
-            yield counted(found)
+                parts = list(pretokens(batch.column(0), batch.nbytes + 1))
+                for words in parts:
+                    _, at, n = np.unique(words.hashes, return_index=True, return_counts=True)
+                    at, n = at[n > 1], n[n > 1]
+                    short = words.ends[at] - words.starts[at] <= HOT_LETTERS
+                    at, n = at[short], n[short]
+                    found = [words.text(a, b).decode() for a, b in zip(words.starts[at], words.ends[at])]
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n.astype(np.int64))],
+                                                     names=["word", "n"])
 
         partial = docs.select(quoted(text).alias("text")).mapInArrow(run, "word string, n long")
         return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
     def hot_words(self, docs: DataFrame, text: str, most: int) -> pa.Table:
         """(word, ids) of the words that occur often enough to be among ``most``, folded."""
-        counts = written(self.counts(docs, text).where("n > 1"), "words")
+        counts = written(self.counts(docs, text), "words")
         steps = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
         total, least = 0, 100_001
         for step in steps:
@@ -245,7 +219,7 @@ class Codec:
 
     def encoded(self, docs: DataFrame, text: str = "text", most: int = HOT_WORDS) -> DataFrame:
         """``docs`` with ``ids``: the tokens of each text as little-endian 32-bit integers."""
-        spark, pattern, start = docs.sparkSession, self.pattern, self._start
+        spark = docs.sparkSession
         hot = self.hot_words(docs, text, most)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, hot.schema) as out:
@@ -255,29 +229,37 @@ class Codec:
         cache = {}
 
         def known():
-            if "words" not in cache:
-                table = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
-                ids = table["ids"].combine_chunks() if isinstance(table["ids"], pa.ChunkedArray) else table["ids"]
-                flat = ids.flatten().to_numpy().astype("<u4").tobytes()
-                ends = np.cumsum(ids.value_lengths().to_numpy()) * 4
-                cuts = zip([0, *ends[:-1].tolist()], ends.tolist()) if len(ends) else []
-                cache["words"] = {w: flat[a:b] for w, (a, b) in zip(table["word"].to_pylist(), cuts)}
-            return cache["words"]
+            """Index of the broadcast words, the bounds of their ids, and all ids with a gap behind them."""
+            if not cache:
+                words = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
+                offsets, data = columns_bytes(words["word"])
+                hashes = hashes_of(data, offsets[:-1], offsets[1:], BYTES) if len(words) else np.zeros(0, np.uint64)
+                ids = words["ids"].combine_chunks() if len(words) else pa.array([], pa.list_(pa.int32()))
+                lengths = np.append(ids.value_lengths().to_numpy(), 1)
+                flat = np.append(ids.flatten().to_numpy().astype(np.uint32), np.uint32(_GAP_ID))
+                cache.update(index=HashIndex(hashes), size=np.append(np.diff(offsets), 0), lengths=lengths, flat=flat,
+                             starts=np.cumsum(lengths) - lengths)
+            return cache
 
         def look_up(column):
-            find, get = _words(pattern), known().get
+            k = known()
             ids, rare, counts = [], [], []
-            for value in column.to_pylist():
-                words = find(value) if value else []
-                parts = list(map(get, words))
-                missing = [i for i, p in enumerate(parts) if p is None]
-                for i in missing:
-                    parts[i] = _GAP
-                ids.append(b"".join(parts))
-                rare.extend(words[i].encode() for i in missing)
-                counts.append(len(missing))
-            outer = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            return [pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(outer), start(rare))]
+            for words in pretokens(column):
+                place = k["index"].find(words.hashes)
+                size = words.ends - words.starts
+                place[(place < 0) | (k["size"][place] != size)] = len(k["lengths"]) - 1
+                lengths = k["lengths"][place]
+                flat = k["flat"][spread(k["starts"][place], lengths)]
+                bounds = np.concatenate(([0], np.cumsum(lengths)))[words.bounds]
+                ids.extend(flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:]))
+                missing = np.flatnonzero(place == len(k["lengths"]) - 1)
+                counts.append(np.diff(np.searchsorted(missing, words.bounds)))
+                rare.append((size[missing], words.data[spread(words.starts[missing], size[missing])]))
+            outer = np.concatenate([[0], *counts]).cumsum().astype(np.int32)
+            inner = np.concatenate([[0], *(r[0] for r in rare)]).cumsum().astype(np.int32)
+            letters = np.concatenate([np.zeros(0, np.uint8), *(r[1] for r in rare)])
+            words = pa.ListArray.from_arrays(pa.array(inner), pa.array(self.of_byte[letters]))
+            return [pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(outer), words)]
 
         looked = appended(docs.withColumn(_TEXT, quoted(text)), _TEXT,
                           [StructField("ids", BinaryType()), StructField(_RARE, ArrayType(ArrayType(IntegerType())))], look_up)
@@ -285,23 +267,34 @@ class Codec:
         filled = looked.withColumn(_TEXT, F.struct("ids", rare.alias("rare"))).drop(_RARE)
 
         def fill(column):
-            out = column.field("ids").to_pylist()
-            words = column.field("rare")
-            for i in np.flatnonzero(words.value_lengths().to_numpy()):
-                parts = out[i].split(_GAP)  # no id has a byte of 255 in its upper half, so gaps stand out
-                ids = [np.asarray(w.values, "<u4").tobytes() for w in words[int(i)]]
-                out[i] = b"".join(x for pair in zip(parts, [*ids, b""]) for x in pair)
-            return [pa.array(out, pa.binary())]
+            ids = column.field("ids")
+            flat, bounds = _flat(ids)
+            rows = column.field("rare")
+            words = rows.flatten()
+            sizes = np.ones(len(flat), np.int64)
+            gaps = flat == _GAP_ID
+            sizes[gaps] = words.value_lengths().to_numpy()
+            ends = np.cumsum(sizes)
+            out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+            out[(ends - sizes)[~gaps]] = flat[~gaps]
+            out[spread((ends - sizes)[gaps], sizes[gaps])] = words.flatten().to_numpy()
+            bounds = np.concatenate(([0], ends))[bounds]
+            return [pa.array([out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())]
 
         return appended(filled, _TEXT, [StructField("ids", BinaryType())], fill).drop(_TEXT)
 
     def decoded(self, encoded: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """``encoded`` with the bytes of each row's tokens; an unknown id raises."""
         pieces = self.pieces
+        sizes = np.array([len(p) for p in pieces])
+        starts, letters = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pieces), np.uint8)
 
         def compute(column):
-            return [pa.array([b"".join([pieces[i] for i in np.frombuffer(x or b"", "<u4").tolist()])
-                              for x in column.to_pylist()], pa.binary())]
+            flat, bounds = _flat(column)
+            own = sizes[flat]
+            text = letters[spread(starts[flat], own)]
+            bounds = np.concatenate(([0], np.cumsum(own)))[bounds]
+            return [pa.array([text[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())]
 
         return appended(encoded, ids, [StructField(out, BinaryType())], compute)
 

@@ -17,9 +17,9 @@ BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 #: Blanks and all ASCII characters but letters and digits.
 PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256, dtype=np.uint64)
-_LOWER = _TABLE.copy()
-_LOWER[ord("A"):ord("Z") + 1] = _TABLE[ord("a"):ord("z") + 1]
+BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256, dtype=np.uint64)
+_LOWER = BYTES.copy()
+_LOWER[ord("A"):ord("Z") + 1] = BYTES[ord("a"):ord("z") + 1]
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -72,7 +72,7 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def _column(column) -> tuple[np.ndarray, np.ndarray]:
+def columns_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     array = array.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset:array.offset + len(array) + 1]
@@ -81,7 +81,7 @@ def _column(column) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
     up, down = _bytes.upto(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * up[:len(data)], out=sums[1:])
@@ -106,8 +106,8 @@ def word_slices(column, lower: bool = False, blanks: np.ndarray = BLANKS,
     A text longer than a slice is hashed in pieces cut at blanks, so that
     memory per byte stays small whatever its length.
     """
-    offsets, data = _column(column)
-    table = _LOWER if lower else _TABLE
+    offsets, data = columns_bytes(column)
+    table = _LOWER if lower else BYTES
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + slice_bytes, "right")) - 1
@@ -116,13 +116,13 @@ def word_slices(column, lower: bool = False, blanks: np.ndarray = BLANKS,
         limits = offsets[lo:hi + 1] - base
         starts, ends = _split(part, limits[:-1], blanks)
         if len(part) <= 2 * slice_bytes:
-            hashes = _hashes(part, starts, ends, table)
+            hashes = hashes_of(part, starts, ends, table)
         else:
             pieces, at = [], 0
             while at < len(starts):
                 to = max(int(np.searchsorted(ends, starts[at] + slice_bytes, "right")), at + 1)
                 origin = starts[at]
-                pieces.append(_hashes(part[origin:ends[to - 1]], starts[at:to] - origin, ends[at:to] - origin, table))
+                pieces.append(hashes_of(part[origin:ends[to - 1]], starts[at:to] - origin, ends[at:to] - origin, table))
                 at = to
             hashes = np.concatenate(pieces) if pieces else np.zeros(0, np.uint64)
         yield Words((lo, hi), np.searchsorted(starts, limits), hashes, starts, ends, part)
