@@ -49,7 +49,7 @@ from glyphloom.session import written
 END = np.uint64(0x5BF0_3635_DCD6_F1A9)
 _DOC_BITS, _TIMES_BITS, _CONTEXT_BITS = 12, 3, 17
 BLOCK_DOCS = 1 << _DOC_BITS
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 SMALL = 64
 PART_PAIRS = 200_000
 
@@ -138,8 +138,9 @@ def _packed(sent, buckets: int, s: Settings):
             context = np.empty(len(hashes), np.int64)
             context[1:] = own[:-1]
             context[0] = np.searchsorted(frequent, END)  # a document begins after an end
-            word, index = np.unique(hashes, return_inverse=True)
-            key = (index << (_CONTEXT_BITS + _DOC_BITS)) | (context << _DOC_BITS) | owner
+            word, key = np.unique(hashes, return_inverse=True)
+            key = (key << (_CONTEXT_BITS + _DOC_BITS)) | (context << _DOC_BITS) | owner
+            del hashes, owner, place, known, own, context  # a block's arrays are large beside what comes of them
             key, times = np.unique(key, return_counts=True)
             index = key >> (_CONTEXT_BITS + _DOC_BITS)
             rest = key & ((1 << (_CONTEXT_BITS + _DOC_BITS)) - 1)
