@@ -1,4 +1,4 @@
-"""One registered query per operator, each over its whole table; SQL where SQL can say the same."""
+"""One registered query per operator, each over its whole table; ``oracles`` has SQL where SQL can say the same."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -7,7 +7,6 @@ from glyphloom.llm import bpe_fold, minmax, mixing, pii, pitman_yor, substrings,
 from glyphloom.llm.frames import remainder, table
 
 QUERIES = {}
-SQL = {}
 
 
 def query(fn):
