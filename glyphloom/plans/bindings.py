@@ -35,8 +35,8 @@ def validation(docs: DataFrame) -> DataFrame:
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns as generations, the turn before as prompt.
 
-    Five runs by conversation; tokens are pieces closed by a separator; generation
-    time is a fixed cost per token, as the tables hold none.
+    Five runs by conversation; tokens are pieces closed by a separator; the tables
+    hold no generation time, so a token costs 3 ms and up to 60 % more by conversation.
     """
     turns = spread(table(spark, sf_dir, "conversations"), "conv_id")
     answers = turns.filter(F.col("role") == "assistant")
@@ -46,7 +46,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("run"), F.pmod("conv_id", F.lit(SHARDS))).alias("run"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), "prompt",
         F.col("text").alias("completion"), tokens.alias("tokens"),
-        (F.size(tokens) * 0.003).alias("gen_time"))
+        (F.size(tokens) * 0.003 * (1 + F.pmod("conv_id", F.lit(7)) / 10.0)).alias("gen_time"))
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:

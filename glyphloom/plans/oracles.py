@@ -50,7 +50,8 @@ SQL: dict[str, str] = {}
 SQL["corpus_scan"] = "SELECT lang AS label, doc_id, text FROM documents"
 _ALL = ("SELECT 'documents' AS label, doc_id, text FROM documents UNION ALL "
         "SELECT 'benchmark', item_id, text FROM benchmark UNION ALL "
-        "SELECT 'pages', page_id, html FROM pages")
+        "SELECT 'pages', page_id, html FROM pages UNION ALL "
+        "SELECT 'conversations', conv_id, text FROM conversations")
 SQL["corpus_union"] = f"""
 SELECT label, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars,
        min(doc_id) AS first_id, max(doc_id) AS last_id FROM ({_ALL}) GROUP BY label"""
@@ -136,6 +137,10 @@ SQL["positional_split"] = """
 SELECT label, doc_id, position, CASE WHEN position < floor(n * 0.9) THEN 'train' ELSE 'validation' END AS split
 FROM (SELECT lang AS label, doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position,
              count(*) OVER () AS n FROM documents)"""
+SQL["fixed_split"] = """
+SELECT label, doc_id, position, CASE WHEN position < 9000 THEN 'train' ELSE 'validation' END AS split
+FROM (SELECT lang AS label, doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents)
+WHERE position < 10000"""
 SQL["strip_nl_tab"] = ("SELECT lang AS label, doc_id, replace(replace(text, chr(10), ''), chr(9), '') AS stripped "
                        "FROM documents")
 SQL["prose_prompts"] = """
@@ -187,6 +192,7 @@ SQL["tokens_before_collapse"] = f"WITH {_GEN} SELECT run, prompt_id, n_coherent
 SQL["generation_truncate"] = f"""WITH {_GEN},
 x AS (SELECT run, prompt_id, t, least(50, len(t), coalesce(quads[1], len(t)), list_position(t, '[SEP]')) AS kept FROM w)
 SELECT run, prompt_id, CAST(kept AS BIGINT) AS kept, array_to_string(t[1:kept], '') AS text FROM x"""
+SQL["generation_truncate_code"] = SQL["generation_truncate"].replace("least(50,", "least(64,")
 SQL["nonempty_content"] = f"WITH {_GEN} SELECT run, prompt_id, non_empty FROM s"
 SQL["generation_summary"] = f"""WITH {_GEN}
 SELECT run, count(*) AS n, round(avg(n_tokens), 6) AS avg_tokens_generated,
@@ -194,9 +200,11 @@ SELECT run, count(*) AS n, round(avg(n_tokens), 6) AS avg_tokens_generated,
        round(avg(CAST(non_empty AS DOUBLE)) * 100, 6) AS pct_non_empty,
        round(100 - avg(CAST(non_empty AS DOUBLE)) * 100, 6) AS pct_empty,
        round((1 - avg(repetition)) * 100, 6) AS success_rate FROM z GROUP BY run"""
+SQL["generation_summary_code"] = SQL["generation_summary"].replace(
+    "(1 - avg(repetition)) * 100", "avg(CAST(non_empty AND repetition < 0.25 AS DOUBLE)) * 100")
 SQL["coherent_throughput"] = f"""WITH {_GEN},
 x AS (SELECT run, n_coherent, length(array_to_string([y for y in t[1:n_coherent] if y <> '[SEP]'], '')) AS cc,
-             n_tokens * 0.003 * n_coherent / n_tokens AS ct FROM z)
+             0.003 * (1 + (prompt_id // 1000 % 7) / 10.0) * n_coherent AS ct FROM z)
 SELECT run, round(sum(n_coherent) / sum(CAST(ct AS DOUBLE)), 6) AS tokens_per_sec,
        round(sum(cc) / sum(CAST(ct AS DOUBLE)), 6) AS chars_per_sec FROM x GROUP BY run"""
 SQL["repetition_rate"] = r"""

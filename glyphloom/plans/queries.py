@@ -128,6 +128,12 @@ def positional_split(spark, sf):
     return rk.positional_split(_text(spark, sf).select("label", "doc_id"))
 
 
+@query
+def fixed_split(spark, sf):
+    """9,000 rows to train and 1,000 to validate, as a corpus that ships without a split is cut."""
+    return rk.positional_split_at(_text(spark, sf).select("label", "doc_id"), 9_000, 1_000)
+
+
 @query
 def strip_nl_tab(spark, sf):
     return _text(spark, sf).select("label", "doc_id", t.strip_newline_tab(F.col("text")).alias("stripped"))
@@ -265,6 +271,13 @@ def generation_summary(spark, sf):
     return df.select("run", "n", *[r6(c).alias(c) for c in df.columns[2:]])
 
 
+@query
+def generation_summary_code(spark, sf):
+    """The summary of code runs, whose success rate is the share of successes."""
+    df = gen.summary(b.generation_results(spark, sf), code=True)
+    return df.select("run", "n", *[r6(c).alias(c) for c in df.columns[2:]])
+
+
 @query
 def coherent_throughput(spark, sf):
     df = gen.coherent_throughput(b.generation_results(spark, sf))
@@ -300,14 +313,24 @@ def tokens_before_collapse(spark, sf):
         F.col("tokens")).cast("bigint").alias("before_collapse"))
 
 
-@query
-def generation_truncate(spark, sf):
-    cut = sc.truncate_generation(F.col("tokens"), F.lit(b.SEP), 50)
+def _truncated(spark, sf, cap):
+    cut = sc.truncate_generation(F.col("tokens"), F.lit(b.SEP), cap)
     return b.generations(spark, sf).select(
         "run", "prompt_id", F.size(cut).cast("bigint").alias("kept"),
         F.array_join(cut, "").alias("text"))
 
 
+@query
+def generation_truncate(spark, sf):
+    return _truncated(spark, sf, 50)
+
+
+@query
+def generation_truncate_code(spark, sf):
+    """The longer cap of code completions."""
+    return _truncated(spark, sf, 64)
+
+
 @query
 def piece_offsets(spark, sf):
     spans = pcs.piece_arrays(_text(spark, sf), ["split"]).select(

@@ -63,6 +63,7 @@ def all_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
         CorpusSpec(f"{sf_dir}/documents.parquet", label="documents"),
         CorpusSpec(f"{sf_dir}/benchmark.parquet", label="benchmark", id_column="item_id"),
         CorpusSpec(f"{sf_dir}/pages.parquet", "html", label="pages", id_column="page_id"),
+        CorpusSpec(f"{sf_dir}/conversations.parquet", label="conversations", id_column="conv_id"),
     ])
 
 
