@@ -13,6 +13,7 @@ is passed through as ``raw``.
 """
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,8 +36,9 @@ def _op(code, *params: Column) -> Column:
                     F.array(*[x.cast("int") for x in params]).alias("params"))
 
 
+@lru_cache(1)
 def _mark_table() -> dict[int, str]:
-    """Composed character -> base and supported marks, derived from Unicode data."""
+    """Composed character -> base and supported marks, derived from Unicode data once a process."""
     table = {}
     for cp in range(0xC0, 0x2200):  # no such character lies above
         full = unicodedata.normalize("NFD", chr(cp))
