@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from glyphloom.plans.queries import QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -29,7 +30,7 @@ def table(rows, columns):
     return sorted(tuple(canonical(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf, duck, name):
     df = entry.queries()[name](spark, sf)
     rows = df.collect()
