@@ -17,7 +17,7 @@ probabilities are averaged over the samples.
 2. One pass turns texts into events (word, context, document), sums repeats within
    a document and deals them to buckets: by word, or by word and context for
    frequent words, so that no word makes a bucket of its own. Events are packed
-   and cross the network once; a bucket becomes one row of a written table.
+   and cross the network once; a bucket becomes four rows of a written table.
 3. A first pass over the buckets seats all customers and sums tables by context and
    by frequent word (fixed size, broadcast).
 4. A second pass samples anew with those sums, averages, and scores the events.
@@ -49,7 +49,8 @@ from glyphloom.session import written
 END = np.uint64(0x5BF0_3635_DCD6_F1A9)
 _DOC_BITS, _TIMES_BITS, _CONTEXT_BITS = 12, 3, 17
 BLOCK_DOCS = 1 << _DOC_BITS
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 10 << 20
+SUBS = 4
 SMALL = 64
 PART_PAIRS = 200_000
 
@@ -131,23 +132,29 @@ def _packed(sent, buckets: int, s: Settings):
         frequent = sent.value
         task, number = TaskContext.get().partitionId(), 0
         pack = zstandard.ZstdCompressor(level=1)
+        start = np.searchsorted(frequent, END)  # a document begins after an end
         for ids, train, counts, hashes, owner in _blocks(batches):
-            place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-            known = frequent[place] == hashes
-            own = np.where(known, place, s.contexts + 1 + (hashes & np.uint64(s.classes - 1)).astype(np.int64))
-            context = np.empty(len(hashes), np.int64)
-            context[1:] = own[:-1]
-            context[0] = np.searchsorted(frequent, END)  # a document begins after an end
             word, key = np.unique(hashes, return_inverse=True)
-            key = (key << (_CONTEXT_BITS + _DOC_BITS)) | (context << _DOC_BITS) | owner
-            del hashes, owner, place, known, own, context  # a block's arrays are large beside what comes of them
+            place = np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)
+            hot = frequent[place] == word
+            own = np.where(hot, place, s.contexts + 1 + (word & np.uint64(s.classes - 1)).astype(np.int64)).astype(np.int32)
+            context = np.empty(len(hashes), np.int32)
+            context[1:] = own[key[:-1]]
+            context[0] = start
+            key <<= _CONTEXT_BITS
+            key |= context
+            del hashes, context  # a block's arrays are large beside what comes of them
+            key <<= _DOC_BITS
+            key |= owner
+            del owner
             key, times = np.unique(key, return_counts=True)
             index = key >> (_CONTEXT_BITS + _DOC_BITS)
             rest = key & ((1 << (_CONTEXT_BITS + _DOC_BITS)) - 1)
             w = word[index]
-            hot = frequent[np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)] == word
             dealt = np.where(hot[index], mix(w ^ ((rest >> _DOC_BITS).astype(np.uint64) * END)), w)
-            bucket = ((dealt >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+            bucket = ((dealt >> np.uint64(40)) % np.uint64(buckets) * np.uint64(SUBS)).astype(np.int32)
+            bucket += ((dealt >> np.uint64(20)) & np.uint64(SUBS - 1)).astype(np.int32)
+            del w, dealt
             most = 1 << _TIMES_BITS
             pieces = (times + most - 1) // most
             last = np.cumsum(pieces) - 1
@@ -157,19 +164,21 @@ def _packed(sent, buckets: int, s: Settings):
             event = ((np.repeat(rest, pieces) << _TIMES_BITS) | (times - 1)).astype(np.uint32)
             bucket, index = np.repeat(bucket, pieces), np.repeat(index, pieces)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            cuts = np.searchsorted(bucket[order], np.arange(buckets * SUBS + 1))
             block, rows = (task << 32) | number, []
             number += 1
             bits = np.packbits(train)
-            for b in range(buckets):
+            for b in range(buckets * SUBS):
                 at = order[cuts[b]:cuts[b + 1]]
                 own = index[at]
                 first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
                 runs = np.diff(np.append(first, len(own))).astype(np.uint32)
                 head = (ids.to_pylist(), counts.astype(np.int32)) if b == 0 else None
                 rows.append(pack.compress(pickle.dumps((word[own[first]], runs, event[at], len(train), bits, head))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.full(buckets, block)),
-                                              pa.array(rows, pa.binary())], names=["bucket", "block", "events"])
+            number_of = np.arange(buckets * SUBS, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number_of // SUBS), pa.array(number_of % SUBS), pa.array(np.full(len(number_of), block)),
+                 pa.array(rows, pa.binary())], names=["bucket", "sub", "block", "events"])
 
     return run
 
@@ -252,24 +261,24 @@ def seat(count: np.ndarray, fresh: np.ndarray, d: float, rng) -> np.ndarray:
     return tables
 
 
-def _first_sums(sent, buckets: int, s: Settings):
+def _first_sums(sent, rows: int, s: Settings):
     """Customers and tables by context (kind 0) and frequent word (1), and the bucket's totals (2)."""
     def run(batches):
         frequent = sent.value
         for batch in batches:
             for row in range(batch.num_rows):
-                number = batch.column(0)[row].as_py()
-                b = _Bucket(batch.column(1)[row].as_py(), frequent)
+                number = [batch.column(0)[row].as_py(), batch.column(1)[row].as_py()]
+                b = _Bucket(batch.column(2)[row].as_py(), frequent)
                 rng = np.random.default_rng(number)
-                ones, twos, all_ = (b.count == 1).sum(), (b.count == 2).sum(), max((b.count > 0).sum() * buckets, 1)
+                ones, twos, all_ = (b.count == 1).sum(), (b.count == 2).sum(), max((b.count > 0).sum() * rows, 1)
                 d = _discount(ones, twos)
-                opened = np.bincount(b.context, b.count > 0, 1 << _CONTEXT_BITS) * buckets
+                opened = np.bincount(b.context, b.count > 0, 1 << _CONTEXT_BITS) * rows
                 c_context, t_context = np.zeros(1 << _CONTEXT_BITS), np.zeros(1 << _CONTEXT_BITS)
                 c_word, t_word = np.zeros(len(b.words)), np.zeros(len(b.words))
                 for pairs, words in b.parts():
                     word, context, count = b.word[pairs] - words.start, b.context[pairs], b.count[pairs]
                     size = words.stop - words.start
-                    share = np.bincount(word, count > 0, size) * np.where(b.hot[words] >= 0, buckets, 1) / all_
+                    share = np.bincount(word, count > 0, size) * np.where(b.hot[words] >= 0, rows, 1) / all_
                     tables = seat(count, (s.strength + d * opened[context]) * share[word], d, rng)
                     np.add.at(c_context, context, count)
                     np.add.at(t_context, context, tables)
@@ -329,7 +338,7 @@ def _parent(t_word: np.ndarray, m: _Sums, s: Settings) -> np.ndarray:
     return (np.maximum(t_word - d, 0) + (s.strength + d * m.words) / (m.words + 1)) / all_
 
 
-def _pair_scores(b: _Bucket, m: _Sums, number: int, s: Settings):
+def _pair_scores(b: _Bucket, m: _Sums, number: list[int], s: Settings):
     """Score, base score and whether the word is known, of each pair of a bucket."""
     score, base = np.zeros(len(b.word), np.float32), np.zeros(len(b.word))
     known = np.zeros(len(b.word), bool)
@@ -341,7 +350,7 @@ def _pair_scores(b: _Bucket, m: _Sums, number: int, s: Settings):
         t_word, p = np.bincount(word, count > 0, size), np.zeros(len(word))
         for sample in range(s.samples):
             parent = _parent(np.where(hot, m.t_word[place], t_word), m, s)[word]
-            rng = np.random.default_rng([number, sample, words.start])
+            rng = np.random.default_rng([*number, sample, words.start])
             tables = seat(count, (s.strength + d * t_all) * parent, d, rng)
             t_word = np.bincount(word, tables, size)
             parent = _parent(np.where(hot, m.t_word[place], t_word), m, s)[word]
@@ -353,22 +362,38 @@ def _pair_scores(b: _Bucket, m: _Sums, number: int, s: Settings):
 
 
 def _scores(sent, s: Settings):
-    """Sums by document of a block in one bucket: score, base score, known tokens."""
+    """Sums by document of a block in one bucket: score, base score, known tokens.
+
+    The rows of a bucket usually lie in one partition; there their sums are added
+    before they go on. Others meet when the documents are put together.
+    """
+    def batches_of(sums, blocks, heads):
+        at = 0
+        for block, n in blocks:
+            score, base, known = (x[at:at + n] for x in sums)
+            at += n
+            # 32 bits keep seven digits of a part; the parts of a document are summed in 64
+            small = np.uint16 if known.max(initial=0) < 1 << 16 else np.uint32
+            out = (score.astype(np.float32), base.astype(np.float32), known.astype(small), heads.get(block))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([pickle.dumps(out)], pa.binary())],
+                                             names=["block", "sums"])
+
     def run(batches):
-        m = sent.value
+        m, open_ = sent.value, {}
         for batch in batches:
             for row in range(batch.num_rows):
-                number = batch.column(0)[row].as_py()
-                b = _Bucket(batch.column(1)[row].as_py(), m.frequent)
-                sums = [np.bincount(b.doc, v[b.pair] * b.times, b.docs) for v in _pair_scores(b, m, number, s)]
-                at = 0
-                for block, n, head in b.blocks:
-                    score, base, known = (x[at:at + n] for x in sums)
-                    at += n
-                    # 32 bits keep seven digits of a part; the parts of a document are summed in 64
-                    small = np.uint16 if known.max(initial=0) < 1 << 16 else np.uint32
-                    rows = [pickle.dumps((score.astype(np.float32), base.astype(np.float32), known.astype(small), head))]
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array(rows, pa.binary())], names=["block", "sums"])
+                number, sub = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                b = _Bucket(batch.column(2)[row].as_py(), m.frequent)
+                sums = [np.bincount(b.doc, v[b.pair] * b.times, b.docs) for v in _pair_scores(b, m, [number, sub], s)]
+                rows, before, blocks, heads = open_.pop(number, (0, None, [(block, n) for block, n, _ in b.blocks], {}))
+                sums = [x + y for x, y in zip(sums, before)] if before else sums
+                heads.update({block: head for block, _, head in b.blocks if head})
+                if rows + 1 < SUBS:
+                    open_[number] = rows + 1, sums, blocks, heads
+                else:
+                    yield from batches_of(sums, blocks, heads)
+        for _, sums, blocks, heads in open_.values():
+            yield from batches_of(sums, blocks, heads)
 
     return run
 
@@ -390,10 +415,10 @@ def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     sent = spark.sparkContext.broadcast(frequent)
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, ceil(letters / 6 / s.bucket_events))  # a word has about six bytes, its blank included
-    events = (docs.mapInArrow(_packed(sent, buckets, s), "bucket int, block long, events binary")
-              .groupBy("bucket").agg(F.collect_list(F.struct("block", "events")).alias("parts")))
+    events = (docs.mapInArrow(_packed(sent, buckets, s), "bucket int, sub int, block long, events binary")
+              .repartition("bucket").groupBy("bucket", "sub").agg(F.collect_list(F.struct("block", "events")).alias("parts")))
     events = written(events, "events")
-    sums = (events.mapInArrow(_first_sums(sent, buckets, s), "kind int, key long, c double, t double")
+    sums = (events.mapInArrow(_first_sums(sent, buckets * SUBS, s), "kind int, key long, c double, t double")
             .groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toArrow())
     model = _collected(sums, frequent)
     scores = events.mapInArrow(_scores(spark.sparkContext.broadcast(model), s), "block long, sums binary")
