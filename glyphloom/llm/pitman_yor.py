@@ -1,27 +1,31 @@
 """Language-model scores of a hierarchical Pitman-Yor model of word pairs.
 
-Every context has a restaurant whose customers are the words that follow it; a
-customer sits at a table of its word or opens one, and each table sends a customer
-to the one parent restaurant that all contexts share. The parent backs off to the
-uniform distribution over the known words and one unknown. Contexts of their own
-are the ``contexts`` most frequent words; the others share ``classes`` restaurants
-by hash, so what every task must know of the restaurants has a fixed size.
+Every context, that is every word of the corpus, has a restaurant of its own whose
+customers are the words that follow it; a customer sits at a table of its word or
+opens one, and each table sends a customer to the one parent restaurant that all
+contexts share. The parent backs off to the uniform distribution over the known
+words and one unknown.
 
 Seating is sampled by Gibbs: given all other tables, the number of tables of a
 word in a restaurant has a known distribution (generalized Stirling numbers times
 powers of the weight of a new table), which is drawn from directly; large counts
-seat their customers in order, a sixteenth of them at a time. Predictive
-probabilities are averaged over the samples.
-
-1. Frequent words are found from counts of blocks of documents.
-2. One pass turns texts into events (word, context, document), sums repeats within
-   a document and deals them to buckets: by word, or by word and context for
-   frequent words, so that no word makes a bucket of its own. Events are packed
-   and cross the network once; a bucket becomes four rows of a written table.
-3. A first pass over the buckets seats all customers and sums tables by context and
-   by frequent word (fixed size, broadcast).
-4. A second pass samples anew with those sums, averages, and scores the events.
-5. A document's sums from all buckets meet by block of documents.
+seat their customers in order, a sixteenth of them at a time. A sweep draws all
+pairs anew, given the tables of contexts and of words after the sweep before it (a
+pair's own tables but the first are taken off). The first sweep starts from one
+table a pair; predictive probabilities are averaged over the sweeps after ``burn``,
+each with the sums of its own seating, so that those of a context sum to 1.
+
+1. Words that are frequent somewhere are found from counts of blocks of documents.
+   They only say how pairs are dealt and which sums are broadcast, not the results.
+2. A pass turns texts into pairs (word, context), counts them by block and deals
+   them to buckets: by word, or by word and context for frequent words, so that no
+   word makes a bucket of its own. A bucket becomes four rows of a written table.
+3. Each sweep reads that table, with the tables of its words and contexts, and
+   writes it anew. Sums of at most ``contexts`` frequent words are broadcast. A rarer
+   word lies in one row; sums of rarer contexts meet by context and return to the
+   buckets that have them.
+4. A last pass over the texts sends each document's pairs to the buckets, which look
+   up their probabilities; a document's sums from all buckets meet by block.
 
 The number of buckets follows the number of tokens, so a bucket stays bounded.
 Results are log10 probabilities.
@@ -39,15 +43,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.llm.frames import small_batches
 from glyphloom.llm.wordhash import mix, word_slices
-from glyphloom.session import written
+from glyphloom.session import remove, work_dir, written, written_at
 
 END = np.uint64(0x5BF0_3635_DCD6_F1A9)
-_DOC_BITS, _TIMES_BITS, _CONTEXT_BITS = 12, 3, 17
+_DOC_BITS, _TIMES_BITS = 12, 4
 BLOCK_DOCS = 1 << _DOC_BITS
 BLOCK_BYTES = 10 << 20
 SUBS = 4
@@ -57,10 +61,11 @@ PART_PAIRS = 200_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``contexts + classes`` must fit 17 bits."""
+    """``contexts`` bounds the words whose sums are broadcast; ``classes`` is no longer used."""
 
     contexts: int = 65_536
     classes: int = 256
+    burn: int = 8
     samples: int = 3
     strength: float = 1.0
     bucket_events: int = 2_000_000
@@ -105,7 +110,7 @@ def _blocks(batches):
 
 
 def _frequent(docs: DataFrame, most: int) -> np.ndarray:
-    """Ascending hashes of at most ``most`` words that occur most, the end among them."""
+    """Ascending hashes of at most ``most`` words that repeat most in their blocks, the end among them."""
     def run(batches):
         for _, train, _, hashes, owner in _blocks(batches):
             word, n = np.unique(hashes[train[owner]], return_counts=True)
@@ -126,93 +131,119 @@ def _frequent(docs: DataFrame, most: int) -> np.ndarray:
     return np.union1d(words, np.array([END]))
 
 
-def _packed(sent, buckets: int, s: Settings):
-    """Events of each block and bucket, compressed."""
+def _packed(sent, buckets: int, with_docs: bool):
+    """Pairs of each block and row of a bucket, compressed, with counts or with their documents.
+
+    A part is (words, pairs of each, contexts, context of each pair), then the
+    training count of each pair, or (events of each pair, document and times of
+    each event, number of documents, ids and lengths in one part a block).
+    """
     def run(batches):
         frequent = sent.value
         task, number = TaskContext.get().partitionId(), 0
         pack = zstandard.ZstdCompressor(level=1)
-        start = np.searchsorted(frequent, END)  # a document begins after an end
+        numbers = buckets * SUBS
         for ids, train, counts, hashes, owner in _blocks(batches):
             word, key = np.unique(hashes, return_inverse=True)
-            place = np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)
-            hot = frequent[place] == word
-            own = np.where(hot, place, s.contexts + 1 + (word & np.uint64(s.classes - 1)).astype(np.int64)).astype(np.int32)
-            context = np.empty(len(hashes), np.int32)
-            context[1:] = own[key[:-1]]
-            context[0] = start
-            key <<= _CONTEXT_BITS
-            key |= context
+            start = np.searchsorted(word, END)  # a document begins after an end
+            bits = max(len(word) - 1, 1).bit_length()
+            hot = frequent[np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)] == word
+            context = np.append(start, key[:-1])
+            key = (key << bits) | context
             del hashes, context  # a block's arrays are large beside what comes of them
-            key <<= _DOC_BITS
-            key |= owner
+            extra = max(len(train) - 1, 1).bit_length() if with_docs else 1
+            key = (key << extra) | (owner if with_docs else train[owner])
             del owner
             key, times = np.unique(key, return_counts=True)
-            index = key >> (_CONTEXT_BITS + _DOC_BITS)
-            rest = key & ((1 << (_CONTEXT_BITS + _DOC_BITS)) - 1)
-            w = word[index]
-            dealt = np.where(hot[index], mix(w ^ ((rest >> _DOC_BITS).astype(np.uint64) * END)), w)
-            bucket = ((dealt >> np.uint64(40)) % np.uint64(buckets) * np.uint64(SUBS)).astype(np.int32)
-            bucket += ((dealt >> np.uint64(20)) & np.uint64(SUBS - 1)).astype(np.int32)
-            del w, dealt
-            most = 1 << _TIMES_BITS
-            pieces = (times + most - 1) // most
-            last = np.cumsum(pieces) - 1
-            times_left = times - (pieces - 1) * most
-            times = np.full(int(pieces.sum()), most)
-            times[last] = times_left
-            event = ((np.repeat(rest, pieces) << _TIMES_BITS) | (times - 1)).astype(np.uint32)
-            bucket, index = np.repeat(bucket, pieces), np.repeat(index, pieces)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets * SUBS + 1))
-            block, rows = (task << 32) | number, []
+            last = key & ((1 << extra) - 1)
+            key >>= extra
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            pair = key[first]
+            own, context = pair >> bits, pair & ((1 << bits) - 1)
+            w = word[own]
+            dealt = np.where(hot[own], mix(w ^ (word[context] * END)), w)
+            row = ((dealt >> np.uint64(40)) % np.uint64(buckets) * np.uint64(SUBS)).astype(np.int32)
+            row += ((dealt >> np.uint64(20)) & np.uint64(SUBS - 1)).astype(np.int32)
+            del w, dealt, pair
+            if with_docs:
+                most = 1 << _TIMES_BITS
+                pieces = (times + most - 1) // most
+                left = np.full(int(pieces.sum()), most)
+                left[np.cumsum(pieces) - 1] = times - (pieces - 1) * most
+                event = ((np.repeat(last, pieces) << _TIMES_BITS) | (left - 1)).astype(np.uint16)
+                size = np.add.reduceat(pieces, first)
+                of_event = np.argsort(np.repeat(row, size), kind="stable")
+                event, bounds = event[of_event], np.append(0, np.cumsum(np.bincount(row, size, numbers))).astype(np.int64)
+            else:
+                size = np.add.reduceat(times * last, first)
+            order = np.argsort(row, kind="stable")
+            cuts = np.searchsorted(row[order], np.arange(numbers + 1))
+            block, out = (task << 32) | number, []
             number += 1
-            bits = np.packbits(train)
-            for b in range(buckets * SUBS):
+            sent_rows = [b for b in range(numbers) if cuts[b] < cuts[b + 1] or (with_docs and b == 0)]
+            for b in sent_rows:
                 at = order[cuts[b]:cuts[b + 1]]
-                own = index[at]
-                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
-                runs = np.diff(np.append(first, len(own))).astype(np.uint32)
-                head = (ids.to_pylist(), counts.astype(np.int32)) if b == 0 else None
-                rows.append(pack.compress(pickle.dumps((word[own[first]], runs, event[at], len(train), bits, head))))
-            number_of = np.arange(buckets * SUBS, dtype=np.int32)
+                mine = own[at]
+                begin = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])) if len(mine) else np.zeros(0, np.int64)
+                runs = np.diff(np.append(begin, len(mine))).astype(np.uint32)
+                contexts, which = np.unique(context[at], return_inverse=True)
+                which = which.astype(np.uint16 if len(contexts) <= 1 << 16 else np.uint32)
+                part = [word[mine[begin]], runs, word[contexts], which, size[at].astype(np.uint32)]
+                if with_docs:
+                    head = (ids.to_pylist(), counts.astype(np.int32)) if b == 0 else None
+                    part += [event[bounds[b]:bounds[b + 1]], len(train), head]
+                out.append(pack.compress(pickle.dumps(part)))
+            sent_rows = np.array(sent_rows, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(number_of // SUBS), pa.array(number_of % SUBS), pa.array(np.full(len(number_of), block)),
-                 pa.array(rows, pa.binary())], names=["bucket", "sub", "block", "events"])
+                [pa.array(sent_rows // SUBS), pa.array(sent_rows % SUBS), pa.array(np.full(len(sent_rows), block)),
+                 pa.array(out, pa.binary())], names=["bucket", "sub", "block", "part"])
 
     return run
 
 
-class _Bucket:
-    """Events of a bucket, in order of word and context: their pair, count and place of the document."""
-
-    def __init__(self, parts, frequent: np.ndarray):
-        unpack = zstandard.ZstdDecompressor()
-        parts = sorted(((p["block"], pickle.loads(unpack.decompress(p["events"]))) for p in parts), key=lambda p: p[0])
-        self.blocks = [(block, p[3], p[5]) for block, p in parts]
-        self.words, index = np.unique(np.concatenate([p[0] for _, p in parts]), return_inverse=True)
-        key = np.repeat(index << _CONTEXT_BITS, np.concatenate([p[1] for _, p in parts]))
-        event = np.concatenate([p[2] for _, p in parts])
-        shift = np.cumsum([0, *(p[3] for _, p in parts[:-1])])
-        doc = np.repeat(shift.astype(np.int32), [len(p[2]) for _, p in parts])
-        train = np.concatenate([np.unpackbits(p[4], count=p[3]) for _, p in parts]).astype(bool)
-        del parts, index
-        key |= event >> (_TIMES_BITS + _DOC_BITS)
-        doc += ((event >> _TIMES_BITS) & (BLOCK_DOCS - 1)).astype(np.int32)
-        order = np.argsort(key, kind="stable")  # sorted stretches, one a block, that only need merging
-        key, self.doc = key[order], doc[order]
-        self.times = (event[order] & ((1 << _TIMES_BITS) - 1)).astype(np.uint8) + np.uint8(1)
-        del event, doc, order
-        first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-        self.pair = np.cumsum(first, dtype=np.int32) - np.int32(1)
-        key = key[first]
-        self.word = (key >> _CONTEXT_BITS).astype(np.int32)
-        self.context = (key & ((1 << _CONTEXT_BITS) - 1)).astype(np.int32)
-        learnt = train[self.doc]
-        self.count = np.bincount(self.pair[learnt], self.times[learnt], len(key)).astype(np.int32)
-        self.docs = len(train)
-        self.hot = np.minimum(np.searchsorted(frequent, self.words), len(frequent) - 1)
-        self.hot[frequent[self.hot] != self.words] = -1
+_PACKED = "bucket int, sub int, block long, part binary"
+
+
+def _unpacked(blob):
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+
+
+def _by_sub(group: pa.Table) -> dict[int, list]:
+    """(block, blob) of each row of a bucket, by block."""
+    out = {}
+    for sub, block, blob in sorted(zip(*(group[n].to_pylist() for n in ("sub", "block", "part"))), key=lambda r: r[:2]):
+        out.setdefault(sub, []).append((block, blob))
+    return out
+
+
+class _Pairs:
+    """Distinct pairs of a row, in order of word and context, with counts, tables and summed predictions."""
+
+    def __init__(self, parts: list, frequent: np.ndarray):
+        self.words, self.contexts = (np.unique(np.concatenate([p[i] for p in parts])) for i in (0, 2))
+        key = np.concatenate([self.keys(p) for p in parts])
+        key, index = np.unique(key, return_inverse=True)
+        self.word, self.context = (key >> 32).astype(np.int32), (key & 0xFFFF_FFFF).astype(np.int32)
+        self.count = np.bincount(index, np.concatenate([p[4] for p in parts]), len(key)).astype(np.int64)
+        self.tables = np.minimum(self.count, 1)
+        self.p = np.zeros(len(key), np.float32)
+        self.hot_word, self.hot_context = _places(self.words, frequent), _places(self.contexts, frequent)
+
+    def keys(self, part) -> np.ndarray:
+        """Word and context of each pair of a part, as places in this row."""
+        word, context = np.searchsorted(self.words, part[0]), np.searchsorted(self.contexts, part[2])
+        return (np.repeat(word, part[1]) << 32) | context[part[3]]
+
+    def packed(self) -> bytes:
+        state = self.__dict__ | {"count": _narrow(self.count), "tables": _narrow(self.tables)}
+        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(state))
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> "_Pairs":
+        b = cls.__new__(cls)
+        b.__dict__.update(_unpacked(blob))
+        b.count, b.tables = b.count.astype(np.int64), b.tables.astype(np.int64)
+        return b
 
     def parts(self):
         """Stretches of pairs of whole words: (pairs, words) as slices."""
@@ -224,6 +255,16 @@ class _Bucket:
             at, word = int(ends[to - 1]), to
 
 
+def _places(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Place of each hash among the frequent ones, or -1."""
+    place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    return np.where(frequent[place] == hashes, place, -1)
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
 # --- seating ------------------------------------------------------------------
 
 def stirling(d: float) -> np.ndarray:
@@ -261,37 +302,43 @@ def seat(count: np.ndarray, fresh: np.ndarray, d: float, rng) -> np.ndarray:
     return tables
 
 
-def _first_sums(sent, rows: int, s: Settings):
-    """Customers and tables by context (kind 0) and frequent word (1), and the bucket's totals (2)."""
-    def run(batches):
-        frequent = sent.value
-        for batch in batches:
-            for row in range(batch.num_rows):
-                number = [batch.column(0)[row].as_py(), batch.column(1)[row].as_py()]
-                b = _Bucket(batch.column(2)[row].as_py(), frequent)
-                rng = np.random.default_rng(number)
-                ones, twos, all_ = (b.count == 1).sum(), (b.count == 2).sum(), max((b.count > 0).sum() * rows, 1)
-                d = _discount(ones, twos)
-                opened = np.bincount(b.context, b.count > 0, 1 << _CONTEXT_BITS) * rows
-                c_context, t_context = np.zeros(1 << _CONTEXT_BITS), np.zeros(1 << _CONTEXT_BITS)
-                c_word, t_word = np.zeros(len(b.words)), np.zeros(len(b.words))
-                for pairs, words in b.parts():
-                    word, context, count = b.word[pairs] - words.start, b.context[pairs], b.count[pairs]
-                    size = words.stop - words.start
-                    share = np.bincount(word, count > 0, size) * np.where(b.hot[words] >= 0, rows, 1) / all_
-                    tables = seat(count, (s.strength + d * opened[context]) * share[word], d, rng)
-                    np.add.at(c_context, context, count)
-                    np.add.at(t_context, context, tables)
-                    c_word[words], t_word[words] = np.bincount(word, count, size), np.bincount(word, tables, size)
-                rare, hot, at = (b.hot < 0) & (c_word > 0), b.hot >= 0, np.flatnonzero(c_context)
-                totals = [rare.sum(), ones, twos, (t_word[rare] == 1).sum(), (t_word[rare] == 2).sum(), t_word[rare].sum()]
-                out = [(np.zeros(len(at)), at, c_context[at], t_context[at]),
-                       (np.ones(hot.sum()), b.hot[hot], c_word[hot], t_word[hot]),
-                       (np.full(6, 2), np.arange(6), np.array(totals), np.zeros(6))]
-                kind, key, c, t = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(key.astype(np.int64)),
-                                                  pa.array(c.astype(float)), pa.array(t.astype(float))],
-                                                 names=["kind", "key", "c", "t"])
+_SEATS = "kind int, bucket int, sub int, key long, c double, t double, part binary"
+#: Kinds of rows of the table of seats.
+CONTEXT, WORD, TOTALS, RARE, PAIRS = range(5)
+
+
+def _seats(bucket: int, rows: dict[int, _Pairs]) -> pa.Table:
+    """Rows of a bucket: its pairs, and their customers and tables by frequent context, frequent word,
+    in all, and by rarer context."""
+    sums, rare, blobs = [], [], []
+    for sub, b in rows.items():
+        c_context, t_context = (np.bincount(b.context, v, len(b.contexts)) for v in (b.count, b.tables))
+        c_word, t_word = (np.bincount(b.word, v, len(b.words)) for v in (b.count, b.tables))
+        for kind, place, c, t in ((CONTEXT, b.hot_context, c_context, t_context), (WORD, b.hot_word, c_word, t_word)):
+            at = place >= 0
+            sums.append((np.full(at.sum(), kind), place[at], c[at], t[at]))
+        at, own = b.hot_context < 0, (b.hot_word < 0) & (c_word > 0)
+        rare.append((b.contexts[at].view(np.int64), c_context[at], t_context[at]))
+        totals = [own.sum(), (b.count == 1).sum(), (b.count == 2).sum(), (t_word[own] == 1).sum(),
+                  (t_word[own] == 2).sum(), t_word[own].sum(), c_context.sum()]
+        sums.append((np.full(len(totals), TOTALS), np.arange(len(totals)), np.array(totals, float), np.zeros(len(totals))))
+        blobs.append(b.packed())
+    key, index = np.unique(np.concatenate([r[0] for r in rare]), return_inverse=True)
+    c, t = (np.bincount(index, np.concatenate([r[i] for r in rare]), len(key)) for i in (1, 2))
+    sums += [(np.full(len(key), RARE), key, c, t), (np.full(len(rows), PAIRS), np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows)))]
+    kind, key, c, t = (np.concatenate(x) for x in zip(*((k, np.asarray(key, np.int64), c, t) for k, key, c, t in sums)))
+    none = len(kind) - len(rows)
+    return pa.table({"kind": pa.array(kind.astype(np.int32)), "bucket": pa.array(np.full(len(kind), bucket, np.int32)),
+                     "sub": pa.array([0] * none + list(rows), pa.int32()), "key": pa.array(key),
+                     "c": pa.array(c.astype(float)), "t": pa.array(t.astype(float)),
+                     "part": pa.array([None] * none + blobs, pa.binary())})
+
+
+def _first(sent):
+    """Pairs of a bucket from those of all blocks, one table each."""
+    def run(group: pa.Table) -> pa.Table:
+        rows = {sub: _Pairs([_unpacked(blob) for _, blob in parts], sent.value) for sub, parts in _by_sub(group).items()}
+        return _seats(group["bucket"][0].as_py(), rows)
 
     return run
 
@@ -302,7 +349,7 @@ def _discount(ones, twos) -> float:
 
 @dataclass
 class _Sums:
-    """What all tasks know: sums by context and by frequent word, sizes and discounts."""
+    """What all tasks know: sums by frequent context and frequent word, sizes and discounts."""
 
     frequent: np.ndarray
     c_context: np.ndarray
@@ -316,7 +363,9 @@ class _Sums:
     parent_discount: float
 
 
-def _collected(rows: pa.Table, frequent: np.ndarray) -> _Sums:
+def _collected(seats: DataFrame, frequent: np.ndarray) -> _Sums:
+    rows = (seats.where(F.col("kind").isin(CONTEXT, WORD, TOTALS)).groupBy("kind", "key")
+            .agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toArrow())
     kind, key, c, t = (rows[n].to_numpy() for n in ("kind", "key", "c", "t"))
 
     def dense(k, values, size):
@@ -324,12 +373,11 @@ def _collected(rows: pa.Table, frequent: np.ndarray) -> _Sums:
         out[key[kind == k]] = values[kind == k]
         return out
 
-    c_word, t_word = dense(1, c, len(frequent)), dense(1, t, len(frequent))
-    totals = dense(2, c, 6)
-    c_context, t_context = dense(0, c, 1 << _CONTEXT_BITS), dense(0, t, 1 << _CONTEXT_BITS)
+    c_word, t_word = dense(WORD, c, len(frequent)), dense(WORD, t, len(frequent))
+    totals = dense(TOTALS, c, 7)
     ones, twos = totals[3] + (t_word == 1).sum(), totals[4] + (t_word == 2).sum()
-    return _Sums(frequent, c_context, t_context, c_word, t_word, c_context.sum(), totals[0] + (c_word > 0).sum(),
-                 totals[5] + t_word.sum(), _discount(totals[1], totals[2]), _discount(ones, twos))
+    return _Sums(frequent, dense(CONTEXT, c, len(frequent)), dense(CONTEXT, t, len(frequent)), c_word, t_word, totals[6],
+                 totals[0] + (c_word > 0).sum(), totals[5] + t_word.sum(), _discount(totals[1], totals[2]), _discount(ones, twos))
 
 
 def _parent(t_word: np.ndarray, m: _Sums, s: Settings) -> np.ndarray:
@@ -338,66 +386,95 @@ def _parent(t_word: np.ndarray, m: _Sums, s: Settings) -> np.ndarray:
     return (np.maximum(t_word - d, 0) + (s.strength + d * m.words) / (m.words + 1)) / all_
 
 
-def _pair_scores(b: _Bucket, m: _Sums, number: list[int], s: Settings):
-    """Score, base score and whether the word is known, of each pair of a bucket."""
-    score, base = np.zeros(len(b.word), np.float32), np.zeros(len(b.word))
-    known = np.zeros(len(b.word), bool)
-    for pairs, words in b.parts():
-        word, context, count = b.word[pairs] - words.start, b.context[pairs], b.count[pairs]
-        size, place, hot = words.stop - words.start, b.hot[words], b.hot[words] >= 0
-        c_word = np.where(hot, m.c_word[place], np.bincount(word, count, size))
-        d, c_all, t_all = m.discount, m.c_context[context], m.t_context[context]
-        t_word, p = np.bincount(word, count > 0, size), np.zeros(len(word))
-        for sample in range(s.samples):
-            parent = _parent(np.where(hot, m.t_word[place], t_word), m, s)[word]
-            rng = np.random.default_rng([*number, sample, words.start])
-            tables = seat(count, (s.strength + d * t_all) * parent, d, rng)
-            t_word = np.bincount(word, tables, size)
-            parent = _parent(np.where(hot, m.t_word[place], t_word), m, s)[word]
-            p += (count - d * tables + (s.strength + d * t_all) * parent) / (s.strength + c_all)
-        score[pairs] = np.log10(p / s.samples)
-        base[pairs] = np.log10((c_word + 0.5) / (m.tokens + 0.5 * (m.words + 1)))[word]
-        known[pairs] = (c_word > 0)[word]
-    return score, base, known
-
-
-def _scores(sent, s: Settings):
-    """Sums by document of a block in one bucket: score, base score, known tokens.
-
-    The rows of a bucket usually lie in one partition; there their sums are added
-    before they go on. Others meet when the documents are put together.
-    """
-    def batches_of(sums, blocks, heads):
-        at = 0
-        for block, n in blocks:
-            score, base, known = (x[at:at + n] for x in sums)
-            at += n
-            # 32 bits keep seven digits of a part; the parts of a document are summed in 64
-            small = np.uint16 if known.max(initial=0) < 1 << 16 else np.uint32
-            out = (score.astype(np.float32), base.astype(np.float32), known.astype(small), heads.get(block))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([pickle.dumps(out)], pa.binary())],
-                                             names=["block", "sums"])
+def _known_sums(b: _Pairs, m: _Sums, rare: pa.Table) -> tuple[np.ndarray, ...]:
+    """Customers and tables of each context, then of each word, of a row in all rows together."""
+    key = rare["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    place = order[np.searchsorted(key[order], b.contexts[b.hot_context < 0])]
+    out = []
+    for name, hot in (("c", m.c_context), ("t", m.t_context)):
+        values = hot[b.hot_context]
+        values[b.hot_context < 0] = rare[name].to_numpy()[place]
+        out.append(values)
+    for own, hot in ((b.count, m.c_word), (b.tables, m.t_word)):
+        out.append(np.where(b.hot_word >= 0, hot[b.hot_word], np.bincount(b.word, own, len(b.words))))
+    return tuple(out)
+
+
+def _predict(b: _Pairs, m: _Sums, sums, s: Settings) -> None:
+    """Add the probabilities of a seating, by the sums of that seating."""
+    c_context, t_context, _, t_word = sums
+    parent = _parent(t_word, m, s)
+    for pairs, _ in b.parts():
+        context = b.context[pairs]
+        new = (s.strength + m.discount * t_context[context]) * parent[b.word[pairs]]
+        b.p[pairs] += (b.count[pairs] - m.discount * b.tables[pairs] + new) / (s.strength + c_context[context])
+
+
+def _sweep(sent, sweep: int, s: Settings):
+    """Draw the tables of a bucket anew, given all sums of the seating before."""
+    def run(group: pa.Table, rare: pa.Table) -> pa.Table:
+        m, rows, bucket = sent.value, {}, group["bucket"][0].as_py()
+        for sub, blob in sorted(zip(group["sub"].to_pylist(), group["part"].to_pylist())):
+            rows[sub] = b = _Pairs.unpacked(blob)
+            sums = _known_sums(b, m, rare)
+            if sweep > s.burn:
+                _predict(b, m, sums, s)
+            rng = np.random.default_rng([bucket, sub, sweep])
+            for pairs, _ in b.parts():
+                other = np.maximum(b.tables[pairs] - 1, 0)
+                fresh = s.strength + m.discount * (sums[1][b.context[pairs]] - other)
+                b.tables[pairs] = seat(b.count[pairs], fresh * _parent(sums[3][b.word[pairs]] - other, m, s), m.discount, rng)
+        return _seats(bucket, rows)
+
+    return run
 
-    def run(batches):
-        m, open_ = sent.value, {}
-        for batch in batches:
-            for row in range(batch.num_rows):
-                number, sub = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                b = _Bucket(batch.column(2)[row].as_py(), m.frequent)
-                sums = [np.bincount(b.doc, v[b.pair] * b.times, b.docs) for v in _pair_scores(b, m, [number, sub], s)]
-                rows, before, blocks, heads = open_.pop(number, (0, None, [(block, n) for block, n, _ in b.blocks], {}))
-                sums = [x + y for x, y in zip(sums, before)] if before else sums
-                heads.update({block: head for block, _, head in b.blocks if head})
-                if rows + 1 < SUBS:
-                    open_[number] = rows + 1, sums, blocks, heads
-                else:
-                    yield from batches_of(sums, blocks, heads)
-        for _, sums, blocks, heads in open_.values():
-            yield from batches_of(sums, blocks, heads)
+
+def _predicted(sent, s: Settings):
+    """The bucket's pairs with score, and base score and whether it is known for each word."""
+    def run(group: pa.Table, rare: pa.Table) -> pa.Table:
+        m, out = sent.value, []
+        for blob in group["part"].to_pylist():
+            b = _Pairs.unpacked(blob)
+            sums = _known_sums(b, m, rare)
+            _predict(b, m, sums, s)
+            b.p = np.log10(b.p / s.samples)
+            b.base = np.log10((sums[2] + 0.5) / (m.tokens + 0.5 * (m.words + 1)))
+            b.known = sums[2] > 0
+            out.append(b.packed())
+        return pa.table({"bucket": group["bucket"].cast(pa.int32()), "sub": group["sub"].cast(pa.int32()), "part": pa.array(out, pa.binary())})
 
     return run
 
 
+def _scores(group: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Sums by document of a block in one bucket: score, base score, known tokens."""
+    model, sums, heads = dict(zip(pairs["sub"].to_pylist(), pairs["part"].to_pylist())), {}, {}
+    for sub, parts in _by_sub(group).items():
+        b = None
+        for block, blob in parts:
+            part = _unpacked(blob)
+            size, event, docs, head = part[4:]
+            if head:
+                heads[block] = head
+            before = sums.setdefault(block, [np.zeros(docs), np.zeros(docs), np.zeros(docs)])
+            if not len(event):
+                continue
+            if b is None:
+                b = _Pairs.unpacked(model[sub])
+                keys = (b.word.astype(np.int64) << 32) | b.context
+            at = np.repeat(np.searchsorted(keys, b.keys(part)), size)
+            doc, times = event >> _TIMES_BITS, (event & ((1 << _TIMES_BITS) - 1)).astype(np.int64) + 1
+            for total, values in zip(before, (b.p[at], b.base[b.word[at]], b.known[b.word[at]])):
+                total += np.bincount(doc, values * times, docs)
+    out = []
+    for block, (score, base, known) in sums.items():
+        # 32 bits keep seven digits of a part; the parts of a document are summed in 64
+        small = np.uint16 if known.max(initial=0) < 1 << 16 else np.uint32
+        out.append(pickle.dumps((score.astype(np.float32), base.astype(np.float32), known.astype(small), heads.get(block))))
+    return pa.table({"block": pa.array(list(sums), pa.int64()), "sums": pa.array(out, pa.binary())})
+
+
 def _documents(group: pa.Table) -> pa.Table:
     parts = [pickle.loads(x) for x in group["sums"].to_pylist()]
     ids, counts = next(p[3] for p in parts if p[3])
@@ -406,22 +483,46 @@ def _documents(group: pa.Table) -> pa.Table:
                      "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
 
-def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of ``docs`` (doc_id, train, text)."""
+def predicted(docs: DataFrame, s: Settings = Settings()):
+    """Pairs (bucket, sub, part) of ``docs`` (doc_id, train, text) with their probabilities, the broadcast
+    frequent words, the number of buckets and that of training tokens."""
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "train", "text")
     frequent = _frequent(docs, s.contexts)
     sent = spark.sparkContext.broadcast(frequent)
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, ceil(letters / 6 / s.bucket_events))  # a word has about six bytes, its blank included
-    events = (docs.mapInArrow(_packed(sent, buckets, s), "bucket int, sub int, block long, events binary")
-              .repartition("bucket").groupBy("bucket", "sub").agg(F.collect_list(F.struct("block", "events")).alias("parts")))
-    events = written(events, "events")
-    sums = (events.mapInArrow(_first_sums(sent, buckets * SUBS, s), "kind int, key long, c double, t double")
-            .groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toArrow())
-    model = _collected(sums, frequent)
-    scores = events.mapInArrow(_scores(spark.sparkContext.broadcast(model), s), "block long, sums binary")
+
+    def rare_of(seats):
+        both = Window.partitionBy("key")
+        return (seats.where(F.col("kind") == RARE)
+                .select("bucket", "key", F.sum("c").over(both).alias("c"), F.sum("t").over(both).alias("t")).groupBy("bucket"))
+
+    def pairs_of(seats):
+        return seats.where(F.col("kind") == PAIRS).select("bucket", "sub", "part").groupBy("bucket")
+
+    path = work_dir(spark, "seats")
+    seats = written_at(docs.mapInArrow(_packed(sent, buckets, False), _PACKED)
+                       .groupBy("bucket").applyInArrow(_first(sent), _SEATS), path)
+    for sweep in range(s.burn + s.samples):
+        model = spark.sparkContext.broadcast(_collected(seats, frequent))
+        old, path = path, work_dir(spark, "seats")
+        seats = written_at(pairs_of(seats).cogroup(rare_of(seats)).applyInArrow(_sweep(model, sweep, s), _SEATS), path)
+        remove(spark, old)
+        model.unpersist()
+    sums = _collected(seats, frequent)
+    pairs = written(pairs_of(seats).cogroup(rare_of(seats)).applyInArrow(
+        _predicted(spark.sparkContext.broadcast(sums), s), "bucket int, sub int, part binary"), "predicted")
+    remove(spark, path)
+    return pairs, sent, buckets, int(sums.tokens)
+
+
+def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of ``docs`` (doc_id, train, text)."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "train", "text")
+    pairs, sent, buckets, tokens = predicted(docs, s)
+    events = docs.mapInArrow(_packed(sent, buckets, True), _PACKED)
+    scores = events.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_scores, "block long, sums binary")
     return (scores.groupBy("block").applyInArrow(
         _documents, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-        .withColumn("train_tokens", F.lit(int(model.tokens)).cast("long")))
+        .withColumn("train_tokens", F.lit(tokens).cast("long")))

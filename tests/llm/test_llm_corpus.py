@@ -176,6 +176,37 @@ def test_seating_follows_the_chinese_restaurant():
     assert many[0] == 0 and many[1] == 1 and 1 <= many[2] <= 2 and (many <= [0, 1, 2, 65, 5000]).all()
 
 
+def test_probabilities_of_each_context_sum_to_one(spark):
+    """Over all words, the end and one unknown, in several buckets, for frequent and rarer contexts alike."""
+    words = [f"w{i}" for i in range(12)]
+    train = [(i, True, " ".join(words[(i * k * k + k) % (4 + i % 9)] for k in range(1, 40))) for i in range(60)]
+    train.append((60, True, " ".join(words)))
+    probes = [(1000 + i, False, f"{a} {b}") for i, (a, b) in enumerate((a, b) for a in words for b in [*words, "unknown"])]
+    df = spark.createDataFrame(train + probes, "doc_id long, train boolean, text string")
+    s = pitman_yor.Settings(contexts=4, bucket_events=150, samples=2)
+    pairs, sent, buckets, _ = pitman_yor.predicted(df, s)
+    total, seen, rare = collections.Counter(), collections.Counter(), set()
+    for r in pairs.collect():
+        b = pitman_yor._Pairs.unpacked(r.part)
+        for context, p in zip(b.contexts[b.context].tolist(), b.p.tolist()):
+            total[context] += 10 ** p
+            seen[context] += 1
+        rare |= set(b.contexts[b.hot_context < 0].tolist())
+    whole = [c for c in total if seen[c] == 14]
+    assert buckets > 3 and len(whole) == 12 and len(sent.value) <= 4 and rare & set(whole)
+    assert all(abs(total[c] - 1) < 1e-5 for c in whole)
+
+
+def test_every_context_has_its_own_restaurant(spark):
+    """More contexts than are broadcast, each with one successor that nothing else has."""
+    train = [(i, True, " ".join(f"a{i + k} b{i + k}" for k in range(0, 1200, 60))) for i in range(60) for _ in range(9)]
+    probes = [(5000, False, " ".join(f"a{k} b{k}" for k in range(0, 600, 7))), (5001, False, " ".join(f"a{k} b{k + 1}" for k in range(0, 600, 7)))]
+    df = spark.createDataFrame(train + probes, "doc_id long, train boolean, text string")
+    rows = {r.doc_id: r.score for r in pitman_yor.scored(df, pitman_yor.Settings(contexts=16, classes=2)).collect()}
+    # the documents differ in P(b | a): near 1 where a was followed by b alone, small where never; the same in a shared restaurant
+    assert rows[5000] - rows[5001] > 86 * 3
+
+
 def test_scores_of_odd_rows(spark):
     df = spark.createDataFrame([(1, True, None), (2, False, ""), (None, True, "x y"), (3, True, "w " * 200_000), (3, True, "w")],
                                "doc_id long, train boolean, text string")
