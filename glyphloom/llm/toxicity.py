@@ -8,9 +8,10 @@ Training keeps, per coordinate, the sums ``z`` and ``n`` of follow-the-
 regularized-leader. A bounded sample of labelled rows is dealt to a fixed number
 of shards; in an epoch every shard starts from the common state and goes through
 its rows one by one, then each coordinate's changes are averaged over the shards
-that touched it. A shard leaves out coordinates that only a few of its texts
-have. Only the states of the bounded sample's coordinates meet on the driver. L1 leaves few weights other than zero; they are broadcast and every
-text of the corpus is scored in one pass without a shuffle.
+that touched it. No coordinate of the sample is left out, only L1 makes weights
+sparse. Only the states of the bounded sample's coordinates meet on the driver. L1
+leaves few weights other than zero; they are broadcast and every text of the corpus
+is scored in one pass without a shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the
 bias; rows with a null label or null id don't train; a repeated label row counts
@@ -36,14 +37,15 @@ from glyphloom.session import written
 class Settings:
     """``rows`` bounds the labelled sample and so what reaches the driver.
 
-    A shard includes the coordinates that at least ``least`` of its texts have.
+    A shard includes the coordinates that at least ``least`` of its texts have:
+    all of them at 1, and L1 alone decides on weights.
     """
 
     rows: int = 20_000
     shards: int = 6
     epochs: int = 10
     bits: int = 22
-    least: int = 4
+    least: int = 1
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 8.0
@@ -138,6 +140,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
             .join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label"))
 
 
+#: Changes are averaged in so many ranges of coordinates (and that of the bias), so that only averages reach the driver.
+_RANGE_BITS = 4
 _PACKED = "shard int, labels binary, lengths binary, features binary, coordinates binary"
 
 
@@ -169,44 +173,59 @@ def _epoch(common, epoch: int, s: Settings):
                 at = np.append(np.frombuffer(r["coordinates"], np.int32), 1 << s.bits)
                 labels, bounds = np.frombuffer(r["labels"]), np.cumsum(np.frombuffer(r["lengths"], np.int32))
                 rows = np.split(np.frombuffer(r["features"], np.int32), bounds[:-1])
-                z, n = _lookup(keys, z0, at), _lookup(keys, n0, at)
+                z, n = _lookup(keys, z0, at).astype(float), _lookup(keys, n0, at).astype(float)
                 own = _State(s, z.copy(), n.copy())
                 for i in np.random.default_rng([epoch, r["shard"]]).permutation(len(rows)):
                     own.learn(np.append(rows[i], len(at) - 1), labels[i])
                 moved = np.flatnonzero(own.n != n)
-                blobs = [at[moved].astype(np.int32), (own.z - z)[moved], (own.n - n)[moved]]
-                yield pa.RecordBatch.from_arrays([pa.array([b.tobytes()], pa.binary()) for b in blobs], names=["a", "z", "n"])
+                cuts = np.searchsorted(at[moved] >> (s.bits - _RANGE_BITS), np.arange((1 << _RANGE_BITS) + 2))
+                for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    some = moved[lo:hi]
+                    blobs = [at[some].astype(np.int32), (own.z - z)[some], (own.n - n)[some]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i], pa.int32()), pa.array([r["shard"]], pa.int32()),
+                         *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["range", "shard", "a", "z", "n"])
 
     return run
 
 
+def _averaged(group: pa.Table) -> pa.Table:
+    """Changes of a range of coordinates, averaged over the shards that touched each."""
+    parts = sorted(group.to_pylist(), key=lambda r: r["shard"])
+    a, place = np.unique(np.concatenate([np.frombuffer(r["a"], np.int32) for r in parts]), return_inverse=True)
+    touched = np.maximum(np.bincount(place, minlength=len(a)), 1)
+    z, n = (np.bincount(place, np.concatenate([np.frombuffer(r[k]) for r in parts]), len(a)) / touched for k in ("z", "n"))
+    blobs = [a, z.astype(np.float32), n.astype(np.float32)]
+    return pa.table({"range": group["range"][:1].cast(pa.int32()), **{k: pa.array([b.tobytes()], pa.binary()) for k, b in zip("azn", blobs)}})
+
+
 def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
     """Model of a bounded table (doc_id, text, label), learnt shard by shard and averaged after each epoch."""
     s, spark = settings, sample.sparkSession
     dealt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(s.shards)).cast("int")
     rows = written(sample.withColumn("shard", dealt).select("shard", "doc_id", "text", "label")
                    .groupBy("shard").applyInArrow(_packer(s), _PACKED), "labelled")
-    keys, z, n = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    keys, z, n = np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)
     for epoch in range(s.epochs):
         common = spark.sparkContext.broadcast((keys, z, n))
-        parts = rows.mapInArrow(_epoch(common, epoch, s), "a binary, z binary, n binary").collect()
-        common.unpersist()
-        if not parts:
+        changes = rows.mapInArrow(_epoch(common, epoch, s), "range int, shard int, a binary, z binary, n binary")
+        parts = changes.groupBy("range").applyInArrow(_averaged, "range int, a binary, z binary, n binary").toArrow()
+        common.destroy()
+        if not parts.num_rows:
             break
-        parts.sort(key=lambda r: bytes(r.a))
-        a = np.concatenate([np.frombuffer(r.a, np.int32) for r in parts])
+        parts = parts.sort_by("range")
+        a, dz, dn = (np.frombuffer(b"".join(parts[k].to_pylist()), t) for k, t in (("a", np.int32), ("z", np.float32), ("n", np.float32)))
         every = np.union1d(keys, a)
-        z, n = _lookup(keys, z, every), _lookup(keys, n, every)
         place = np.searchsorted(every, a)
-        touched = np.maximum(np.bincount(place, minlength=len(every)), 1)
-        z += np.bincount(place, np.concatenate([np.frombuffer(r.z) for r in parts]), len(every)) / touched
-        n += np.bincount(place, np.concatenate([np.frombuffer(r.n) for r in parts]), len(every)) / touched
+        z, n = _lookup(keys, z, every).astype(np.float32), _lookup(keys, n, every).astype(np.float32)
+        z[place] += dz
+        n[place] += dn
         keys = every
     if not len(keys):
         return Model(s.bits)
     w = _State(s, z, n).weights(np.arange(len(z)))
     at = np.flatnonzero(w[:-1])
-    return Model(s.bits, keys[at], w[at], float(w[-1]))
+    return Model(s.bits, keys[at].astype(np.int64), w[at], float(w[-1]))
 
 
 def _logits(column, model: Model, dense: np.ndarray) -> np.ndarray:

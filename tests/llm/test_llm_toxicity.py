@@ -63,3 +63,16 @@ def test_query(spark, sf):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     import zlib
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_held_out_errors_at_production_settings(spark, sf):
+    """Labelled rows of sf0.1: held-out toxic texts are found, and hardly any clean one is taken for toxic."""
+    at = sf.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{at}/labels.parquet").where("toxic is not null")
+    docs = spark.read.parquet(f"{at}/documents.parquet").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").cache()
+    learnable = F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 0
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels, "toxic", toxicity.Settings.rows, learnable))
+    out = toxicity.scored(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+                          .select("doc_id", "text", "toxic"), model).collect()
+    toxic, clean = ([r.predicted for r in out if r.toxic == label] for label in (1, 0))
+    assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.005 * len(clean)
