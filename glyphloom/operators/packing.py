@@ -60,8 +60,8 @@ def next_token_pairs(chunks: DataFrame, by=STREAM) -> DataFrame:
 
 
 def batches(chunks: DataFrame, batch: int, seed: int, by=STREAM, drop_last: bool = True) -> DataFrame:
-    """Add ``batch_id`` by a seeded shuffle that any rerun repeats."""
-    df = chunks.withColumn("_order", F.xxhash64("chunk_id", F.lit(seed)))
+    """Add ``batch_id`` by a seeded shuffle that any rerun repeats; chunks are packed once."""
+    df = written(chunks.withColumn("_order", F.xxhash64("chunk_id", F.lit(seed))), "chunks")
     df = with_position(df, "_at", "_order", by, "_n").withColumn(
         "batch_id", F.floor(F.col("_at") / batch))
     if drop_last:

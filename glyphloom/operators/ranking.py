@@ -1,8 +1,15 @@
 """Ordered limits, global positions and prefix sums without a one-partition window."""
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from glyphloom.session import written
+
+#: Rows that one range of ``with_prefix`` holds, about.
+ROWS_PER_RANGE = 1_000_000
 
 
 def first_n(df: DataFrame, n: int, order: str = "doc_id") -> DataFrame:
@@ -21,43 +28,53 @@ def first_n_per_group(df: DataFrame, n: int, group: str, order: str = "doc_id",
             .drop("_salt", "_rank"))
 
 
-def with_bucket(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
-    """Add ``_bucket``: ranges of a numeric order column that hold similar row counts.
-
-    The bounds are quantiles, so clustered ids do not make a hot bucket, and they
-    are literals in the plan, so every evaluation agrees on them.
-    """
-    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    steps = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.select(order).approxQuantile(order, steps, 0.25 / buckets))) if steps else []
-    splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(df)
-
-
-def with_prefix(df: DataFrame, value: Column, out: str, order: str, group: tuple[str, ...] = (),
+def with_prefix(df: DataFrame, value: Column, out: str, order: str | tuple[str, ...], group: tuple[str, ...] = (),
                 total: str | None = None, buckets: int | None = None) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over all earlier rows of the group.
-
-    Bucket totals give each bucket its offset, a window inside the bucket does the
-    rest; no task ever holds more than one bucket of one group. ``total`` names an
-    optional column for the sum over the whole group, read off the same totals.
+    """Add ``out``: the sum of ``value`` over all earlier rows of the group, in order, nulls first.
+
+    Rows are dealt into sorted ranges of (group, order) and written once, each with
+    the running sum of its range. Totals of ranges, a row per range and group, give
+    every range its offset. No row moves again, no window covers a table or a group,
+    and a range holds some ``ROWS_PER_RANGE`` rows however large the table is. Rows
+    with equal order follow each other as they were written. ``total`` names an
+    optional column for the sum over the whole group.
     """
-    df = with_bucket(df.withColumn("_value", value.cast("bigint")), order, buckets)
-    keys = [*group, "_bucket"]
-    totals = df.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
-    # At most one row per bucket and group reaches this window.
+    order = (order,) if isinstance(order, str) else tuple(order)
+    source = df.withColumn("_value", value.cast("bigint"))
+    buckets = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                             -(-df.count() // ROWS_PER_RANGE))
+    keys = [F.col(k).asc_nulls_first() for k in (*group, *order)]
+    dealt = (source.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
+             .withColumn("_range", F.spark_partition_id()))
+    schema = StructType([*dealt.schema.fields, StructField("_before", LongType())])
+    laid = written(dealt.mapInArrow(_running, schema), "ranges")
+    sums = laid.groupBy("_range", *group).agg(F.sum("_value").alias("_sum"), F.min("_before").alias("_first"))
     every = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    before = every.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
-        *([F.sum("_sum").over(every).alias(total)] if total else []))
-    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (df.join(offsets, keys)
-            .withColumn(out, F.col("_offset") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-            .drop("_value", "_bucket", "_offset"))
-
-
-def with_position(df: DataFrame, out: str = "position", order: str = "doc_id",
+    before = every.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = [F.col(k).alias(f"_group{i}") for i, k in enumerate(group)]
+    offsets = written(sums.select(
+        F.col("_range").alias("_of"), *keyed,
+        (F.coalesce(F.sum("_sum").over(before), F.lit(0)) - F.col("_first")).alias("_offset"),
+        *([F.sum("_sum").over(every).alias(total)] if total else [])), "offsets")
+    same = F.col("_range") == F.col("_of")
+    for i, k in enumerate(group):
+        same = same & F.col(k).eqNullSafe(F.col(f"_group{i}"))
+    return (laid.join(offsets, same).withColumn(out, F.col("_offset") + F.col("_before"))
+            .drop("_value", "_range", "_before", "_of", "_offset", *[f"_group{i}" for i in range(len(group))]))
+
+
+def _running(batches):
+    """Append the sum of ``_value`` over all earlier rows of the partition; values are not negative."""
+    at = 0
+    for batch in batches:
+        values = batch.column("_value").fill_null(0).to_numpy(zero_copy_only=False)
+        sums = np.cumsum(values) + at
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums - values)],
+                                         names=[*batch.schema.names, "_before"])
+        at = int(sums[-1]) if len(sums) else at
+
+
+def with_position(df: DataFrame, out: str = "position", order: str | tuple[str, ...] = "doc_id",
                   group: tuple[str, ...] = (), total: str | None = None) -> DataFrame:
     """Zero-based position of each row in the whole table (or in its group)."""
     return with_prefix(df, F.lit(1), out, order, group, total)
