@@ -44,3 +44,47 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 r AS (SELECT page_id, h, CASE WHEN strlen(h) >= 1000 THEN nullif(max(page_id) OVER (PARTITION BY h), page_id) END AS refers_to FROM p)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
        CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r"""
+
+#: crc32 of a decimal, bit by bit: an item of -1 shifts, any other one is a byte to add.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''),
+  lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295::BIGINT)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+SQL["op12_merkle"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+         {_leaf(f"n_chars + CASE WHEN {_CRC.format('doc_id')} % 7 = 0 THEN 1 ELSE 0 END")} AS tampered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t AS (SELECT lang, 0 AS level, pos, n, leaf AS h FROM p
+      UNION ALL SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+                FROM t WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, pos, n, subroot AS h FROM s
+      UNION ALL SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+                FROM u WHERE n > 1 GROUP BY level, pos // 2, n),
+r AS (SELECT h AS root FROM u WHERE n = 1),
+steps AS (
+  SELECT p.lang, p.pos, 0 AS tier, k.level, o.h AS s, (p.pos >> k.level) % 2 = 1 AS l
+  FROM p JOIN (SELECT DISTINCT lang, level FROM t WHERE n > 1) k ON p.lang IS NOT DISTINCT FROM k.lang
+  LEFT JOIN t o ON o.lang IS NOT DISTINCT FROM p.lang AND o.level = k.level AND o.pos = xor(p.pos >> k.level, 1)
+  UNION ALL
+  SELECT p.lang, p.pos, 1, k.level, o.h, (s.pos >> k.level) % 2 = 1
+  FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT DISTINCT level FROM u WHERE n > 1) k
+  LEFT JOIN u o ON o.level = k.level AND o.pos = xor(s.pos >> k.level, 1)),
+w AS (SELECT lang, pos, list({{'s': s, 'l': l}} ORDER BY tier, level) AS path, string_agg(s, '' ORDER BY tier, level) AS proof FROM steps GROUP BY ALL),
+f AS (
+  SELECT p.doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce(list_prepend({{'s': tampered, 'l': false}}, coalesce(path, [])), lambda a, x: {{'s': sha256(CASE
+           WHEN x.s IS NULL THEN a.s WHEN x.l THEN x.s || a.s ELSE a.s || x.s END), 'l': false}}).s AS folded_root
+  FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang CROSS JOIN r
+  LEFT JOIN w ON w.lang IS NOT DISTINCT FROM p.lang AND w.pos = p.pos)
+SELECT *, folded_root = root AS verified FROM f"""

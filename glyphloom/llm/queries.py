@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import bpe_fold, minmax, mixing, pii, pitman_yor, substrings, topk, toxicity, vptree, warc
+from glyphloom.llm import bpe_fold, merkle, minmax, mixing, pii, pitman_yor, substrings, topk, toxicity, vptree, warc
 from glyphloom.llm.frames import remainder, table
 
 QUERIES = {}
@@ -87,3 +87,15 @@ def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (~held_out).alias("train"), "text")
     return pitman_yor.scored(docs).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
                                           "base_score", "score")
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = F.col("n_chars") + F.when(remainder("doc_id", 7) == 0, 1).otherwise(0)
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.leaf(*(changed if c == "n_chars" else F.col(c) for c in fields))
+    rows = merkle.manifest(docs, "doc_id", "lang", merkle.leaf(*map(F.col, fields)), {"_tampered": tampered})
+    rows = rows.withColumn("folded_root", merkle.folded(F.col("_tampered"), F.col("path")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
