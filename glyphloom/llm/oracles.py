@@ -88,3 +88,24 @@ f AS (
   FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang CROSS JOIN r
   LEFT JOIN w ON w.lang IS NOT DISTINCT FROM p.lang AND w.pos = p.pos)
 SELECT *, folded_root = root AS verified FROM f"""
+
+SQL["op13_periodic"] = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w, {_CRC.format('doc_id')} AS h FROM documents),
+k AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+m AS (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM k),
+x AS (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i:
+        w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM m),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS six FROM (SELECT doc_id, w, unnest(range(len(w) - 5)) AS i FROM x)),
+e AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.six = b.six AND a.i < b.i),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(12, 2 * q) GROUP BY ALL),
+t AS (SELECT doc_id, count(*) AS n_runs, max(struct_pack(length := length, later := -start, longer := -period)) AS most,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS pos FROM r),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept
+         FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM x) ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -most.later AS start, most.length AS length, -most.longer AS period,
+       1000 * most.length // -most.longer AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+       sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM x LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)"""

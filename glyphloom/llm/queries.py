@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import bpe_fold, merkle, minmax, mixing, pii, pitman_yor, substrings, topk, toxicity, vptree, warc
+from glyphloom.llm import bpe_fold, merkle, minmax, mixing, periodic, pii, pitman_yor, substrings, topk, toxicity, vptree, warc
 from glyphloom.llm.frames import remainder, table
 
 QUERIES = {}
@@ -99,3 +99,33 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("folded_root", merkle.folded(F.col("_tampered"), F.col("path")))
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _planted_runs(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts made periodic from some word on, as the contract of op13 has it; the others as they are."""
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    df = docs.withColumn("_h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    df = df.withColumn("_words", F.when(F.col("_h") % 10 == 0, words))
+    n, g = F.size("_words"), F.floor(F.col("_h") / 10)
+    a = F.when(n > 0, g % n)
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    df = df.withColumn("_a", a.cast("int")).withColumn("_p", p.cast("int"))
+    source = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("_words", F.when(
+        i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))))
+    text = F.when(n > 0, F.array_join(source, " ")).otherwise(F.col("text"))
+    return df.select("doc_id", text.alias("text"))
+
+
+@query
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.with_runs(_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("later"), (-r["period"]).alias("longer"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("_most", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("_most.later")).alias("start"),
+        F.col("_most.length").alias("length"), (-F.col("_most.longer")).alias("period"),
+        F.floor(1000 * F.col("_most.length") / -F.col("_most.longer")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
