@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import bpe_fold, merkle, minmax, mixing, periodic, pii, pitman_yor, substrings, topk, toxicity, vptree, warc
+from glyphloom.llm import bpe_fold, merkle, minmax, mixing, periodic, pii, pitman_yor, ppm, substrings, topk, toxicity, vptree, warc
 from glyphloom.llm.frames import remainder, table
 
 QUERIES = {}
@@ -129,3 +129,12 @@ def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * F.col("_most.length") / -F.col("_most.longer")).alias("exponent_milli"),
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op11_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held_out = F.coalesce(remainder("doc_id", 3), F.lit(-1)) == 1
+    model = ppm.fit(ppm.sample(docs, "lang", ppm.Settings.rows, ~held_out))
+    found = ppm.identified(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
