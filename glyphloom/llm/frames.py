@@ -42,8 +42,10 @@ def appended(df: DataFrame, column: str, fields: list[StructField],
     small_batches(df.sparkSession)
     new = {f.name for f in fields}
     kept = [c for c in df.columns if c not in new]
-    source = df.select(*map(quoted, kept), quoted(column).alias(_IN))
-    schema = StructType([*source.schema.fields[:-1], *fields])
+    # Python operators can't address names with dots, so columns travel under numbers.
+    source = df.select(*(quoted(c).alias(f"_{i}") for i, c in enumerate(kept)), quoted(column).alias(_IN))
+    schema = StructType([*source.schema.fields[:-1], *(StructField(f"_{len(kept) + i}", f.dataType, f.nullable)
+                                                       for i, f in enumerate(fields))])
     names = schema.names
 
     def run(batches):
@@ -53,4 +55,4 @@ def appended(df: DataFrame, column: str, fields: list[StructField],
                 arrays = compute(batch.column(batch.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, *(f.name for f in fields))

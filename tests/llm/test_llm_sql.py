@@ -22,4 +22,4 @@ def test_sql(spark, sf, name):
 
 def test_every_operator_has_a_query():
     numbers = {int(name[2:].split("_")[0]) for name in QUERIES}
-    assert numbers == set(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert numbers == set(range(1, 14)) and set(SQL) <= set(QUERIES)
