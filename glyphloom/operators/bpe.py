@@ -1,29 +1,33 @@
-"""Byte-pair vocabulary induction as an iterative DataFrame job.
+"""Byte-pair vocabulary induction in few phases of DataFrame jobs.
 
 The state is a table of distinct words per group (a group is one label and one
-configuration), each word an array of symbols. A round counts adjacent symbols
-over that table, takes the best pairs of every group, and queues them; the queued
-merges are applied on the fly while the next round counts, and every few rounds
-the rewritten table is written out. All groups advance in the same jobs.
-
-**Exact mode.** Pairs rank by (count desc, left id, right id), ids being code
-points and then merges in order of birth. A round brings the best pairs of a group
-to the driver, which takes them in rank order for as long as it knows their counts:
-
-* merging ``(a, b)`` changes only pairs that touch it, ``(x, a)`` and ``(b, y)``,
-  and makes ``(x, ab)`` and ``(ab, y)``, which occur at most as often as those;
-* how often two pairs touch, ``x a b`` or ``a b y``, is counted along with the
-  pairs for a watch list chosen the round before; where both are on it and neither
-  was disturbed otherwise, the counts after the merge are known exactly;
-* everywhere else the old count stays as an upper bound, and a round ends when a
-  pair known only by a bound comes first, or the list's last rank is reached (no
-  pair outside the list, nor any pair made from one, can come before it);
-* ``(a, a)`` touches itself, and a merge that spells an existing symbol adds to
-  that symbol's pairs, so either ends the round after itself.
-
-**Relaxed mode** skips a touching pair instead of stopping there, down to half the
-round's top count. It needs far fewer rounds; its merges are not those of exact
-mode and the output says so.
+configuration), each word an array of symbols. Pairs rank by (count desc, left id,
+right id), ids being code points and then merges in order of birth; the best pair
+is merged until the vocabulary is full or no pair is left.
+
+**A phase.** Spark counts all pairs of a group and takes the ``active`` best of
+them. Words are cut wherever two neighbours are not an active pair, and equal
+stretches are added up. One task per group then trains on its table of stretches
+alone: pair counts by signed deltas, an index from pairs to positions, a heap. Its merges
+are those of training on all words, for as long as they rank before the best inactive
+pair:
+
+* Two tokens A and B can meet only where the last symbol of A met the first of B
+  at the start of the phase, so that junction pair is at least as frequent.
+  If it is inactive, (A, B) ranks after it and is not due in this phase. If it is active,
+  no occurrence was cut: all of them are inside stretches, and the count is exact.
+* A token that merges spell in several ways has several junctions. With at most
+  m junctions a pair and inactive pairs of count h at most, no more than m * h occurrences of it
+  were cut. The phase ends where that could matter: at a pair with a cut junction, or
+  when such a pair, or m * h, reaches the best count.
+
+The best pair of all is always active and exact, so every phase learns something. If no
+pair is inactive, one phase is all there is.
+
+**Bounds.** A table of stretches holds at most ``symbols`` symbols; if it is larger,
+fewer pairs are active and the same table is cut again. Active pairs are few by their number. So neither the
+driver nor a task holds anything that grows with the corpus, and both numbers change
+the number of phases only, never a merge.
 """
 
 import heapq
@@ -37,21 +41,23 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import patterns as p
 from glyphloom.functions import text as t
+from glyphloom.functions.merging import Merges
 from glyphloom.session import remove, small_table, spread, work_dir, written, written_at
 
 FIRST_MERGE = 0x110000      # symbols below are code points
 _BITS = 21                  # a symbol fits in 21 bits, a group in the 21 above two of them
+_MASK = (1 << _BITS) - 1
 STATE = "gid int, symbols array<int>, n bigint"
+MAX_ACTIVE = 4_000_000      # active pairs of all groups, which every task looks up
 
 
 @dataclass
 class Vocabulary:
     """Learned merges and vocabularies, one per group, as bounded DataFrames."""
 
-    merges: DataFrame    # (*by, rank, left, right, token, n, mode)
+    merges: DataFrame    # (*by, rank, left, right, token, n)
     vocab: DataFrame     # (*by, token, id, kind, merge_rank)
-    rounds: int
-    mode: str
+    phases: int
 
 
 # --- task side ---------------------------------------------------------------
@@ -84,245 +90,274 @@ def _pair_keys(values, rows, gids):
     return key, inside
 
 
-def _find(keys, key):
-    """Index into sorted ``keys`` for each ``key``, and whether it is there."""
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    return at, keys[at] == key
-
-
-def _apply(values, rows, gids, steps):
-    """Apply steps of merges to every row.
-
-    A row changes only if it holds the pair of some merge as it stands, so the
-    steps run over those rows alone. Rows come back whole, but not in order.
-    """
-    if not steps or len(values) < 2:
-        return values, rows
-    key, inside = _pair_keys(values, rows, gids)
-    hit = inside & _find(np.unique(np.concatenate([keys for keys, _ in steps])), key)[1]
-    changes = np.zeros(len(gids), bool)
-    changes[rows[:-1][hit]] = True
-    part = changes[rows]
-    rest = values[~part], rows[~part]
-    values, rows = values[part], rows[part]
-    for keys, news in steps:
-        if len(values) < 2:
-            break
+def _counted(batches):
+    """Pairs of each batch with their counts."""
+    for batch in _joined(batches):
+        gids = batch.column("gid").to_numpy().astype(np.int64)
+        values, rows = _flat(batch)
         key, inside = _pair_keys(values, rows, gids)
-        at, found = _find(keys, key)
-        hit = inside & found
-        if not hit.any():
-            continue
-        # Only (a, a) can hit twice in a row: keep every other hit of such a run.
-        index = np.arange(len(hit))
-        head = hit & ~np.concatenate(([False], hit[:-1]))
-        hit &= (index - np.maximum.accumulate(np.where(head, index, 0))) % 2 == 0
-        values[:-1][hit] = news[at[hit]]
-        keep = np.concatenate(([True], ~hit))
-        values, rows = values[keep], rows[keep]
-    return np.concatenate((rest[0], values)), np.concatenate((rest[1], rows))
+        found, where = np.unique(key[inside], return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, where, batch.column("n").to_numpy()[rows[:-1][inside]])
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], ["pair", "n"])
 
 
-def _sums(keys, weights):
-    found, where = np.unique(keys, return_inverse=True)
-    total = np.zeros(len(found), np.int64)
-    np.add.at(total, where, weights)
-    return found, total
-
-
-def _counter(steps, watched):
-    """Partial counts per batch: of pairs, and of watched pairs that touch.
-
-    A touching couple is reported as ``-1 - (index * len(watched) + index)``.
-    """
-    def count(batches):
+def _cutter(active):
+    """Stretches of two symbols or more in which every neighbouring pair is active."""
+    def cut(batches):
         for batch in _joined(batches):
             gids = batch.column("gid").to_numpy().astype(np.int64)
-            weight = batch.column("n").to_numpy()
-            values, rows = _apply(*_flat(batch), gids, steps)
-            if len(values) < 2:
+            values, rows = _flat(batch)
+            if len(values) < 2 or not len(active.value):
                 continue
             key, inside = _pair_keys(values, rows, gids)
-            found = [_sums(key[inside], weight[rows[:-1][inside]])]
-            if len(watched) and len(key) > 1:
-                at, found_at = _find(watched, key)
-                seen = inside & found_at
-                both = seen[:-1] & seen[1:]
-                couple = -1 - (at[:-1][both] * len(watched) + at[1:][both])
-                found.append(_sums(couple, weight[rows[:-2][both]]))
-            pairs, totals = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(totals)], ["pair", "n"])
-    return count
-
-
-def _rewriter(steps):
+            at = np.minimum(np.searchsorted(active.value, key), len(active.value) - 1)
+            tied = inside & (active.value[at] == key)
+            first = np.flatnonzero(np.concatenate(([True], ~tied)))
+            size = np.diff(np.append(first, len(values)))
+            long_ = size > 1
+            kept = np.repeat(long_, size)
+            offsets = np.concatenate(([0], np.cumsum(size[long_]))).astype(np.int32)
+            row = rows[first[long_]]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(gids[row].astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[kept].astype(np.int32))),
+                pa.array(batch.column("n").to_numpy()[row])], ["gid", "symbols", "n"])
+    return cut
+
+
+def _rewriter(merges):
+    """Words after the merges of a phase, group by group; single symbols have no pair left and go."""
     def rewrite(batches):
-        for batch in _joined(batches):
-            gids = batch.column("gid").to_numpy().astype(np.int64)
-            values, rows = _apply(*_flat(batch), gids, steps)
-            values = values[np.argsort(rows, kind="stable")]
-            sizes = np.bincount(rows, minlength=batch.num_rows)
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            symbols = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("gid"), symbols, batch.column("n")], ["gid", "symbols", "n"])
-            yield out.filter(pa.array(sizes > 1))  # a single symbol has no pair left
+        known = {gid: Merges(ranked, once=True) for gid, ranked in merges.value.items()}
+        for batch in batches:
+            gids = batch.column("gid").to_pylist()
+            out = pa.array([known[g].applied(s) for g, s in zip(gids, batch.column("symbols").to_pylist())],
+                           pa.list_(pa.int32()))
+            whole = pa.RecordBatch.from_arrays([batch.column("gid"), out, batch.column("n")], ["gid", "symbols", "n"])
+            yield whole.filter(pa.compute.greater(pa.compute.list_value_length(out), 1))
     return rewrite
 
 
-# --- driver side: the choice of merges in one group --------------------------
-
-@dataclass
-class _Pair:
-    """What a round knows of a pair: its count, or an upper bound of it."""
-
-    n: int
-    exact: bool = True
-    original: bool = True     # counted by the job, not made by a merge of this round
-    side: str = ""            # the side on which merges of this round touched it
-
+class _Names:
+    """Symbols of a group: code points, then learned strings in order of birth."""
 
-class _Group:
-    """Merge list of one group. Holds at most ``target_size`` strings."""
-
-    def __init__(self, alphabet: list[str], target_size: int):
-        self.alphabet = sorted(alphabet)
-        self.room = target_size - len(p.SPECIAL_TOKENS) - len(self.alphabet)
-        self.symbols: list[str] = []             # k-th new symbol
-        self.ids: dict[str, int] = {}
-        self.merges: list[tuple] = []            # (left, right, token, n)
-        self.watched: set[tuple[int, int]] = set()
-        self.done = self.room <= 0
+    def __init__(self, symbols: list[str]):
+        self.symbols = symbols
+        self.ids = {s: FIRST_MERGE + i for i, s in enumerate(symbols)}
 
     def text(self, symbol: int) -> str:
         return chr(symbol) if symbol < FIRST_MERGE else self.symbols[symbol - FIRST_MERGE]
 
-    def merge(self, left: int, right: int, n: int) -> tuple[int, bool]:
-        """Record a merge; returns its symbol and whether the string was known."""
+    def merged(self, left: int, right: int) -> tuple[int, bool]:
+        """Symbol of two symbols put together, and whether it is a new one."""
         token = self.text(left) + self.text(right)
-        known = token in self.ids
-        if not known:
+        new = token not in self.ids
+        if new:
             self.ids[token] = FIRST_MERGE + len(self.symbols)
             self.symbols.append(token)
-        self.merges.append((self.text(left), self.text(right), token, int(n)))
-        return self.ids[token], known
-
-    @property
-    def full(self) -> bool:
-        return len(self.symbols) >= self.room
-
-    def take_relaxed(self, ranked, floor: int):
-        """Every pair that touches none taken before, down to half the top count."""
-        chosen, lefts, rights = [], set(), set()
-        least = max(floor, ranked[0][2] / 2) if ranked else floor
-        for left, right, n in ranked:
-            if n < least or self.full:
-                break
-            if left not in rights and right not in lefts:
-                chosen.append((left, right, self.merge(left, right, n)[0]))
-                lefts.add(left)
-                rights.add(right)
-        return chosen
-
-    def take_exact(self, ranked, last, touching, floor: int, watch: int):
-        """Pairs in rank order while their counts are known; see the module text.
-
-        ``last`` is the final rank of a truncated list; ``touching`` counts how
-        often two watched pairs overlap.
-        """
-        live = {(a, b): _Pair(n) for a, b, n in ranked}
-        starts, ends = {}, {}
-        for pair in live:
-            starts.setdefault(pair[0], set()).add(pair)
-            ends.setdefault(pair[1], set()).add(pair)
-        heap = [(-n, a, b) for a, b, n in ranked]
-        heapq.heapify(heap)
-
-        def add(pair, known: _Pair):
-            if known.n > 0:
-                live[pair] = known
-                starts.setdefault(pair[0], set()).add(pair)
-                ends.setdefault(pair[1], set()).add(pair)
-                heapq.heappush(heap, (-known.n, *pair))
-
-        chosen = []
-        while heap and not self.full:
-            rank = heap[0]
-            pair = rank[1:]
-            top = live.get(pair)
-            if top is None or top.n != -rank[0]:
-                heapq.heappop(heap)     # an entry from before a count changed
-                continue
-            if not top.exact or top.n < floor or (last and rank > last):
-                break
-            left, right = pair
-            new, known = self.merge(left, right, top.n)
-            chosen.append((left, right, new))
-            del live[pair]
-            starts[left].discard(pair)
-            ends[right].discard(pair)
-            if known or left == right:
-                break
-            clean = top.original and not top.side and pair in self.watched
-            after = [(q, "left", (pair, q), [(new, q[1])]) for q in starts.get(right, ())]
-            before = [(q, "right", (q, pair), [(q[0], new)]) for q in ends.get(left, ())]
-            for q, side, key, made in after + before:
-                other = live[q]
-                bound = min(top.n, other.n)
-                if q == (right, left):          # touches on both sides
-                    made = [(new, left), (right, new), (new, new)]
-                counted = (clean and other.original and other.exact and other.side in ("", side)
-                           and q in self.watched and q[0] != q[1] and q != (right, left))
-                if counted:
-                    n = touching.get(key, 0)
-                    other.n -= n
-                    other.side = side
-                    if n:
-                        heapq.heappush(heap, (-other.n, *q))
-                    add(made[0], _Pair(n, original=False))
-                else:
-                    other.exact = False
-                    for new_pair in made:
-                        if new_pair not in live:
-                            add(new_pair, _Pair(bound, exact=False, original=False))
-        best = heapq.nlargest(watch, live.items(), key=lambda x: x[1].n)
-        self.watched = {pair for pair, _ in best}
-        return chosen
-
-
-def _key(gid: int, left: int, right: int) -> int:
-    return (gid << (2 * _BITS)) | (left << _BITS) | right
-
-
-def _as_rounds(chosen: list[tuple[int, list]]):
-    """Merges of all groups as steps that can each be applied at once.
-
-    A step ends where a merge touches, or uses, one of the same group and step.
+        return self.ids[token], new
+
+
+class _Junctions:
+    """Which symbols of the phase's start can begin or end a symbol, and what was cut there."""
+
+    def __init__(self, active: set, most: int):
+        self.active, self.most = active, most   # the best inactive pair's count, 0 if there is none
+        self.firsts: dict[int, set] = {}
+        self.lasts: dict[int, set] = {}
+        self.ways = 1
+        self.shadow: list = []                  # heap of pairs that may have been cut
+
+    def _of(self, table: dict, symbol: int) -> set:
+        return table.get(symbol) or {symbol}
+
+    def born(self, left: int, right: int, symbol: int, new: bool, counts: dict) -> None:
+        for table, part in ((self.firsts, left), (self.lasts, right)):
+            own = set() if new else self._of(table, symbol)
+            table[symbol] = own | self._of(table, part)
+        sizes = [max(map(len, table.values())) for table in (self.firsts, self.lasts)] if not new else None
+        if sizes:
+            self.ways = max(self.ways, sizes[0] * sizes[1])
+            for pair, n in counts.items():
+                if symbol in pair:
+                    self.changed(pair, n)
+        else:
+            self.ways = max(self.ways, len(self.firsts[symbol]) * len(self.lasts[symbol]))
+
+    def cut(self, pair: tuple[int, int]) -> bool:
+        return any((a, b) not in self.active
+                   for a in self._of(self.lasts, pair[0]) for b in self._of(self.firsts, pair[1]))
+
+    def changed(self, pair: tuple[int, int], n: int) -> None:
+        if self.ways > 1 and n > 0 and self.cut(pair):
+            heapq.heappush(self.shadow, (-n, pair))
+
+    def doubtful(self, pair: tuple[int, int], n: int, counts: dict) -> bool:
+        """Whether cut occurrences could make another pair come first."""
+        if self.ways == 1:
+            return False
+        hidden = self.ways * self.most
+        while self.shadow and counts.get(self.shadow[0][1]) != -self.shadow[0][0]:
+            heapq.heappop(self.shadow)
+        return n <= hidden or self.cut(pair) or bool(self.shadow and hidden - self.shadow[0][0] >= n)
+
+
+def learnt(stretches: list[tuple[list[int], int]], names: _Names, active: set, last: tuple | None,
+           room: int, floor: int) -> list[tuple[int, int, int]]:
+    """Merges ``(left, right, n)`` in order, from the stretches of one group.
+
+    ``last`` is the rank (-n, left, right) of the best inactive pair; ``room`` bounds new symbols.
     """
-    steps: list[list[tuple[int, int]]] = []
-    for gid, merges in chosen:
-        at, lefts, rights, born = 0, set(), set(), set()
-        for left, right, new in merges:
-            if left in rights or right in lefts or left in born or right in born:
-                at, lefts, rights, born = at + 1, set(), set(), set()
-            if at == len(steps):
-                steps.append([])
-            steps[at].append((_key(gid, left, right), new))
-            lefts.add(left)
-            rights.add(right)
-            born.add(new)
-    return [tuple(np.array(x, np.int64) for x in zip(*sorted(step))) for step in steps]
+    symbols, weights = [], []
+    for word, n in stretches:
+        symbols += word
+        symbols.append(-1)
+        weights += [n] * (len(word) + 1)
+    after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
+    counts: dict[tuple, int] = {}
+    places: dict[tuple, list] = {}
+    for i in range(len(symbols) - 1):
+        if symbols[i] >= 0 and symbols[i + 1] >= 0:
+            pair = (symbols[i], symbols[i + 1])
+            counts[pair] = counts.get(pair, 0) + weights[i]
+            places.setdefault(pair, []).append(i)
+    heap = [(-n, *pair) for pair, n in counts.items()]
+    heapq.heapify(heap)
+    junctions = _Junctions(active, -last[0]) if last else None
+    out = []
+    while heap and room > 0:
+        rank = heap[0]
+        pair, n = rank[1:], -rank[0]
+        if counts.get(pair) != n:
+            heapq.heappop(heap)     # an entry from before the count changed
+            continue
+        if n < floor or (last and rank >= last) or (junctions and junctions.doubtful(pair, n, counts)):
+            break
+        left, right = pair
+        made, new = names.merged(left, right)
+        out.append((left, right, n))
+        room -= new
+        changed: dict[tuple, int] = {}
+        for i in sorted(places.pop(pair)):
+            j = after[i]
+            if symbols[i] != left or j >= len(symbols) or symbols[j] != right:
+                continue            # merged into a neighbour since
+            w, h, k = weights[i], before[i], after[j]
+            symbols[i], symbols[j] = made, -2
+            after[i] = k
+            before[k] = i
+            changed[pair] = changed.get(pair, 0) - w
+            if h >= 0 and symbols[h] >= 0:
+                old, fresh = (symbols[h], left), (symbols[h], made)
+                changed[old] = changed.get(old, 0) - w
+                changed[fresh] = changed.get(fresh, 0) + w
+                places.setdefault(fresh, []).append(h)
+            if symbols[k] >= 0:
+                old, fresh = (right, symbols[k]), (made, symbols[k])
+                changed[old] = changed.get(old, 0) - w
+                changed[fresh] = changed.get(fresh, 0) + w
+                places.setdefault(fresh, []).append(i)
+        for other, delta in changed.items():
+            total = counts.get(other, 0) + delta
+            if total > 0:
+                counts[other] = total
+                if delta:
+                    heapq.heappush(heap, (-total, *other))
+            else:
+                counts.pop(other, None)
+                places.pop(other, None)
+        if junctions:
+            junctions.born(left, right, made, new, counts)
+            for other in changed:
+                junctions.changed(other, counts.get(other, 0))
+    return out
+
+
+def _learner(groups, active, floor: int):
+    """One group's stretches to its merges of this phase."""
+    def learn(table: pa.Table) -> pa.Table:
+        gid = table.column("gid")[0].as_py()
+        symbols, room, last = groups.value[gid]
+        lo, hi = np.searchsorted(active.value, [gid << (2 * _BITS), (gid + 1) << (2 * _BITS)])
+        pairs = {(k >> _BITS & _MASK, k & _MASK) for k in active.value[lo:hi].tolist()} if last else set()
+        words = list(zip(table.column("symbols").to_pylist(), table.column("n").to_pylist()))
+        merges = learnt(words, _Names(list(symbols)), pairs, last, room, floor)
+        columns = list(zip(*merges)) or [(), (), ()]
+        return pa.table([pa.array([gid] * len(merges), pa.int32()), pa.array(range(len(merges)), pa.int64()),
+                         *(pa.array(c, pa.int64()) for c in columns)], names=["gid", "seq", "a", "b", "n"])
+    return learn
 
 
 # --- training ----------------------------------------------------------------
 
-def train(words: DataFrame, target_size: int, by=("label", "config"), exact: bool = True,
-          min_pair_count: int = 1, candidates: int = 512, watch: int = 256, rewrite_every: int = 40) -> Vocabulary:
+class _Group:
+    """Merge list of one group. Holds at most ``target_size`` strings."""
+
+    def __init__(self, alphabet: list[str], target_size: int):
+        self.alphabet = sorted(alphabet)
+        self.names = _Names([])
+        self.size = target_size - len(p.SPECIAL_TOKENS) - len(self.alphabet)
+        self.merges: list[tuple] = []            # (left, right, token, n)
+        self.done = self.room <= 0
+
+    @property
+    def room(self) -> int:
+        return self.size - len(self.names.symbols)
+
+    def take(self, merges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Record a phase's merges; returns them with what they make."""
+        out = []
+        for left, right, n in merges:
+            made, _ = self.names.merged(left, right)
+            self.merges.append((self.names.text(left), self.names.text(right), self.names.text(made), n))
+            out.append((left, right, made))
+        return out
+
+
+def _ranked(state: DataFrame, active: int) -> dict[int, list[tuple]]:
+    """The best ``active`` + 1 pairs of each group, by rank."""
+    counts = state.mapInArrow(_counted, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    top = Window.partitionBy("gid").orderBy(F.desc("n"), "pair")
+    best = (counts.withColumn("gid", F.shiftright("pair", 2 * _BITS)).withColumn("rank", F.row_number().over(top))
+            .filter(F.col("rank") <= active + 1).select("pair", "n").toArrow())
+    keys, totals = best.column("pair").to_numpy(), best.column("n").to_numpy()
+    order = np.lexsort((keys, -totals, keys >> (2 * _BITS)))
+    out: dict[int, list[tuple]] = {}
+    for key, n in zip(keys[order].tolist(), totals[order].tolist()):
+        out.setdefault(key >> (2 * _BITS), []).append((-n, key))
+    return out
+
+
+def _stretches(state: DataFrame, ranked: dict[int, list[tuple]], active: int, symbols: int):
+    """Written table of stretches, active pairs (sorted keys), and each group's best inactive rank."""
+    spark = state.sparkSession
+    share = {gid: min(active, len(pairs)) for gid, pairs in ranked.items()}
+    source, path = state, None
+    while True:
+        keys = np.array(sorted(k for gid, m in share.items() for _, k in ranked[gid][:m]), np.int64)
+        held = spark.sparkContext.broadcast(keys)
+        cut = source.mapInArrow(_cutter(held), STATE).groupBy("gid", "symbols").agg(F.sum("n").alias("n"))
+        old, path = path, work_dir(spark, "stretches")
+        source = written_at(cut, path)
+        if old:
+            remove(spark, old)
+        sizes = {r.gid: r.size for r in source.groupBy("gid").agg(F.sum(F.size("symbols")).alias("size")).collect()}
+        large = [g for g, size in sizes.items() if size > symbols and share[g] > 1]
+        if not large:
+            lasts = {g: ranked[g][m] if m < len(ranked[g]) else None for g, m in share.items()}
+            lasts = {g: r and (r[0], r[1] >> _BITS & _MASK, r[1] & _MASK) for g, r in lasts.items()}
+            return source, path, held, lasts
+        for g in large:
+            share[g] = max(1, min(share[g] // 2, share[g] * symbols // sizes[g]))
+
+
+def train(words: DataFrame, target_size: int, by=("label", "config"), min_pair_count: int = 1,
+          active: int = 50_000, symbols: int = 1 << 20) -> Vocabulary:
     """Learn one vocabulary per group from ``(*by, word, n)``.
 
-    ``candidates`` and ``watch`` bound what one round brings to the driver per
-    group; pairs beyond them are seen again in later rounds, so they change speed,
-    not results.
+    ``active`` and ``symbols`` bound a phase's pairs and stretches of a group; they
+    change the number of phases, not results.
     """
     spark = words.sparkSession
     words = written(words.select(*by, "word", "n"), "words")
@@ -332,65 +367,49 @@ def train(words: DataFrame, target_size: int, by=("label", "config"), exact: boo
     names = [tuple(r[k] for k in by) for r in letters]
     groups = [_Group(r["alphabet"], target_size) for r in letters]
     if not groups:
-        return _tables(spark, words, by, names, groups, 0, exact)
+        return _tables(spark, words, by, names, groups, 0)
+    active = max(1, min(active, MAX_ACTIVE // len(groups)))
 
     numbers = F.broadcast(small_table(  # one row per group
         spark, [(*name, i) for i, name in enumerate(names)], f"{_ddl(words, by)}, gid int"))
     path = work_dir(spark, "state")
     state = written_at(spread(words, "word").filter(F.length("word") > 1).join(numbers, list(by)).select(
         "gid", F.transform(F.split("word", ""), F.ascii).alias("symbols"), "n"), path)
-
-    top = Window.partitionBy("gid").orderBy(F.desc("n"), "pair")
-    queue, rounds, mask = [], 0, (1 << _BITS) - 1
+    phases = 0
     while not all(g.done for g in groups):
-        active = [i for i, g in enumerate(groups) if not g.done]
-        watched = np.array(sorted(_key(i, *pair) for i in active for pair in groups[i].watched), np.int64)
-        counts = (state.filter(F.col("gid").isin(active))
-                  .mapInArrow(_counter(queue, watched), "pair bigint, n bigint")
-                  .groupBy("pair").agg(F.sum("n").alias("n")))
-        # Each touching couple is a window group of its own and so always kept.
-        gid = F.when(F.col("pair") < 0, F.col("pair")).otherwise(F.shiftright("pair", 2 * _BITS))
-        best = (counts.withColumn("gid", gid).withColumn("rank", F.row_number().over(top))
-                .filter(F.col("rank") <= candidates).select("pair", "n").toArrow())
-        ranked, touching = {i: [] for i in active}, {}
-        for key, n in zip(best.column("pair").to_pylist(), best.column("n").to_pylist()):
-            if key >= 0:
-                ranked[key >> (2 * _BITS)].append(((key >> _BITS) & mask, key & mask, n))
-            else:
-                first, second = (int(watched[k]) for k in divmod(-1 - key, len(watched)))
-                couple = tuple(((k >> _BITS) & mask, k & mask) for k in (first, second))
-                touching.setdefault(first >> (2 * _BITS), {})[couple] = n
-        chosen = []
-        for i in active:
-            group = groups[i]
-            ranked[i].sort(key=lambda x: (-x[2], x[0], x[1]))
-            if exact:
-                a, b, n = ranked[i][-1] if len(ranked[i]) >= candidates else (0, 0, 0)
-                taken = group.take_exact(ranked[i], (-n, a, b) if n else None,
-                                         touching.get(i, {}), min_pair_count, watch)
-            else:
-                taken = group.take_relaxed(ranked[i], min_pair_count)
-            chosen.append((i, taken))
-            group.done = not taken or group.full
-        rounds += 1
-        queue += _as_rounds(chosen)
-        if len(queue) >= rewrite_every:
+        open_ = [i for i, g in enumerate(groups) if not g.done]
+        state = state.filter(F.col("gid").isin(open_))
+        ranked = _ranked(state, active)
+        stretches, cut_path, held, lasts = _stretches(state, ranked, active, symbols)
+        known = spark.sparkContext.broadcast({i: (groups[i].names.symbols, groups[i].room, lasts.get(i)) for i in open_})
+        found = stretches.groupBy("gid").applyInArrow(_learner(known, held, min_pair_count),
+                                                      "gid int, seq bigint, a bigint, b bigint, n bigint").toArrow()
+        remove(spark, cut_path)
+        phases += 1
+        merges: dict[int, list] = {}
+        for row in sorted(zip(*(c.to_pylist() for c in found.columns))):
+            merges.setdefault(row[0], []).append(row[2:])
+        taken = {i: groups[i].take(merges.get(i, [])) for i in open_}
+        for i in open_:
+            # without an inactive pair a phase ends only where training does
+            groups[i].done = not taken[i] or groups[i].room <= 0 or lasts.get(i) is None
+        if not all(g.done for g in groups):
+            applied = spark.sparkContext.broadcast({i: taken[i] for i in open_ if not groups[i].done})
             old, path = path, work_dir(spark, "state")
-            state = written_at(state.mapInArrow(_rewriter(queue), STATE), path)
+            left = state.filter(F.col("gid").isin([i for i in open_ if not groups[i].done]))
+            state = written_at(left.mapInArrow(_rewriter(applied), STATE), path)
             remove(spark, old)
-            queue = []
     remove(spark, path)
-    return _tables(spark, words, by, names, groups, rounds, exact)
+    return _tables(spark, words, by, names, groups, phases)
 
 
 def _ddl(df: DataFrame, by) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
 
 
-def _tables(spark: SparkSession, words: DataFrame, by, names, groups, rounds, exact) -> Vocabulary:
-    mode = "exact" if exact else "relaxed"
+def _tables(spark: SparkSession, words: DataFrame, by, names, groups, phases) -> Vocabulary:
     keys = _ddl(words, by)
-    merges = [(*name, k, *m, mode) for name, g in zip(names, groups) for k, m in enumerate(g.merges)]
+    merges = [(*name, k, *m) for name, g in zip(names, groups) for k, m in enumerate(g.merges)]
     vocab = []
     for name, g in zip(names, groups):
         ranks = {}
@@ -399,10 +418,10 @@ def _tables(spark: SparkSession, words: DataFrame, by, names, groups, rounds, ex
         entries = itertools.chain(
             ((s, "special", None) for s in p.SPECIAL_TOKENS),
             ((c, "alphabet", None) for c in g.alphabet),
-            ((s, "merge", ranks[s]) for s in g.symbols))
+            ((s, "merge", ranks[s]) for s in g.names.symbols))
         vocab += [(*name, token, i, kind, rank) for i, (token, kind, rank) in enumerate(entries)]
     return Vocabulary(
         small_table(spark, merges, f"{keys}, rank bigint, left string, right string, "
-                                      "token string, n bigint, mode string"),
+                                      "token string, n bigint"),
         small_table(spark, vocab, f"{keys}, token string, id bigint, kind string, merge_rank bigint"),
-        rounds, mode)
+        phases)

@@ -25,7 +25,7 @@ from glyphloom.sources import reports, results
 
 QUERIES = {}
 FACTORED = ("split_factored",)
-TARGET_SIZE = 320          # vocabulary target of the registered training queries
+TARGET_SIZE = 16_000       # vocabulary target of the registered training queries
 CONTEXT = 256              # sequence length of the packing queries
 BATCH = 16
 TOP_PAIRS = 100

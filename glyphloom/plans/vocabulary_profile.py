@@ -47,8 +47,7 @@ class Profile:
             metrics.ratio(F.col("chars"), F.col("tokens")).alias("chars_per_token"),
             metrics.inflation(F.col("tokens"), F.col("base_tokens")).alias("inflation"),
             metrics.vocab_diff(F.col("actual_vocab_size"), F.col("base_actual_vocab_size"),
-                               target).alias("vocab_diff"),
-            F.lit(self.vocabulary.mode).alias("merge_mode"))
+                               target).alias("vocab_diff"))
 
     def roundtrip(self) -> DataFrame:
         """Documents per label, configuration and outcome of decode(encode(text))."""
@@ -58,10 +57,10 @@ class Profile:
 
 
 def profile(train: DataFrame, validation: DataFrame, target_size: int = 128_000,
-            configs=REPORT_CONFIGS, exact: bool = True, min_pair_count: int = 1) -> Profile:
+            configs=REPORT_CONFIGS, min_pair_count: int = 1) -> Profile:
     """Learn vocabularies on ``train`` and encode the distinct units of ``validation``."""
     words = dec.word_counts(dec.dictionary(training_lines(nonblank(train)), configs))
-    vocabulary = bpe.train(words, target_size, exact=exact, min_pair_count=min_pair_count)
+    vocabulary = bpe.train(words, target_size, min_pair_count=min_pair_count)
     valid = nonblank(validation)
     units = pcs.unit_arrays(pcs.normalized(valid), configs)
     dic = dec.factor(pcs.unit_counts(units), configs)

@@ -1,9 +1,11 @@
+import collections
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from glyphloom.functions.merging import Merges
 from glyphloom.operators import bpe, encode
 from glyphloom.operators import decompose as dec
 from glyphloom.operators import pieces as pcs
@@ -66,11 +68,96 @@ def test_exact_merges_equal_the_public_trainer(spark, seed):
             assert vocab[label] == tok.get_vocab(), label
 
 
-def test_candidate_bound_and_rewrites_do_not_change_results(spark):
+@pytest.mark.parametrize("active, symbols", [(1, 8), (2, 40), (5, 60), (12, 10_000)])
+def test_bounds_of_a_phase_change_phases_only(spark, active, symbols):
     groups = bags(3)
-    _, wide = train(spark, groups, 30)
-    _, narrow = train(spark, groups, 30, candidates=2, rewrite_every=1)
-    assert wide == narrow
+    one, wide = train(spark, groups, 30)
+    many, narrow = train(spark, groups, 30, active=active, symbols=symbols)
+    assert wide == narrow and one.phases == 1 < many.phases
+
+
+def recounted(words, size):
+    """Merges by counting all pairs before each of them."""
+    symbols, ids, out = [(list(map(ord, w)), n) for w, n in words.items()], {}, []
+    names = {}
+    while len(ids) < size:
+        counts = collections.Counter()
+        for s, n in symbols:
+            for pair in zip(s, s[1:]):
+                counts[pair] += n
+        if not counts:
+            break
+        n, (a, b) = min(((-n, pair) for pair, n in counts.items()))
+        token = names.get(a, chr(a) if a < bpe.FIRST_MERGE else "") + names.get(b, chr(b) if b < bpe.FIRST_MERGE else "")
+        made = ids.setdefault(token, bpe.FIRST_MERGE + len(ids))
+        names[made] = token
+        out.append((a, b, -n))
+        merged = []
+        for s, w in symbols:
+            t, i = [], 0
+            while i < len(s):
+                hit = i + 1 < len(s) and (s[i], s[i + 1]) == (a, b)
+                t.append(made if hit else s[i])
+                i += 1 + hit
+            merged.append((t, w))
+        symbols = merged
+    return out
+
+
+def in_phases(words, size, active):
+    """The trainer's own phases on one group, without Spark."""
+    state = collections.Counter({tuple(map(ord, w)): n for w, n in words.items()})
+    names, out = bpe._Names([]), []
+    while len(names.symbols) < size:
+        counts = collections.Counter()
+        for s, n in state.items():
+            for pair in zip(s, s[1:]):
+                counts[pair] += n
+        ranked = sorted((-n, *pair) for pair, n in counts.items())
+        kept = {r[1:] for r in ranked[:active]}
+        last = ranked[active] if active < len(ranked) else None
+        cut = collections.Counter()
+        for s, n in state.items():
+            stretch = list(s[:1])
+            for a, b in zip(s, s[1:]):
+                if (a, b) not in kept:
+                    cut[tuple(stretch)] += n
+                    stretch = []
+                stretch.append(b)
+            cut[tuple(stretch)] += n
+        merges = bpe.learnt([(list(s), n) for s, n in cut.items() if len(s) > 1], bpe._Names(list(names.symbols)),
+                            kept, last, size - len(names.symbols), 1)
+        if not merges:
+            break
+        out += merges
+        ranked_merges = bpe.Merges([(a, b, names.merged(a, b)[0]) for a, b, _ in merges], once=True)
+        state = sum((collections.Counter({tuple(ranked_merges.applied(list(s))): n}) for s, n in state.items()), collections.Counter())
+    return out
+
+
+def test_phases_learn_the_merges_of_recounting():
+    """Words whose tokens are spelled in many ways, cut at most places."""
+    rng = random.Random(8)
+    for _ in range(400):
+        letters = rng.choice(["ab", "abc", "abcd"])
+        words = {"".join(rng.choices(letters, k=rng.randint(1, 14))): rng.randint(1, 9) for _ in range(rng.randint(1, 30))}
+        size = rng.choice([5, 20, 60])
+        want = recounted(words, size)
+        for active in (1, 2, 3, 6, 100):
+            assert in_phases(words, size, active) == want, (words, size, active)
+
+
+def test_merges_of_a_long_word():
+    """A megabyte word, by lowest rank first, as the public encoder has it."""
+    from tokenizers import models
+    rng = random.Random(9)
+    pairs = [("a", "b"), ("b", "a"), ("ab", "a"), ("aba", "b"), ("a", "a"), ("aa", "ab")]
+    vocab = {s: i for i, s in enumerate(dict.fromkeys(["a", "b", *(x + y for x, y in pairs)]))}
+    merges = Merges([(vocab[x], vocab[y], vocab[x + y]) for x, y in pairs])
+    model = tokenizers.Tokenizer(models.BPE(vocab=vocab, merges=pairs))
+    for size in (0, 1, 2, 50, 3000, 1_000_000):
+        word = "".join(rng.choices("ab", k=size))
+        assert merges.applied([vocab[c] for c in word]) == model.encode(word).ids
 
 
 def test_corpus_vocabulary_equals_the_public_trainer(spark, docs, tmp_path):
@@ -107,17 +194,23 @@ def test_corpus_vocabulary_equals_the_public_trainer(spark, docs, tmp_path):
     assert few.count() == all_.count() == few.join(all_, [*on, "doc_id", "pos", "ids"]).count()
 
 
-def test_relaxed_mode_is_close_and_says_so(spark, docs):
-    words = dec.word_counts(dec.dictionary(docs.withColumn("label", F.lit("all")), ["split"])).cache()
-
-    def tokens(v):
-        coded = encode.encode_words(words.select("label", "config", "word"), v.merges, v.vocab)
-        return coded.join(words, ["label", "config", "word"]).agg(F.sum(F.size("ids") * F.col("n"))).first()[0]
-
-    exact, relaxed = bpe.train(words, 400), bpe.train(words, 400, exact=False)
-    assert relaxed.rounds < exact.rounds
-    assert relaxed.merges.select("mode").distinct().first().mode == "relaxed"
-    assert abs(tokens(relaxed) / tokens(exact) - 1) < 0.01
+def test_thousands_of_merges_equal_the_public_trainer(spark):
+    """Until the public trainer's counts go stale, 2,000 merges and more."""
+    docs = corpus.documents(spark, "/root/testdata/sf0.01").withColumn("label", F.lit("all"))
+    words = dec.word_counts(dec.dictionary(docs, ["split"]))
+    v = bpe.train(words, 3000, active=400, symbols=60_000)
+    tok = library_tokenizer({r.word: r.n for r in words.collect()}, 3000)
+    expected = [tuple(m) for m in json.loads(tok.to_str())["model"]["merges"]]
+    strings = [a + b for a, b in expected]
+    seen, clean = set(), len(strings)
+    for i, x in enumerate(strings):
+        if x in seen:
+            clean = i
+            break
+        seen.add(x)
+    got = [(r.left, r.right) for r in v.merges.orderBy("rank").collect()]
+    assert v.phases > 1 and len(got) >= 2000
+    assert got[:clean] == expected[:clean] and clean > 500
 
 
 def test_exhausted_corpus_has_one_token_per_word(spark):
