@@ -47,6 +47,7 @@ from glyphloom.session import remove, small_table, spread, work_dir, written, wr
 FIRST_MERGE = 0x110000      # symbols below are code points
 _BITS = 21                  # a symbol fits in 21 bits, a group in the 21 above two of them
 _MASK = (1 << _BITS) - 1
+_PAIR = (1 << 2 * _BITS) - 1
 STATE = "gid int, symbols array<int>, n bigint"
 MAX_ACTIVE = 4_000_000      # active pairs of all groups, which every task looks up
 
@@ -180,20 +181,20 @@ class _Junctions:
         if sizes:
             self.ways = max(self.ways, sizes[0] * sizes[1])
             for pair, n in counts.items():
-                if symbol in pair:
+                if symbol in (pair >> _BITS, pair & _MASK):
                     self.changed(pair, n)
         else:
             self.ways = max(self.ways, len(self.firsts[symbol]) * len(self.lasts[symbol]))
 
-    def cut(self, pair: tuple[int, int]) -> bool:
-        return any((a, b) not in self.active
-                   for a in self._of(self.lasts, pair[0]) for b in self._of(self.firsts, pair[1]))
+    def cut(self, pair: int) -> bool:
+        return any((a << _BITS | b) not in self.active for a in self._of(self.lasts, pair >> _BITS)
+                   for b in self._of(self.firsts, pair & _MASK))
 
-    def changed(self, pair: tuple[int, int], n: int) -> None:
+    def changed(self, pair: int, n: int) -> None:
         if self.ways > 1 and n > 0 and self.cut(pair):
             heapq.heappush(self.shadow, (-n, pair))
 
-    def doubtful(self, pair: tuple[int, int], n: int, counts: dict) -> bool:
+    def doubtful(self, pair: int, n: int, counts: dict) -> bool:
         """Whether cut occurrences could make another pair come first."""
         if self.ways == 1:
             return False
@@ -203,67 +204,81 @@ class _Junctions:
         return n <= hidden or self.cut(pair) or bool(self.shadow and hidden - self.shadow[0][0] >= n)
 
 
-def learnt(stretches: list[tuple[list[int], int]], names: _Names, active: set, last: tuple | None,
-           room: int, floor: int) -> list[tuple[int, int, int]]:
+def learnt(values: np.ndarray, rows: np.ndarray, weights: np.ndarray, names: _Names, active: set,
+           last: tuple | None, room: int, floor: int) -> list[tuple[int, int, int]]:
     """Merges ``(left, right, n)`` in order, from the stretches of one group.
 
-    ``last`` is the rank (-n, left, right) of the best inactive pair; ``room`` bounds new symbols.
+    ``values`` are the stretches' symbols laid end to end, ``rows`` says which stretch each
+    is in and ``weights`` how often that occurs. ``last`` is the rank (-n, pair) of the best
+    inactive pair; ``room`` bounds new symbols. A pair is an integer, its left symbol in the high bits.
     """
-    symbols, weights = [], []
-    for word, n in stretches:
-        symbols += word
-        symbols.append(-1)
-        weights += [n] * (len(word) + 1)
-    after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-    counts: dict[tuple, int] = {}
-    places: dict[tuple, list] = {}
-    for i in range(len(symbols) - 1):
-        if symbols[i] >= 0 and symbols[i + 1] >= 0:
-            pair = (symbols[i], symbols[i + 1])
-            counts[pair] = counts.get(pair, 0) + weights[i]
-            places.setdefault(pair, []).append(i)
-    heap = [(-n, *pair) for pair, n in counts.items()]
+    keys = (values[:-1] << _BITS | values[1:])[rows[:-1] == rows[1:]]
+    starts = np.flatnonzero(rows[:-1] == rows[1:])
+    order = np.argsort(keys, kind="stable")
+    found, first = np.unique(keys[order], return_index=True)
+    sums = np.add.reduceat(weights[rows[starts[order]]], first) if len(found) else np.zeros(0, np.int64)
+    counts: dict[int, int] = dict(zip(found.tolist(), sums.tolist()))
+    places: dict[int, list] = {k: part.tolist() for k, part in zip(found.tolist(), np.split(starts[order], first[1:]))}
+    heap = [(-n, pair) for pair, n in counts.items()]
     heapq.heapify(heap)
+    # Neighbours of a stretch's ends are its borders, -1; the place after the last one stands for all of them.
+    n_all = len(values)
+    symbols = [*values.tolist(), -1]
+    weight = weights[rows].tolist()
+    inner = np.append(rows[:-1] == rows[1:], False)
+    after = np.where(inner, np.arange(1, n_all + 1), n_all).tolist()
+    before = np.where(np.concatenate(([False], inner[:-1])), np.arange(-1, n_all - 1), n_all).tolist()
+    before.append(n_all)
     junctions = _Junctions(active, -last[0]) if last else None
     out = []
     while heap and room > 0:
         rank = heap[0]
-        pair, n = rank[1:], -rank[0]
+        pair, n = rank[1], -rank[0]
         if counts.get(pair) != n:
             heapq.heappop(heap)     # an entry from before the count changed
             continue
         if n < floor or (last and rank >= last) or (junctions and junctions.doubtful(pair, n, counts)):
             break
-        left, right = pair
+        left, right = pair >> _BITS, pair & _MASK
         made, new = names.merged(left, right)
         out.append((left, right, n))
         room -= new
-        changed: dict[tuple, int] = {}
+        changed: dict[int, int] = {pair: 0}
+        high_right, high_made = right << _BITS, made << _BITS
         for i in sorted(places.pop(pair)):
             j = after[i]
-            if symbols[i] != left or j >= len(symbols) or symbols[j] != right:
+            if symbols[i] != left or symbols[j] != right:
                 continue            # merged into a neighbour since
-            w, h, k = weights[i], before[i], after[j]
+            w, h, k = weight[i], before[i], after[j]
             symbols[i], symbols[j] = made, -2
             after[i] = k
-            before[k] = i
-            changed[pair] = changed.get(pair, 0) - w
-            if h >= 0 and symbols[h] >= 0:
-                old, fresh = (symbols[h], left), (symbols[h], made)
+            changed[pair] -= w
+            if h != n_all:
+                high = symbols[h] << _BITS
+                old, fresh = high | left, high | made
                 changed[old] = changed.get(old, 0) - w
-                changed[fresh] = changed.get(fresh, 0) + w
+                if fresh in changed:
+                    changed[fresh] += w
+                else:
+                    changed[fresh] = w
                 places.setdefault(fresh, []).append(h)
-            if symbols[k] >= 0:
-                old, fresh = (right, symbols[k]), (made, symbols[k])
+            if k != n_all:
+                before[k] = i
+                s = symbols[k]
+                old, fresh = high_right | s, high_made | s
                 changed[old] = changed.get(old, 0) - w
-                changed[fresh] = changed.get(fresh, 0) + w
+                if fresh in changed:
+                    changed[fresh] += w
+                else:
+                    changed[fresh] = w
                 places.setdefault(fresh, []).append(i)
         for other, delta in changed.items():
+            if not delta:
+                continue
             total = counts.get(other, 0) + delta
             if total > 0:
                 counts[other] = total
-                if delta:
-                    heapq.heappush(heap, (-total, *other))
+                heapq.heappush(heap, (-total, other))
             else:
                 counts.pop(other, None)
                 places.pop(other, None)
@@ -280,9 +295,9 @@ def _learner(groups, active, floor: int):
         gid = table.column("gid")[0].as_py()
         symbols, room, last = groups.value[gid]
         lo, hi = np.searchsorted(active.value, [gid << (2 * _BITS), (gid + 1) << (2 * _BITS)])
-        pairs = {(k >> _BITS & _MASK, k & _MASK) for k in active.value[lo:hi].tolist()} if last else set()
-        words = list(zip(table.column("symbols").to_pylist(), table.column("n").to_pylist()))
-        merges = learnt(words, _Names(list(symbols)), pairs, last, room, floor)
+        pairs = {k & _PAIR for k in active.value[lo:hi].tolist()} if last else set()
+        batch = table.combine_chunks().to_batches()[0]
+        merges = learnt(*_flat(batch), batch.column("n").to_numpy(), _Names(list(symbols)), pairs, last, room, floor)
         columns = list(zip(*merges)) or [(), (), ()]
         return pa.table([pa.array([gid] * len(merges), pa.int32()), pa.array(range(len(merges)), pa.int64()),
                          *(pa.array(c, pa.int64()) for c in columns)], names=["gid", "seq", "a", "b", "n"])
@@ -346,14 +361,14 @@ def _stretches(state: DataFrame, ranked: dict[int, list[tuple]], active: int, sy
         large = [g for g, size in sizes.items() if size > symbols and share[g] > 1]
         if not large:
             lasts = {g: ranked[g][m] if m < len(ranked[g]) else None for g, m in share.items()}
-            lasts = {g: r and (r[0], r[1] >> _BITS & _MASK, r[1] & _MASK) for g, r in lasts.items()}
+            lasts = {g: r and (r[0], r[1] & _PAIR) for g, r in lasts.items()}
             return source, path, held, lasts
         for g in large:
             share[g] = max(1, min(share[g] // 2, share[g] * symbols // sizes[g]))
 
 
 def train(words: DataFrame, target_size: int, by=("label", "config"), min_pair_count: int = 1,
-          active: int = 50_000, symbols: int = 1 << 20) -> Vocabulary:
+          active: int = 50_000, symbols: int = 1 << 21) -> Vocabulary:
     """Learn one vocabulary per group from ``(*by, word, n)``.
 
     ``active`` and ``symbols`` bound a phase's pairs and stretches of a group; they
@@ -382,7 +397,8 @@ def train(words: DataFrame, target_size: int, by=("label", "config"), min_pair_c
         ranked = _ranked(state, active)
         stretches, cut_path, held, lasts = _stretches(state, ranked, active, symbols)
         known = spark.sparkContext.broadcast({i: (groups[i].names.symbols, groups[i].room, lasts.get(i)) for i in open_})
-        found = stretches.groupBy("gid").applyInArrow(_learner(known, held, min_pair_count),
+        # small in bytes, long to work on: as many tasks as groups, not as few as their bytes would fill
+        found = stretches.repartition(4 * len(open_), "gid").groupBy("gid").applyInArrow(_learner(known, held, min_pair_count),
                                                       "gid int, seq bigint, a bigint, b bigint, n bigint").toArrow()
         remove(spark, cut_path)
         phases += 1

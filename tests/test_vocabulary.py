@@ -2,6 +2,7 @@ import collections
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,20 +114,20 @@ def in_phases(words, size, active):
         for s, n in state.items():
             for pair in zip(s, s[1:]):
                 counts[pair] += n
-        ranked = sorted((-n, *pair) for pair, n in counts.items())
-        kept = {r[1:] for r in ranked[:active]}
+        ranked = sorted((-n, a << 21 | b) for (a, b), n in counts.items())
+        kept = {r[1] for r in ranked[:active]}
         last = ranked[active] if active < len(ranked) else None
         cut = collections.Counter()
         for s, n in state.items():
             stretch = list(s[:1])
             for a, b in zip(s, s[1:]):
-                if (a, b) not in kept:
+                if (a << 21 | b) not in kept:
                     cut[tuple(stretch)] += n
                     stretch = []
                 stretch.append(b)
             cut[tuple(stretch)] += n
-        merges = bpe.learnt([(list(s), n) for s, n in cut.items() if len(s) > 1], bpe._Names(list(names.symbols)),
-                            kept, last, size - len(names.symbols), 1)
+        merges = bpe.learnt(np.array([x for s in cut for x in s], np.int64), np.repeat(np.arange(len(cut)), [len(s) for s in cut]),
+                            np.array(list(cut.values())), bpe._Names(list(names.symbols)), kept, last, size - len(names.symbols), 1)
         if not merges:
             break
         out += merges
