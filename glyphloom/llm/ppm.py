@@ -60,7 +60,8 @@ def sample(docs: DataFrame, label: str, rows: int, usable: Column) -> DataFrame:
     key = F.xxhash64("doc_id", "text")
     usable = usable & quoted(label).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     rated = docs.where(usable).select(quoted(label).alias("label"), "text", key.alias("_key"))
-    counts = docs.where(usable).groupBy(quoted(label).alias("_of")).agg(F.count("*").alias("_n"))
+    # Written, so that its size is known before the texts meet it: a row per label.
+    counts = written(docs.where(usable).groupBy(quoted(label).alias("_of")).agg(F.count("*").alias("_n")), "labels")
     share = F.least(F.lit(1.0), F.lit(1.2 * rows + 100) / F.col("_n"))
     below = rated.join(counts, F.col("label") == F.col("_of")).where(
         F.col("_key") <= (share * 2.0 ** 64 - 2.0 ** 63))
