@@ -268,6 +268,24 @@ def with_decoded(df: DataFrame, encoded_col: str, out: str = "decoded") -> DataF
     return df.drop("_p", "_shaped", "_nfc")
 
 
+def with_decoded_text(df: DataFrame, stream: str, out: str) -> DataFrame:
+    """Undo the operators of a whole token stream where it lies.
+
+    Each operator prefix governs the text up to the next prefix; only such stretches
+    are parsed, the others are taken as they are.
+    """
+    shape = F.transform(encoded_units(F.col(stream)), lambda u: F.when(
+        F.regexp_like(u, F.lit(f"^{p.OP_TOKEN}")), _parse(u)).otherwise(
+        F.struct(_no_ops().alias("ops"), u.alias("base"))))
+    df = t.materialize(df, _p=shape)
+    df = t.materialize(df, _shaped=F.transform("_p", lambda x: F.when(F.size(x["ops"]) > 0, F.aggregate(
+        F.reverse(F.filter(x["ops"], lambda o: o["op"] < p.REPEAT)), x["base"], _undo_shape))))
+    df = df.withColumn("_nfc", t.nfc_each(F.col("_shaped")))
+    done = F.zip_with("_p", "_nfc", lambda x, s: F.when(s.isNull(), x["base"]).otherwise(F.aggregate(
+        F.reverse(F.filter(x["ops"], lambda o: o["op"] >= p.REPEAT)), s, _undo_repeat)))
+    return t.materialize(df, **{out: F.array_join(done, "")}).drop("_p", "_shaped", "_nfc")
+
+
 def encoded_units(text: Column) -> Column:
     """Cut a decoded token stream into operator prefixes with the text they govern."""
     return F.regexp_extract_all(text, F.lit(p.ENCODED_UNIT), F.lit(0))

@@ -2,12 +2,12 @@
 
 import unicodedata
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from glyphloom.functions import patterns as p
 
@@ -45,10 +45,36 @@ def chars(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    # Arrow's kernel leaves decomposed letters apart under NFC, so this one goes row by row.
-    return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+_BORDERS = "\n\x00\x01\x02\x03\x04\x05\x06\x07\x0b\x0c\x0e\x0f\x10\x11\x12"
+
+
+def nfc_array(texts: pa.Array) -> pa.Array:
+    """NFC of all strings of an array in one go.
+
+    Strings are joined by a control character that none of them holds. No such
+    character ever composes or is reordered, so the whole is normal where its parts are.
+    """
+    filled = texts.fill_null("")
+    border = next((c for c in _BORDERS if not pc.any(pc.match_substring(filled, c)).as_py()), None)
+    if border is None or not len(texts):    # every border occurs in the text
+        return pa.array([x and unicodedata.normalize("NFC", x) for x in texts.to_pylist()], pa.string())
+    whole = pc.binary_join(pa.ListArray.from_arrays([0, len(texts)], filled), border)[0].as_py()
+    parts = pc.split_pattern(pa.array([unicodedata.normalize("NFC", whole)]), border).flatten()
+    return pc.if_else(texts.is_valid(), parts, None)
+
+
+@F.arrow_udf(StringType())
+def _nfc(s: pa.Array) -> pa.Array:
+    # Arrow's own kernel leaves decomposed letters apart under NFC.
+    return nfc_array(s)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _nfc_each(s: pa.Array) -> pa.Array:
+    done = nfc_array(s.flatten())
+    sizes = s.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), done)
 
 
 @F.arrow_udf(StringType())
@@ -62,6 +88,12 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(may_change, text)), text)
 
 
+def nfc_each(texts: Column) -> Column:
+    """NFC of every string of an array; nulls in it stay null."""
+    may_change = F.transform(texts, lambda x: F.when(F.regexp_like(x, F.lit(f"[^{p.NFC_INERT}]")), x))
+    return F.zip_with(_nfc_each(may_change), texts, lambda done, x: F.coalesce(done, x))
+
+
 def nfd(text: Column) -> Column:
     """Unicode NFD; rows of ASCII text are sent to Python as nulls."""
     may_change = F.regexp_like(text, F.lit(r"[^\x00-\x7F]"))

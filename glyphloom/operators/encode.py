@@ -1,154 +1,289 @@
 """Encoding and decoding a corpus with learned vocabularies.
 
-Words are encoded once per distinct word. Documents are put back together by a
-join on units: the most frequent units, whose number is fixed, are broadcast, and
-the long tail is joined by shuffle, so no hot unit ever lands in one task.
+Distinct units are encoded once, in the row. Documents are encoded where they lie:
+a task numbers the units of a batch, looks the distinct ones up in a table of
+the frequent units, and lays their ids end to end. Units that are not in the table
+leave holes; only they, once a document, are shuffled to meet their ids, and only documents with
+holes are joined with what comes back. Decoding gathers the bytes of tokens by id.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from glyphloom.functions import opcodes as oc
 from glyphloom.functions import patterns as p
 from glyphloom.functions import text as t
+from glyphloom.functions.merging import Merges
+from glyphloom.functions.wordtable import LONGEST, WordTable, gather
 from glyphloom.operators.configs import CATALOGUE
 from glyphloom.operators.pieces import stream_of
+from glyphloom.session import written
 
 MAX_BROADCAST_ENTRIES = 8_000_000   # merges + vocabulary entries shipped to a task
-HOT_UNITS = 100_000                 # units joined by broadcast ...
-HOT_LENGTH = 64                     # ... and their longest piece, so their bytes are bounded too
+HOT_BYTES = 64 << 20                # size of the table of frequent units that tasks look up
+_ENTRY = 48                         # bytes of such an entry beside its string and ids
 KEYS = ["label", "config"]
 
 
+# --- vocabularies in tasks -------------------------------------------------------
+
+def _group(by) -> Column:
+    return F.concat_ws("\x1f", *by)
+
+
+def _sets(vocab: DataFrame, merges: DataFrame | None, by) -> list[list[str]]:
+    """Groups, in sets that together stay below ``MAX_BROADCAST_ENTRIES``."""
+    entries = vocab.select(*by) if merges is None else vocab.select(*by).unionByName(merges.select(*by))
+    sizes = {r["group"]: r["count"] for r in entries.groupBy(_group(by).alias("group")).count().collect()}
+    sets, load = [[]], 0
+    for name in sorted(sizes):
+        if load and load + sizes[name] > MAX_BROADCAST_ENTRIES:
+            sets.append([])
+            load = 0
+        sets[-1].append(name)
+        load += sizes[name]
+    return sets
+
+
+def _by_group(df: DataFrame, by, names: list[str], *columns: str) -> dict[str, list[pa.Array]]:
+    """Columns of each group's rows, in the order of the first column."""
+    found = df.filter(_group(by).isin(names)).select(_group(by).alias("_g"), *columns).toArrow()
+    found = found.sort_by([("_g", "ascending"), (columns[0], "ascending")]).combine_chunks()
+    out = {}
+    for name, rows in zip(*_spans(found.column("_g"))):
+        out[name] = [found.column(c).slice(*rows).combine_chunks() for c in columns]
+    return out
+
+
+def _spans(column) -> tuple[list, list[tuple[int, int]]]:
+    """Distinct values of a sorted column, and (offset, length) of each."""
+    runs = pc.run_end_encode(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    if not len(runs):
+        return [], []
+    ends = runs.run_ends.to_numpy()
+    starts = np.concatenate(([0], ends[:-1]))
+    return runs.values.to_pylist(), list(zip(starts.tolist(), (ends - starts).tolist()))
+
+
 # --- words -> ids ------------------------------------------------------------
 
-def _merge(symbols: list, ranks: dict) -> list:
-    """Apply the best-ranked pair until none is left."""
-    none = len(ranks)
-    while len(symbols) > 1:
-        order = [ranks.get(pair, none) for pair in zip(symbols, symbols[1:])]
-        best = min(order)
-        if best == none:
-            break
-        out, i, last = [], 0, len(symbols) - 1
-        while i <= last:
-            if i < last and order[i] == best:
-                out.append(symbols[i] + symbols[i + 1])
-                i += 2
-            else:
-                out.append(symbols[i])
-                i += 1
-        symbols = out
-    return symbols
-
-
-def _encoder(tables):
-    """Per batch: words to ids. Characters outside the vocabulary yield nothing."""
+class _Speller:
+    """Words to ids under one vocabulary. Characters outside it yield nothing."""
+
+    def __init__(self, ids: dict[str, int], ranked: list[tuple[str, str]]):
+        self.letters = {s: i for s, i in ids.items() if len(s) == 1}
+        self.merges = Merges([(ids[a], ids[b], ids[a + b]) for a, b in ranked])
+        self.seen: dict[str, tuple[list[int], int]] = {}
+
+    def spelled(self, word: str) -> tuple[list[int], int]:
+        """Ids, and how many characters were left out."""
+        if len(word) > 8:
+            return self._spelled(word)
+        found = self.seen.get(word)
+        if found is None:
+            found = self.seen[word] = self._spelled(word)
+        return found
+
+    def _spelled(self, word: str) -> tuple[list[int], int]:
+        letters = [self.letters[c] for c in word if c in self.letters]
+        return self.merges.applied(letters), len(word) - len(letters)
+
+
+def _speller(tables):
+    """Per batch: the words of each row to the row's ids."""
     def encode(batches):
-        merges, ids = tables.value
+        spellers = {}
         for batch in batches:
-            out, dropped = [], []
-            for group, word in zip(batch["group"], batch["word"]):
-                known, ranks = ids[group], merges[group]
-                letters = [c for c in word if c in known]
-                out.append([known[s] for s in _merge(letters, ranks)])
-                dropped.append(len(word) - len(letters))
-            yield batch.assign(ids=out, dropped=dropped)
+            ids, dropped = [], []
+            for group, words in zip(batch.column("group").to_pylist(), batch.column("_words").to_pylist()):
+                if group not in spellers:
+                    (numbers, tokens), (_, left, right) = tables.value[group]
+                    spellers[group] = _Speller(dict(zip(tokens.to_pylist(), numbers.to_pylist())),
+                                               list(zip(left.to_pylist(), right.to_pylist())))
+                done = [spellers[group].spelled(w) for w in words]
+                ids.append([i for x, _ in done for i in x])
+                dropped.append(sum(n for _, n in done))
+            kept = [n for n in batch.schema.names if n not in ("group", "_words")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(ids, pa.list_(pa.int32())),
+                                              pa.array(dropped, pa.int32())], names=[*kept, "ids", "dropped"])
     return encode
 
 
-def encode_words(words: DataFrame, merges: DataFrame, vocab: DataFrame, by=tuple(KEYS)) -> DataFrame:
-    """Add ``ids`` and ``dropped`` (characters left out) to distinct ``(*by, word)``.
+def _encoded(rows: DataFrame, words: Column, merges: DataFrame, vocab: DataFrame, by) -> DataFrame:
+    """``rows`` with the ids of their ``words`` laid end to end, and the characters left out.
 
-    A vocabulary is bounded by its target size, so the merge tables of a set of
-    groups can be shipped to tasks; sets too large for one broadcast are encoded
-    set by set.
+    A vocabulary is bounded by its target size, so those of a set of groups can be
+    shipped to tasks; sets too large for one broadcast are encoded set by set.
     """
-    spark = words.sparkSession
-    group = F.concat_ws("\x1f", *by)
-    sizes = {r["group"]: r["count"] for r in
-             vocab.unionByName(merges.select(*by, "token"), allowMissingColumns=True)
-             .groupBy(group.alias("group")).count().collect()}
-    batches, load = [[]], 0
-    for name in sorted(sizes):
-        if load and load + sizes[name] > MAX_BROADCAST_ENTRIES:
-            batches.append([])
-            load = 0
-        batches[-1].append(name)
-        load += sizes[name]
-    schema = words.select(group.alias("group"), *by, "word").schema \
-        .add("ids", T.ArrayType(T.IntegerType())).add("dropped", T.IntegerType())
+    schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("dropped", T.IntegerType())])
     parts = []
-    for names in batches:
-        ranks, ids = {n: {} for n in names}, {n: {} for n in names}
-        mine = group.isin(names)
-        for r in merges.filter(mine).select(group.alias("g"), "left", "right", "rank").collect():
-            ranks[r.g].setdefault((r.left, r.right), r.rank)
-        for r in vocab.filter(mine).select(group.alias("g"), "token", "id").collect():
-            ids[r.g][r.token] = r.id
-        tables = spark.sparkContext.broadcast((ranks, ids))
-        parts.append(words.filter(mine).select(group.alias("group"), *by, "word")
-                     .mapInPandas(_encoder(tables), schema).drop("group"))
+    for names in _sets(vocab, merges, by):
+        ids = _by_group(vocab, by, names, "id", "token")
+        ranked = _by_group(merges, by, names, "rank", "left", "right")
+        none = [pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.string())]
+        tables = rows.sparkSession.sparkContext.broadcast({g: (ids[g], ranked.get(g, none)) for g in ids})
+        mine = rows.filter(_group(by).isin(names)).withColumn("_words", words).withColumn("group", _group(by))
+        parts.append(mine.mapInArrow(_speller(tables), schema))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def encode_dictionary(dic: DataFrame, merges: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(label, config, piece, run, n, ids, dropped)``: ids of each distinct unit.
+def encode_words(words: DataFrame, merges: DataFrame, vocab: DataFrame, by=tuple(KEYS)) -> DataFrame:
+    """Add ``ids`` and ``dropped`` (characters left out) to distinct ``(*by, word)``."""
+    return _encoded(words.select(*by, "word"), F.array("word"), merges, vocab, by)
 
-    Words repeat across units (operators do, most of all), so they are encoded
-    apart and joined back; a unit has a handful of words.
-    """
+
+def encode_dictionary(dic: DataFrame, merges: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(label, config, piece, run, n, ids, dropped)``: ids of each distinct unit."""
     words = oc.words(F.col("ops"), F.col("base"), F.col("split_operators"))
-    parts = dic.select(*KEYS, "piece", "run", "n", F.posexplode(words).alias("at", "word"))
-    coded = encode_words(parts.select(*KEYS, "word").distinct(), merges, vocab)
-    return (parts.join(coded, [*KEYS, "word"])
-            .groupBy(*KEYS, "piece", "run").agg(
-                F.first("n").alias("n"), F.sum("dropped").cast("int").alias("dropped"),
-                F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("w"))
-            .select(*KEYS, "piece", "run", "n", F.flatten(F.col("w.ids")).alias("ids"), "dropped"))
+    rows = dic.select(*KEYS, "piece", "run", "n", words.alias("_spelled"))
+    return _encoded(rows, F.col("_spelled"), merges, vocab, KEYS).drop("_spelled")
 
 
 # --- documents ---------------------------------------------------------------
 
-def split_by_heat(units: DataFrame, coded: DataFrame, on: list[str], hot: int = HOT_UNITS) -> DataFrame:
-    """Join ``units`` to ``coded``: hot rows by broadcast, the rest by shuffle.
+def hot_units(coded: DataFrame, budget: int = HOT_BYTES) -> DataFrame:
+    """The units of ``coded`` that occur often enough, by a count for which all of them fit in ``budget`` bytes.
+
+    Sizes are added up by powers of two of the count, a few dozen rows.
+    """
+    short = coded.filter(F.octet_length("piece") <= LONGEST)
+    power = F.floor(F.log2("n")).cast("int")
+    size = F.sum(F.octet_length("piece") + 4 * F.size("ids") + _ENTRY)
+    least, load = None, 0
+    for r in sorted(short.groupBy(power.alias("power")).agg(size.alias("size")).collect(), key=lambda r: -r.power):
+        load += r.size
+        if load > budget:
+            break
+        least = 2 ** r.power
+    return short.filter(F.col("n") >= least) if least is not None else short.limit(0)
+
+
+def _tables(hot: DataFrame) -> dict[tuple, WordTable]:
+    """A table of the hot units for each label and configuration."""
+    rows = hot.select(_group(KEYS).alias("_g"), *KEYS, "piece", "run", F.concat(F.array("dropped"), "ids").alias("ids")).toArrow()
+    rows = rows.sort_by("_g").combine_chunks()
+    out = {}
+    for _, span in zip(*_spans(rows.column("_g"))):
+        part = rows.slice(*span)
+        key = (part.column("label")[0].as_py(), part.column("config")[0].as_py())
+        out[key] = WordTable.of(part.column("piece").combine_chunks(), part.column("run").to_numpy(),
+                                part.column("ids").combine_chunks())
+    return out
+
 
-    Pieces follow Zipf's law, so a fixed number of units covers nearly all
-    occurrences; only the others are moved to meet their row.
+def _numbered(units: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Bounds of each row's units, the number of every unit, and the distinct units by number (piece, run)."""
+    sizes = units.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    parts = units.flatten()
+    pieces = parts.field("piece").dictionary_encode()
+    codes = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    run = parts.field("run").to_numpy(zero_copy_only=False).astype(np.int64)
+    kinds, numbers = np.unique(codes << 31 | run, return_inverse=True)
+    return (np.concatenate(([0], np.cumsum(sizes))), numbers,
+            pieces.dictionary.take(pa.array(kinds >> 31)), kinds & (1 << 31) - 1)
+
+
+def _encoder(tables, readers, carried):
+    """Rows of units to rows of ids, one for each configuration that reads the row's stream.
+
+    ``holes`` are units that are not in the table: each with the places of its
+    occurrences, an id position in the high half and the unit's in the low half.
     """
-    ranked = coded.filter(F.length("piece") <= HOT_LENGTH).orderBy(F.desc("n"), *on).limit(hot)
-    near = F.broadcast(ranked.select(*on, F.struct("ids", "dropped").alias("_hot")))
-    met = units.join(near, on, "left")
-    tail = met.filter(F.col("_hot").isNull()).drop("_hot").join(
-        coded.select(*on, "ids", "dropped"), on, "left")
-    return met.filter(F.col("_hot").isNotNull()).select(*units.columns, "_hot.*").unionByName(tail)
+    hole = pa.list_(pa.struct([("piece", pa.string()), ("run", pa.int32()), ("at", pa.list_(pa.int64()))]))
+
+    def encode(batches):
+        empty = WordTable.of(pa.array([], pa.string()), np.zeros(0, np.int64), pa.array([], pa.list_(pa.int32())))
+        for batch in batches:
+            bounds, numbers, pieces, run = _numbered(batch.column("units"))
+            labels, streams = (batch.column(c).to_pylist() for c in ("label", "stream"))
+            kinds: dict[tuple, list[int]] = {}
+            for i, kind in enumerate(zip(labels, streams)):
+                kinds.setdefault(kind, []).append(i)
+            for (label, stream), rows in kinds.items():
+                rows = np.array(rows)
+                sizes = bounds[rows + 1] - bounds[rows]
+                mine = numbers[gather(bounds[rows], sizes)]
+                owner = np.repeat(np.arange(len(rows)), sizes)
+                place = np.arange(len(mine)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                for config in readers[stream]:
+                    table = tables.value.get((label, config), empty)
+                    found = table.find(pieces, run)[mine]
+                    known = found >= 0
+                    lengths = np.zeros(len(mine), np.int64)     # ids of each unit, its first number being what was dropped
+                    lengths[known] = table.size[found[known]] - 1
+                    ids = table.numbers[gather(table.first[found[known]] + 1, lengths[known])]
+                    dropped = np.bincount(owner[known], table.numbers[table.first[found[known]]], len(rows))
+                    ends = np.concatenate(([0], np.cumsum(lengths)))
+                    edges = ends[np.concatenate(([0], np.cumsum(sizes)))]
+                    holes: list[dict] = [{} for _ in rows]
+                    before = ends[:-1] - edges[:-1][owner] if len(owner) else ends[:-1]
+                    for k in np.flatnonzero(~known).tolist():
+                        holes[owner[k]].setdefault(int(mine[k]), []).append(int(before[k]) << 32 | int(place[k]))
+                    lists = [[{"piece": pieces[u].as_py(), "run": int(run[u]), "at": at} for u, at in h.items()] for h in holes]
+                    rest = batch.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [rest.column("label"), pa.array([config] * len(rows)), *(rest.column(c) for c in carried),
+                         pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids)),
+                         pa.array(dropped.astype(np.int64)), pa.array(lists, hole)],
+                        names=["label", "config", *carried, "ids", "dropped", "holes"])
+    return encode
 
 
-def encode_corpus(units: DataFrame, coded: DataFrame, config_names) -> DataFrame:
+def _filled(batches):
+    """Ids with the ids of units from elsewhere put into their holes."""
+    for batch in batches:
+        out = []
+        for ids, fills in zip(batch.column("ids"), batch.column("_fills").to_pylist()):
+            ids = ids.values.to_numpy(zero_copy_only=False)
+            parts, last = [], 0
+            for at, more in sorted((at, f["ids"]) for f in fills for at in f["at"]):
+                parts += [ids[last:at >> 32], np.array(more, np.int32)]
+                last = at >> 32
+            out.append(np.concatenate([*parts, ids[last:]]))
+        whole = pa.array(out, pa.list_(pa.int32()))
+        kept = [n for n in batch.schema.names if n != "_fills"]
+        yield pa.RecordBatch.from_arrays([whole if n == "ids" else batch.column(n) for n in kept], names=kept)
+
+
+def encode_corpus(units: DataFrame, coded: DataFrame, config_names, budget: int = HOT_BYTES) -> DataFrame:
     """``(label, config, doc_id, ids, dropped)``, one row per document and configuration.
 
-    ``units`` is the output of ``unit_arrays``; documents with nothing to encode
-    keep an empty array.
+    ``units`` is the output of ``unit_arrays``, whose other columns go along; documents
+    with nothing to encode keep an empty array. ``budget`` changes which units are
+    shuffled, not results.
     """
-    streams: dict[str, list[str]] = {}
+    spark: SparkSession = units.sparkSession
+    readers: dict[str, list[str]] = {}
     for c in (CATALOGUE[n] for n in config_names):
-        streams.setdefault(stream_of(c), []).append(c.name)
-    readers = F.create_map(*[x for s, names in streams.items()
-                             for x in (F.lit(s), F.array(*map(F.lit, names)))])
-    docs = units.withColumn("config", F.explode(F.element_at(readers, F.col("stream"))))
-    pieces = docs.select("label", "config", "doc_id", F.posexplode_outer("units").alias("pos", "u")) \
-                 .select("label", "config", "doc_id", "pos", "u.piece", "u.run")
-    joined = split_by_heat(pieces, coded, [*KEYS, "piece", "run"])
-    return (joined.groupBy(*KEYS, "doc_id")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("w"),
-                 F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"))
-            .select(*KEYS, "doc_id",
-                    F.coalesce(F.flatten(F.filter("w", lambda x: x["ids"].isNotNull())["ids"]),
-                               F.array().cast("array<int>")).alias("ids"), "dropped"))
+        readers.setdefault(stream_of(c), []).append(c.name)
+    carried = [c for c in units.columns if c not in ("label", "stream", "units")]
+    tables = spark.sparkContext.broadcast(_tables(hot_units(coded, budget)))
+    types = {f.name: f for f in units.schema}
+    schema = T.StructType([types["label"], T.StructField("config", T.StringType()), *(types[c] for c in carried),
+                           *T.StructType.fromDDL("ids array<int>, dropped bigint, holes array<struct<piece: string, "
+                                                 "run: int, at: array<bigint>>>").fields])
+    rows = written(units.filter(F.col("stream").isin(list(readers))).mapInArrow(_encoder(tables, readers, carried), schema)
+                   .withColumn("_row", F.monotonically_increasing_id()), "encoded")
+    missing = rows.select("_row", *KEYS, F.inline("holes"))
+    fills = (missing.join(coded.select(*KEYS, "piece", "run", F.col("ids"), F.col("dropped").alias("_n")), [*KEYS, "piece", "run"])
+             .groupBy("_row").agg(F.collect_list(F.struct("at", "ids")).alias("_fills"),
+                                  F.sum(F.col("_n") * F.size("at")).alias("_more")))
+    holed = rows.filter(F.size("holes") > 0).drop("holes").join(fills, "_row", "left")
+    holed = holed.withColumn("dropped", F.col("dropped") + F.coalesce("_more", F.lit(0))).withColumn(
+        "_fills", F.coalesce("_fills", F.array().cast("array<struct<at: array<bigint>, ids: array<int>>>"))).drop("_row", "_more")
+    whole = rows.filter(F.size("holes") == 0).drop("holes", "_row")
+    order = ["label", "config", *carried, "ids", "dropped"]
+    filled = holed.select(*order, "_fills").mapInArrow(_filled, whole.select(*order).schema)
+    return whole.select(*order).unionByName(filled)
 
 
 def token_ids(encoded: DataFrame) -> DataFrame:
@@ -156,51 +291,89 @@ def token_ids(encoded: DataFrame) -> DataFrame:
     return encoded.select(*KEYS, "doc_id", F.posexplode("ids").alias("pos", "id"))
 
 
-def decode_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(label, config, doc_id, tokens_text, has_unk, dropped, decoded)``."""
-    tokens = split_tokens(token_ids(encoded), vocab)
-    streams = tokens.groupBy(*KEYS, "doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("w")).select(
-        *KEYS, "doc_id", F.array_join(F.col("w.token"), "").alias("tokens_text"),
-        F.array_contains(F.col("w.token"), p.SPECIAL_TOKENS[0]).alias("has_unk"))
-    streams = encoded.select(*KEYS, "doc_id", "dropped").join(streams, [*KEYS, "doc_id"], "left").fillna(
-        {"tokens_text": "", "has_unk": False})
-    return decode_stream(streams, "tokens_text")
+# --- ids -> text -----------------------------------------------------------------
+
+def _decoder(tables):
+    """Ids to the text of their tokens, by the place of each token's bytes."""
+    def decode(batches):
+        for batch in batches:
+            ids = batch.column("ids")
+            sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            texts = np.full(batch.num_rows, "", object)
+            unk = np.zeros(batch.num_rows, bool)
+            groups = batch.column("group").dictionary_encode()
+            for code, name in enumerate(groups.dictionary.to_pylist()):
+                starts, lengths, data, unknown = tables.value[name]
+                rows = np.flatnonzero(groups.indices.to_numpy(zero_copy_only=False) == code)
+                mine = flat[gather(bounds[rows], sizes[rows])]
+                owner = np.repeat(np.arange(len(rows)), sizes[rows])
+                spelled = data[gather(starts[mine], lengths[mine])].tobytes()
+                ends = np.concatenate(([0], np.cumsum(np.bincount(owner, lengths[mine], len(rows)).astype(np.int64))))
+                texts[rows] = [spelled[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                unk[rows] = np.bincount(owner, mine == unknown, len(rows)) > 0
+            kept = [n for n in batch.schema.names if n not in ("group", "ids")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(texts, pa.string()), pa.array(unk)],
+                                             names=[*kept, "tokens_text", "has_unk"])
+    return decode
+
+
+def _spellings(numbers: pa.Array, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Start and length of the token of every id, their bytes, and the id of the unknown token (-1 if there is none)."""
+    raw = [x.encode() for x in tokens.to_pylist()]
+    ids = numbers.to_numpy()
+    starts, lengths = (np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int64) for _ in range(2))
+    sizes = np.array([len(x) for x in raw], np.int64)
+    starts[ids], lengths[ids] = np.cumsum(sizes) - sizes, sizes
+    known = dict(zip(tokens.to_pylist(), ids.tolist()))
+    return starts, lengths, np.frombuffer(b"".join(raw) + b"\0", np.uint8), known.get(p.SPECIAL_TOKENS[0], -1)
 
 
-def split_tokens(ids: DataFrame, vocab: DataFrame) -> DataFrame:
-    """id -> token. The vocabulary is bounded by target size times configurations."""
-    small = vocab.select(*KEYS, "id", "token")
-    return ids.join(F.broadcast(small) if small.count() <= MAX_BROADCAST_ENTRIES else small,
-                    [*KEYS, "id"])
+def decode_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``encoded`` with ``tokens_text``, ``has_unk`` and ``decoded`` instead of ids: one pass, nothing is shuffled."""
+    schema = T.StructType([f for f in encoded.schema if f.name != "ids"]
+                          + T.StructType.fromDDL("tokens_text string, has_unk boolean").fields)
+    parts = []
+    for names in _sets(vocab, None, KEYS):
+        found = _by_group(vocab, KEYS, names, "id", "token")
+        tables = encoded.sparkSession.sparkContext.broadcast({g: _spellings(*x) for g, x in found.items()})
+        mine = encoded.filter(_group(KEYS).isin(names)).withColumn("group", _group(KEYS))
+        parts.append(mine.mapInArrow(_decoder(tables), schema))
+    streams = parts[0]
+    for part in parts[1:]:
+        streams = streams.unionByName(part)
+    return decode_stream(streams, "tokens_text")
 
 
 def decode_stream(df: DataFrame, stream: str, out: str = "decoded") -> DataFrame:
     """Undo operators and metaspace in whole token streams, one per document.
 
     Streams of plain configurations are fused tokens as they are, private-use
-    characters included. In the others each operator prefix governs the text up to
-    the next prefix, and distinct encoded stretches are decoded once.
+    characters included.
     """
-    keys = [*KEYS, "doc_id"]
     factored = F.col("config").isin([c.name for c in CATALOGUE.values() if c.factored])
-    parts = df.filter(factored).select(*keys, F.posexplode(oc.encoded_units(F.col(stream))).alias("at", "unit"))
-    has_op = F.regexp_like("unit", F.lit(f"^{p.OP_TOKEN}"))
-    done = oc.with_decoded(parts.filter(has_op).select("unit").distinct(), "unit", "_decoded")
-    plain = parts.filter(~has_op).withColumn("_decoded", F.col("unit"))
-    parts = plain.unionByName(parts.filter(has_op).join(done, "unit"))
-    text = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "_decoded"))).alias("w"))
-    text = text.select(*keys, F.array_join(F.col("w._decoded"), "").alias(out))
+    df = oc.with_decoded_text(df.withColumn("_stream", F.when(factored, F.col(stream))), "_stream", "_undone")
+    fused = F.when(factored, F.col("_undone")).otherwise(F.col(stream))
     metaspace = F.col("config").startswith("metaspace")
-    fused = F.when(factored, F.coalesce(out, F.lit(""))).otherwise(F.col(stream))
-    return df.join(text, keys, "left").withColumn(out, fused).withColumn(
-        out, F.when(metaspace, t.from_metaspace(F.col(out))).otherwise(F.col(out)))
+    return df.withColumn(out, F.when(metaspace, t.from_metaspace(fused)).otherwise(fused)).drop("_stream", "_undone")
 
 
 # --- round trip --------------------------------------------------------------
 
-def roundtrip_classes(corpus: DataFrame, decoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Class of every document's round trip.
+def with_texts(corpus: DataFrame) -> DataFrame:
+    """NFC ``text`` as input of encoding, and beside it ``nfc`` and, where it differs, ``raw``, to compare with later."""
+    df = t.materialize(corpus, nfc=t.nfc(F.col("text")))
+    return df.withColumn("raw", F.when(F.col("text") != F.col("nfc"), F.col("text"))).withColumn("text", F.col("nfc"))
+
+
+def letters_of(vocab: DataFrame, by=tuple(KEYS), token: str = "token") -> DataFrame:
+    """The characters that each vocabulary can spell, as one array a group; bounded by the alphabet."""
+    return vocab.filter(F.length(token) == 1).groupBy(*by).agg(F.collect_set(token).alias("letters"))
+
+
+def roundtrip_classes(decoded: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Class of every document's round trip, from rows that hold ``nfc`` and ``raw`` beside ``decoded``.
 
     ``lossless`` if the text comes back as it was, ``normalized`` if its NFC form
     does, or for a mismatch: ``unk`` (an unknown token was emitted), ``oov``
@@ -209,24 +382,20 @@ def roundtrip_classes(corpus: DataFrame, decoded: DataFrame, vocab: DataFrame) -
     class is reported; none counts as a success.
     """
     lossy = F.col("config").contains("whitespace")
-    df = decoded.join(corpus.select("label", "doc_id", "text", t.nfc(F.col("text")).alias("nfc")),
-                      ["label", "doc_id"])
-    raw, expected = (F.when(lossy, t.strip_newline_tab(F.col(c))).otherwise(F.col(c)) for c in ("text", "nfc"))
-    df = t.materialize(df, raw=raw, expected=expected)
-    lost = F.filter(F.array_except(t.chars(F.col("expected")), t.chars(F.col("decoded"))),
-                    lambda c: F.regexp_like(c, F.lit(r"(?U)\S")))
-    bad = df.filter(F.col("decoded") != F.col("expected"))
-    missing = (bad.select(*KEYS, "doc_id", F.explode(lost).alias("token"))
-               .join(vocab.select(*KEYS, "token"), [*KEYS, "token"], "left_anti")
-               .select(*KEYS, "doc_id").distinct().withColumn("has_oov", F.lit(True)))
-    df = df.join(missing, [*KEYS, "doc_id"], "left")
-    return df.select(*KEYS, "doc_id", F.when(F.col("decoded") == F.col("raw"), "lossless")
-                     .when(F.col("decoded") == F.col("expected"), "normalized").when(F.col("has_unk"), "unk").when(F.col("has_oov"), "oov")
-                     .when(F.col("dropped") > 0, "opcode_oov").when(F.length("expected") < 256, "failure").otherwise("long").alias("outcome"))
+    raw, expected = (F.when(lossy, t.strip_newline_tab(c)).otherwise(c)
+                     for c in (F.coalesce("raw", "nfc"), F.col("nfc")))
+    df = decoded.join(F.broadcast(letters_of(vocab)), KEYS, "left")
+    df = t.materialize(df, _raw=raw, _expected=expected)
+    lost = F.array_except(t.chars(F.col("_expected")), t.chars(F.col("decoded")))
+    unknown = F.exists(F.array_except(lost, F.coalesce("letters", F.array().cast("array<string>"))),
+                       lambda c: F.regexp_like(c, F.lit(r"(?U)\S")))
+    return df.select(*KEYS, "doc_id", F.when(F.col("decoded") == F.col("_raw"), "lossless")
+                     .when(F.col("decoded") == F.col("_expected"), "normalized").when(F.col("has_unk"), "unk").when(unknown, "oov")
+                     .when(F.col("dropped") > 0, "opcode_oov").when(F.length("_expected") < 256, "failure").otherwise("long").alias("outcome"))
 
 
 def oov_characters(corpus: DataFrame, vocab: DataFrame, by=("label",)) -> DataFrame:
-    """Characters of the text that the vocabulary cannot spell, with document counts."""
-    chars = corpus.select(*by, "doc_id", F.explode(F.array_distinct(t.chars(F.col("text")))).alias("token"))
-    seen = chars.groupBy(*by, "token").agg(F.count("*").alias("docs"))
-    return seen.join(vocab.select(*by, "token"), [*by, "token"], "left_anti")
+    """Characters of the text that the vocabulary cannot spell, with document counts; tested in the row."""
+    df = corpus.join(F.broadcast(letters_of(vocab, by)), list(by), "left")
+    odd = F.array_except(F.array_distinct(t.chars(F.col("text"))), F.coalesce("letters", F.array().cast("array<string>")))
+    return df.select(*by, F.explode(odd).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("docs"))

@@ -51,8 +51,9 @@ class Profile:
 
     def roundtrip(self) -> DataFrame:
         """Documents per label, configuration and outcome of decode(encode(text))."""
-        decoded = encode.decode_ids(self.encoded(), self.vocabulary.vocab)
-        classes = encode.roundtrip_classes(self.validation, decoded, self.vocabulary.vocab)
+        units = pcs.unit_arrays(encode.with_texts(self.validation), self.configs)
+        decoded = encode.decode_ids(encode.encode_corpus(units, self.coded, self.configs), self.vocabulary.vocab)
+        classes = encode.roundtrip_classes(decoded, self.vocabulary.vocab)
         return classes.groupBy(*KEYS, "outcome").agg(F.count("*").alias("docs"))
 
 
