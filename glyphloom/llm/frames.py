@@ -28,6 +28,17 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def guarded(docs: DataFrame, known: list[str], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``operator(docs)``, of which the columns of ``docs`` come back, in their order.
+
+    It meets only the ``known`` columns by name. All others travel under private names, so that
+    none of them can clash with a name it uses.
+    """
+    private = {c: f"_other{i}" for i, c in enumerate(docs.columns) if c not in known}
+    inner = docs.select(*(quoted(c).alias(private.get(c, c)) for c in docs.columns))
+    return operator(inner).select(*(F.col(private[c]).alias(c) if c in private else quoted(c) for c in docs.columns))
+
+
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus

@@ -33,12 +33,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField
 
 from glyphloom.llm.components import components
-from glyphloom.llm.frames import appended
+from glyphloom.llm.frames import appended, guarded
 from glyphloom.llm.wordhash import mix, run_positions, runs, starts_of, word_slices
 from glyphloom.session import written
 
@@ -254,8 +254,18 @@ def _rest_links(shared: DataFrame, labels: DataFrame, docs: DataFrame, s: Settin
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    return _labelled(docs, s).drop("key")
+
+
+def _text_key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def _labelled(docs: DataFrame, s: Settings) -> DataFrame:
+    """``near_duplicates`` with a key of the text: rows may share an id and differ in their texts."""
     docs = docs.select("doc_id", "text")
-    sketch = written(sketches(docs, "text", s), "sketches")
+    keyed = docs.withColumn("key", _text_key())
+    sketch = written(sketches(keyed, "text", s).drop("text"), "sketches")
     classes = written(sketch.where("bands is not null and doc_id is not null").groupBy("set_a", "set_b")
                       .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"),
                            F.first("bands").alias("bands")), "classes")
@@ -267,15 +277,20 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     labels = components(links.unionByName(more))
     named = (classes.select("set_a", "set_b", "id").join(labels, "id", "left")
              .select("set_a", "set_b", F.coalesce("component", "id").alias("component_id")))
-    found = (sketch.select("doc_id", "n_shingles", "set_a", "set_b")
+    found = (sketch.select("doc_id", "n_shingles", "set_a", "set_b", "key")
              .withColumn("set_a", F.when(F.col("n_shingles") > 0, F.col("set_a")))
              .join(written(named, "named"), ["set_a", "set_b"], "left"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"),
-                        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+                        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "key")
 
 
 def kept(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``docs`` with one document of each component: its smallest id (every row with a null id stays)."""
-    gone = written(near_duplicates(docs, s).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with one document of each component: its smallest id (every row with a null id stays).
+
+    Rows that share an id are judged by their own texts.
+    """
+    gone = written(_labelled(docs, s).where("not kept").select(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "gone")
+    return guarded(docs, ["doc_id", "text"], lambda d: d.join(
+        gone, (F.col("doc_id") == F.col("_id")) & (_text_key() == F.col("_key")), "left_anti"))

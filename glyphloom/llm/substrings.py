@@ -38,9 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from glyphloom.llm.frames import appended, small_batches
+from glyphloom.llm.frames import appended, quoted, small_batches
 from glyphloom.llm.wordhash import mix, run_positions, runs, word_slices
 from glyphloom.session import written
 
@@ -234,19 +234,26 @@ def _first_ones(sent, hot, width, of_hot):
 def _streamed(width):
     """Rows sorted by anchor and position, through one automaton an anchor."""
     def run(batches):
-        anchor = automaton = None
+        # Rows of one place (repeated rows) are all matched before any of them is added: none of them is earlier.
+        anchor = automaton = place = None
+        waiting = set()
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in range(4)))
             docs, starts, counts = [], [], []
             for own, doc, start, text in rows:
                 words = np.frombuffer(text, np.uint64).tolist()
-                if own != anchor:
-                    anchor, automaton = own, Automaton()
+                if place != (own, doc, start):
+                    if own != anchor:
+                        anchor, automaton = own, Automaton()
+                    else:
+                        for held in sorted(waiting):
+                            automaton.add(np.frombuffer(held, np.uint64).tolist())
+                    place, waiting = (own, doc, start), set()
                 for first, n in _stretches([start + e - width + 1 for e in automaton.ends(words, width)]):
                     docs.append(doc)
                     starts.append(first)
                     counts.append(n)
-                automaton.add(words)
+                waiting.add(text)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32()),
                                               pa.array(counts, pa.int32())], names=["doc_id", "start", "n"])
 
@@ -361,9 +368,11 @@ def removed(docs: DataFrame, stretches: DataFrame, width: int = 20) -> DataFrame
 
     Only documents that may have stretches are shuffled to meet them.
     """
-    spans = written(stretches.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("spans")), "spans")
-    bit = F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND(F.lit((1 << 24) - 1))
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(spans.select(bit.alias("bit")), 24))
+    spans = written(stretches.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.sort_array(F.collect_set(F.struct("start", "n"))).alias("_spans")), "spans")
+    bit = F.xxhash64(quoted("doc_id").cast("long")).bitwiseAND(F.lit((1 << 24) - 1))
+    sent = docs.sparkSession.sparkContext.broadcast(
+        _bitmap(spans.select(F.xxhash64("_id").bitwiseAND(F.lit((1 << 24) - 1)).alias("bit")), 24))
 
     def with_spans(batches):
         bitmap = np.frombuffer(sent.value, np.uint8)
@@ -372,12 +381,16 @@ def removed(docs: DataFrame, stretches: DataFrame, width: int = 20) -> DataFrame
                 [*batch.columns[:-1], pa.array(_set_bits(bitmap, batch.column(batch.num_columns - 1).to_numpy()))],
                 names=[*batch.schema.names[:-1], "_may"])
 
-    base = docs.withColumn("_bit", F.coalesce(bit, F.lit(0)))
-    flagged = base.mapInArrow(with_spans, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", _may boolean")
+    # All columns travel under numbers; whatever their names are, they clash with nothing here.
+    place = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    doc, text = place["doc_id"], place["text"]
+    base = docs.select(*(quoted(c).alias(n) for c, n in place.items()), F.coalesce(bit, F.lit(0)).alias("_bit"))
+    schema = StructType([*base.schema.fields[:-1], StructField("_may", BooleanType())])
+    flagged = base.mapInArrow(with_spans, schema)
     empty = F.lit(None).cast("array<struct<start:int,n:int>>")
-    plain = flagged.where("not _may").drop("_may").withColumn("spans", empty)
-    met = flagged.where("_may").drop("_may").join(spans, "doc_id", "left").select(*docs.columns, "spans")
-    both = plain.unionByName(met).withColumn("_both", F.struct("text", "spans")).drop("text", "spans")
+    plain = flagged.where("not _may").drop("_may").withColumn("_spans", empty)
+    met = flagged.where("_may").drop("_may").join(spans, F.col(doc).cast("long") == F.col("_id"), "left").drop("_id")
+    both = plain.unionByName(met).withColumn("_both", F.struct(F.col(text).alias("text"), F.col("_spans").alias("spans")))
 
     def compute(column):
         total, gone, texts = [], [], []
@@ -385,14 +398,16 @@ def removed(docs: DataFrame, stretches: DataFrame, width: int = 20) -> DataFrame
         for words in word_slices(column.field("text")):
             for i in range(words.rows[1] - words.rows[0]):
                 spans = [(x["start"], x["n"]) for x in lists[words.rows[0] + i] or ()]
-                n, less, text = _kept(words, i, spans, width)
+                n, less, kept = _kept(words, i, spans, width)
                 total.append(n)
                 gone.append(less)
-                texts.append(text.decode())
+                texts.append(kept.decode())
         return [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())]
 
-    fields = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("text", StringType())]
-    return appended(both, "_both", fields, compute).drop("_both")
+    new = {"n_words": "_total", "n_removed": "_gone", "text": "_kept"}
+    fields = [StructField("_total", LongType()), StructField("_gone", LongType()), StructField("_kept", StringType())]
+    done = appended(both.drop(text, "_spans"), "_both", fields, compute)
+    return done.select(*(F.col(n).alias(c) for c, n in place.items() if c not in new), *(F.col(n).alias(c) for c, n in new.items()))
 
 
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
