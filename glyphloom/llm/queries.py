@@ -37,7 +37,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = warc.archived(table(spark, sf_dir, "pages"), payload=False)
+    archive = warc.verified(warc.archived(table(spark, sf_dir, "pages")))
     return archive.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -37,7 +37,7 @@ from glyphloom.session import work_dir, written
 
 SCHEMA = ("page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, "
           "refers_to bigint, payload binary")
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"     # and an id: every job that writes to a path leaves its own
 _GZIP = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H2sH", 12, b"sl", 8)
 _HEAD = len(_GZIP) + 8
 _TESTS = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b,
@@ -163,7 +163,7 @@ class _Writer(DataSourceArrowWriter):
         fs, root = store(self.path)
         fs.create_dir(root, recursive=True)
         files = sorted(f for m in messages if m is not None for f in m.files)
-        with fs.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
+        with fs.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(files).encode())
 
     def abort(self, messages):
@@ -183,7 +183,8 @@ class _Reader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            column = f.attribute[0] if len(f.attribute) == 1 else ""
+            attribute = getattr(f, "attribute", ())     # Not, And and the like have none and stay with Spark
+            column = attribute[0] if len(attribute) == 1 else ""
             if column in ("record_type", "page_id", "payload_bytes", "payload_digest", "refers_to") and (
                     type(f) in _TESTS or isinstance(f, IsNull | IsNotNull)):
                 self.tests.append((type(f), column, getattr(f, "value", None)))
@@ -202,10 +203,13 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         fs, root = store(self.path)
-        with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-            files = json.loads(f.read())
+        files = []
+        for found in fs.get_file_info(pafs.FileSelector(root)):
+            if found.base_name.startswith(MANIFEST):
+                with fs.open_input_stream(found.path, compression=None) as f:
+                    files += json.loads(f.read())
         parts, size = [[]], 0
-        for name, length in files:
+        for name, length in sorted(files):
             if parts[-1] and size + length > self.limit:
                 parts.append([])
                 size = 0
@@ -287,5 +291,17 @@ def archived(pages: DataFrame, path: str | None = None, payload: bool = True) ->
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
+def verified(archive: DataFrame) -> DataFrame:
+    """Records of an archive with the length and the digest of the payload that is in it.
+
+    Only response records are decoded, by a predicate that reaches the reader; those of
+    revisits, which have no payload of their own, are what their headers say.
+    """
+    responses = archive.where("record_type = 'response'").withColumn(
+        "payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
+    columns = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
+    return responses.select(*columns).unionByName(archive.where("record_type <> 'response'").select(*columns))
+
+
 def payload_sha1(payload: bytes) -> str:
     return hashlib.sha1(payload).hexdigest()
