@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField
 
-from glyphloom.llm.frames import appended
+from glyphloom.llm.frames import appended, guarded
 from glyphloom.llm.wordhash import PUNCTUATED, word_slices
 from glyphloom.session import remove, work_dir, written, written_at
 
@@ -221,8 +221,12 @@ def remixed(docs: DataFrame, labels: DataFrame, targets: dict | None = None, s:
 
     The expected tokens of the domains are then in the targets' proportions.
     """
-    rated = mixed(docs, labels, targets=targets, keep_text=True, s=s)
     chance = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) + 0.5) / (1 << 20)
     copies = F.floor(F.col("rate") + chance + 1e-9).cast("int")
-    return rated.withColumn("_copies", copies).where("_copies > 0").select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+
+    def copied(inner: DataFrame) -> DataFrame:
+        rated = mixed(inner, labels, targets=targets, keep_text=True, s=s)
+        return rated.withColumn("_copies", copies).where("_copies > 0").withColumn(
+            "_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+
+    return guarded(docs, ["doc_id", "text", "lang"], copied)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from glyphloom.llm.frames import appended
+from glyphloom.llm.frames import appended, guarded, quoted
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "account")
@@ -187,7 +187,10 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     def compute(column):
         return [pa.array([redact(v, spans(v)) for v in column.to_pylist()], pa.string())]
 
-    out = appended(docs, text, [StructField(text, StringType())], compute)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    def replaced(inner: DataFrame) -> DataFrame:
+        out = appended(inner, text, [StructField(text, StringType())], compute)
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.length(quoted(text)).cast(docs.schema["n_chars"].dataType))
+        return out
+
+    return guarded(docs, [text, "n_chars"], replaced)

@@ -6,9 +6,9 @@ of its pairs with one word left out; each present feature has the value 1.
 
 Training keeps, per coordinate, the sums ``z`` and ``n`` of follow-the-
 regularized-leader. A bounded sample of labelled rows is dealt to a fixed number
-of shards; in an epoch every shard starts from the common state and goes through
-its rows one by one, then each coordinate's changes are averaged over the shards
-that touched it. No coordinate of the sample is left out, only L1 makes weights
+of shards; every shard starts from the common state and goes through its rows one by
+one, some times over, then each coordinate's changes are averaged over the shards
+that touched it, and so on from there. No coordinate of the sample is left out, only L1 makes weights
 sparse. Only the states of the bounded sample's coordinates meet on the driver. L1
 leaves few weights other than zero; they are broadcast and every text of the corpus
 is scored in one pass without a shuffle.
@@ -37,15 +37,15 @@ from glyphloom.session import written
 class Settings:
     """``rows`` bounds the labelled sample and so what reaches the driver.
 
-    A shard includes the coordinates that at least ``least`` of its texts have:
-    all of them at 1, and L1 alone decides on weights.
+    Shards go through their rows ``epochs`` times, and between that exchange their
+    changes ``exchanges`` times: an exchange moves every coordinate of the sample.
     """
 
     rows: int = 20_000
     shards: int = 6
     epochs: int = 10
+    exchanges: int = 2
     bits: int = 22
-    least: int = 1
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 8.0
@@ -152,19 +152,17 @@ def _packer(s: Settings):
         order = np.argsort(group["doc_id"].to_numpy(), kind="stable")
         rows = [np.frombuffer(x, np.int32) for x in features(group["text"], s.bits)]
         rows = [rows[i] for i in order]
-        found, counts = np.unique(np.concatenate(rows), return_counts=True)
-        found = found[counts >= s.least]
-        inside = [np.searchsorted(found, r[np.isin(r, found, assume_unique=True)]).astype(np.int32) for r in rows]
-        blobs = [group["label"].to_numpy()[order].astype(np.float64), np.array([len(r) for r in inside], np.int32),
-                 np.concatenate(inside).astype(np.int32), found.astype(np.int32)]
+        found, inside = np.unique(np.concatenate(rows), return_inverse=True)
+        blobs = [group["label"].to_numpy()[order].astype(np.float64), np.array([len(r) for r in rows], np.int32),
+                 inside.astype(np.int32), found.astype(np.int32)]
         arrays = [pa.array([group["shard"][0].as_py()], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)]
         return pa.table(arrays, names=["shard", "labels", "lengths", "features", "coordinates"])
 
     return pack
 
 
-def _epoch(common, epoch: int, s: Settings):
-    """From the common state through each shard's rows, to the changes of its coordinates."""
+def _epochs(common, epochs: range, s: Settings):
+    """From the common state through each shard's rows, as often as there are ``epochs``, to the changes of its coordinates."""
 
     def run(batches):
         keys, z0, n0 = common.value
@@ -175,13 +173,14 @@ def _epoch(common, epoch: int, s: Settings):
                 rows = np.split(np.frombuffer(r["features"], np.int32), bounds[:-1])
                 z, n = _lookup(keys, z0, at).astype(float), _lookup(keys, n0, at).astype(float)
                 own = _State(s, z.copy(), n.copy())
-                for i in np.random.default_rng([epoch, r["shard"]]).permutation(len(rows)):
-                    own.learn(np.append(rows[i], len(at) - 1), labels[i])
+                for epoch in epochs:
+                    for i in np.random.default_rng([epoch, r["shard"]]).permutation(len(rows)):
+                        own.learn(np.append(rows[i], len(at) - 1), labels[i])
                 moved = np.flatnonzero(own.n != n)
                 cuts = np.searchsorted(at[moved] >> (s.bits - _RANGE_BITS), np.arange((1 << _RANGE_BITS) + 2))
                 for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
                     some = moved[lo:hi]
-                    blobs = [at[some].astype(np.int32), (own.z - z)[some], (own.n - n)[some]]
+                    blobs = [at[some].astype(np.int32), (own.z - z)[some].astype(np.float32), (own.n - n)[some].astype(np.float32)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([i], pa.int32()), pa.array([r["shard"]], pa.int32()),
                          *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["range", "shard", "a", "z", "n"])
@@ -194,21 +193,22 @@ def _averaged(group: pa.Table) -> pa.Table:
     parts = sorted(group.to_pylist(), key=lambda r: r["shard"])
     a, place = np.unique(np.concatenate([np.frombuffer(r["a"], np.int32) for r in parts]), return_inverse=True)
     touched = np.maximum(np.bincount(place, minlength=len(a)), 1)
-    z, n = (np.bincount(place, np.concatenate([np.frombuffer(r[k]) for r in parts]), len(a)) / touched for k in ("z", "n"))
+    z, n = (np.bincount(place, np.concatenate([np.frombuffer(r[k], np.float32) for r in parts]), len(a)) / touched for k in ("z", "n"))
     blobs = [a, z.astype(np.float32), n.astype(np.float32)]
     return pa.table({"range": group["range"][:1].cast(pa.int32()), **{k: pa.array([b.tobytes()], pa.binary()) for k, b in zip("azn", blobs)}})
 
 
 def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
-    """Model of a bounded table (doc_id, text, label), learnt shard by shard and averaged after each epoch."""
+    """Model of a bounded table (doc_id, text, label), learnt shard by shard and averaged at each exchange."""
     s, spark = settings, sample.sparkSession
     dealt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(s.shards)).cast("int")
     rows = written(sample.withColumn("shard", dealt).select("shard", "doc_id", "text", "label")
                    .groupBy("shard").applyInArrow(_packer(s), _PACKED), "labelled")
     keys, z, n = np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)
-    for epoch in range(s.epochs):
+    steps = np.linspace(0, s.epochs, s.exchanges + 1).round().astype(int).tolist()
+    for some in map(range, steps, steps[1:]):
         common = spark.sparkContext.broadcast((keys, z, n))
-        changes = rows.mapInArrow(_epoch(common, epoch, s), "range int, shard int, a binary, z binary, n binary")
+        changes = rows.mapInArrow(_epochs(common, some, s), "range int, shard int, a binary, z binary, n binary")
         parts = changes.groupBy("range").applyInArrow(_averaged, "range int, a binary, z binary, n binary").toArrow()
         common.destroy()
         if not parts.num_rows:
