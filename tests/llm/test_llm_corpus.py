@@ -240,3 +240,36 @@ def test_pipeline_query(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert "ids" not in out.columns and out.where("n_tokens = 0").count() == 0
     assert out.count() >= 100
+
+
+def test_archive_grows_by_appends(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i} " * 200) for i in range(1, 5)], "page_id long, url string, html string")
+    path = work_dir(spark, "warc-append")
+    warc.archived(pages.where("page_id <= 2"), path)
+    both = warc.archived(pages.where("page_id = 3"), path)
+    assert sorted(r.page_id for r in both.collect()) == [1, 2, 3]
+    assert sorted(r.page_id for r in warc.archived(pages.where("page_id = 4"), path).collect()) == [1, 2, 3, 4]
+
+
+def test_verified_records_are_measured_not_quoted(spark):
+    """Lengths and digests come from the payloads that are in the archive; the predicate reaches the reader."""
+    pages = spark.createDataFrame([(1, "u", "a" * 2000), (2, "u", "a" * 2000), (3, "u", None), (4, "u", "short")],
+                                  "page_id long, url string, html string")
+    archive = warc.archived(pages)
+    rows = {r.page_id: (r.record_type, r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.verified(archive).collect()}
+    digest = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    assert rows == {1: ("revisit", 2000, digest("a" * 2000), 2), 2: ("response", 2000, digest("a" * 2000), None),
+                    3: ("response", 0, digest(""), None), 4: ("response", 5, digest("short"), None)}
+    plan = archive.where("record_type = 'response'")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (" not in plan
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    for name in ("domain", "rate", "score", "predicted", "n_tokens", "posterior", "a.b", "_key", "component_id"):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c} {r.doc_id}" for c in ("domain", "rate", "score", "a.b", "_key", "component_id")), name

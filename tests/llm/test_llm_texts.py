@@ -257,3 +257,36 @@ def test_bpe_of_odd_rows(spark):
     assert out.columns.count("ids") == 1 and len(rows) == len(ODD)
     assert all(bytes(r.decoded).decode() == (r.text or "") for r in rows)
     assert codec.encoded(odd(spark).limit(0)).count() == 0
+
+
+# --- rows that share an id, and names that clash ------------------------------------
+
+WORDS = [f"w{i}" for i in range(60)]
+
+
+def test_repeated_rows_keep_a_passage(spark):
+    """Neither of two equal rows starts earlier; a copy under a larger id goes."""
+    varied = WORDS[:30] + ["other"] + WORDS[31:]
+    rows = [(1, " ".join(WORDS)), (1, " ".join(WORDS)), (2, " ".join(varied)), (3, " ".join(WORDS))]
+    got = sorted((r.doc_id, r.n_removed) for r in substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0), (1, 0), (2, 59), (3, 60)]
+
+
+def test_passages_among_clashing_names(spark):
+    names = ["spans", "_spans", "_may", "_bit", "_both", "_id", "a.b", "n_words", "_0", "_total"]
+    rows = [(*["x"] * len(names), 1, " ".join(WORDS)), (*["y"] * len(names), 2, " ".join(WORDS))]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names) + ", doc_id int, text string")
+    out = substrings.deduplicated(df)
+    assert out.columns == [n for n in names if n != "n_words"] + ["doc_id", "n_words", "n_removed", "text"]
+    got = sorted((r["doc_id"], r["a.b"], r["_may"], r["_0"], r["n_words"], r["n_removed"]) for r in out.collect())
+    assert got == [(1, "x", "x", "x", 60, 0), (2, "y", "y", "y", 60, 60)]
+
+
+def test_kept_judges_rows_by_their_own_texts(spark):
+    r, q = " ".join(WORDS), "another text that is linked with nothing at all here"
+    rows = [(3, r, "p"), (6, q, "p"), (6, r, "p"), (3, r, "p"), (None, r, "p"), (None, None, "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `component_id` string").withColumn("a.b", F.lit(1)).withColumn("key", F.lit(2))
+    out = minmax.kept(df)
+    assert out.columns == df.columns
+    assert sorted(map(str, ((x.doc_id, x.text) for x in out.collect()))) == sorted(
+        map(str, [(3, r), (3, r), (6, q), (None, r), (None, None)]))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from glyphloom.llm import toxicity
 from glyphloom.llm.queries import QUERIES
 
-SMALL = toxicity.Settings(rows=400, shards=2, epochs=8, least=2, l1=2.0)
+SMALL = toxicity.Settings(rows=400, shards=2, epochs=8, l1=2.0)
 
 
 @pytest.fixture(scope="module")
