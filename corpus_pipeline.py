@@ -8,7 +8,7 @@ and read again in between, by ``run`` in the shared folder.
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphloom.llm import bpe_fold, minmax, mixing, pii, toxicity
-from glyphloom.llm.frames import table
+from glyphloom.llm.frames import guarded, table
 from glyphloom.llm.queries import public_codec
 from glyphloom.session import written
 
@@ -16,7 +16,7 @@ from glyphloom.session import written
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt on the labelled ones, scores below 0.5."""
     model = toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", toxicity.Settings.rows))
-    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+    return guarded(docs, ["doc_id", "text"], lambda d: toxicity.scored(d, model).where("predicted = 0"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Thirty bands miss a pair at the threshold with probability (1 - 0.8^4)^30 = 1e-7.
     """
-    return minmax.kept(docs, minmax.Settings(hundredths=80, permutations=60)).select(*docs.columns)
+    return minmax.kept(docs, minmax.Settings(hundredths=80, permutations=60))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
