@@ -8,10 +8,11 @@ leftmost first. All its occurrences merge in one step only if no pair that comes
 up on the way has a lower rank; else only the leftmost does, so the result is that
 of merging one at a time.
 
-1. Words of all texts are counted; those frequent enough to be among ``hot``
-   are folded once each and broadcast (the bound is on words and on their bytes).
-2. A pass over the texts replaces broadcast words by ids. The other words travel
-   in the row and are folded there. Nothing is shuffled but word counts.
+1. Words of all texts are counted, each once a block of texts. Those frequent enough
+   to fit in a budget of bytes are folded once each and broadcast.
+2. A pass over the texts replaces broadcast words by ids, bytes being compared. Other
+   words leave gaps; the distinct ones among them are folded once each, after a
+   shuffle by word, and come back to the rows they are missing from.
 3. Decoding concatenates the binary pieces of the ids.
 
 Defined results: a null text is an empty one, without tokens; special tokens are
@@ -30,16 +31,17 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
 from glyphloom.llm.frames import appended, quoted
 from glyphloom.llm.pretokens import PATTERN, HashIndex, pretokens, spread
-from glyphloom.llm.wordhash import BYTES, columns_bytes, hashes_of
+from glyphloom.llm.wordhash import BYTES, hashes_of
 from glyphloom.session import written
 
-HOT_WORDS = 1_000_000
+HOT_BYTES = 64 << 20      # of broadcast words, their ids and their index
 HOT_LETTERS = 64          # bytes; longer words are never broadcast
+_ENTRY = 40               # bytes of a broadcast word beside its letters and ids
 SHORT = 64
 _BUCKETS = 1 << 16
 _NONE = 1 << 30
 _GAP_ID = 0xFFFFFFFF
-_TEXT, _RARE = "_text", "_rare"
+_TEXT, _RARE, _ROW = "_text", "_rare", "_row"
 
 
 def rank_table(path: str) -> list[bytes]:
@@ -181,46 +183,50 @@ class Codec:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.of_byte[np.frombuffer(b"".join(words), np.uint8)]))
 
     def counts(self, docs: DataFrame, text: str) -> DataFrame:
-        """(word, n) of words short enough to be broadcast, counted where a block of texts has them at least twice."""
+        """(word, n) of words short enough to be broadcast; a block of texts counts its words before they move."""
         def run(batches):
             for batch in batches:
-                parts = list(pretokens(batch.column(0), batch.nbytes + 1))
-                for words in parts:
+                for words in pretokens(batch.column(0), batch.nbytes + 1):
                     _, at, n = np.unique(words.hashes, return_index=True, return_counts=True)
-                    at, n = at[n > 1], n[n > 1]
                     short = words.ends[at] - words.starts[at] <= HOT_LETTERS
                     at, n = at[short], n[short]
-                    found = [words.text(a, b).decode() for a, b in zip(words.starts[at], words.ends[at])]
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n.astype(np.int64))],
+                    found = [words.text(a, b) for a, b in zip(words.starts[at], words.ends[at])]
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(n.astype(np.int64))],
                                                      names=["word", "n"])
 
-        partial = docs.select(quoted(text).alias("text")).mapInArrow(run, "word string, n long")
+        partial = docs.select(quoted(text).alias("text")).mapInArrow(run, "word binary, n long")
         return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
-    def hot_words(self, docs: DataFrame, text: str, most: int) -> pa.Table:
-        """(word, ids) of the words that occur often enough to be among ``most``, folded."""
-        counts = written(self.counts(docs, text), "words")
-        steps = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
-        total, least = 0, 100_001
-        for step in steps:
-            total += step["count"]
-            if total > most:
-                break
-            least = step["n"]
+    def folds(self, words: DataFrame) -> DataFrame:
+        """(word, ids) of distinct words, each folded once."""
         start = self._start
 
         def compute(column):
-            return [start([w.encode() for w in column.to_pylist()])]
+            return [start(column.to_pylist())]
 
-        hot = appended(counts.where(F.col("n") >= least).select("word"), "word",
-                       [StructField("bytes", ArrayType(IntegerType()))], compute)
-        tables = _literal(self.pieces)
-        return hot.select("word", _let(tables, lambda t: folded(t, F.col("bytes"))).alias("ids")).toArrow()
+        begun = appended(words.select("word"), "word", [StructField("bytes", ArrayType(IntegerType()))], compute)
+        return begun.select("word", _let(_literal(self.pieces), lambda t: folded(t, F.col("bytes"))).alias("ids"))
 
-    def encoded(self, docs: DataFrame, text: str = "text", most: int = HOT_WORDS) -> DataFrame:
-        """``docs`` with ``ids``: the tokens of each text as little-endian 32-bit integers."""
+    def hot_words(self, docs: DataFrame, text: str, budget: int) -> pa.Table:
+        """(word, ids) of the words that occur so often that all of them fit in ``budget`` bytes, folded.
+
+        Sizes are added up by powers of two of the count; a word has at most as many ids as bytes.
+        """
+        counts = written(self.counts(docs, text), "words")
+        power, size = F.floor(F.log2("n")).cast("int"), F.sum(5 * F.octet_length("word") + _ENTRY)
+        least, load = None, 0
+        for step in sorted(counts.groupBy(power.alias("power")).agg(size.alias("size")).collect(), key=lambda r: -r.power):
+            load += step["size"]
+            if load > budget:
+                break
+            least = 2 ** step["power"]
+        hot = counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
+        return self.folds(hot).toArrow()
+
+    def encoded(self, docs: DataFrame, text: str = "text", budget: int = HOT_BYTES, keep: bool = True) -> DataFrame:
+        """``docs`` with ``ids``: the tokens of each text as little-endian 32-bit integers; the text goes unless it is kept."""
         spark = docs.sparkSession
-        hot = self.hot_words(docs, text, most)
+        hot = self.hot_words(docs, text, budget)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, hot.schema) as out:
             out.write_table(hot)
@@ -229,42 +235,53 @@ class Codec:
         cache = {}
 
         def known():
-            """Index of the broadcast words, the bounds of their ids, and all ids with a gap behind them."""
+            """Index of the broadcast words, their letters, the bounds of their ids, and all ids with a gap behind them."""
             if not cache:
                 words = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
-                offsets, data = columns_bytes(words["word"])
-                hashes = hashes_of(data, offsets[:-1], offsets[1:], BYTES) if len(words) else np.zeros(0, np.uint64)
-                ids = words["ids"].combine_chunks() if len(words) else pa.array([], pa.list_(pa.int32()))
+                own = words["word"].combine_chunks() if len(words) else pa.array([], pa.binary())
+                own = own.cast(pa.large_binary())
+                offsets = np.frombuffer(own.buffers()[1], np.int64)[:len(own) + 1] if len(own) else np.zeros(1, np.int64)
+                data = np.frombuffer(own.buffers()[2], np.uint8) if len(own) else np.zeros(1, np.uint8)
+                hashes = hashes_of(data, offsets[:-1], offsets[1:], BYTES) if len(own) else np.zeros(0, np.uint64)
+                ids = words["ids"].combine_chunks() if len(own) else pa.array([], pa.list_(pa.int32()))
                 lengths = np.append(ids.value_lengths().to_numpy(), 1)
                 flat = np.append(ids.flatten().to_numpy().astype(np.uint32), np.uint32(_GAP_ID))
-                cache.update(index=HashIndex(hashes), size=np.append(np.diff(offsets), 0), lengths=lengths, flat=flat,
-                             starts=np.cumsum(lengths) - lengths)
+                cache.update(index=HashIndex(hashes), at=offsets, data=data, size=np.append(np.diff(offsets), 0),
+                             lengths=lengths, flat=flat, starts=np.cumsum(lengths) - lengths)
             return cache
 
         def look_up(column):
             k = known()
+            none = len(k["lengths"]) - 1
             ids, rare, counts = [], [], []
             for words in pretokens(column):
                 place = k["index"].find(words.hashes)
                 size = words.ends - words.starts
-                place[(place < 0) | (k["size"][place] != size)] = len(k["lengths"]) - 1
+                place[(place < 0) | (k["size"][place] != size)] = none
+                hit = np.flatnonzero(place != none)
+                differ = words.data[spread(words.starts[hit], size[hit])] != k["data"][spread(k["at"][place[hit]], size[hit])]
+                place[np.repeat(hit, size[hit])[differ]] = none
                 lengths = k["lengths"][place]
                 flat = k["flat"][spread(k["starts"][place], lengths)]
                 bounds = np.concatenate(([0], np.cumsum(lengths)))[words.bounds]
                 ids.extend(flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:]))
-                missing = np.flatnonzero(place == len(k["lengths"]) - 1)
+                missing = np.flatnonzero(place == none)
                 counts.append(np.diff(np.searchsorted(missing, words.bounds)))
-                rare.append((size[missing], words.data[spread(words.starts[missing], size[missing])]))
+                rare.extend(words.text(a, b) for a, b in zip(words.starts[missing], words.ends[missing]))
             outer = np.concatenate([[0], *counts]).cumsum().astype(np.int32)
-            inner = np.concatenate([[0], *(r[0] for r in rare)]).cumsum().astype(np.int32)
-            letters = np.concatenate([np.zeros(0, np.uint8), *(r[1] for r in rare)])
-            words = pa.ListArray.from_arrays(pa.array(inner), pa.array(self.of_byte[letters]))
-            return [pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(outer), words)]
-
-        looked = appended(docs.withColumn(_TEXT, quoted(text)), _TEXT,
-                          [StructField("ids", BinaryType()), StructField(_RARE, ArrayType(ArrayType(IntegerType())))], look_up)
-        rare = _let(_literal(self.pieces), lambda t: F.transform(F.col(_RARE), lambda w: folded(t, w)))
-        filled = looked.withColumn(_TEXT, F.struct("ids", rare.alias("rare"))).drop(_RARE)
+            return [pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(outer), pa.array(rare, pa.binary()))]
+
+        source = docs.withColumn(_TEXT, quoted(text)) if keep else docs.select(
+            *(quoted(c) for c in docs.columns if c != text), quoted(text).alias(_TEXT))
+        looked = appended(source, _TEXT, [StructField("ids", BinaryType()), StructField(_RARE, ArrayType(BinaryType()))],
+                          look_up).drop(_TEXT)
+        looked = written(looked.withColumn(_ROW, F.monotonically_increasing_id()), "looked")
+        gaps = looked.where(F.size(_RARE) > 0).select(F.col(_ROW).alias("_of"), F.posexplode(_RARE).alias("at", "word"))
+        words = written(self.folds(gaps.select("word").distinct()), "rare")
+        fills = (gaps.join(words, "word").groupBy("_of")
+                 .agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("_fills")))
+        gapped = looked.where(F.size(_RARE) > 0).join(fills, F.col(_ROW) == F.col("_of"))
+        gapped = gapped.withColumn(_TEXT, F.struct("ids", F.col("_fills.ids").alias("rare"))).drop(_RARE, _ROW, "_of", "_fills")
 
         def fill(column):
             ids = column.field("ids")
@@ -281,7 +298,9 @@ class Codec:
             bounds = np.concatenate(([0], ends))[bounds]
             return [pa.array([out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())]
 
-        return appended(filled, _TEXT, [StructField("ids", BinaryType())], fill).drop(_TEXT)
+        filled = appended(gapped, _TEXT, [StructField("ids", BinaryType())], fill).drop(_TEXT)
+        whole = looked.where(F.size(_RARE) == 0).drop(_RARE, _ROW)
+        return whole.unionByName(filled)
 
     def decoded(self, encoded: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """``encoded`` with the bytes of each row's tokens; an unknown id raises."""
