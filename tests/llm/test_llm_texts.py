@@ -243,8 +243,8 @@ def test_bpe_equals_the_library(spark, sf, library):
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     codec = public_codec()
-    for most in (10_000, 10):
-        out = bpe_fold.digests(codec.decoded(codec.encoded(df, most=most)))
+    for budget in (1 << 20, 900, 0):
+        out = bpe_fold.digests(codec.decoded(codec.encoded(df, budget=budget)))
         assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()} == coded(rows, library)
     query = QUERIES["op5_bpe"](spark, sf).collect()
     assert {r[0]: tuple(r)[1:] for r in query} == coded(documents(spark, sf), library)
