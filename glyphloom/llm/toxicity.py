@@ -44,7 +44,7 @@ class Settings:
     rows: int = 20_000
     shards: int = 6
     epochs: int = 10
-    exchanges: int = 2
+    exchanges: int = 5
     bits: int = 22
     alpha: float = 1.0
     beta: float = 1.0
@@ -125,6 +125,33 @@ def _lookup(keys: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(keys[place] == at, values[place], 0.0)
 
 
+def _packed(at: np.ndarray, z: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending coordinates with their z and n, losslessly in some three bytes each.
+
+    Coordinates of the same texts have the same z and n, so these are few different
+    pairs; and most coordinates are less than 255 above the one before.
+    """
+    pairs = z.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | n.astype(np.float32).view(np.uint32)
+    kinds, codes = np.unique(pairs, return_inverse=True)
+    codes = codes.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32)
+    gaps = np.diff(at, prepend=0)
+    far = gaps[gaps >= 255].astype(np.int32)
+    head = np.array([len(at), len(kinds), codes.itemsize, len(far)], np.int32)
+    return b"".join(x.tobytes() for x in (head, kinds, codes, far, np.minimum(gaps, 255).astype(np.uint8)))
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size, kinds, width, far = np.frombuffer(blob, np.int32, 4)
+    pairs = np.frombuffer(blob, np.uint64, kinds, 16)
+    at = 16 + 8 * kinds
+    codes = np.frombuffer(blob, np.uint16 if width == 2 else np.uint32, size, at)
+    at += width * size
+    gaps = np.frombuffer(blob, np.uint8, size, at + 4 * far).astype(np.int32)
+    gaps[gaps == 255] = np.frombuffer(blob, np.int32, far, at)
+    z, n = ((pairs >> np.uint64(s)).astype(np.uint32).view(np.float32)[codes] for s in (32, 0))
+    return np.cumsum(gaps, dtype=np.int32), z, n
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
                     usable: Column | None = None) -> DataFrame:
     """(text, label) of at most ``rows`` labelled documents, those of the smallest id hashes.
@@ -165,7 +192,7 @@ def _epochs(common, epochs: range, s: Settings):
     """From the common state through each shard's rows, as often as there are ``epochs``, to the changes of its coordinates."""
 
     def run(batches):
-        keys, z0, n0 = common.value
+        keys, z0, n0 = _unpacked(common.value)
         for batch in batches:
             for r in batch.to_pylist():
                 at = np.append(np.frombuffer(r["coordinates"], np.int32), 1 << s.bits)
@@ -180,22 +207,20 @@ def _epochs(common, epochs: range, s: Settings):
                 cuts = np.searchsorted(at[moved] >> (s.bits - _RANGE_BITS), np.arange((1 << _RANGE_BITS) + 2))
                 for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
                     some = moved[lo:hi]
-                    blobs = [at[some].astype(np.int32), (own.z - z)[some].astype(np.float32), (own.n - n)[some].astype(np.float32)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([i], pa.int32()), pa.array([r["shard"]], pa.int32()),
-                         *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["range", "shard", "a", "z", "n"])
+                    blob = _packed(at[some].astype(np.int64), (own.z - z)[some], (own.n - n)[some])
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([r["shard"]], pa.int32()),
+                                                      pa.array([blob], pa.binary())], names=["range", "shard", "state"])
 
     return run
 
 
 def _averaged(group: pa.Table) -> pa.Table:
     """Changes of a range of coordinates, averaged over the shards that touched each."""
-    parts = sorted(group.to_pylist(), key=lambda r: r["shard"])
-    a, place = np.unique(np.concatenate([np.frombuffer(r["a"], np.int32) for r in parts]), return_inverse=True)
+    parts = [_unpacked(r["state"]) for r in sorted(group.to_pylist(), key=lambda r: r["shard"])]
+    a, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     touched = np.maximum(np.bincount(place, minlength=len(a)), 1)
-    z, n = (np.bincount(place, np.concatenate([np.frombuffer(r[k], np.float32) for r in parts]), len(a)) / touched for k in ("z", "n"))
-    blobs = [a, z.astype(np.float32), n.astype(np.float32)]
-    return pa.table({"range": group["range"][:1].cast(pa.int32()), **{k: pa.array([b.tobytes()], pa.binary()) for k, b in zip("azn", blobs)}})
+    z, n = (np.bincount(place, np.concatenate([p[k] for p in parts]), len(a)) / touched for k in (1, 2))
+    return pa.table({"range": group["range"][:1].cast(pa.int32()), "state": pa.array([_packed(a.astype(np.int64), z, n)], pa.binary())})
 
 
 def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
@@ -207,14 +232,14 @@ def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
     keys, z, n = np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)
     steps = np.linspace(0, s.epochs, s.exchanges + 1).round().astype(int).tolist()
     for some in map(range, steps, steps[1:]):
-        common = spark.sparkContext.broadcast((keys, z, n))
-        changes = rows.mapInArrow(_epochs(common, some, s), "range int, shard int, a binary, z binary, n binary")
-        parts = changes.groupBy("range").applyInArrow(_averaged, "range int, a binary, z binary, n binary").toArrow()
+        common = spark.sparkContext.broadcast(_packed(keys.astype(np.int64), z, n))
+        changes = rows.mapInArrow(_epochs(common, some, s), "range int, shard int, state binary")
+        parts = changes.groupBy("range").applyInArrow(_averaged, "range int, state binary").toArrow()
         common.destroy()
         if not parts.num_rows:
             break
         parts = parts.sort_by("range")
-        a, dz, dn = (np.frombuffer(b"".join(parts[k].to_pylist()), t) for k, t in (("a", np.int32), ("z", np.float32), ("n", np.float32)))
+        a, dz, dn = (np.concatenate(x) for x in zip(*map(_unpacked, parts["state"].to_pylist())))
         every = np.union1d(keys, a)
         place = np.searchsorted(every, a)
         z, n = _lookup(keys, z, every).astype(np.float32), _lookup(keys, n, every).astype(np.float32)

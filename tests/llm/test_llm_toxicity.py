@@ -1,5 +1,6 @@
 """Toxicity: held-out accuracy, odd inputs, and what a model without lessons says."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,15 @@ def test_odd_texts_and_clashing_columns(spark, labelled):
     assert [r.predicted for r in rows if r.doc_id == 2] == [1]
 
 
+def test_states_are_packed_without_loss():
+    rng = np.random.default_rng(1)
+    for size, kinds in ((0, 1), (1, 1), (5000, 7), (100_000, 100_000)):
+        at = np.sort(rng.choice(1 << 22, size, replace=False))
+        z, n = (rng.standard_normal(kinds).astype(np.float32)[rng.integers(0, kinds, size)] for _ in range(2))
+        got = toxicity._unpacked(toxicity._packed(at, z, n))
+        assert all(np.array_equal(x, y) for x, y in zip(got, (at, z, n)))
+
+
 def test_nothing_to_learn_from(spark, labelled):
     model = toxicity.fit(labelled.limit(0), SMALL)
     out = toxicity.scored(labelled.limit(3), model).collect()
