@@ -16,14 +16,18 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from glyphloom.functions import patterns as p
+from glyphloom.functions import repeats
 from glyphloom.functions import text as t
 
 OPS_TYPE = "array<struct<op:int,params:array<int>>>"
+_PARTS = StructType([StructField("text", StringType()), StructField("ops", ArrayType(StructType([
+    StructField("op", IntegerType()), StructField("params", ArrayType(IntegerType()))])))])
 
 
 def _no_ops() -> Column:
@@ -58,48 +62,9 @@ def has_pua(text: Column) -> Column:
     return F.regexp_like(text, F.lit(f"[{p.PUA_WIDE}]"))
 
 
-def repeat_parts(piece: Column) -> Column:
-    """``(text, ops)``: the piece with its repeats folded, and the operators for them."""
-    first = p.PARAM_MAX + 1  # every segment holds a character, so later ones are out of reach
-
-    def segments(raw: Column, runs: Column, units: Column) -> Column:
-        return F.transform(F.slice(raw, 1, first), lambda x, i: F.struct(
-            x.alias("raw"),
-            F.coalesce(F.nullif(F.get(runs, i), F.lit("")),
-                       F.nullif(F.get(units, i), F.lit("")), x).alias("unit")))
-
-    state = F.expr(f"CAST(named_struct('at', 0, 'text', array(), 'ops', array()) "
-                   f"AS struct<at:int,text:array<string>,ops:{OPS_TYPE}>)")
-
-    def fold(acc: Column, seg: Column) -> Column:
-        size = F.length(seg["unit"])
-        n = (F.length(seg["raw"]) / size).cast("int")
-        reachable = F.when(size == 1, acc["at"] <= p.PARAM_MAX).otherwise(
-            acc["at"] + size <= p.PARAM_MAX)
-        op = F.when(size == 1, _op(p.REPEAT, acc["at"], n)).otherwise(
-            _op(p.MULTIREPEAT, acc["at"], acc["at"] + size, n))
-        folds = (n >= 3) & (n <= p.PARAM_MAX) & reachable
-        kept = F.when(folds, seg["unit"]).otherwise(seg["raw"])
-        return F.struct(
-            (acc["at"] + F.length(kept)).alias("at"),
-            F.array_append(acc["text"], kept).alias("text"),
-            F.when(folds, F.array_append(acc["ops"], op)).otherwise(acc["ops"]).alias("ops"))
-
-    def folded(segs: Column) -> Column:
-        done = F.aggregate(segs, state, fold)
-        seen = F.length(F.array_join(F.transform(segs, lambda x: x["raw"]), ""))
-        rest = F.substring(piece, seen + 1, F.length(piece))
-        return t.let(done, lambda d: F.struct(
-            F.concat(F.array_join(d["text"], ""), rest).alias("text"), d["ops"].alias("ops")))
-
-    def match(group: int) -> Column:
-        return F.regexp_extract_all(piece, F.lit(p.REPEAT_SEGMENT), F.lit(group))
-
-    repeats = F.regexp_like(piece, F.lit(p.REPEAT_ONLY)) & ~has_pua(piece)
-    full = t.let(match(0), lambda raw: t.let(match(1), lambda runs: t.let(match(2), lambda units:
-                 t.let(segments(raw, runs, units), folded))))
-    return F.when(repeats, full).otherwise(
-        F.struct(piece.alias("text"), _no_ops().alias("ops")))
+@F.arrow_udf(_PARTS)
+def _repeat_parts(pieces: pa.Array) -> pa.Array:
+    return repeats.parts(pieces)
 
 
 def is_capital(ch: Column) -> Column:
@@ -174,8 +139,10 @@ def with_opcodes(df: DataFrame, capitalize: bool | Column, repeat: bool | Column
     capitalize, repeat, serialize = _flag(capitalize), _flag(repeat), _flag(serialize)
     text = F.col(piece)
     whole = F.struct(text.alias("text"), _no_ops().alias("ops"))
-    df = t.materialize(df, raw=has_pua(text),
-                       _rep=F.when(repeat, repeat_parts(text)).otherwise(whole))
+    df = t.materialize(df, raw=has_pua(text))
+    # Three equal characters, or three copies of two: nothing shorter can fold.
+    df = df.withColumn("_rep", _repeat_parts(F.when(repeat & ~F.col("raw") & (F.length(text) >= 3), text)))
+    df = df.withColumn("_rep", F.coalesce("_rep", whole))
     folded = F.col("_rep.text")
     touched = serialize & ~F.col("raw") & F.regexp_like(folded, F.lit(r"[^\x00-\x7F]"))
     df = df.withColumn("_split", _split_marks(F.when(touched, folded)))

@@ -54,11 +54,6 @@ METASPACE_PIECE = f"{METASPACE}?[^{METASPACE}]+|{METASPACE}"
 WHITESPACE_PIECE = r"(?U)\w+|[^\w\s]+"
 PUNCTUATION_RUN = r"(?U)[^\w\s]{2,}"
 
-# One segment per match: a run of 3+ equal characters, 3+ copies of a unit of at
-# least two characters, or a single character. A unit that ends past PARAM_MAX
-# cannot be encoded, so longer units are never tried.
-REPEAT_SEGMENT = r"(?s)(.)\1{2,}|(.{2,255}?)\2{2,}|."
-REPEAT_ONLY = r"(?s)(.)\1{2,}|(.{2,255}?)\2{2,}"
 CLUSTER = f"(?s).[{MARK_CLASS}]*"
 OP_TOKEN = r"[\uE100-\uEFFF][\uE000-\uE0FF]+"
 ENCODED_UNIT = r"(?s)[\uE100-\uEFFF][\uE000-\uEFFF]*[^\uE100-\uEFFF]*|[^\uE100-\uEFFF]+"

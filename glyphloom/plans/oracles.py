@@ -51,7 +51,7 @@ SQL["corpus_scan"] = "SELECT lang AS label, doc_id, text FROM documents"
 _ALL = ("SELECT 'documents' AS label, doc_id, text FROM documents UNION ALL "
         "SELECT 'benchmark', item_id, text FROM benchmark UNION ALL "
         "SELECT 'pages', page_id, html FROM pages UNION ALL "
-        "SELECT 'conversations', conv_id, text FROM conversations")
+        "SELECT 'conversations', conv_id * 1048576 + turn, text FROM conversations")
 SQL["corpus_union"] = f"""
 SELECT label, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars,
        min(doc_id) AS first_id, max(doc_id) AS last_id FROM ({_ALL}) GROUP BY label"""

@@ -9,6 +9,7 @@ from glyphloom.functions import text as t
 from glyphloom.session import spread
 
 CORPUS_COLUMNS = ("label", "doc_id", "text")
+PARTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,7 @@ class CorpusSpec:
     label: str | None = None            # a constant label ...
     label_column: str | None = None     # ... or a column that holds it
     id_column: str | None = "doc_id"    # None: position in the input files
+    part_column: str | None = None      # numbers the rows of one id, from 0 to below PARTS
     format: str = "parquet"             # parquet, json or text
     options: tuple[tuple[str, str], ...] = ()
 
@@ -32,6 +34,8 @@ def scan(spark: SparkSession, spec: CorpusSpec) -> DataFrame:
     label = F.col(spec.label_column) if spec.label_column else F.lit(spec.label)
     if spec.id_column and spec.format != "text":
         doc_id = F.col(spec.id_column).cast("bigint")
+        if spec.part_column:
+            doc_id = doc_id * PARTS + F.col(spec.part_column).cast("bigint")
     else:
         doc_id = F.monotonically_increasing_id()
     label = F.coalesce(label.cast("string"), F.lit(""))  # a label is a join key
@@ -63,7 +67,8 @@ def all_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
         CorpusSpec(f"{sf_dir}/documents.parquet", label="documents"),
         CorpusSpec(f"{sf_dir}/benchmark.parquet", label="benchmark", id_column="item_id"),
         CorpusSpec(f"{sf_dir}/pages.parquet", "html", label="pages", id_column="page_id"),
-        CorpusSpec(f"{sf_dir}/conversations.parquet", label="conversations", id_column="conv_id"),
+        CorpusSpec(f"{sf_dir}/conversations.parquet", label="conversations", id_column="conv_id",
+                   part_column="turn"),
     ])
 
 

@@ -1,6 +1,7 @@
 """Kernels over Arrow arrays against the plain definitions."""
 
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -8,6 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from glyphloom.functions import patterns as p
+from glyphloom.functions import repeats
 from glyphloom.functions import text as t
 from glyphloom.functions import wordtable
 from glyphloom.functions.wordtable import WordTable
@@ -57,3 +60,39 @@ def test_word_table(monkeypatch, weak):
         else:
             assert weak or key not in known or len(key[0]) > 64
     assert table.find(pa.array([], pa.string()), np.zeros(0, int)).tolist() == []
+
+
+SEGMENT = re.compile(r"(?s)(.)\1{2,}|(.{2,255}?)\2{2,}|.")
+
+
+def folded_by_regex(text):
+    """The definition: segments by a pattern with back references, then the limits."""
+    out, ops, at = "", [], 0
+    spans = list(SEGMENT.finditer(text))
+    for m in spans[:p.PARAM_MAX + 1]:
+        unit = m.group(1) or m.group(2) or m.group(0)
+        n, size = len(m.group(0)) // len(unit), len(unit)
+        fits = at <= p.PARAM_MAX if size == 1 else at + size <= p.PARAM_MAX
+        if 3 <= n <= p.PARAM_MAX and fits:
+            ops.append({"op": p.REPEAT if size == 1 else p.MULTIREPEAT, "params": [at, n] if size == 1 else [at, at + size, n]})
+            out, at = out + unit, at + size
+        else:
+            out, at = out + m.group(0), at + len(m.group(0))
+    return out + "".join(m.group(0) for m in spans[p.PARAM_MAX + 1:]), ops
+
+
+def test_repeats_equal_the_pattern():
+    rng = random.Random(3)
+    texts = [None, "", "aa", "aaa", "ababab", "abab", "aaaabaaaab" * 3, "x" * 300 + "yyy", "ab" * 300, "z" * 254 + "kkk", "z" * 256 + "kkk"]
+    texts += ["".join(rng.choices("abc"[:rng.randint(1, 3)], k=rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["".join(x * rng.randint(1, 5) for x in ("".join(rng.choices("abé😀", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 30))))
+              for _ in range(500)]
+    unit = "".join(chr(200 + i) for i in range(255))
+    texts += [unit * 3, (unit + "!") * 3, "ab" + unit * 4, "".join(rng.choices("ab", k=600)), "q".join(["mmm"] * 200)]
+    got = repeats.parts(pa.array(texts, pa.string())).to_pylist()
+    for text, mine in zip(texts, got):
+        if text is None:
+            assert mine is None
+            continue
+        want, ops = folded_by_regex(text)
+        assert ((text, []) if mine is None else (mine["text"], mine["ops"])) == (want, ops), text

@@ -12,12 +12,24 @@ from glyphloom.operators import decompose as dec
 from glyphloom.operators import pieces as pcs
 from glyphloom.operators.configs import CATALOGUE
 
-TEXTS = [
-    "Rain, again? 12 + 30 == 42.", "while q:\n\tq -= 1\n", '"""note"""\n\n\n\tbreak',
-    "so_far, some_snake_case_words.", "Señor Muñoz ate à la crème, façade.",
-    "    for k in rows:\n", "        ", "print('Good, Evening?')\n", "____Again, again, Again?",
-    "!  x", "\t\t x", "a\r\nb\rc", "a\u00A0b c", "", "it's I'LL  go", "😀😀 e\u0301",
-]
+#: What a text is put together from; each class is a feature that pre-tokenizers treat in their own way.
+FEATURES = {
+    "line ends": ["\n", "\n\n\n", "\r", "\r\n"], "tabs": ["\t", "\t\t"], "spaces": [" ", "   ", "\u00A0"],
+    "words": ["oak", "Elm", "BIRCH"], "identifiers": ["x_1", "__y", "a_b_c"], "numbers": ["7", "2048"],
+    "symbols": [".", ",,", "<=", "\"\"\"", "!?!"], "contractions": ["he's", "WE'LL"],
+    "composed": ["é", "Ñu", "ç"], "decomposed": ["e\u0301", "o\u0308\u0323"], "wide": ["語", "😀"],
+}
+
+
+def generated(seed: int, size: int) -> list[str]:
+    """Seeded texts: one of each feature, one of each pair of features, then random ones."""
+    rng = random.Random(seed)
+    pick = lambda kind: rng.choice(FEATURES[kind])
+    texts = ["", *map(pick, FEATURES), *(pick(a) + pick(b) for a, b in itertools.product(FEATURES, repeat=2))]
+    return texts + ["".join(pick(rng.choice(list(FEATURES))) for _ in range(rng.randint(3, 25))) for _ in range(size)]
+
+
+TEXTS = generated(11, 60)
 
 
 def cut(spark, name, texts=TEXTS):
@@ -34,18 +46,14 @@ def test_pieces_join_to_the_text(spark, name):
 
 
 def test_split_isolates(spark):
-    got = dict(zip(TEXTS, cut(spark, "split")))
-    assert got["so_far, some_snake_case_words."] == [
-        "so_far", ",", " ", "some_snake_case_words", "."]
-    assert got["!  x"] == ["!", " ", " ", "x"]
-    assert got['"""note"""\n\n\n\tbreak'] == ['"""', "note", '"""', "\n\n\n", "\t", "break"]
-    assert got["a\u00A0b c"] == ["a\u00A0b c"]
+    texts = ["x_1,, oak.", "7\t\toak", "<=\n\n\nx", ".  7", "Elm\u00A0oak 7"]
+    assert cut(spark, "split", texts) == [
+        ["x_1", ",,", " ", "oak", "."], ["7", "\t\t", "oak"], ["<=", "\n\n\n", "x"], [".", " ", " ", "7"], ["Elm\u00A0oak", " ", "7"]]
 
 
 def test_llama_look_ahead(spark):
-    got = dict(zip(TEXTS, cut(spark, "llama")))
-    assert got["!  x"] == ["!", " ", " x"]
-    assert got["it's I'LL  go"] == ["it", "'s", " I", "'LL", " ", " go"]
+    assert cut(spark, "llama", [".  oak", "he's WE'LL   7"]) == [
+        [".", " ", " oak"], ["he", "'s", " WE", "'LL", "  ", " ", "7"]]
 
 
 def test_metaspace_and_whitespace(spark):
