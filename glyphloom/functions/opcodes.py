@@ -253,6 +253,18 @@ def with_decoded_text(df: DataFrame, stream: str, out: str) -> DataFrame:
     return t.materialize(df, **{out: F.array_join(done, "")}).drop("_p", "_shaped", "_nfc")
 
 
+def decodable(stream: Column) -> Column:
+    """Whether a token stream holds whole operators only: each with its parameters, and no parameter alone."""
+    return ~F.regexp_like(F.regexp_replace(stream, p.WHOLE_OP, ""), F.lit(r"[\uE000-\uEFFF]"))
+
+
+def with_decoded_or_joined(df: DataFrame, tokens: str, out: str) -> DataFrame:
+    """The text of a token array, or, where its stream can't be decoded, the raw tokens joined by spaces."""
+    fused = t.fuse(F.col(tokens))
+    df = with_decoded_text(df.withColumn("_stream", F.when(decodable(fused), fused)), "_stream", "_undone")
+    return df.withColumn(out, F.coalesce("_undone", F.array_join(tokens, " "))).drop("_stream", "_undone")
+
+
 def encoded_units(text: Column) -> Column:
     """Cut a decoded token stream into operator prefixes with the text they govern."""
     return F.regexp_extract_all(text, F.lit(p.ENCODED_UNIT), F.lit(0))

@@ -56,6 +56,9 @@ PUNCTUATION_RUN = r"(?U)[^\w\s]{2,}"
 
 CLUSTER = f"(?s).[{MARK_CLASS}]*"
 OP_TOKEN = r"[\uE100-\uEFFF][\uE000-\uE0FF]+"
+_PARAM = r"[\uE000-\uE0FF]"
+#: An operator with as many parameters as it takes.
+WHOLE_OP = rf"[\uE100-\uE1FF]{_PARAM}|\uE200{_PARAM}{{2}}|\uE201{_PARAM}{{3}}"
 ENCODED_UNIT = r"(?s)[\uE100-\uEFFF][\uE000-\uEFFF]*[^\uE100-\uEFFF]*|[^\uE100-\uEFFF]+"
 
 # Code points whose NFC form is themselves wherever they stand: Latin letters,

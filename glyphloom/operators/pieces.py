@@ -83,6 +83,12 @@ def unit_counts(units: DataFrame, by=("label",)) -> DataFrame:
             .groupBy(*by, "stream", "piece", "run").agg(F.count("*").alias("n")))
 
 
+def unit_sizes(units: DataFrame, by=("label",)) -> DataFrame:
+    """Units, and the pieces they stand for, per stream: added up in the row, no unit is moved."""
+    pieces = F.aggregate("units", F.lit(0).cast("bigint"), lambda n, u: n + u["run"])
+    return units.groupBy(*by, "stream").agg(F.sum(F.size("units")).alias("units"), F.sum(pieces).alias("pieces"))
+
+
 def with_configs(df: DataFrame, config_names) -> DataFrame:
     """Fan a stream table out to the configurations that read it; no join, no shuffle."""
     readers: dict[str, list] = {}

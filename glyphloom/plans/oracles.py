@@ -410,6 +410,11 @@ SQL["decode_pieces"] = f"""WITH {_islands(_arrays(['split']), 'label')},
 f AS (SELECT label, repeat(piece, run) AS decoded, 1 AS n FROM i WHERE {_FOLDED}
       UNION ALL SELECT label, piece, run FROM i WHERE NOT ({_FOLDED}))
 SELECT label, decoded, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY ALL"""
+SQL["decode_fallback"] = """
+WITH w AS (SELECT lang AS label, doc_id, regexp_extract_all(text, '[A-Za-z]+') AS words FROM documents)
+SELECT label, doc_id, CASE doc_id % 3 WHEN 0 THEN array_to_string(words, '') ELSE array_to_string(
+  list_transform(words, lambda x: CASE WHEN x[1] = lower(x[1]) THEN x ELSE chr(57600) || chr(57344) || lower(x[1]) || x[2:] END)
+  || [CASE doc_id % 3 WHEN 1 THEN chr(57600) ELSE chr(57857) || chr(57344) || chr(57344) END], ' ') END AS decoded FROM w"""
 SQL["decode_corpus"] = """
 WITH a AS (SELECT lang AS label, list(DISTINCT ch) AS known FROM (
              SELECT lang, unnest(string_split(nfc_normalize(text) || chr(10), '')) AS ch FROM documents WHERE doc_id % 10 <> 9)

@@ -492,9 +492,8 @@ def metaspace_split_pieces(spark, sf):
 @query
 def config_piece_counts(spark, sf):
     """Units per configuration; the factored ones count the units left after folding runs."""
-    units = pcs.unit_counts(pcs.unit_arrays(_text(spark, sf), CATALOGUE))
-    return pcs.with_configs(units, CATALOGUE).groupBy("label", "config").agg(
-        F.sum("n").alias("units"), F.sum(F.col("n") * F.col("run")).alias("pieces"))
+    sizes = pcs.unit_sizes(pcs.unit_arrays(_text(spark, sf), CATALOGUE))
+    return pcs.with_configs(sizes, CATALOGUE).select("label", "config", "units", "pieces")
 
 
 @query
@@ -573,6 +572,22 @@ def encode_case_and_marks(spark, sf):
     return dec.encode_units(dic).groupBy("label", "encoded").agg(F.sum("n").alias("n"))
 
 
+@query
+def decode_fallback(spark, sf):
+    """Streams of case operators, two thirds of them broken at their end, decoded or joined as they are."""
+    def token(word):
+        first = F.substring(word, 1, 1)
+        lowered = F.concat(F.lit(chr(p.CAPITALIZE) + chr(p.PARAM_BASE)), F.lower(first), F.substring(word, F.lit(2), F.length(word)))
+        return F.when(first != F.lower(first), lowered).otherwise(word)
+
+    tokens = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), token)
+    third = F.pmod("doc_id", F.lit(3))
+    broken = F.when(third == 1, F.array(F.lit(chr(p.CAPITALIZE)))).when(
+        third == 2, F.array(F.lit(chr(p.MULTIREPEAT) + chr(p.PARAM_BASE) * 2))).otherwise(F.array().cast("array<string>"))
+    docs = _text(spark, sf).withColumn("tokens", F.concat(tokens, broken))
+    return oc.with_decoded_or_joined(docs, "tokens", "decoded").select("label", "doc_id", "decoded")
+
+
 @query
 def decode_pieces(spark, sf):
     """Decoded units, counted; must equal the units of the text."""
