@@ -1,6 +1,7 @@
 """Helpers shared by the operators of this subpackage."""
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "1000")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def passing_shuffles(spark: SparkSession):
+    """Within, a query's shuffle files go when it ends: for loops whose queries are each run once."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def quoted(name: str) -> Column:
     """Column by its exact name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from glyphloom.llm.frames import appended
+from glyphloom.llm.frames import appended, passing_shuffles
 from glyphloom.llm.wordhash import PUNCTUATED, mix, runs, word_slices
-from glyphloom.session import written
+from glyphloom.session import remove, work_dir, written_at
 
 
 @dataclass(frozen=True)
@@ -223,29 +223,36 @@ def _averaged(group: pa.Table) -> pa.Table:
     return pa.table({"range": group["range"][:1].cast(pa.int32()), "state": pa.array([_packed(a.astype(np.int64), z, n)], pa.binary())})
 
 
+def _moved(size: int, old: np.ndarray, before: np.ndarray, new: np.ndarray, change: np.ndarray) -> np.ndarray:
+    out = np.zeros(size, np.float32)
+    out[old] = before
+    out[new] += change
+    return out
+
+
 def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
     """Model of a bounded table (doc_id, text, label), learnt shard by shard and averaged at each exchange."""
     s, spark = settings, sample.sparkSession
     dealt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(s.shards)).cast("int")
-    rows = written(sample.withColumn("shard", dealt).select("shard", "doc_id", "text", "label")
-                   .groupBy("shard").applyInArrow(_packer(s), _PACKED), "labelled")
     keys, z, n = np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)
     steps = np.linspace(0, s.epochs, s.exchanges + 1).round().astype(int).tolist()
-    for some in map(range, steps, steps[1:]):
-        common = spark.sparkContext.broadcast(_packed(keys.astype(np.int64), z, n))
-        changes = rows.mapInArrow(_epochs(common, some, s), "range int, shard int, state binary")
-        parts = changes.groupBy("range").applyInArrow(_averaged, "range int, state binary").toArrow()
-        common.destroy()
-        if not parts.num_rows:
-            break
-        parts = parts.sort_by("range")
-        a, dz, dn = (np.concatenate(x) for x in zip(*map(_unpacked, parts["state"].to_pylist())))
-        every = np.union1d(keys, a)
-        place = np.searchsorted(every, a)
-        z, n = _lookup(keys, z, every).astype(np.float32), _lookup(keys, n, every).astype(np.float32)
-        z[place] += dz
-        n[place] += dn
-        keys = every
+    path = work_dir(spark, "labelled")
+    with passing_shuffles(spark):
+        rows = written_at(sample.withColumn("shard", dealt).select("shard", "doc_id", "text", "label")
+                       .groupBy("shard").applyInArrow(_packer(s), _PACKED), path)
+        for some in map(range, steps, steps[1:]):
+            common = spark.sparkContext.broadcast(_packed(keys.astype(np.int64), z, n))
+            changes = rows.mapInArrow(_epochs(common, some, s), "range int, shard int, state binary")
+            parts = changes.groupBy("range").applyInArrow(_averaged, "range int, state binary").toArrow()
+            common.destroy()
+            if not parts.num_rows:
+                break
+            a, dz, dn = (np.concatenate(x) for x in zip(*map(_unpacked, parts.sort_by("range")["state"].to_pylist())))
+            every = np.union1d(keys, a)
+            old, new = np.searchsorted(every, keys), np.searchsorted(every, a)
+            z, n = (_moved(len(every), old, x, new, dx) for x, dx in ((z, dz), (n, dn)))
+            keys = every
+    remove(spark, path)
     if not len(keys):
         return Model(s.bits)
     w = _State(s, z, n).weights(np.arange(len(z)))
