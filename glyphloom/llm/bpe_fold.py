@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
-from glyphloom.llm.frames import appended, quoted
+from glyphloom.llm.frames import appended, passing_shuffles, quoted
 from glyphloom.llm.pretokens import PATTERN, HashIndex, pretokens, spread
 from glyphloom.llm.wordhash import BYTES, hashes_of
 from glyphloom.session import written
@@ -141,18 +141,13 @@ def _single(t: Column, p: Column, r: Column) -> Column:
     return _let(F.array_min(r), merge)
 
 
-def _pair_ranks(t: Column, p: Column) -> Column:
-    return F.when(F.size(p) > 1, F.transform(_places(F.size(p) - 1), lambda i: _merged(t, F.get(p, i), F.get(p, i + 1)))
-                  ).otherwise(F.array().cast("array<int>"))
-
-
-def folded(t: Column, ids: Column) -> Column:
-    """Ids of a word given as the ids of its bytes (never empty).
+def folded(t: Column, ids: Column, ranks: Column) -> Column:
+    """Ids of a word given as the ids of its bytes (never empty) and the ranks of their neighbouring pairs.
 
     Short words take one merge a step, which is cheapest for them; long ones take
     all merges of a rank a step, which keeps their number of steps small.
     """
-    short = F.aggregate(_places(F.size(ids)), F.struct(ids.alias("p"), _pair_ranks(t, ids).alias("r")),
+    short = F.aggregate(_places(F.size(ids)), F.struct(ids.alias("p"), ranks.alias("r")),
                         lambda s, _: F.when(F.size(s["r"]) > 0, _single(t, s["p"], s["r"])).otherwise(s), lambda s: s["p"])
     start = F.struct(ids.alias("p"), F.lit(True).alias("more"))
     long = F.aggregate(_places(F.size(ids)), start, lambda s, _: F.when(s["more"], _step(t, s["p"])).otherwise(s),
@@ -160,6 +155,22 @@ def folded(t: Column, ids: Column) -> Column:
     return F.when(F.size(ids) <= SHORT, short).otherwise(long)
 
 
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of binary values, and the bytes they lie in."""
+    own = words.cast(pa.large_binary())
+    offsets = np.frombuffer(own.buffers()[1], np.int64)[own.offset:own.offset + len(own) + 1] if len(own) else np.zeros(1, np.int64)
+    raw = own.buffers()[2]
+    return offsets, np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(1, np.uint8)
+
+
+def _cut(words, at: np.ndarray) -> pa.Array:
+    """Words of a slice as binary values."""
+    size = words.ends[at] - words.starts[at]
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    letters = words.data[spread(words.starts[at], size)]
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters.tobytes())])
+
+
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a binary column, and the bounds of each row's; a null has none."""
     rows = [x or b"" for x in column.to_pylist()]
@@ -176,11 +187,22 @@ class Codec:
         self.pieces = rank_table(path)
         of_byte = {p: i for i, p in enumerate(self.pieces) if len(p) == 1}
         self.of_byte = np.array([of_byte[bytes([b])] for b in range(256)], np.int32)
-
-    def _start(self, words: list[bytes]) -> pa.ListArray:
-        """The ids of each word's bytes."""
-        offsets = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.of_byte[np.frombuffer(b"".join(words), np.uint8)]))
+        self.of_pair = np.full(1 << 16, _NONE, np.int32)    # what two bytes merge to
+        for i, piece in enumerate(self.pieces):
+            if len(piece) == 2:
+                self.of_pair[piece[0] << 8 | piece[1]] = i
+
+    def _start(self, words: pa.Array) -> list[pa.Array]:
+        """The ids of each word's bytes, and the ranks of neighbouring bytes."""
+        starts, data = _bytes(words)
+        offsets = (starts - starts[0]).astype(np.int32)
+        data = data[starts[0]:starts[-1]].astype(np.int32)
+        pairs = self.of_pair[data[:-1] << 8 | data[1:]] if len(data) else data
+        inside = np.ones(len(pairs), bool)
+        inside[offsets[1:-1] - 1] = False       # words are never empty
+        fewer = offsets - np.arange(len(offsets), dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.of_byte[data])),
+                pa.ListArray.from_arrays(pa.array(fewer), pa.array(pairs[inside]))]
 
     def counts(self, docs: DataFrame, text: str) -> DataFrame:
         """(word, n) of words short enough to be broadcast; a block of texts counts its words before they move."""
@@ -190,9 +212,7 @@ class Codec:
                     _, at, n = np.unique(words.hashes, return_index=True, return_counts=True)
                     short = words.ends[at] - words.starts[at] <= HOT_LETTERS
                     at, n = at[short], n[short]
-                    found = [words.text(a, b) for a, b in zip(words.starts[at], words.ends[at])]
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(n.astype(np.int64))],
-                                                     names=["word", "n"])
+                    yield pa.RecordBatch.from_arrays([_cut(words, at), pa.array(n.astype(np.int64))], names=["word", "n"])
 
         partial = docs.select(quoted(text).alias("text")).mapInArrow(run, "word binary, n long")
         return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -200,19 +220,17 @@ class Codec:
     def folds(self, words: DataFrame) -> DataFrame:
         """(word, ids) of distinct words, each folded once."""
         start = self._start
-
-        def compute(column):
-            return [start(column.to_pylist())]
-
-        begun = appended(words.select("word"), "word", [StructField("bytes", ArrayType(IntegerType()))], compute)
-        return begun.select("word", _let(_literal(self.pieces), lambda t: folded(t, F.col("bytes"))).alias("ids"))
+        numbers = ArrayType(IntegerType())
+        begun = appended(words.select("word"), "word", [StructField("bytes", numbers), StructField("ranks", numbers)], start)
+        return begun.select("word", _let(_literal(self.pieces), lambda t: folded(t, F.col("bytes"), F.col("ranks"))).alias("ids"))
 
     def hot_words(self, docs: DataFrame, text: str, budget: int) -> pa.Table:
         """(word, ids) of the words that occur so often that all of them fit in ``budget`` bytes, folded.
 
         Sizes are added up by powers of two of the count; a word has at most as many ids as bytes.
         """
-        counts = written(self.counts(docs, text), "words")
+        with passing_shuffles(docs.sparkSession):
+            counts = written(self.counts(docs, text), "words")
         power, size = F.floor(F.log2("n")).cast("int"), F.sum(5 * F.octet_length("word") + _ENTRY)
         least, load = None, 0
         for step in sorted(counts.groupBy(power.alias("power")).agg(size.alias("size")).collect(), key=lambda r: -r.power):
@@ -239,9 +257,7 @@ class Codec:
             if not cache:
                 words = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
                 own = words["word"].combine_chunks() if len(words) else pa.array([], pa.binary())
-                own = own.cast(pa.large_binary())
-                offsets = np.frombuffer(own.buffers()[1], np.int64)[:len(own) + 1] if len(own) else np.zeros(1, np.int64)
-                data = np.frombuffer(own.buffers()[2], np.uint8) if len(own) else np.zeros(1, np.uint8)
+                offsets, data = _bytes(own)
                 hashes = hashes_of(data, offsets[:-1], offsets[1:], BYTES) if len(own) else np.zeros(0, np.uint64)
                 ids = words["ids"].combine_chunks() if len(own) else pa.array([], pa.list_(pa.int32()))
                 lengths = np.append(ids.value_lengths().to_numpy(), 1)
@@ -267,19 +283,20 @@ class Codec:
                 ids.extend(flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:]))
                 missing = np.flatnonzero(place == none)
                 counts.append(np.diff(np.searchsorted(missing, words.bounds)))
-                rare.extend(words.text(a, b) for a, b in zip(words.starts[missing], words.ends[missing]))
+                rare.append(_cut(words, missing))
             outer = np.concatenate([[0], *counts]).cumsum().astype(np.int32)
-            return [pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(outer), pa.array(rare, pa.binary()))]
+            return [pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(outer), pa.concat_arrays([*rare, pa.array([], pa.binary())]))]
 
         source = docs.withColumn(_TEXT, quoted(text)) if keep else docs.select(
             *(quoted(c) for c in docs.columns if c != text), quoted(text).alias(_TEXT))
         looked = appended(source, _TEXT, [StructField("ids", BinaryType()), StructField(_RARE, ArrayType(BinaryType()))],
                           look_up).drop(_TEXT)
-        looked = written(looked.withColumn(_ROW, F.monotonically_increasing_id()), "looked")
-        gaps = looked.where(F.size(_RARE) > 0).select(F.col(_ROW).alias("_of"), F.posexplode(_RARE).alias("at", "word"))
-        words = written(self.folds(gaps.select("word").distinct()), "rare")
-        fills = (gaps.join(words, "word").groupBy("_of")
-                 .agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("_fills")))
+        with passing_shuffles(spark):
+            looked = written(looked.withColumn(_ROW, F.monotonically_increasing_id()), "looked")
+            gaps = looked.where(F.size(_RARE) > 0).select(F.col(_ROW).alias("_of"), F.posexplode(_RARE).alias("at", "word"))
+            met = written(self.folds(gaps.select("word").distinct()), "rare")
+            fills = written(gaps.join(met, "word").groupBy("_of")
+                            .agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("_fills")), "fills")
         gapped = looked.where(F.size(_RARE) > 0).join(fills, F.col(_ROW) == F.col("_of"))
         gapped = gapped.withColumn(_TEXT, F.struct("ids", F.col("_fills.ids").alias("rare"))).drop(_RARE, _ROW, "_of", "_fills")
 
