@@ -17,6 +17,7 @@ HEADLINE = [
     "split_diagnostics", "concept_density", "op_frequency", "encode_pieces", "decode_pieces",
     "surface_collapse", "pack_sequences", "next_token_pairs", "piece_offsets", "unigram_ppl",
     "mean_pop_std", "repetition_rate", "generation_summary", "nfc_text", "bpe_merges", "encode_corpus",
+    "decode_corpus", "decode_factored", "roundtrip_classes", "shuffle_batches", "multi_repeat_ops",
 ]
 
 
