@@ -152,6 +152,12 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.int32), z, n
 
 
+def _joined(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States of ranges, one after the other."""
+    parts = [(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)), *map(_unpacked, blobs)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
                     usable: Column | None = None) -> DataFrame:
     """(text, label) of at most ``rows`` labelled documents, those of the smallest id hashes.
@@ -192,7 +198,7 @@ def _epochs(common, epochs: range, s: Settings):
     """From the common state through each shard's rows, as often as there are ``epochs``, to the changes of its coordinates."""
 
     def run(batches):
-        keys, z0, n0 = _unpacked(common.value)
+        keys, z0, n0 = _joined(common.value)
         for batch in batches:
             for r in batch.to_pylist():
                 at = np.append(np.frombuffer(r["coordinates"], np.int32), 1 << s.bits)
@@ -223,41 +229,50 @@ def _averaged(group: pa.Table) -> pa.Table:
     return pa.table({"range": group["range"][:1].cast(pa.int32()), "state": pa.array([_packed(a.astype(np.int64), z, n)], pa.binary())})
 
 
-def _moved(size: int, old: np.ndarray, before: np.ndarray, new: np.ndarray, change: np.ndarray) -> np.ndarray:
-    out = np.zeros(size, np.float32)
-    out[old] = before
-    out[new] += change
-    return out
+def _moved(state: bytes, change: bytes) -> bytes:
+    """The state of a range after its changes."""
+    (a, *old), (b, *new) = _unpacked(state), _unpacked(change)
+    every = np.union1d(a, b)
+    out = np.zeros((2, len(every)), np.float32)
+    for row, x, dx in zip(out, old, new):
+        row[np.searchsorted(every, a)] = x
+        row[np.searchsorted(every, b)] += dx
+    return _packed(every.astype(np.int64), *out)
 
 
 def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
     """Model of a bounded table (doc_id, text, label), learnt shard by shard and averaged at each exchange."""
     s, spark = settings, sample.sparkSession
     dealt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(s.shards)).cast("int")
-    keys, z, n = np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)
+    state: dict[int, bytes] = {}    # of each range, packed
     steps = np.linspace(0, s.epochs, s.exchanges + 1).round().astype(int).tolist()
     path = work_dir(spark, "labelled")
     with passing_shuffles(spark):
         rows = written_at(sample.withColumn("shard", dealt).select("shard", "doc_id", "text", "label")
                        .groupBy("shard").applyInArrow(_packer(s), _PACKED), path)
         for some in map(range, steps, steps[1:]):
-            common = spark.sparkContext.broadcast(_packed(keys.astype(np.int64), z, n))
+            common = spark.sparkContext.broadcast([state[i] for i in sorted(state)])
             changes = rows.mapInArrow(_epochs(common, some, s), "range int, shard int, state binary")
             parts = changes.groupBy("range").applyInArrow(_averaged, "range int, state binary").toArrow()
             common.destroy()
-            if not parts.num_rows:
-                break
-            a, dz, dn = (np.concatenate(x) for x in zip(*map(_unpacked, parts.sort_by("range")["state"].to_pylist())))
-            every = np.union1d(keys, a)
-            old, new = np.searchsorted(every, keys), np.searchsorted(every, a)
-            z, n = (_moved(len(every), old, x, new, dx) for x, dx in ((z, dz), (n, dn)))
-            keys = every
+            for i, change in zip(parts["range"].to_pylist(), parts["state"].to_pylist()):
+                state[i] = _moved(state[i], change) if i in state else change
     remove(spark, path)
-    if not len(keys):
+    last = 1 << _RANGE_BITS     # the range that holds the bias alone
+    if last not in state:
         return Model(s.bits)
-    w = _State(s, z, n).weights(np.arange(len(z)))
-    at = np.flatnonzero(w[:-1])
-    return Model(s.bits, keys[at].astype(np.int64), w[at], float(w[-1]))
+    coordinates, weights = [], []
+    for i in sorted(state):
+        at, z, n = _unpacked(state[i])
+        # weights() takes the last coordinate for the bias, so other ranges get one more
+        w = _State(s, z, n).weights(np.arange(len(z))) if i == last else _State(
+            s, np.append(z, 0), np.append(n, 0)).weights(np.arange(len(z)))
+        kept = np.flatnonzero(w)
+        coordinates.append(at[kept].astype(np.int64))
+        weights.append(w[kept])
+        bias = float(w[-1])
+    return Model(s.bits, np.concatenate(coordinates[:-1] or [np.zeros(0, np.int64)]),
+                 np.concatenate(weights[:-1] or [np.zeros(0)]), bias)
 
 
 def _logits(column, model: Model, dense: np.ndarray) -> np.ndarray:
