@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-LONGEST = 64    # bytes of a key
+LONGEST = 64    # bytes of a key of a table of words; a vocabulary's tokens may be longer
 
 
 def flat(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -22,7 +22,7 @@ def flat(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _hashes(starts, lengths, data, salt) -> np.ndarray:
-    """Hash of each string of up to ``LONGEST`` bytes and its salt."""
+    """Hash of each string and its salt; takes as many steps as the longest has bytes."""
     order = np.argsort(-lengths, kind="stable")
     starts, sizes = starts[order], lengths[order]
     h = salt[order].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + sizes.astype(np.uint64)
@@ -69,7 +69,7 @@ class WordTable:
         """Row of each key, -1 where there is none."""
         starts, lengths, data = flat(keys)
         out = np.full(len(starts), -1)
-        short = np.flatnonzero(lengths <= LONGEST)
+        short = np.flatnonzero(lengths <= (self.lengths.max() if len(self.lengths) else 0))
         if not len(self.hashes) or not len(short):
             return out
         starts, lengths, salts = starts[short], lengths[short], salts[short]

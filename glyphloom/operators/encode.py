@@ -286,11 +286,6 @@ def encode_corpus(units: DataFrame, coded: DataFrame, config_names, budget: int
     return whole.select(*order).unionByName(filled)
 
 
-def token_ids(encoded: DataFrame) -> DataFrame:
-    """Exploded form ``(label, config, doc_id, pos, id)``."""
-    return encoded.select(*KEYS, "doc_id", F.posexplode("ids").alias("pos", "id"))
-
-
 # --- ids -> text -----------------------------------------------------------------
 
 def _decoder(tables):
@@ -346,6 +341,62 @@ def decode_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
     return decode_stream(streams, "tokens_text")
 
 
+def _looked_up(df: DataFrame, vocab: DataFrame, column: str, out: str, kind: T.DataType, table, find) -> DataFrame:
+    """``df`` with ``out``: each element of the array ``column`` looked up in the row's vocabulary, where it lies."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(kind))])
+    parts = []
+    for names in _sets(vocab, None, KEYS):
+        found = _by_group(vocab, KEYS, names, "id", "token")
+        tables = df.sparkSession.sparkContext.broadcast({g: table(*x) for g, x in found.items()})
+
+        def look_up(batches, tables=tables):
+            for batch in batches:
+                groups = batch.column("group").dictionary_encode()
+                codes = groups.indices.to_numpy(zero_copy_only=False)
+                rows = [np.flatnonzero(codes == code) for code in range(len(groups.dictionary))]
+                lists = [find(tables.value[name], batch.column(column).take(pa.array(r)))
+                         for name, r in zip(groups.dictionary.to_pylist(), rows)]
+                back = np.argsort(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64))
+                kept = [n for n in batch.schema.names if n != "group"]
+                whole = pa.concat_arrays(lists).take(pa.array(back)) if lists else batch.column(column).slice(0, 0)
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), whole], names=[*kept, out])
+
+        parts.append(df.filter(_group(KEYS).isin(names)).withColumn("group", _group(KEYS)).mapInArrow(look_up, schema))
+    done = parts[0]
+    for part in parts[1:]:
+        done = done.unionByName(part)
+    return done
+
+
+def _sized(lists: pa.Array, values: pa.Array) -> pa.ListArray:
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values)
+
+
+def id_to_token(df: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "tokens") -> DataFrame:
+    """``df`` with the token of every id, null for an id the vocabulary doesn't have."""
+    def find(tokens: dict, lists: pa.Array) -> pa.ListArray:
+        flat = lists.flatten().cast(pa.int64())
+        return _sized(lists, tokens["token"].take(pc.index_in(flat, tokens["id"])))
+
+    return _looked_up(df, vocab, ids, out, T.StringType(), lambda i, t: {"id": i, "token": t}, find)
+
+
+def token_to_id(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids") -> DataFrame:
+    """``df`` with the id of every token, null for a token the vocabulary doesn't have; bytes are compared."""
+    def table(ids: pa.Array, names: pa.Array) -> WordTable:
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32)), ids.cast(pa.int32()))
+        return WordTable.of(names, np.zeros(len(names), np.int64), rows)
+
+    def find(words: WordTable, lists: pa.Array) -> pa.ListArray:
+        kinds = lists.flatten().dictionary_encode()
+        at = words.find(kinds.dictionary, np.zeros(len(kinds.dictionary), np.int64))
+        own = pa.array(words.numbers[words.first[at]], mask=at < 0) if len(words.first) else pa.nulls(len(at), pa.int32())
+        return _sized(lists, own.take(kinds.indices))
+
+    return _looked_up(df, vocab, tokens, out, T.IntegerType(), table, find)
+
+
 def decode_stream(df: DataFrame, stream: str, out: str = "decoded") -> DataFrame:
     """Undo operators and metaspace in whole token streams, one per document.
 
@@ -394,6 +445,17 @@ def roundtrip_classes(decoded: DataFrame, vocab: DataFrame) -> DataFrame:
                      .when(F.col("dropped") > 0, "opcode_oov").when(F.length("_expected") < 256, "failure").otherwise("long").alias("outcome"))
 
 
+def oov_after_decoding(decoded: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Characters of ``nfc`` that ``decoded`` has lost and the vocabulary can't spell, with document counts.
+
+    Tested in the row against the vocabulary's letters; only such characters are counted.
+    """
+    df = decoded.join(F.broadcast(letters_of(vocab)), KEYS, "left")
+    lost = F.array_except(F.array_distinct(t.chars(F.col("nfc"))), t.chars(F.col("decoded")))
+    odd = F.array_except(lost, F.coalesce("letters", F.array().cast("array<string>")))
+    return df.select(*KEYS, F.explode(odd).alias("token")).groupBy(*KEYS, "token").agg(F.count("*").alias("docs"))
+
+
 def oov_characters(corpus: DataFrame, vocab: DataFrame, by=("label",)) -> DataFrame:
     """Characters of the text that the vocabulary cannot spell, with document counts; tested in the row."""
     df = corpus.join(F.broadcast(letters_of(vocab, by)), list(by), "left")

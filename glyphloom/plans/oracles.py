@@ -415,6 +415,12 @@ WITH w AS (SELECT lang AS label, doc_id, regexp_extract_all(text, '[A-Za-z]+') A
 SELECT label, doc_id, CASE doc_id % 3 WHEN 0 THEN array_to_string(words, '') ELSE array_to_string(
   list_transform(words, lambda x: CASE WHEN x[1] = lower(x[1]) THEN x ELSE chr(57600) || chr(57344) || lower(x[1]) || x[2:] END)
   || [CASE doc_id % 3 WHEN 1 THEN chr(57600) ELSE chr(57857) || chr(57344) || chr(57344) END], ' ') END AS decoded FROM w"""
+SQL["oov_decoded"] = """
+WITH a AS (SELECT DISTINCT lang AS label, unnest(string_split(nfc_normalize(text) || chr(10), '')) AS token
+           FROM documents WHERE doc_id % 10 <> 9),
+v AS (SELECT DISTINCT lang AS label, doc_id, unnest(string_split(nfc_normalize(text), '')) AS token FROM documents WHERE doc_id % 10 = 9),
+l AS (SELECT label, token, count(*) AS docs FROM v ANTI JOIN a USING (label, token) WHERE token <> '' GROUP BY ALL)
+SELECT label, config, token, docs FROM l CROSS JOIN (SELECT unnest(['split', 'llama']) AS config)"""
 SQL["decode_corpus"] = """
 WITH a AS (SELECT lang AS label, list(DISTINCT ch) AS known FROM (
              SELECT lang, unnest(string_split(nfc_normalize(text) || chr(10), '')) AS ch FROM documents WHERE doc_id % 10 <> 9)

@@ -697,6 +697,24 @@ def decode_factored(spark, sf):
     return _decoded(spark, sf, [c for c in REPORT_CONFIGS if CATALOGUE[c].factored])
 
 
+@query
+def token_lookup(spark, sf):
+    """Ids of all validation documents to tokens, and these back to ids."""
+    prof = _profile(spark, sf)
+    df = enc.id_to_token(prof.encoded(), prof.vocabulary.vocab)
+    df = enc.token_to_id(df, prof.vocabulary.vocab, out="back")
+    return df.select("label", "config", "doc_id", F.size("tokens").cast("bigint").alias("tokens"),
+                     F.md5(F.array_join("tokens", "\x1f").cast("binary")).alias("content"), (F.col("back") == F.col("ids")).alias("same"))
+
+
+@query
+def oov_decoded(spark, sf):
+    """Characters that plain configurations lose on validation documents, for want of a token."""
+    prof = _profile(spark, sf)
+    plain = F.col("config").isin([c for c in REPORT_CONFIGS if not CATALOGUE[c].factored])
+    return enc.oov_after_decoding(prof.decoded().filter(plain), prof.vocabulary.vocab)
+
+
 @query
 def roundtrip_classes(spark, sf):
     return _profile(spark, sf).roundtrip()

@@ -49,11 +49,14 @@ class Profile:
             metrics.vocab_diff(F.col("actual_vocab_size"), F.col("base_actual_vocab_size"),
                                target).alias("vocab_diff"))
 
+    def decoded(self) -> DataFrame:
+        """decode(encode(text)) of all validation documents, beside what it is to be compared with; one scan."""
+        units = pcs.unit_arrays(encode.with_texts(self.validation), self.configs)
+        return encode.decode_ids(encode.encode_corpus(units, self.coded, self.configs), self.vocabulary.vocab)
+
     def roundtrip(self) -> DataFrame:
         """Documents per label, configuration and outcome of decode(encode(text))."""
-        units = pcs.unit_arrays(encode.with_texts(self.validation), self.configs)
-        decoded = encode.decode_ids(encode.encode_corpus(units, self.coded, self.configs), self.vocabulary.vocab)
-        classes = encode.roundtrip_classes(decoded, self.vocabulary.vocab)
+        classes = encode.roundtrip_classes(self.decoded(), self.vocabulary.vocab)
         return classes.groupBy(*KEYS, "outcome").agg(F.count("*").alias("docs"))
 
 

@@ -185,7 +185,7 @@ def test_corpus_ids_texts_and_outcomes(spark, sf, texts, learned):
         model = models.BPE(vocab={s: i for i, s in enumerate(names)}, merges=list(dict.fromkeys(m[:2] for m in merges[group])))
         known[group] = {s for s in names if len(s) == 1}
         ids[group] = tokenizers.Tokenizer(model)
-    want, outcomes, whole = {}, collections.Counter(), {}
+    want, looked, outcomes, whole = {}, {}, collections.Counter(), {}
     for label, doc, text, raw in texts:
         if doc % 10 != 9:
             continue
@@ -193,6 +193,8 @@ def test_corpus_ids_texts_and_outcomes(spark, sf, texts, learned):
             group, words = (label, config), list(words_of(text, CATALOGUE[config]))
             spelled = [i for w in words for i in ids[group].encode(w).ids]
             want[label, config, doc] = (len(spelled), hashlib.md5(",".join(map(str, spelled)).encode()).hexdigest())
+            names = "\x1f".join(tokens[group][i] for i in spelled)
+            looked[label, config, doc] = (len(spelled), hashlib.md5(names.encode()).hexdigest(), True)
             if all(c in known[group] for w in words for c in w):
                 outcomes[label, config, "lossless" if raw == text else "normalized"] += 1
                 whole[label, config, doc] = text
@@ -200,6 +202,7 @@ def test_corpus_ids_texts_and_outcomes(spark, sf, texts, learned):
                 outcomes[label, config, "other"] += 1
     got = {(r.label, r.config, r.doc_id): (r.tokens, r.content) for r in QUERIES["encode_corpus"](spark, sf).collect()}
     assert got == want
+    assert {(r.label, r.config, r.doc_id): (r.tokens, r.content, r.same) for r in QUERIES["token_lookup"](spark, sf).collect()} == looked
     for name in ("decode_corpus", "decode_factored"):
         for r in QUERIES[name](spark, sf).collect():
             key = (r.label, r.config, r.doc_id)
