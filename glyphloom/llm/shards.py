@@ -1,5 +1,6 @@
 """Vectors dealt into shards of bounded size, and blocks of queries taken to each of them."""
 
+import pickle
 from collections.abc import Callable
 from math import ceil
 
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 
 from glyphloom.session import written
 
+#: Results that a task holds before it lets them go.
+HELD = 1_000_000
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def usable(df: DataFrame, key: str, vector: str, zero: bool = True) -> DataFrame:
     """(id, v): one row an id, without vectors that are null, empty or hold null or non-finite parts.
@@ -30,40 +35,82 @@ def matrix(column) -> np.ndarray:
     return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), -1)
 
 
-def nearest(vectors: DataFrame, every: int, k: int, kernel: Callable, score: str,
+def _blocks(df: DataFrame, kind: str, rows: int, pack: Callable) -> tuple[DataFrame, int]:
+    """(dim, kind, blob) of ``df`` dealt by id into about so many rows a blob; written, and how many blobs there may be."""
+    count = max(1, ceil(df.count() / rows))
+    tasks = min(count, max(2 * df.sparkSession.sparkContext.defaultParallelism, count // 8))
+
+    def packed(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["id"].to_numpy(), kind="stable")
+        blob = pickle.dumps(pack(group["id"].to_numpy()[order], matrix(group["v"])[order]), pickle.HIGHEST_PROTOCOL)
+        return pa.table({"dim": group["dim"][:1].cast(pa.int32()), kind: group[kind][:1].cast(pa.int32()),
+                         f"{kind}_blob": pa.array([blob], pa.binary())})
+
+    dealt = df.withColumn(kind, F.pmod(F.xxhash64("id", F.lit(len(kind))), F.lit(count)).cast("int"))
+    return written(dealt.repartition(tasks, "dim", kind).groupBy("dim", kind)
+                   .applyInArrow(packed, f"dim int, {kind} int, {kind}_blob binary"), kind), count
+
+
+def _best(found: tuple, k: int) -> tuple:
+    """The k best of each query: highest score first, then smaller id."""
+    query, place, value = found
+    order = np.lexsort((place, -value, query))
+    query, place, value = query[order], place[order], value[order]
+    fresh = np.concatenate(([True], query[1:] != query[:-1])) if len(query) else np.zeros(0, bool)
+    rank = np.arange(len(query)) - np.maximum.accumulate(np.where(fresh, np.arange(len(query)), 0))
+    return query[rank < k], place[rank < k], value[rank < k]
+
+
+def nearest(vectors: DataFrame, every: int, k: int, prepare: Callable, search: Callable, score: str,
             shard_rows: int = 8192, query_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of every row whose id ``every`` divides.
 
-    ``kernel(ids, rows, query_ids, queries, k)`` gives (query, place, score)
+    ``prepare(ids, rows)`` makes the index of a shard, once; it is written, and stays
+    where it is. ``search(index, query_ids, queries, k)`` gives (query, place, score)
     arrays of one shard and one block of queries. Both are bounded, whatever the
-    table's size, and each query's row is never its own candidate. Vectors of
-    another length aren't comparable and lie in other shards. A shard gives k
-    rows a query, and the best k of those are taken while merging.
+    table's size, and each query's row is never its own candidate. Blocks of queries
+    go to every shard; vectors move once, to become an index. Vectors of another
+    length aren't comparable and lie in other shards. A task keeps the k best of a
+    query over all its shards, and the k best of those are taken while merging.
     """
+    spark = vectors.sparkSession
     vectors = written(vectors.withColumn("dim", F.size("v")), "vectors")
     asked = vectors.where(F.pmod(F.col("id"), F.lit(every)) == 0)
-    n, q = vectors.count(), asked.count()
-    shards, blocks = max(1, ceil(n / shard_rows)), max(1, ceil(q / query_rows))
-    fill = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    rows = (vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-            .withColumn("block", fill(blocks)))
-    asks = (asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
-            .withColumn("shard", fill(shards)))
-
-    def search(candidates: pa.Table, queries: pa.Table) -> pa.Table:
+    shards, _ = _blocks(vectors, "shard", shard_rows, lambda ids, rows: (ids, prepare(ids, rows)))
+    blocks, _ = _blocks(asked, "block", query_rows, lambda ids, rows: (ids, rows))
+    kind = pa.int64() if score == "long" else pa.float64()
+
+    def run(batches):
         none = np.zeros(0, np.int64)
-        found = none, none, none
-        if candidates.num_rows and queries.num_rows:
-            order = np.argsort(candidates["id"].to_numpy(), kind="stable")
-            ids, query_ids = candidates["id"].to_numpy()[order], queries["id"].to_numpy()
-            at, place, value = kernel(ids, matrix(candidates["v"])[order], query_ids, matrix(queries["v"]), k)
-            found = query_ids[at], ids[place], value
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()),
-                         "score": pa.array(found[2], pa.int64() if score == "long" else pa.float64())})
-
-    keys = ["dim", "shard", "block"]
-    found = (rows.groupBy(*keys).cogroup(asks.groupBy(*keys))
-             .applyInArrow(search, f"query_id long, vec_id long, score {score}"))
+        held, name, index = (none, none, none), None, None
+
+        def batch(found):
+            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()),
+                                               pa.array(found[2], kind)], names=["query_id", "vec_id", "score"])
+
+        for rows in batches:
+            for dim, shard, shard_blob, other, _, block_blob in zip(*rows.columns):
+                if dim != other:
+                    continue
+                if name != (dim.as_py(), shard.as_py()):
+                    name, index = (dim.as_py(), shard.as_py()), pickle.loads(shard_blob.as_buffer())
+                query_ids, queries = pickle.loads(block_blob.as_buffer())
+                at, place, value = search(index[1], query_ids, queries, k)
+                found = query_ids[at], index[0][place], value
+                held = _best(tuple(np.concatenate(x) for x in zip(held, found)), k) if len(held[0]) else found
+                if len(held[0]) > HELD:
+                    yield batch(held)
+                    held = none, none, none
+        yield batch(held)
+
+    # A stated query set against all rows, block by block: rows of this join are pairs of blobs.
+    pairs = shards.crossJoin(blocks.withColumnRenamed("dim", "other"))
+    before = spark.conf.get(_RECORDS)
+    spark.conf.set(_RECORDS, "4")
+    try:
+        found = written(pairs.mapInArrow(run, f"query_id long, vec_id long, score {score}"), "found")
+    finally:
+        spark.conf.set(_RECORDS, before)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -56,11 +56,17 @@ def _descend(rows, lists, query, k, own, exact):
     return place, value
 
 
-def threshold_kernel(ids, rows, query_ids, queries, k):
+def sorted_lists(ids, rows):
+    """A shard's ids, its quantized rows and their places in order of each dimension."""
+    rows = np.floor(256 * rows)
+    return ids, rows, np.argsort(rows, axis=0, kind="stable").astype(np.int32)
+
+
+def threshold_search(index, query_ids, queries, k):
     """The k best rows of a shard for each query; ids ascend."""
-    rows, queries = np.floor(256 * rows), np.floor(256 * queries)
+    ids, rows, lists = index
+    queries = np.floor(256 * queries)
     exact = np.abs(rows).max() * np.abs(queries).max() * rows.shape[1] < 2**53
-    lists = np.argsort(rows, axis=0, kind="stable")
     out = []
     for i, query in enumerate(queries):
         own = np.searchsorted(ids, query_ids[i])
@@ -73,4 +79,4 @@ def threshold_kernel(ids, rows, query_ids, queries, k):
 def top_products(embeddings: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
                  vector: str = "embedding", **bounds) -> DataFrame:
     """(query_id, rank, vec_id, score long) of the quantized vectors floor(256 x)."""
-    return nearest(usable(embeddings, key, vector), every, k, threshold_kernel, "long", **bounds)
+    return nearest(usable(embeddings, key, vector), every, k, sorted_lists, threshold_search, "long", **bounds)

@@ -41,12 +41,9 @@ def build(points: np.ndarray, at: np.ndarray, rng, leaf: int):
 
 
 class _Search:
-    def __init__(self, rows, ids, queries, query_ids, k, factor):
+    def __init__(self, rows, ids, largest, queries, query_ids, k, factor):
         self.rows, self.ids, self.queries, self.query_ids = rows, ids, queries, query_ids
-        self.k, self.factor = k, factor
-        self.norms = (rows ** 2).sum(axis=1)
-        self.largest = self.norms.max()
-        self.points = np.column_stack([rows, np.sqrt(np.maximum(self.largest - self.norms, 0))])
+        self.k, self.factor, self.largest = k, factor, largest
         self.lengths = (queries ** 2).sum(axis=1)
         self.value = np.full((len(queries), k), -np.inf)
         self.place = np.full((len(queries), k), len(rows))
@@ -79,10 +76,20 @@ class _Search:
         self.visit(inner, active[~inside & far])
 
 
-def tree_kernel(factor: float, leaf: int):
-    def kernel(ids, rows, query_ids, queries, k):
-        search = _Search(rows, ids, queries, query_ids, k, factor)
-        tree = build(search.points, np.arange(len(rows)), np.random.default_rng(len(rows)), leaf)
+def planted(leaf: int):
+    """The tree of a shard, with its rows, their ids and their largest norm."""
+    def prepare(ids, rows):
+        norms = (rows ** 2).sum(axis=1)
+        points = np.column_stack([rows, np.sqrt(np.maximum(norms.max() - norms, 0))])
+        return ids, rows, norms.max(), build(points, np.arange(len(rows)), np.random.default_rng(len(rows)), leaf)
+
+    return prepare
+
+
+def tree_search(factor: float):
+    def kernel(index, query_ids, queries, k):
+        ids, rows, largest, tree = index
+        search = _Search(rows, ids, largest, queries, query_ids, k, factor)
         search.visit(tree, np.arange(len(queries)))
         at, rank = np.nonzero(search.place < len(rows))
         place = search.place[at, rank]
@@ -94,4 +101,5 @@ def tree_kernel(factor: float, leaf: int):
 def nearest_neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, factor: float = FACTOR, leaf: int = LEAF,
                        key: str = "vec_id", vector: str = "embedding", **bounds) -> DataFrame:
     """(query_id, rank, vec_id, score double): the k nearest found of every row whose id ``every`` divides."""
-    return nearest(usable(embeddings, key, vector, zero=False), every, k, tree_kernel(factor, leaf), "double", **bounds)
+    return nearest(usable(embeddings, key, vector, zero=False), every, k, planted(leaf), tree_search(factor), "double",
+                   **bounds)
