@@ -152,12 +152,6 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.int32), z, n
 
 
-def _joined(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """States of ranges, one after the other."""
-    parts = [(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)), *map(_unpacked, blobs)]
-    return tuple(np.concatenate(x) for x in zip(*parts))
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
                     usable: Column | None = None) -> DataFrame:
     """(text, label) of at most ``rows`` labelled documents, those of the smallest id hashes.
@@ -194,18 +188,29 @@ def _packer(s: Settings):
     return pack
 
 
+def _looked_up(state: dict[int, bytes], at: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """z and n of ascending coordinates, a range at a time."""
+    out = np.zeros((2, len(at)), np.float32)
+    cuts = np.searchsorted(at >> (s.bits - _RANGE_BITS), np.arange((1 << _RANGE_BITS) + 2))
+    for i, blob in state.items():
+        lo, hi = cuts[i], cuts[i + 1]
+        keys, *values = _unpacked(blob)
+        for row, x in zip(out, values):
+            row[lo:hi] = _lookup(keys, x, at[lo:hi])
+    return out[0], out[1]
+
+
 def _epochs(common, epochs: range, s: Settings):
     """From the common state through each shard's rows, as often as there are ``epochs``, to the changes of its coordinates."""
 
     def run(batches):
-        keys, z0, n0 = _joined(common.value)
         for batch in batches:
             for r in batch.to_pylist():
                 at = np.append(np.frombuffer(r["coordinates"], np.int32), 1 << s.bits)
                 labels, bounds = np.frombuffer(r["labels"]), np.cumsum(np.frombuffer(r["lengths"], np.int32))
                 rows = np.split(np.frombuffer(r["features"], np.int32), bounds[:-1])
-                z, n = _lookup(keys, z0, at).astype(float), _lookup(keys, n0, at).astype(float)
-                own = _State(s, z.copy(), n.copy())
+                z, n = _looked_up(common.value, at, s)
+                own = _State(s, z.astype(float), n.astype(float))
                 for epoch in epochs:
                     for i in np.random.default_rng([epoch, r["shard"]]).permutation(len(rows)):
                         own.learn(np.append(rows[i], len(at) - 1), labels[i])
@@ -251,7 +256,7 @@ def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
         rows = written_at(sample.withColumn("shard", dealt).select("shard", "doc_id", "text", "label")
                        .groupBy("shard").applyInArrow(_packer(s), _PACKED), path)
         for some in map(range, steps, steps[1:]):
-            common = spark.sparkContext.broadcast([state[i] for i in sorted(state)])
+            common = spark.sparkContext.broadcast(state)
             changes = rows.mapInArrow(_epochs(common, some, s), "range int, shard int, state binary")
             parts = changes.groupBy("range").applyInArrow(_averaged, "range int, state binary").toArrow()
             common.destroy()
