@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphloom.llm.frames import small_batches
+from glyphloom.llm.frames import passing_shuffles, small_batches
 from glyphloom.llm.wordhash import mix, word_slices
 from glyphloom.session import remove, work_dir, written, written_at
 
@@ -61,10 +61,9 @@ PART_PAIRS = 200_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``contexts`` bounds the words whose sums are broadcast; ``classes`` is no longer used."""
+    """``contexts`` bounds the words whose sums are broadcast."""
 
     contexts: int = 65_536
-    classes: int = 256
     burn: int = 8
     samples: int = 3
     strength: float = 1.0
@@ -226,7 +225,7 @@ class _Pairs:
         self.word, self.context = (key >> 32).astype(np.int32), (key & 0xFFFF_FFFF).astype(np.int32)
         self.count = np.bincount(index, np.concatenate([p[4] for p in parts]), len(key)).astype(np.int64)
         self.tables = np.minimum(self.count, 1)
-        self.p = np.zeros(len(key), np.float32)
+        self.p = np.zeros(len(key))
         self.hot_word, self.hot_context = _places(self.words, frequent), _places(self.contexts, frequent)
 
     def keys(self, part) -> np.ndarray:
@@ -469,9 +468,8 @@ def _scores(group: pa.Table, pairs: pa.Table) -> pa.Table:
                 total += np.bincount(doc, values * times, docs)
     out = []
     for block, (score, base, known) in sums.items():
-        # 32 bits keep seven digits of a part; the parts of a document are summed in 64
         small = np.uint16 if known.max(initial=0) < 1 << 16 else np.uint32
-        out.append(pickle.dumps((score.astype(np.float32), base.astype(np.float32), known.astype(small), heads.get(block))))
+        out.append(pickle.dumps((score, base, known.astype(small), heads.get(block))))
     return pa.table({"block": pa.array(list(sums), pa.int64()), "sums": pa.array(out, pa.binary())})
 
 
@@ -501,17 +499,18 @@ def predicted(docs: DataFrame, s: Settings = Settings()):
         return seats.where(F.col("kind") == PAIRS).select("bucket", "sub", "part").groupBy("bucket")
 
     path = work_dir(spark, "seats")
-    seats = written_at(docs.mapInArrow(_packed(sent, buckets, False), _PACKED)
-                       .groupBy("bucket").applyInArrow(_first(sent), _SEATS), path)
-    for sweep in range(s.burn + s.samples):
-        model = spark.sparkContext.broadcast(_collected(seats, frequent))
-        old, path = path, work_dir(spark, "seats")
-        seats = written_at(pairs_of(seats).cogroup(rare_of(seats)).applyInArrow(_sweep(model, sweep, s), _SEATS), path)
-        remove(spark, old)
-        model.unpersist()
-    sums = _collected(seats, frequent)
-    pairs = written(pairs_of(seats).cogroup(rare_of(seats)).applyInArrow(
-        _predicted(spark.sparkContext.broadcast(sums), s), "bucket int, sub int, part binary"), "predicted")
+    with passing_shuffles(spark):
+        seats = written_at(docs.mapInArrow(_packed(sent, buckets, False), _PACKED)
+                           .groupBy("bucket").applyInArrow(_first(sent), _SEATS), path)
+        for sweep in range(s.burn + s.samples):
+            model = spark.sparkContext.broadcast(_collected(seats, frequent))
+            old, path = path, work_dir(spark, "seats")
+            seats = written_at(pairs_of(seats).cogroup(rare_of(seats)).applyInArrow(_sweep(model, sweep, s), _SEATS), path)
+            remove(spark, old)
+            model.unpersist()
+        sums = _collected(seats, frequent)
+        pairs = written(pairs_of(seats).cogroup(rare_of(seats)).applyInArrow(
+            _predicted(spark.sparkContext.broadcast(sums), s), "bucket int, sub int, part binary"), "predicted")
     remove(spark, path)
     return pairs, sent, buckets, int(sums.tokens)
 

@@ -150,7 +150,7 @@ def test_predictions_sum_to_one(spark):
     train = [(i, True, " ".join(words[(i * k) % 4] for k in range(1, 9))) for i in range(20)]
     probes = [(100 + i, False, w) for i, w in enumerate([*words, "unknown"])]
     # one-word texts: P(word | start) P(end | word); the ends are divided out by texts that only differ in their start
-    s = pitman_yor.Settings(contexts=64, classes=16, samples=1)
+    s = pitman_yor.Settings(contexts=64, samples=1)
     df = spark.createDataFrame(train + probes + [(200, False, "")], "doc_id long, train boolean, text string")
     rows = {r.doc_id: r for r in pitman_yor.scored(df, s).collect()}
     assert all(r.score < 0 for r in rows.values()) and rows[104].n_known == 1
@@ -203,7 +203,7 @@ def test_every_context_has_its_own_restaurant(spark):
     train = [(i, True, " ".join(f"a{i + k} b{i + k}" for k in range(0, 1200, 60))) for i in range(60) for _ in range(9)]
     probes = [(5000, False, " ".join(f"a{k} b{k}" for k in range(0, 600, 7))), (5001, False, " ".join(f"a{k} b{k + 1}" for k in range(0, 600, 7)))]
     df = spark.createDataFrame(train + probes, "doc_id long, train boolean, text string")
-    rows = {r.doc_id: r.score for r in pitman_yor.scored(df, pitman_yor.Settings(contexts=16, classes=2)).collect()}
+    rows = {r.doc_id: r.score for r in pitman_yor.scored(df, pitman_yor.Settings(contexts=16)).collect()}
     # the documents differ in P(b | a): near 1 where a was followed by b alone, small where never; the same in a shared restaurant
     assert rows[5000] - rows[5001] > 86 * 3
 
