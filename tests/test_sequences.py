@@ -111,3 +111,13 @@ def test_unigram_perplexity(spark):
     loss = -(2 * math.log(4 / 7) + math.log(1 / 7)) / 3
     assert row.loss == pytest.approx(loss)
     assert row.ppl_token == pytest.approx(math.exp(loss)) and row.ppl_char == pytest.approx(math.exp(loss / 2))
+
+
+def test_positions_with_null_groups_null_keys_and_ties(spark):
+    rows = [(g, k, v) for g in (None, "a", "b") for k in (None, 1, 1, 2) for v in ("x", "y")]
+    df = spark.createDataFrame(rows, "g string, k bigint, v string")
+    got = sorted((str(r.g), r.position, r.k, r.v, r.n) for r in rk.with_position(df, order=("k", "v"), group=("g",), total="n").collect())
+    keys = sorted(((r[1] is not None, r[1] or 0), r[2], r[1]) for r in rows if r[0] == "a")
+    want = sorted((g, i, k, v, 8) for g in ("None", "a", "b") for i, (_, v, k) in enumerate(keys))
+    assert [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in want]
+    assert rk.with_position(df.limit(0), order="k", group=("g",)).collect() == []
