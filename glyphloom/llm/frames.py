@@ -38,6 +38,17 @@ def passing_shuffles(spark: SparkSession):
         spark.conf.set(_CLEAN, before)
 
 
+@contextmanager
+def records_a_batch(spark: SparkSession, rows: int):
+    """Within, queries that are run send Python so few rows at once: for rows that are large blobs."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def quoted(name: str) -> Column:
     """Column by its exact name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from glyphloom.llm.frames import appended, passing_shuffles
+from glyphloom.llm.frames import appended, passing_shuffles, records_a_batch
 from glyphloom.llm.wordhash import PUNCTUATED, mix, runs, word_slices
 from glyphloom.session import remove, work_dir, written_at
 
@@ -205,21 +205,24 @@ def _epochs(common, epochs: range, s: Settings):
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                at = np.append(np.frombuffer(r["coordinates"], np.int32), 1 << s.bits)
-                labels, bounds = np.frombuffer(r["labels"]), np.cumsum(np.frombuffer(r["lengths"], np.int32))
-                rows = np.split(np.frombuffer(r["features"], np.int32), bounds[:-1])
+            for k in range(batch.num_rows):
+                shard = batch.column("shard")[k].as_py()
+                labels, lengths, features, coordinates = (
+                    np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (
+                        ("labels", np.float64), ("lengths", np.int32), ("features", np.int32), ("coordinates", np.int32)))
+                at = np.append(coordinates, np.int32(1 << s.bits))
+                rows = np.split(features, np.cumsum(lengths)[:-1])
                 z, n = _looked_up(common.value, at, s)
                 own = _State(s, z.astype(float), n.astype(float))
                 for epoch in epochs:
-                    for i in np.random.default_rng([epoch, r["shard"]]).permutation(len(rows)):
+                    for i in np.random.default_rng([epoch, shard]).permutation(len(rows)):
                         own.learn(np.append(rows[i], len(at) - 1), labels[i])
                 moved = np.flatnonzero(own.n != n)
                 cuts = np.searchsorted(at[moved] >> (s.bits - _RANGE_BITS), np.arange((1 << _RANGE_BITS) + 2))
                 for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
                     some = moved[lo:hi]
-                    blob = _packed(at[some].astype(np.int64), (own.z - z)[some], (own.n - n)[some])
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([r["shard"]], pa.int32()),
+                    blob = _packed(at[some].astype(np.int64), own.z[some] - z[some], own.n[some] - n[some])
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([shard], pa.int32()),
                                                       pa.array([blob], pa.binary())], names=["range", "shard", "state"])
 
     return run
@@ -258,7 +261,8 @@ def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
         for some in map(range, steps, steps[1:]):
             common = spark.sparkContext.broadcast(state)
             changes = rows.mapInArrow(_epochs(common, some, s), "range int, shard int, state binary")
-            parts = changes.groupBy("range").applyInArrow(_averaged, "range int, state binary").toArrow()
+            with records_a_batch(spark, 1):
+                parts = changes.groupBy("range").applyInArrow(_averaged, "range int, state binary").toArrow()
             common.destroy()
             for i, change in zip(parts["range"].to_pylist(), parts["state"].to_pylist()):
                 state[i] = _moved(state[i], change) if i in state else change
