@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 from glyphloom.llm.frames import appended, passing_shuffles, quoted
 from glyphloom.llm.pretokens import PATTERN, HashIndex, pretokens, spread
 from glyphloom.llm.wordhash import BYTES, hashes_of
-from glyphloom.session import written
+from glyphloom.session import remove, work_dir, written, written_at
 
 HOT_BYTES = 64 << 20      # of broadcast words, their ids and their index
 HOT_LETTERS = 64          # bytes; longer words are never broadcast
@@ -229,8 +229,10 @@ class Codec:
 
         Sizes are added up by powers of two of the count; a word has at most as many ids as bytes.
         """
-        with passing_shuffles(docs.sparkSession):
-            counts = written(self.counts(docs, text), "words")
+        spark = docs.sparkSession
+        path = work_dir(spark, "words")
+        with passing_shuffles(spark):
+            counts = written_at(self.counts(docs, text), path)
         power, size = F.floor(F.log2("n")).cast("int"), F.sum(5 * F.octet_length("word") + _ENTRY)
         least, load = None, 0
         for step in sorted(counts.groupBy(power.alias("power")).agg(size.alias("size")).collect(), key=lambda r: -r.power):
@@ -239,7 +241,9 @@ class Codec:
                 break
             least = 2 ** step["power"]
         hot = counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
-        return self.folds(hot).toArrow()
+        folded_words = self.folds(hot).toArrow()
+        remove(spark, path)
+        return folded_words
 
     def encoded(self, docs: DataFrame, text: str = "text", budget: int = HOT_BYTES, keep: bool = True) -> DataFrame:
         """``docs`` with ``ids``: the tokens of each text as little-endian 32-bit integers; the text goes unless it is kept."""
@@ -294,9 +298,11 @@ class Codec:
         with passing_shuffles(spark):
             looked = written(looked.withColumn(_ROW, F.monotonically_increasing_id()), "looked")
             gaps = looked.where(F.size(_RARE) > 0).select(F.col(_ROW).alias("_of"), F.posexplode(_RARE).alias("at", "word"))
-            met = written(self.folds(gaps.select("word").distinct()), "rare")
+            path = work_dir(spark, "rare")
+            met = written_at(self.folds(gaps.select("word").distinct()), path)
             fills = written(gaps.join(met, "word").groupBy("_of")
                             .agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("_fills")), "fills")
+            remove(spark, path)
         gapped = looked.where(F.size(_RARE) > 0).join(fills, F.col(_ROW) == F.col("_of"))
         gapped = gapped.withColumn(_TEXT, F.struct("ids", F.col("_fills.ids").alias("rare"))).drop(_RARE, _ROW, "_of", "_fills")
 
