@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.llm import bpe_fold, merkle, minmax, mixing, periodic, pii, pitman_yor, ppm, substrings, topk, toxicity, vptree, warc
 from glyphloom.llm.frames import remainder, table
+from glyphloom.session import work_dir
 
 QUERIES = {}
 
@@ -37,8 +38,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = warc.verified(warc.archived(table(spark, sf_dir, "pages")))
-    return archive.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    path = work_dir(spark, "warc")
+    warc.archived(table(spark, sf_dir, "pages"), path)
+    return warc.verified_at(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query

@@ -288,19 +288,38 @@ def archived(pages: DataFrame, path: str | None = None, payload: bool = True) ->
     register(spark)
     path = path or work_dir(spark, "warc")
     deduplicated(pages).write.format("warc").mode("append").save(path)
+    return opened(spark, path, payload)
+
+
+def opened(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The archives below ``path``.
+
+    Spark keeps the pushed predicates with the opened archive, not with a query's use of it:
+    uses that differ in their predicates, as in a union, each open the archive for themselves.
+    """
+    register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
+_COLUMNS = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
+
+
 def verified(archive: DataFrame) -> DataFrame:
-    """Records of an archive with the length and the digest of the payload that is in it.
+    """Records of an archive with the length and the digest of the payload that is in it, in one pass.
 
-    Only response records are decoded, by a predicate that reaches the reader; those of
-    revisits, which have no payload of their own, are what their headers say.
+    Those of revisits, which have no payload of their own, are what their headers say.
     """
-    responses = archive.where("record_type = 'response'").withColumn(
-        "payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    columns = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
-    return responses.select(*columns).unionByName(archive.where("record_type <> 'response'").select(*columns))
+    own = F.col("record_type") == "response"
+    return archive.where("record_type is not null").withColumns({   # a predicate of its own, no other use's
+        "payload_bytes": F.when(own, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")),
+        "payload_digest": F.when(own, F.sha1("payload")).otherwise(F.col("payload_digest"))}).select(*_COLUMNS)
+
+
+def verified_at(spark: SparkSession, path: str) -> DataFrame:
+    """``verified`` records of the archives below ``path``: a predicate that reaches the reader takes out
+    the responses, which are decoded, and another one the revisits, of which only headers are read."""
+    responses = verified(opened(spark, path).where("record_type = 'response'"))
+    return responses.unionByName(opened(spark, path, payload=False).where("record_type = 'revisit'").select(*_COLUMNS))
 
 
 def payload_sha1(payload: bytes) -> str:

@@ -265,6 +265,19 @@ def test_verified_records_are_measured_not_quoted(spark):
     assert "Filter (" not in plan
 
 
+def test_warc_query_returns_revisits_once(spark, tmp_path):
+    """Two predicates on one opened archive shared the last one's reader, so revisits came twice."""
+    body = "<p>é" + "x" * 1200
+    rows = [(1, "a", body), (2, None, body), (3, "c", body), (4, "d", "s"), (5, "e", "s"), (6, "f", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    sha1 = lambda x: hashlib.sha1((x or "").encode()).hexdigest()
+    want = [(i, len((x or "").encode()), sha1(x), "revisit" if i < 3 else "response", 3 if i < 3 else None) for i, _, x in rows]
+    assert sorted(tuple(r) for r in QUERIES["op9_warc"](spark, str(tmp_path)).collect()) == want
+    archive = warc.archived(spark.read.parquet(f"{tmp_path}/pages.parquet"))
+    assert archive.where("record_type = 'revisit'").count() == 2
+    assert sorted(r.page_id for r in warc.verified(archive).collect()) == [1, 2, 3, 4, 5, 6]
+
+
 def test_stages_keep_columns_of_any_name(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
     for name in ("domain", "rate", "score", "predicted", "n_tokens", "posterior", "a.b", "_key", "component_id"):
