@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import patterns as p
 from glyphloom.functions import text as t
-from glyphloom.functions.merging import Merges
+from glyphloom.functions.merging import Merges  # noqa: F401
 from glyphloom.session import remove, small_table, spread, work_dir, written, written_at
 
 FIRST_MERGE = 0x110000      # symbols below are code points
@@ -130,13 +130,19 @@ def _cutter(active):
 def _rewriter(merges):
     """Words after the merges of a phase, group by group; single symbols have no pair left and go."""
     def rewrite(batches):
-        known = {gid: Merges(ranked, once=True) for gid, ranked in merges.value.items()}
-        for batch in batches:
-            gids = batch.column("gid").to_pylist()
-            out = pa.array([known[g].applied(s) for g, s in zip(gids, batch.column("symbols").to_pylist())],
-                           pa.list_(pa.int32()))
-            whole = pa.RecordBatch.from_arrays([batch.column("gid"), out, batch.column("n")], ["gid", "symbols", "n"])
-            yield whole.filter(pa.compute.greater(pa.compute.list_value_length(out), 1))
+        for batch in _joined(batches, 1 << 19):
+            gids, weights = batch.column("gid").to_numpy(), batch.column("n").to_numpy()
+            values, rows = _flat(batch)
+            for gid in np.unique(gids).tolist():
+                mine = gids[rows] == gid
+                left, at = replayed(values[mine], rows[mine], merges.value[gid])
+                sizes = np.bincount(at, minlength=len(gids))
+                kept = np.flatnonzero(sizes > 1)
+                offsets = np.concatenate(([0], np.cumsum(sizes[kept]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(kept), gid, np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(left[sizes[at] > 1].astype(np.int32))),
+                    pa.array(weights[kept])], ["gid", "symbols", "n"])
     return rewrite
 
 
@@ -204,6 +210,75 @@ class _Junctions:
         return n <= hidden or self.cut(pair) or bool(self.shadow and hidden - self.shadow[0][0] >= n)
 
 
+class _Chain:
+    """Symbols of stretches laid end to end, linked to their neighbours, in arrays of a few bytes a symbol.
+
+    Neighbours of a stretch's ends are its borders: the place after the last one stands for all of them.
+    """
+
+    def __init__(self, values: np.ndarray, rows: np.ndarray, weights: np.ndarray):
+        n = self.end = len(values)
+        inner = rows[:-1] == rows[1:]
+        self.rows, self.weights = rows.astype(np.int32), weights
+        self.symbols = np.append(values, -1).astype(np.int32)
+        self.after = np.full(n + 1, n, np.int32)
+        self.after[:-2][inner] = np.flatnonzero(inner) + 1
+        self.before = np.full(n + 1, n, np.int32)
+        self.before[1:-1][inner] = np.flatnonzero(inner)
+
+    def pairs(self, wanted: np.ndarray | None = None):
+        """Pairs (of ``wanted`` ones), how often each occurs, and its places in order."""
+        starts = np.flatnonzero(self.after[:-1] != self.end).astype(np.int32)
+        keys = self.symbols[starts].astype(np.int64) << _BITS | self.symbols[starts + 1]
+        if wanted is not None:
+            kept = np.isin(keys, wanted)
+            starts, keys = starts[kept], keys[kept]
+        order = np.argsort(keys, kind="stable")
+        starts, keys = starts[order], keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(self.weights[self.rows[starts]], first) if len(first) else np.zeros(0, np.int64)
+        return keys[first].tolist(), sums.tolist(), np.split(starts, first[1:])
+
+    def merge(self, left: int, right: int, made: int, places: list):
+        """Put all occurrences of a pair together, from left to right.
+
+        Yields ``(old pair, new pair, count, places of the new one)`` for their neighbours,
+        first of all the merged pair itself with no new one.
+        """
+        at = np.unique(np.concatenate(places)) if len(places) > 1 else places[0]
+        symbols, after = self.symbols, self.after
+        at = at[(symbols[at] == left) & (symbols[after[at]] == right)]     # others were merged into neighbours since
+        if left == right and len(at) > 1:       # of overlapping ones every second
+            first = np.concatenate(([True], after[at[:-1]] != at[1:]))
+            run = np.flatnonzero(first)
+            at = at[(np.arange(len(at)) - run[np.cumsum(first) - 1]) % 2 == 0]
+        if not len(at):
+            return
+        gone = after[at]
+        w, h, k = self.weights[self.rows[at]], self.before[at], after[gone]
+        tied = np.append(k[:-1] == at[1:], False)           # the next occurrence follows at once
+        lone = np.concatenate(([True], ~tied[:-1])) & (h != self.end)
+        free = ~tied & (k != self.end)
+        beside = [(symbols[h[lone]], h[lone], w[lone], True), (symbols[k[free]], at[free], w[free], False)]
+        symbols[at], symbols[gone] = made, -2
+        after[at] = k
+        self.before[k] = at
+        yield left << _BITS | right, None, int(w.sum()), None
+        if tied.any():
+            yield right << _BITS | left, made << _BITS | made, int(w[tied].sum()), at[tied]
+        for others, where, weight, ahead in beside:
+            if not len(others):
+                continue
+            order = np.argsort(others, kind="stable")
+            others, where = others[order], where[order]
+            first = np.flatnonzero(np.concatenate(([True], others[1:] != others[:-1])))
+            sums = np.add.reduceat(weight[order], first).tolist()
+            bounds = [*first.tolist(), len(others)]
+            for x, n, a, b in zip(others[first].tolist(), sums, bounds, bounds[1:]):
+                yield (x << _BITS | left, x << _BITS | made, n, where[a:b]) if ahead else (
+                    right << _BITS | x, made << _BITS | x, n, where[a:b])
+
+
 def learnt(values: np.ndarray, rows: np.ndarray, weights: np.ndarray, names: _Names, active: set,
            last: tuple | None, room: int, floor: int) -> list[tuple[int, int, int]]:
     """Merges ``(left, right, n)`` in order, from the stretches of one group.
@@ -212,23 +287,12 @@ def learnt(values: np.ndarray, rows: np.ndarray, weights: np.ndarray, names: _Na
     is in and ``weights`` how often that occurs. ``last`` is the rank (-n, pair) of the best
     inactive pair; ``room`` bounds new symbols. A pair is an integer, its left symbol in the high bits.
     """
-    keys = (values[:-1] << _BITS | values[1:])[rows[:-1] == rows[1:]]
-    starts = np.flatnonzero(rows[:-1] == rows[1:])
-    order = np.argsort(keys, kind="stable")
-    found, first = np.unique(keys[order], return_index=True)
-    sums = np.add.reduceat(weights[rows[starts[order]]], first) if len(found) else np.zeros(0, np.int64)
-    counts: dict[int, int] = dict(zip(found.tolist(), sums.tolist()))
-    places: dict[int, list] = {k: part.tolist() for k, part in zip(found.tolist(), np.split(starts[order], first[1:]))}
+    chain = _Chain(values, rows, weights)
+    found, sums, split = chain.pairs()
+    counts: dict[int, int] = dict(zip(found, sums))
+    places: dict[int, list] = {k: [part] for k, part in zip(found, split)}
     heap = [(-n, pair) for pair, n in counts.items()]
     heapq.heapify(heap)
-    # Neighbours of a stretch's ends are its borders, -1; the place after the last one stands for all of them.
-    n_all = len(values)
-    symbols = [*values.tolist(), -1]
-    weight = weights[rows].tolist()
-    inner = np.append(rows[:-1] == rows[1:], False)
-    after = np.where(inner, np.arange(1, n_all + 1), n_all).tolist()
-    before = np.where(np.concatenate(([False], inner[:-1])), np.arange(-1, n_all - 1), n_all).tolist()
-    before.append(n_all)
     junctions = _Junctions(active, -last[0]) if last else None
     out = []
     while heap and room > 0:
@@ -243,35 +307,12 @@ def learnt(values: np.ndarray, rows: np.ndarray, weights: np.ndarray, names: _Na
         made, new = names.merged(left, right)
         out.append((left, right, n))
         room -= new
-        changed: dict[int, int] = {pair: 0}
-        high_right, high_made = right << _BITS, made << _BITS
-        for i in sorted(places.pop(pair)):
-            j = after[i]
-            if symbols[i] != left or symbols[j] != right:
-                continue            # merged into a neighbour since
-            w, h, k = weight[i], before[i], after[j]
-            symbols[i], symbols[j] = made, -2
-            after[i] = k
-            changed[pair] -= w
-            if h != n_all:
-                high = symbols[h] << _BITS
-                old, fresh = high | left, high | made
-                changed[old] = changed.get(old, 0) - w
-                if fresh in changed:
-                    changed[fresh] += w
-                else:
-                    changed[fresh] = w
-                places.setdefault(fresh, []).append(h)
-            if k != n_all:
-                before[k] = i
-                s = symbols[k]
-                old, fresh = high_right | s, high_made | s
-                changed[old] = changed.get(old, 0) - w
-                if fresh in changed:
-                    changed[fresh] += w
-                else:
-                    changed[fresh] = w
-                places.setdefault(fresh, []).append(i)
+        changed: dict[int, int] = {}
+        for old, fresh, w, where in chain.merge(left, right, made, places.pop(pair)):
+            changed[old] = changed.get(old, 0) - w
+            if fresh is not None:
+                changed[fresh] = changed.get(fresh, 0) + w
+                places.setdefault(fresh, []).append(where)
         for other, delta in changed.items():
             if not delta:
                 continue
@@ -289,6 +330,23 @@ def learnt(values: np.ndarray, rows: np.ndarray, weights: np.ndarray, names: _Na
     return out
 
 
+def replayed(values: np.ndarray, rows: np.ndarray, merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and their rows after the merges ``(left, right, made)``, each over when its turn has passed."""
+    chain = _Chain(values, rows, np.ones(int(rows[-1]) + 1 if len(rows) else 0, np.int64))
+    keys = [left << _BITS | right for left, right, _ in merges]
+    due = set(keys)
+    found, _, split = chain.pairs(np.array(sorted(due), np.int64))
+    places: dict[int, list] = {k: [part] for k, part in zip(found, split)}
+    for key, (left, right, made) in zip(keys, merges):
+        at = places.pop(key, None)
+        if at is not None:
+            for _, fresh, _, where in chain.merge(left, right, made, at):
+                if fresh in due:
+                    places.setdefault(fresh, []).append(where)
+    alive = chain.symbols[:-1] >= 0
+    return chain.symbols[:-1][alive], rows[alive]
+
+
 def _learner(groups, active, floor: int):
     """One group's stretches to its merges of this phase."""
     def learn(table: pa.Table) -> pa.Table:
@@ -368,7 +426,7 @@ def _stretches(state: DataFrame, ranked: dict[int, list[tuple]], active: int, sy
 
 
 def train(words: DataFrame, target_size: int, by=("label", "config"), min_pair_count: int = 1,
-          active: int = 50_000, symbols: int = 1 << 21) -> Vocabulary:
+          active: int = 50_000, symbols: int = 1 << 23) -> Vocabulary:
     """Learn one vocabulary per group from ``(*by, word, n)``.
 
     ``active`` and ``symbols`` bound a phase's pairs and stretches of a group; they

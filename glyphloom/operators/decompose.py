@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from glyphloom.functions import opcodes as oc
 from glyphloom.functions import text as t
 from glyphloom.operators.configs import CATALOGUE
-from glyphloom.operators.pieces import normalized, unit_arrays, unit_counts, with_configs
+from glyphloom.operators.pieces import counted_units, normalized, with_configs
 
 
 def dictionary(corpus: DataFrame, config_names, by=("label",)) -> DataFrame:
@@ -15,8 +15,7 @@ def dictionary(corpus: DataFrame, config_names, by=("label",)) -> DataFrame:
     ``(*by, config, piece, run, n, base, ops, raw)``; ``n`` counts occurrences of
     the unit, and a unit stands for ``run`` neighbouring copies of its piece.
     """
-    counts = unit_counts(unit_arrays(normalized(corpus), config_names), by)
-    return factor(counts, config_names)
+    return factor(counted_units(normalized(corpus), config_names, by), config_names)
 
 
 def factor(counts: DataFrame, config_names) -> DataFrame:

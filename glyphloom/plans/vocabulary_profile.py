@@ -66,7 +66,8 @@ def profile(train: DataFrame, validation: DataFrame, target_size: int = 128_000,
     words = dec.word_counts(dec.dictionary(training_lines(nonblank(train)), configs))
     vocabulary = bpe.train(words, target_size, min_pair_count=min_pair_count)
     valid = nonblank(validation)
-    units = pcs.unit_arrays(pcs.normalized(valid), configs)
-    dic = dec.factor(pcs.unit_counts(units), configs)
+    normal = pcs.normalized(valid)
+    units = pcs.unit_arrays(normal, configs)
+    dic = dec.factor(pcs.counted_units(normal, configs), configs)
     coded = written(encode.encode_dictionary(dic, vocabulary.merges, vocabulary.vocab), "coded")
     return Profile(vocabulary, valid, units, coded, target_size, tuple(configs))

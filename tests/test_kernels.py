@@ -40,6 +40,14 @@ def test_nfc_columns(spark):
     assert got == {1: ("café", ["é", None, ""]), 2: ("café", []), 3: (None, None), 4: ("가", ["Å"])}
 
 
+def test_text_that_may_compose(spark):
+    rows = ["", "a\nb", "é\n", "e\u0301", "\u0301", "a\u2019b\u20ac", "\u2126", "a" * 5000 + "\u0300", "\U0001F600", None, "\n\u1100\u1161"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, s string")
+    inert = re.compile(f"[{p.NFC_INERT}]*")
+    got = {r.i: r.c for r in df.select("i", t.may_compose(F.col("s")).alias("c")).collect()}
+    assert got == {i: None if x is None else not inert.fullmatch(x) for i, x in enumerate(rows)}
+
+
 @pytest.mark.parametrize("weak", [False, True])
 def test_word_table(monkeypatch, weak):
     """Also where all hashes collide: a key is a miss then, or itself."""

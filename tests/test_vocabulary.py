@@ -148,6 +148,42 @@ def test_phases_learn_the_merges_of_recounting():
             assert in_phases(words, size, active) == want, (words, size, active)
 
 
+def test_replayed_merges_equal_those_of_a_heap():
+    rng = random.Random(18)
+    for _ in range(300):
+        words = [[rng.randint(97, 99) for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(1, 20))]
+        known, merges = [97, 98, 99], []
+        for made in range(200, 200 + rng.randint(1, 12)):
+            merges.append((rng.choice(known), rng.choice(known), made))
+            known.append(made)
+        merges += rng.sample(merges, len(merges) // 3)      # pairs that come up again
+        left, at = bpe.replayed(np.array([x for w in words for x in w], np.int64), np.repeat(np.arange(len(words)), list(map(len, words))), merges)
+        heap = Merges(merges, once=True)
+        assert [left[at == i].tolist() for i in range(len(words))] == [heap.applied(w) for w in words]
+
+
+def test_a_symbol_takes_few_bytes():
+    """Eight million symbols of a group must fit in a task."""
+    import tracemalloc
+    values = np.random.default_rng(1).integers(97, 123, 400_000)
+    rows = np.repeat(np.arange(50_000), 8)
+    tracemalloc.start()
+    merges = bpe.learnt(values, rows, np.ones(50_000, np.int64), bpe._Names([]), set(), None, 300, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(merges) == 300 and peak < 90 * len(values)
+
+
+def test_plain_units_are_those_of_the_folded_stream(spark):
+    from glyphloom.operators.configs import CATALOGUE
+    docs = spark.createDataFrame([("a", 1, "aa  !!   x x x x\n\n\n\n"), ("a", 2, " " * 300 + "ab" * 4), ("b", 3, ""), ("b", 4, "a\ta\t\t\ta     b")],
+                                 "label string, doc_id long, text string")
+    for names in (tuple(CATALOGUE), ("split", "split_factored"), ("llama",), ("split_factored",)):
+        want = pcs.unit_counts(pcs.unit_arrays(docs, names))
+        assert sorted(pcs.counted_units(docs, names).select(want.columns).collect()) == sorted(want.collect())
+    assert pcs.streams_of(("split", "split_factored")) == ["split", "split+runs"]
+
+
 def test_merges_of_a_long_word():
     """A megabyte word, by lowest rank first, as the public encoder has it."""
     from tokenizers import models
