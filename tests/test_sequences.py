@@ -57,6 +57,15 @@ def test_batches_repeat_and_drop_the_short_one(spark):
     assert other != runs[0]
 
 
+def test_batches_of_the_query_are_told_by_sizes(spark, sf, monkeypatch):
+    """Its chunks' ids must not be dealt to ranges and written again."""
+    from glyphloom.plans import queries
+    seen, real = [], queries.pk.batches
+    monkeypatch.setattr(queries.pk, "batches", lambda chunks, *a, **k: seen.append(chunks.schema["ids"].dataType.simpleString()) or real(chunks, *a, **k))
+    rows = queries.QUERIES["shuffle_batches"](spark, sf).collect()
+    assert seen == ["int"] and rows and all(r.chunks == queries.BATCH and r.ids <= queries.BATCH * queries.CONTEXT for r in rows)
+
+
 def test_prefix_sums_with_clustered_ids_and_a_hot_group(spark):
     rng = random.Random(9)
     ids = sorted({rng.choice([rng.randint(0, 500), 10**15 + rng.randint(0, 500)]) for _ in range(900)})
