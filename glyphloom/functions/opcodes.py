@@ -58,8 +58,12 @@ def _split_marks(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x[:reach].translate(table) + x[reach:], na_action="ignore")
 
 
+def _beyond_ascii(text: Column) -> Column:
+    return F.octet_length(text) > F.length(text)
+
+
 def has_pua(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(f"[{p.PUA_WIDE}]"))
+    return _beyond_ascii(text) & F.regexp_like(text, F.lit(f"[{p.PUA_WIDE}]"))
 
 
 @F.arrow_udf(_PARTS)
@@ -144,12 +148,12 @@ def with_opcodes(df: DataFrame, capitalize: bool | Column, repeat: bool | Column
     df = df.withColumn("_rep", _repeat_parts(F.when(repeat & ~F.col("raw") & (F.length(text) >= 3), text)))
     df = df.withColumn("_rep", F.coalesce("_rep", whole))
     folded = F.col("_rep.text")
-    touched = serialize & ~F.col("raw") & F.regexp_like(folded, F.lit(r"[^\x00-\x7F]"))
+    touched = serialize & ~F.col("raw") & _beyond_ascii(folded)
     df = df.withColumn("_split", _split_marks(F.when(touched, folded)))
     df = t.materialize(df, _marked=F.coalesce("_split", folded))
     # Lower-case ASCII has nothing to factor; most pieces take the short exit.
-    rich = ~F.col("raw") & (capitalize | serialize) & F.regexp_like(
-        folded, F.lit(r"[^\x00-\x40\x5B-\x7F]"))
+    rich = ~F.col("raw") & (capitalize | serialize) & (
+        _beyond_ascii(folded) | F.regexp_like(folded, F.lit("[A-Z]")))
     clusters = F.when(
         serialize, F.regexp_extract_all(F.col("_marked"), F.lit(p.CLUSTER), F.lit(0))
     ).otherwise(t.chars(folded))

@@ -114,3 +114,10 @@ def test_words_apart_and_fused(spark):
                     oc.words(F.col("ops"), F.col("base"), False).alias("f")).first()
     assert row.a == ["\uE102\uE001", "\uE100\uE000", "hello"]
     assert row.f == ["\uE102\uE001\uE100\uE000hello"]
+
+
+def test_short_exits_of_the_opcode_step_search_no_complement(spark):
+    """A search for a character outside a class starts the regex engine afresh at every character."""
+    df = oc.with_opcodes(spark.createDataFrame([("aÉ",)], "piece string"), True, True, True)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert r"[^\x00-\x7F]" not in plan and r"[^\x00-\x40" not in plan and df.first().base == "ae"
