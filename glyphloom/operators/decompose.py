@@ -9,13 +9,13 @@ from glyphloom.operators.configs import CATALOGUE
 from glyphloom.operators.pieces import counted_units, normalized, with_configs
 
 
-def dictionary(corpus: DataFrame, config_names, by=("label",)) -> DataFrame:
-    """Distinct units of the corpus with their operators.
+def dictionary(corpus: DataFrame, config_names, by=("label",), lines: bool = False) -> DataFrame:
+    """Distinct units of the corpus with their operators; with ``lines``, each line is cut by itself.
 
     ``(*by, config, piece, run, n, base, ops, raw)``; ``n`` counts occurrences of
     the unit, and a unit stands for ``run`` neighbouring copies of its piece.
     """
-    return factor(counted_units(normalized(corpus), config_names, by), config_names)
+    return factor(counted_units(normalized(corpus), config_names, by, lines), config_names)
 
 
 def factor(counts: DataFrame, config_names) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from glyphloom.functions import patterns as p
 from glyphloom.functions import text as t
 from glyphloom.operators.configs import CATALOGUE
+from glyphloom.session import written
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -26,8 +27,9 @@ def chars_per_token(totals: DataFrame) -> DataFrame:
 def with_baseline(metrics: DataFrame, on=("label",), baselines: dict[str, str] | None = None) -> DataFrame:
     """Add ``base_*`` columns from the row of the baseline configuration (or nulls).
 
-    The metrics table has one row per label and configuration.
+    The metrics table has one row per label and configuration; it is written, as it is read twice.
     """
+    metrics = written(metrics, "metrics")
     baselines = baselines or {c.name: c.baseline for c in CATALOGUE.values() if c.baseline}
     pairs = [F.lit(x) for pair in baselines.items() for x in pair]
     df = metrics.withColumn("baseline", F.element_at(F.create_map(*pairs), F.col("config")))

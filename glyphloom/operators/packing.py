@@ -103,3 +103,20 @@ def unigram_perplexity(train: DataFrame, valid: DataFrame, ratios: DataFrame,
     out = out.join(ratios.select(*by, "char_ratio"), list(by))
     return out.withColumn("ppl_token", F.exp("loss")).withColumn(
         "ppl_char", F.exp(F.when(F.col("char_ratio") > 0, F.col("loss") / F.col("char_ratio"))))
+
+
+def unigram_losses(counts: DataFrame, ratios: DataFrame, by=("label",)) -> DataFrame:
+    """``unigram_perplexity`` from rows that hold ``n_train`` and ``n_valid`` of a token: one aggregation, no join.
+
+    What the model's size takes off every token is the same, so it is taken off the mean;
+    ``types`` is the number of training tokens' kinds. Streams without validation tokens have no loss.
+    """
+    tokens = F.sum("n_valid")
+    out = counts.groupBy(*by).agg(
+        F.sum("n_train").alias("_total"), F.count_if(F.col("n_train") > 0).alias("types"), tokens.alias("tokens"),
+        F.sum(F.log(F.col("n_train") + 1) * F.col("n_valid")).alias("_known"))
+    out = out.withColumn("loss", F.when((F.col("tokens") > 0) & (F.col("types") > 0), F.log(
+        F.col("_total") + F.col("types") + 1) - F.col("_known") / F.nullif("tokens", F.lit(0)))).drop("_total", "_known")
+    out = out.join(ratios.select(*by, "char_ratio"), list(by))
+    return out.withColumn("ppl_token", F.exp("loss")).withColumn(
+        "ppl_char", F.exp(F.when(F.col("char_ratio") > 0, F.col("loss") / F.col("char_ratio"))))

@@ -10,7 +10,7 @@ from glyphloom.operators import decompose as dec
 from glyphloom.operators import pieces as pcs
 from glyphloom.operators.configs import REPORT_CONFIGS
 from glyphloom.session import written
-from glyphloom.sources.corpus import nonblank, training_lines
+from glyphloom.sources.corpus import nonblank
 
 KEYS = ["label", "config"]
 
@@ -63,7 +63,9 @@ class Profile:
 def profile(train: DataFrame, validation: DataFrame, target_size: int = 128_000,
             configs=REPORT_CONFIGS, min_pair_count: int = 1) -> Profile:
     """Learn vocabularies on ``train`` and encode the distinct units of ``validation``."""
-    words = dec.word_counts(dec.dictionary(training_lines(nonblank(train)), configs))
+    # line by line, as in ``training_lines``: no piece, run or composition crosses a line end
+    text = nonblank(train).withColumn("text", F.concat("text", F.lit("\n")))
+    words = dec.word_counts(dec.dictionary(text, configs, lines=True))
     vocabulary = bpe.train(words, target_size, min_pair_count=min_pair_count)
     valid = nonblank(validation)
     normal = pcs.normalized(valid)
