@@ -1,12 +1,16 @@
 """Orthographic decomposition of a corpus, over its distinct pieces."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphloom.functions import opcodes as oc
+from glyphloom.functions import spelling as sp
 from glyphloom.functions import text as t
 from glyphloom.operators.configs import CATALOGUE
-from glyphloom.operators.pieces import counted_units, normalized, with_configs
+from glyphloom.operators.pieces import counted_units, normalized, stream_of, with_configs
 
 
 def dictionary(corpus: DataFrame, config_names, by=("label",), lines: bool = False) -> DataFrame:
@@ -24,6 +28,32 @@ def factor(counts: DataFrame, config_names) -> DataFrame:
         "stream", "capitalize", "repeat", "serialize")
 
 
+def spelled(counts: DataFrame, config_names) -> DataFrame:
+    """``(*by, config, piece, run, n, words)``: the words of distinct units under every configuration, without their operators."""
+    spark = counts.sparkSession
+    known = sp.capitals(spark)
+    readers: dict[str, list] = {}
+    for c in (CATALOGUE[n] for n in config_names):
+        readers.setdefault(stream_of(c), []).append(c)
+    by = [c for c in counts.columns if c not in ("stream", "piece", "run", "n")]
+    kept = ["piece", "run", "n"]
+    schema = T.StructType([*(counts.schema[c] for c in by), T.StructField("config", T.StringType()),
+                           *(counts.schema[c] for c in kept), T.StructField("words", T.ArrayType(T.StringType()))])
+    names = [f.name for f in schema]
+
+    def spell(batches):
+        for batch in batches:
+            for stream, configs in readers.items():
+                mine = batch.filter(pc.equal(batch.column("stream"), stream))
+                for c in configs if mine.num_rows else ():
+                    words = sp.words(mine.column("piece"), mine.column("run").to_numpy(), c, *known.value)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(mine.column(k) for k in by), pa.array([c.name] * mine.num_rows, pa.string()),
+                         *(mine.column(k) for k in kept), words], names=names)
+
+    return counts.mapInArrow(spell, schema)
+
+
 def op_occurrences(dic: DataFrame, by=("label", "config")) -> DataFrame:
     """One row per operator use in a distinct unit, weighted by occurrences."""
     return dic.select(*by, "piece", "n", F.explode("ops").alias("o")).select(
@@ -67,9 +97,9 @@ def decode_units(dic: DataFrame) -> DataFrame:
 
 
 def word_counts(dic: DataFrame, by=("label", "config")) -> DataFrame:
-    """Vocabulary training input: operator words and base words with occurrences."""
-    return (dic.select(*by, "n", F.explode(oc.words(
-                F.col("ops"), F.col("base"), F.col("split_operators"))).alias("word"))
+    """Vocabulary training input, from a dictionary or from ``spelled``: operator words and base words with occurrences."""
+    words = F.col("words") if "words" in dic.columns else oc.words(F.col("ops"), F.col("base"), F.col("split_operators"))
+    return (dic.select(*by, "n", F.explode(words).alias("word"))
             .groupBy(*by, "word").agg(F.sum("n").alias("n")))
 
 

@@ -142,8 +142,8 @@ def encode_words(words: DataFrame, merges: DataFrame, vocab: DataFrame, by=tuple
 
 
 def encode_dictionary(dic: DataFrame, merges: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(label, config, piece, run, n, ids, dropped)``: ids of each distinct unit."""
-    words = oc.words(F.col("ops"), F.col("base"), F.col("split_operators"))
+    """``(label, config, piece, run, n, ids, dropped)``: ids of each distinct unit of a dictionary or of ``spelled``."""
+    words = F.col("words") if "words" in dic.columns else oc.words(F.col("ops"), F.col("base"), F.col("split_operators"))
     rows = dic.select(*KEYS, "piece", "run", "n", words.alias("_spelled"))
     return _encoded(rows, F.col("_spelled"), merges, vocab, KEYS).drop("_spelled")
 

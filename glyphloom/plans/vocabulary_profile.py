@@ -65,11 +65,11 @@ def profile(train: DataFrame, validation: DataFrame, target_size: int = 128_000,
     """Learn vocabularies on ``train`` and encode the distinct units of ``validation``."""
     # line by line, as in ``training_lines``: no piece, run or composition crosses a line end
     text = nonblank(train).withColumn("text", F.concat("text", F.lit("\n")))
-    words = dec.word_counts(dec.dictionary(text, configs, lines=True))
+    words = dec.word_counts(dec.spelled(pcs.counted_units(pcs.normalized(text), configs, lines=True), configs))
     vocabulary = bpe.train(words, target_size, min_pair_count=min_pair_count)
     valid = nonblank(validation)
     normal = pcs.normalized(valid)
     units = pcs.unit_arrays(normal, configs)
-    dic = dec.factor(pcs.counted_units(normal, configs), configs)
+    dic = dec.spelled(pcs.counted_units(normal, configs), configs)
     coded = written(encode.encode_dictionary(dic, vocabulary.merges, vocabulary.vocab), "coded")
     return Profile(vocabulary, valid, units, coded, target_size, tuple(configs))

@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphloom.functions import cutting as cu
+from glyphloom.functions import opcodes as oc
 from glyphloom.functions import pieces as pc
 from glyphloom.operators import decompose as dec
 from glyphloom.operators import packing as pk
 from glyphloom.operators import pieces as pcs
+from glyphloom.operators.configs import CATALOGUE
 from glyphloom.plans import bindings as b
 from glyphloom.sources.corpus import training_lines
 
@@ -69,6 +71,19 @@ def test_lines_equal_documents_cut_into_lines(corpus):
     assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
 
 
+def test_words_of_units_equal_the_columns(spark, corpus):
+    """Capitals, marks, repeats, runs, private-use text and places past the last parameter."""
+    more = ["ÀÉÎx", "İSSS", "aaaBBB", "AbAbAb", "ǅƵ", "Ⓐ", "\ue100\ue000Hello", "x" * 255 + "ÉÉ", "É" * 300, "ạ̈̈e\u0323\u0301", "ΣΑΣ", "Å" * 3]
+    docs = corpus.select("label", "text").unionByName(spark.createDataFrame([("a", x) for x in more], "label string, text string"))
+    counts = pcs.counted_units(pcs.normalized(docs), CATALOGUE).persist()
+    columns = ["label", "config", "piece", "run", "n"]
+    words = oc.words(F.col("ops"), F.col("base"), F.col("split_operators"))
+    want = dec.factor(counts, CATALOGUE).select(*columns, words.alias("words"))
+    got = dec.spelled(counts, CATALOGUE).select(*columns, "words")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    counts.unpersist()
+
+
 def test_a_slice_holds_whole_rows(monkeypatch):
     monkeypatch.setattr(cu, "SLICE", 10)
     batch = pa.RecordBatch.from_arrays([pa.array(["abc", None, "x" * 40, "", "yz", "y" * 9])], ["text"])
