@@ -40,8 +40,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text they decode to."""
     codec = public_codec()
-    both = bpe_fold.digests(codec.decoded(codec.encoded(docs.select("doc_id", "lang", "source", "text"), keep=False)))
-    return both.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    both = codec.encoded(docs.select("doc_id", "lang", "source", "text"), keep=False, decode="decoded")
+    return bpe_fold.digests(both).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("toxicity", without_toxic), ("minmax_dedup", without_near_copies), ("pii", without_personal_data),

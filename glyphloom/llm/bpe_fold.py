@@ -2,8 +2,8 @@
 
 The merges are folded by Spark's higher-order functions: a distinct word is an
 array of token ids, one a byte to begin with; each step of ``aggregate`` looks up
-all neighbouring pairs in a literal map (hash buckets of pair to merged id, the
-id being the rank) and merges the pair of the lowest rank wherever it occurs,
+all new neighbouring pairs in a literal map (pairs by their left token, laid into one
+array such that none overlap, the id being the rank) and merges the pair of the lowest rank wherever it occurs,
 leftmost first. All its occurrences merge in one step only if no pair that comes
 up on the way has a lower rank; else only the leftmost does, so the result is that
 of merging one at a time.
@@ -11,8 +11,8 @@ of merging one at a time.
 1. Words of all texts are counted, each once a block of texts. Those frequent enough
    to fit in a budget of bytes are folded once each and broadcast.
 2. A pass over the texts replaces broadcast words by ids, bytes being compared. Other
-   words leave gaps; the distinct ones among them are folded once each, after a
-   shuffle by word, and come back to the rows they are missing from.
+   words leave gaps and are folded in the row; so texts and ids are never shuffled
+   or written.
 3. Decoding concatenates the binary pieces of the ids.
 
 Defined results: a null text is an empty one, without tokens; special tokens are
@@ -22,26 +22,28 @@ length takes as many steps as distinct ranks merge in it, each linear in it.
 
 import base64
 import json
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from glyphloom.llm.frames import appended, passing_shuffles, quoted
-from glyphloom.llm.pretokens import PATTERN, HashIndex, pretokens, spread
-from glyphloom.llm.wordhash import BYTES, hashes_of
-from glyphloom.session import remove, work_dir, written, written_at
+from glyphloom.llm.frames import appended, passing_shuffles, quoted, small_batches
+from glyphloom.llm.pretokens import PATTERN, HashIndex, pretokens, sliced_hashes, spread
+from glyphloom.session import remove, work_dir, written_at
 
 HOT_BYTES = 64 << 20      # of broadcast words, their ids and their index
-HOT_LETTERS = 64          # bytes; longer words are never broadcast
-_ENTRY = 40               # bytes of a broadcast word beside its letters and ids
+HOT_LETTERS = 4096        # bytes; longer words are never broadcast
+_ENTRY = 36               # bytes of a broadcast word beside its letters and ids
 SHORT = 64
-_BUCKETS = 1 << 16
 _NONE = 1 << 30
-_GAP_ID = 0xFFFFFFFF
-_TEXT, _RARE, _ROW = "_text", "_rare", "_row"
+_COUNTED = 1 << 20        # words of slices that are held before their counts are added up
+_FILLED = 64              # rows whose ids are spread out at once
+_TEXT, _RARE = "_text", "_rare"
+_NUMBERS = ArrayType(IntegerType())
+_BEGUN = [StructField("bytes", _NUMBERS), StructField("ranks", _NUMBERS)]
 
 
 def rank_table(path: str) -> list[bytes]:
@@ -54,18 +56,44 @@ def rank_table(path: str) -> list[bytes]:
     return pieces
 
 
-def pair_map(pieces: list[bytes]) -> tuple[list, list]:
-    """Buckets of pair keys and of merged ids: every way to cut a piece into two pieces."""
+def pair_map(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every way to cut a piece into two: the pair (a, b) lies at place ``shift[a] + b``, whose owner is a."""
     rank = {p: i for i, p in enumerate(pieces) if p}
-    keys, ids = [[] for _ in range(_BUCKETS)], [[] for _ in range(_BUCKETS)]
+    follow = {}
     for piece, i in rank.items():
         for cut in range(1, len(piece)):
             a, b = rank.get(piece[:cut]), rank.get(piece[cut:])
             if a is not None and b is not None:
-                bucket = (a * 40503 + b) % _BUCKETS
-                keys[bucket].append((a << 20) | b)
-                ids[bucket].append(i)
-    return keys, ids
+                follow.setdefault(a, []).append((b, i))
+    most, block = sum(map(len, follow.values())), 4096
+    owner = np.full(most + len(pieces) + block, -1, np.int32)
+    ids, shift, lone = np.zeros(len(owner), np.int32), np.zeros(len(pieces) + 1, np.int32), []
+    for a, pairs in sorted(follow.items(), key=lambda f: -len(f[1])):
+        b = np.array([x for x, _ in pairs])
+        if len(b) == 1:
+            lone.append((a, *pairs[0]))
+            continue
+        at = 0
+        while True:
+            if at + len(pieces) + block > len(owner):
+                owner, ids = (np.append(x, np.full(len(x), none, np.int32)) for x, none in ((owner, -1), (ids, 0)))
+            taken = np.zeros(block, bool)
+            for x in b:
+                taken |= owner[x + at:x + at + block] >= 0
+            if not taken.all():
+                break
+            at += block
+        at += int(np.argmin(taken))
+        owner[b + at], ids[b + at], shift[a] = a, [i for _, i in pairs], at
+    owner, ids = (np.append(x, np.full(len(lone), none, np.int32)) for x, none in ((owner, -1), (ids, 0)))
+    free, k = np.flatnonzero(owner < 0), 0
+    for a, b, i in sorted(lone, key=lambda one: one[1]):
+        while free[k] < b:
+            k += 1
+        owner[free[k]], ids[free[k]], shift[a] = a, i, free[k] - b
+        k += 1
+    end = int(np.flatnonzero(owner >= 0).max(initial=-1)) + 1
+    return shift, owner[:end], ids[:end]
 
 
 def _let(value: Column, body) -> Column:
@@ -74,16 +102,14 @@ def _let(value: Column, body) -> Column:
 
 
 def _literal(pieces: list[bytes]) -> Column:
-    keys, ids = pair_map(pieces)
-    text = json.dumps({"keys": keys, "ids": ids}, separators=(",", ":"))
-    return F.from_json(F.lit(text), "keys array<array<bigint>>, ids array<array<int>>")
+    parts = dict(zip(("shift", "owner", "ids"), (x.tolist() for x in pair_map(pieces))))
+    return F.from_json(F.lit(json.dumps(parts, separators=(",", ":"))), ", ".join(f"{name} array<int>" for name in parts))
 
 
 def _merged(t: Column, a: Column, b: Column) -> Column:
-    """Id of the pair, or a number above all ids."""
-    bucket = ((a * F.lit(40503).cast("long") + b) % _BUCKETS).cast("int")
-    place = F.array_position(F.get(t["keys"], bucket), F.shiftleft(a.cast("long"), 20).bitwiseOR(b.cast("long")))
-    return F.coalesce(F.get(F.get(t["ids"], bucket), (place - 1).cast("int")), F.lit(_NONE))
+    """Id of the pair, or a number above all ids; the number of pieces stands for a token beyond the word's ends."""
+    place = F.get(t["shift"], a) + b
+    return F.when(F.get(t["owner"], place) == a, F.get(t["ids"], place)).otherwise(F.lit(_NONE))
 
 
 def _places(count: Column) -> Column:
@@ -125,14 +151,14 @@ def _step(t: Column, p: Column) -> Column:
 
 
 def _single(t: Column, p: Column, r: Column) -> Column:
-    """(pieces, ranks of neighbouring pairs) after the leftmost merge of the lowest rank."""
+    """(pieces, ranks of neighbouring pairs) after the leftmost merge of the lowest rank, both with an end on each side."""
+    rest = F.lit(1 << 30)
+
     def merge(low):
         def at(pos):
-            left = F.when(pos > 1, F.array(_merged(t, F.get(p, pos - 2), low))).otherwise(F.array().cast("array<int>"))
-            right = F.when(pos + 1 < F.size(p), F.array(_merged(t, low, F.get(p, pos + 1)))).otherwise(
-                F.array().cast("array<int>"))
-            pieces = F.concat(F.slice(p, 1, pos - 1), F.array(low), F.slice(p, pos + 2, F.size(p)))
-            ranks = F.concat(F.slice(r, 1, F.greatest(pos - 2, F.lit(0))), left, right, F.slice(r, pos + 2, F.size(r)))
+            pieces = F.concat(F.slice(p, F.lit(1), pos - 1), F.array(low), F.slice(p, pos + 2, rest))
+            new = F.array(_merged(t, F.get(p, pos - 2), low), _merged(t, low, F.get(p, pos + 1)))
+            ranks = F.concat(F.slice(r, F.lit(1), pos - 2), new, F.slice(r, pos + 2, rest))
             return F.struct(pieces.alias("p"), ranks.alias("r"))
 
         return F.when(low == _NONE, F.struct(p.alias("p"), F.array().cast("array<int>").alias("r"))).otherwise(
@@ -147,8 +173,10 @@ def folded(t: Column, ids: Column, ranks: Column) -> Column:
     Short words take one merge a step, which is cheapest for them; long ones take
     all merges of a rank a step, which keeps their number of steps small.
     """
-    short = F.aggregate(_places(F.size(ids)), F.struct(ids.alias("p"), ranks.alias("r")),
-                        lambda s, _: F.when(F.size(s["r"]) > 0, _single(t, s["p"], s["r"])).otherwise(s), lambda s: s["p"])
+    outside, none = F.array(F.size(t["shift"]) - 1), F.array(F.lit(_NONE))
+    begun = F.struct(F.concat(outside, ids, outside).alias("p"), F.concat(none, ranks, none).alias("r"))
+    short = F.aggregate(_places(F.size(ids)), begun, lambda s, _: F.when(F.size(s["r"]) > 0, _single(
+        t, s["p"], s["r"])).otherwise(s), lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
     start = F.struct(ids.alias("p"), F.lit(True).alias("more"))
     long = F.aggregate(_places(F.size(ids)), start, lambda s, _: F.when(s["more"], _step(t, s["p"])).otherwise(s),
                        lambda s: s["p"])
@@ -171,11 +199,63 @@ def _cut(words, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters.tobytes())])
 
 
-def _flat(column) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a binary column, and the bounds of each row's; a null has none."""
-    rows = [x or b"" for x in column.to_pylist()]
-    bounds = np.concatenate(([0], np.cumsum([len(x) // 4 for x in rows]))).astype(np.int64)
-    return np.frombuffer(b"".join(rows), "<u4"), bounds
+def _added(held: list) -> pa.RecordBatch:
+    _, at, own = np.unique(np.concatenate([h for h, _, _ in held]), return_index=True, return_inverse=True)
+    n = np.bincount(own, np.concatenate([n for _, _, n in held]), len(at)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([w for _, w, _ in held]).take(pa.array(at)), pa.array(n)], names=["word", "n"])
+
+
+def _counted(batches):
+    """(word, n) of short words; a slice at a time, so that memory stays small whatever a batch holds."""
+    held, size = [], 0
+    for batch in batches:
+        for words in pretokens(batch.column(0)):
+            hashes, at, n = np.unique(words.hashes, return_index=True, return_counts=True)
+            short = words.ends[at] - words.starts[at] <= HOT_LETTERS
+            held.append((hashes[short], _cut(words, at[short]), n[short]))
+            size += len(at) + held[-1][1].nbytes // 64
+            if size > _COUNTED:
+                yield _added(held)
+                held, size = [], 0
+    if held:
+        yield _added(held)
+
+
+class _Known:
+    """Index of the broadcast words, their letters, and all their ids with a gap behind them."""
+
+    def __init__(self, words: pa.Table, narrow: np.dtype):
+        own = words["word"].combine_chunks() if len(words) else pa.array([], pa.binary())
+        offsets, data = _bytes(own)
+        self.index = HashIndex(sliced_hashes(data, offsets[:-1], offsets[1:]))
+        self.at, self.data = np.append(offsets, offsets[-1]).astype(np.int32), data
+        ids = words["ids"].combine_chunks() if len(words) else pa.array([], pa.list_(pa.int32()))
+        self.gap = np.iinfo(narrow).max
+        self.flat = np.append(ids.flatten().to_numpy().astype(narrow), narrow.type(self.gap))
+        self.starts = np.concatenate(([0], np.cumsum(np.append(ids.value_lengths().to_numpy(), 1)))).astype(np.int32)
+        self.none = len(own)
+
+    def places(self, words) -> np.ndarray:
+        """Place of each word of a slice, bytes being compared."""
+        place = self.index.find(words.hashes)
+        size = words.ends - words.starts
+        place[(place < 0) | (self.at[place + 1] - self.at[place] != size)] = self.none
+        hit = np.flatnonzero(place != self.none)
+        differ = words.data[spread(words.starts[hit], size[hit])] != self.data[spread(self.at[place[hit]], size[hit])]
+        place[np.repeat(hit, size[hit])[differ]] = self.none
+        return place
+
+    def ids(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, and their bounds."""
+        lengths = self.starts[place + 1] - self.starts[place]
+        return self.flat[spread(self.starts[place], lengths)], np.concatenate(([0], np.cumsum(lengths)))
+
+
+def _flat(rows: list, kind: np.dtype = np.dtype("<u4")) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of binary values, and the bounds of each one's; a null has none."""
+    rows = [x or b"" for x in rows]
+    bounds = np.concatenate(([0], np.cumsum([len(x) // kind.itemsize for x in rows]))).astype(np.int64)
+    return np.frombuffer(b"".join(rows), kind), bounds
 
 
 class Codec:
@@ -185,6 +265,7 @@ class Codec:
         if pattern != PATTERN:
             raise ValueError("texts can be split by the public byte-level pattern only")
         self.pieces = rank_table(path)
+        self.narrow = np.dtype("<u2" if len(self.pieces) < 1 << 16 else "<u4")    # its largest number marks a gap
         of_byte = {p: i for i, p in enumerate(self.pieces) if len(p) == 1}
         self.of_byte = np.array([of_byte[bytes([b])] for b in range(256)], np.int32)
         self.of_pair = np.full(1 << 16, _NONE, np.int32)    # what two bytes merge to
@@ -192,6 +273,13 @@ class Codec:
             if len(piece) == 2:
                 self.of_pair[piece[0] << 8 | piece[1]] = i
 
+    @cached_property
+    def pairs(self) -> Column:
+        return _literal(self.pieces)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "pairs"}    # tasks can't hold columns
+
     def _start(self, words: pa.Array) -> list[pa.Array]:
         """The ids of each word's bytes, and the ranks of neighbouring bytes."""
         starts, data = _bytes(words)
@@ -206,23 +294,14 @@ class Codec:
 
     def counts(self, docs: DataFrame, text: str) -> DataFrame:
         """(word, n) of words short enough to be broadcast; a block of texts counts its words before they move."""
-        def run(batches):
-            for batch in batches:
-                for words in pretokens(batch.column(0), batch.nbytes + 1):
-                    _, at, n = np.unique(words.hashes, return_index=True, return_counts=True)
-                    short = words.ends[at] - words.starts[at] <= HOT_LETTERS
-                    at, n = at[short], n[short]
-                    yield pa.RecordBatch.from_arrays([_cut(words, at), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-        partial = docs.select(quoted(text).alias("text")).mapInArrow(run, "word binary, n long")
+        small_batches(docs.sparkSession)
+        partial = docs.select(quoted(text).alias("text")).mapInArrow(_counted, "word binary, n long")
         return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
     def folds(self, words: DataFrame) -> DataFrame:
         """(word, ids) of distinct words, each folded once."""
-        start = self._start
-        numbers = ArrayType(IntegerType())
-        begun = appended(words.select("word"), "word", [StructField("bytes", numbers), StructField("ranks", numbers)], start)
-        return begun.select("word", _let(_literal(self.pieces), lambda t: folded(t, F.col("bytes"), F.col("ranks"))).alias("ids"))
+        begun = appended(words.select("word"), "word", _BEGUN, self._start)
+        return begun.select("word", _let(self.pairs, lambda t: folded(t, F.col("bytes"), F.col("ranks"))).alias("ids"))
 
     def hot_words(self, docs: DataFrame, text: str, budget: int) -> pa.Table:
         """(word, ids) of the words that occur so often that all of them fit in ``budget`` bytes, folded.
@@ -233,7 +312,7 @@ class Codec:
         path = work_dir(spark, "words")
         with passing_shuffles(spark):
             counts = written_at(self.counts(docs, text), path)
-        power, size = F.floor(F.log2("n")).cast("int"), F.sum(5 * F.octet_length("word") + _ENTRY)
+        power, size = F.floor(F.log2("n")).cast("int"), F.sum((1 + self.narrow.itemsize) * F.octet_length("word") + _ENTRY)
         least, load = None, 0
         for step in sorted(counts.groupBy(power.alias("power")).agg(size.alias("size")).collect(), key=lambda r: -r.power):
             load += step["size"]
@@ -245,98 +324,82 @@ class Codec:
         remove(spark, path)
         return folded_words
 
-    def encoded(self, docs: DataFrame, text: str = "text", budget: int = HOT_BYTES, keep: bool = True) -> DataFrame:
-        """``docs`` with ``ids``: the tokens of each text as little-endian 32-bit integers; the text goes unless it is kept."""
-        spark = docs.sparkSession
-        hot = self.hot_words(docs, text, budget)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, hot.schema) as out:
-            out.write_table(hot)
-        sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-        del hot
-        cache = {}
-
-        def known():
-            """Index of the broadcast words, their letters, the bounds of their ids, and all ids with a gap behind them."""
-            if not cache:
-                words = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
-                own = words["word"].combine_chunks() if len(words) else pa.array([], pa.binary())
-                offsets, data = _bytes(own)
-                hashes = hashes_of(data, offsets[:-1], offsets[1:], BYTES) if len(own) else np.zeros(0, np.uint64)
-                ids = words["ids"].combine_chunks() if len(own) else pa.array([], pa.list_(pa.int32()))
-                lengths = np.append(ids.value_lengths().to_numpy(), 1)
-                flat = np.append(ids.flatten().to_numpy().astype(np.uint32), np.uint32(_GAP_ID))
-                cache.update(index=HashIndex(hashes), at=offsets, data=data, size=np.append(np.diff(offsets), 0),
-                             lengths=lengths, flat=flat, starts=np.cumsum(lengths) - lengths)
-            return cache
+    def encoded(self, docs: DataFrame, text: str = "text", budget: int = HOT_BYTES, keep: bool = True,
+                decode: str | None = None) -> DataFrame:
+        """``docs`` with ``ids``: the tokens of each text as little-endian 32-bit integers; the text goes unless it is kept.
+
+        With ``decode``, a column of that name has the bytes that ``decoded`` makes of them.
+        """
+        narrow, start, back = self.narrow, self._start, self._decoder() if decode else None
+        sent = docs.sparkSession.sparkContext.broadcast(_Known(self.hot_words(docs, text, budget), narrow))
 
         def look_up(column):
-            k = known()
-            none = len(k["lengths"]) - 1
+            known = sent.value
             ids, rare, counts = [], [], []
             for words in pretokens(column):
-                place = k["index"].find(words.hashes)
-                size = words.ends - words.starts
-                place[(place < 0) | (k["size"][place] != size)] = none
-                hit = np.flatnonzero(place != none)
-                differ = words.data[spread(words.starts[hit], size[hit])] != k["data"][spread(k["at"][place[hit]], size[hit])]
-                place[np.repeat(hit, size[hit])[differ]] = none
-                lengths = k["lengths"][place]
-                flat = k["flat"][spread(k["starts"][place], lengths)]
-                bounds = np.concatenate(([0], np.cumsum(lengths)))[words.bounds]
+                place = known.places(words)
+                flat, bounds = known.ids(place)
+                bounds = bounds[words.bounds]
                 ids.extend(flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:]))
-                missing = np.flatnonzero(place == none)
+                missing = np.flatnonzero(place == known.none)
                 counts.append(np.diff(np.searchsorted(missing, words.bounds)))
                 rare.append(_cut(words, missing))
             outer = np.concatenate([[0], *counts]).cumsum().astype(np.int32)
-            return [pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(outer), pa.concat_arrays([*rare, pa.array([], pa.binary())]))]
+            begun = pa.StructArray.from_arrays(start(pa.concat_arrays([*rare, pa.array([], pa.binary())])), ["bytes", "ranks"])
+            return [pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(outer), begun)]
 
         source = docs.withColumn(_TEXT, quoted(text)) if keep else docs.select(
             *(quoted(c) for c in docs.columns if c != text), quoted(text).alias(_TEXT))
-        looked = appended(source, _TEXT, [StructField("ids", BinaryType()), StructField(_RARE, ArrayType(BinaryType()))],
+        looked = appended(source, _TEXT, [StructField("ids", BinaryType()), StructField(_RARE, ArrayType(StructType(_BEGUN)))],
                           look_up).drop(_TEXT)
-        with passing_shuffles(spark):
-            looked = written(looked.withColumn(_ROW, F.monotonically_increasing_id()), "looked")
-            gaps = looked.where(F.size(_RARE) > 0).select(F.col(_ROW).alias("_of"), F.posexplode(_RARE).alias("at", "word"))
-            path = work_dir(spark, "rare")
-            met = written_at(self.folds(gaps.select("word").distinct()), path)
-            fills = written(gaps.join(met, "word").groupBy("_of")
-                            .agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("_fills")), "fills")
-            remove(spark, path)
-        gapped = looked.where(F.size(_RARE) > 0).join(fills, F.col(_ROW) == F.col("_of"))
-        gapped = gapped.withColumn(_TEXT, F.struct("ids", F.col("_fills.ids").alias("rare"))).drop(_RARE, _ROW, "_of", "_fills")
+        met = _let(self.pairs, lambda t: F.transform(_RARE, lambda w: folded(t, w["bytes"], w["ranks"])))
+        gapped = looked.withColumn(_TEXT, F.struct("ids", met.alias("rare"))).drop(_RARE)
+        gap = np.iinfo(narrow).max
 
         def fill(column):
-            ids = column.field("ids")
-            flat, bounds = _flat(ids)
-            rows = column.field("rare")
-            words = rows.flatten()
-            sizes = np.ones(len(flat), np.int64)
-            gaps = flat == _GAP_ID
-            sizes[gaps] = words.value_lengths().to_numpy()
-            ends = np.cumsum(sizes)
-            out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-            out[(ends - sizes)[~gaps]] = flat[~gaps]
-            out[spread((ends - sizes)[gaps], sizes[gaps])] = words.flatten().to_numpy()
-            bounds = np.concatenate(([0], ends))[bounds]
-            return [pa.array([out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())]
-
-        filled = appended(gapped, _TEXT, [StructField("ids", BinaryType())], fill).drop(_TEXT)
-        whole = looked.where(F.size(_RARE) == 0).drop(_RARE, _ROW)
-        return whole.unionByName(filled)
-
-    def decoded(self, encoded: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
-        """``encoded`` with the bytes of each row's tokens; an unknown id raises."""
+            packed, rows, out, texts = column.field("ids"), column.field("rare"), [], []
+            for at in range(0, len(packed), _FILLED):
+                flat, bounds = _flat(packed.slice(at, _FILLED).to_pylist(), narrow)
+                words = rows.slice(at, _FILLED).flatten()
+                gaps = np.flatnonzero(flat == gap)
+                own = words.value_lengths().to_numpy()
+                sizes = np.ones(len(flat), np.int64)
+                sizes[gaps] = own
+                ends = np.cumsum(sizes)
+                ids = np.repeat(flat.astype("<u4"), sizes)
+                ids[spread((ends - sizes)[gaps], own)] = words.flatten().to_numpy()
+                bounds = np.concatenate(([0], ends))[bounds]
+                blobs = [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                out.extend(blobs)
+                if back:
+                    texts.extend(back(blobs))
+            return [pa.array(out, pa.binary()), *([pa.array(texts, pa.binary())] if back else [])]
+
+        fields = [StructField("ids", BinaryType()), *([StructField(decode, BinaryType())] if decode else [])]
+        return appended(gapped, _TEXT, fields, fill).drop(_TEXT)
+
+    def _decoder(self):
+        """Function from ids, as binary values, to the bytes of their tokens."""
         pieces = self.pieces
         sizes = np.array([len(p) for p in pieces])
         starts, letters = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pieces), np.uint8)
 
-        def compute(column):
-            flat, bounds = _flat(column)
+        def decode(rows):
+            flat, bounds = _flat(rows)
             own = sizes[flat]
             text = letters[spread(starts[flat], own)]
             bounds = np.concatenate(([0], np.cumsum(own)))[bounds]
-            return [pa.array([text[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())]
+            return [text[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+
+        return decode
+
+    def decoded(self, encoded: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
+        """``encoded`` with the bytes of each row's tokens; an unknown id raises."""
+        back = self._decoder()
+
+        def compute(column):
+            return [pa.array([x for at in range(0, len(column), _FILLED)
+                              for x in back(column.slice(at, _FILLED).to_pylist())], pa.binary())]
 
         return appended(encoded, ids, [StructField(out, BinaryType())], compute)
 

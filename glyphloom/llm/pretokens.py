@@ -62,6 +62,19 @@ def _starts(chars: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return start
 
 
+def sliced_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slice_bytes: int = SLICE_BYTES) -> np.ndarray:
+    """Hashes of ascending words, of some slices' bytes at a time."""
+    if len(data) <= 4 * slice_bytes:
+        return hashes_of(data, starts, ends, BYTES)
+    hashes, at = [], 0
+    while at < len(starts):
+        to = max(int(np.searchsorted(ends, starts[at] + slice_bytes, "right")), at + 1)
+        origin = starts[at]
+        hashes.append(hashes_of(data[origin:ends[to - 1]], starts[at:to] - origin, ends[at:to] - origin, BYTES))
+        at = to
+    return np.concatenate([*hashes, np.zeros(0, np.uint64)])
+
+
 def pretokens(column, slice_bytes: int = SLICE_BYTES):
     """Slices of texts as ``Words`` without gaps: a word ends where the next begins."""
     offsets, data = columns_bytes(column)
@@ -83,17 +96,7 @@ def pretokens(column, slice_bytes: int = SLICE_BYTES):
         begins[np.searchsorted(leads, full)] = True
         starts = leads[_starts(chars, begins)]
         ends = np.append(starts[1:], len(part))
-        if len(part) <= 4 * slice_bytes:
-            hashes = hashes_of(part, starts, ends, BYTES)
-        else:
-            hashes, at = [], 0
-            while at < len(starts):
-                to = max(int(np.searchsorted(ends, starts[at] + slice_bytes, "right")), at + 1)
-                origin = starts[at]
-                hashes.append(hashes_of(part[origin:ends[to - 1]], starts[at:to] - origin, ends[at:to] - origin, BYTES))
-                at = to
-            hashes = np.concatenate(hashes)
-        yield Words((lo, hi), np.searchsorted(starts, limits), hashes, starts, ends, part)
+        yield Words((lo, hi), np.searchsorted(starts, limits), sliced_hashes(part, starts, ends, slice_bytes), starts, ends, part)
         lo = hi
 
 

@@ -66,8 +66,9 @@ def public_codec(vocabulary: str = VOCABULARY) -> bpe_fold.Codec:
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = public_codec()
-    encoded = codec.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
-    return bpe_fold.digests(codec.decoded(encoded)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    encoded = codec.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False,
+                            decode="decoded")
+    return bpe_fold.digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @query

@@ -179,9 +179,11 @@ def _packer(s: Settings):
         order = np.argsort(group["doc_id"].to_numpy(), kind="stable")
         rows = [np.frombuffer(x, np.int32) for x in features(group["text"], s.bits)]
         rows = [rows[i] for i in order]
-        found, inside = np.unique(np.concatenate(rows), return_inverse=True)
-        blobs = [group["label"].to_numpy()[order].astype(np.float64), np.array([len(r) for r in rows], np.int32),
-                 inside.astype(np.int32), found.astype(np.int32)]
+        found = _distinct(np.concatenate(rows))
+        lengths = np.array([len(r) for r in rows], np.int32)
+        # a text at a time: places of all at once take several times the memory
+        inside = np.concatenate([np.searchsorted(found, r).astype(np.int32) for r in rows])
+        blobs = [group["label"].to_numpy()[order].astype(np.float64), lengths, inside, found]
         arrays = [pa.array([group["shard"][0].as_py()], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)]
         return pa.table(arrays, names=["shard", "labels", "lengths", "features", "coordinates"])
 

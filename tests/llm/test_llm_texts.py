@@ -3,18 +3,21 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from glyphloom.llm import bpe_fold, minmax, pii, substrings
+from glyphloom.llm import bpe_fold, minmax, pii, pretokens, substrings
 from glyphloom.llm.components import components
 from glyphloom.llm.queries import QUERIES, VOCABULARY, public_codec
+from glyphloom.session import work_dir
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -259,6 +262,29 @@ def test_bpe_of_odd_rows(spark):
     assert codec.encoded(odd(spark).limit(0)).count() == 0
 
 
+def test_bpe_leaves_nothing_written(spark):
+    """Neither texts nor ids are written or shuffled on their way; only counts of words are, and they go."""
+    shared = os.path.dirname(work_dir(spark, "any")).removeprefix("file:")
+    before = os.listdir(shared)
+    df = spark.createDataFrame([(i, f"the same words and one{i}xq") for i in range(50)], "doc_id long, text string")
+    encoded = public_codec().encoded(df, budget=1500, keep=False, decode="decoded")
+    assert os.listdir(shared) == before and "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: bytes(r.decoded).decode() for r in encoded.collect()} == {r.doc_id: r.text for r in df.collect()}
+
+
+def test_bpe_counts_words_a_slice_at_a_time(monkeypatch):
+    sizes = []
+    hashes_of = pretokens.hashes_of
+    monkeypatch.setattr(pretokens, "hashes_of", lambda data, *rest: sizes.append(len(data)) or hashes_of(data, *rest))
+    texts = [f"word{i % 7} other{i}" * 20 for i in range(20_000)]
+    batches = bpe_fold._counted(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    counts = collections.Counter()
+    for b in batches:
+        counts.update(dict(zip(b["word"].to_pylist(), b["n"].to_pylist())))
+    assert max(sizes) <= 4 * pretokens.SLICE_BYTES < sum(map(len, texts))
+    assert counts[b"word"] == 400_000 and sum(len(w) * n for w, n in counts.items()) == sum(map(len, texts))
+
+
 # --- rows that share an id, and names that clash ------------------------------------
 
 WORDS = [f"w{i}" for i in range(60)]
