@@ -169,7 +169,38 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
 
 #: Changes are averaged in so many ranges of coordinates (and that of the bias), so that only averages reach the driver.
 _RANGE_BITS = 4
-_PACKED = "shard int, labels binary, lengths binary, features binary, coordinates binary"
+#: Fixed value: the step that stands for a farther one.
+_FAR = (1 << 16) - 1
+_PACKED = "shard int, labels binary, lengths binary, features binary, far binary, coordinates binary"
+
+
+class _Rows:
+    """Ascending places of each text of a shard, kept as steps of two bytes; steps too far for that are kept apart."""
+
+    def __init__(self, lengths: np.ndarray, steps: np.ndarray, far: np.ndarray):
+        self.steps, self.far, self.bounds = steps, far, np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        self.at = np.flatnonzero(steps == _FAR)
+        self.of = np.searchsorted(self.at, self.bounds)
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        lo, hi = self.bounds[i:i + 2]
+        steps = self.steps[lo:hi].astype(np.int64)
+        some = slice(self.of[i], self.of[i + 1])
+        steps[self.at[some] - lo] = self.far[some]
+        return np.cumsum(steps)
+
+
+def _steps(rows) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of texts with ascending places, and those that are too far for two bytes."""
+    steps, far = [], []
+    for places in rows:
+        gaps = np.diff(places, prepend=0)
+        far.append(gaps[gaps >= _FAR].astype(np.int32))
+        steps.append(np.minimum(gaps, _FAR).astype(np.uint16))
+    return np.concatenate(steps), np.concatenate(far)
 
 
 def _packer(s: Settings):
@@ -182,10 +213,10 @@ def _packer(s: Settings):
         found = _distinct(np.concatenate(rows))
         lengths = np.array([len(r) for r in rows], np.int32)
         # a text at a time: places of all at once take several times the memory
-        inside = np.concatenate([np.searchsorted(found, r).astype(np.int32) for r in rows])
-        blobs = [group["label"].to_numpy()[order].astype(np.float64), lengths, inside, found]
+        inside, far = _steps(np.searchsorted(found, r) for r in rows)
+        blobs = [group["label"].to_numpy()[order].astype(np.float64), lengths, inside, far, found]
         arrays = [pa.array([group["shard"][0].as_py()], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)]
-        return pa.table(arrays, names=["shard", "labels", "lengths", "features", "coordinates"])
+        return pa.table(arrays, names=["shard", "labels", "lengths", "features", "far", "coordinates"])
 
     return pack
 
@@ -209,11 +240,12 @@ def _epochs(common, epochs: range, s: Settings):
         for batch in batches:
             for k in range(batch.num_rows):
                 shard = batch.column("shard")[k].as_py()
-                labels, lengths, features, coordinates = (
+                labels, lengths, steps, far, coordinates = (
                     np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (
-                        ("labels", np.float64), ("lengths", np.int32), ("features", np.int32), ("coordinates", np.int32)))
+                        ("labels", np.float64), ("lengths", np.int32), ("features", np.uint16),
+                        ("far", np.int32), ("coordinates", np.int32)))
                 at = np.append(coordinates, np.int32(1 << s.bits))
-                rows = np.split(features, np.cumsum(lengths)[:-1])
+                rows = _Rows(lengths, steps, far)
                 z, n = _looked_up(common.value, at, s)
                 own = _State(s, z.astype(float), n.astype(float))
                 for epoch in epochs:

@@ -86,3 +86,11 @@ def test_held_out_errors_at_production_settings(spark, sf):
                           .select("doc_id", "text", "toxic"), model).collect()
     toxic, clean = ([r.predicted for r in out if r.toxic == label] for label in (1, 0))
     assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.005 * len(clean)
+
+
+def test_places_of_a_shard_take_two_bytes_each():
+    rows = [np.array(r, np.int32) for r in ([], [0], [65_534, 131_069, 200_000], [3, 65_538, 4_000_000], [], [65_535])]
+    steps, far = toxicity._steps(rows)
+    kept = toxicity._Rows(np.array([len(r) for r in rows], np.int32), steps, far)
+    assert steps.itemsize == 2 and len(kept) == len(rows) and far.tolist() == [65_535, 68_931, 65_535, 3_934_462, 65_535]
+    assert all(kept[i].tolist() == r.tolist() for i, r in enumerate(rows))
