@@ -20,10 +20,11 @@ each with the sums of its own seating, so that those of a context sum to 1.
 2. A pass turns texts into pairs (word, context), counts them by block and deals
    them to buckets: by word, or by word and context for frequent words, so that no
    word makes a bucket of its own. A bucket becomes four rows of a written table.
-3. Each sweep reads that table, with the tables of its words and contexts, and
-   writes it anew. Sums of at most ``contexts`` frequent words are broadcast. A rarer
-   word lies in one row; sums of rarer contexts meet by context and return to the
-   buckets that have them.
+3. A pair seen once always has one table; so a sweep reads and writes pairs seen at
+   least twice, with the tables of their words and contexts. Sums of at most
+   ``contexts`` frequent words are broadcast. A rarer word lies in one row; sums of
+   rarer contexts meet by context and return to the buckets that have them. Seatings
+   after ``burn`` are kept, and all pairs meet them and their sums once, in the end.
 4. A last pass over the texts sends each document's pairs to the buckets, which look
    up their probabilities; a document's sums from all buckets meet by block.
 
@@ -302,42 +303,103 @@ def seat(count: np.ndarray, fresh: np.ndarray, d: float, rng) -> np.ndarray:
 
 
 _SEATS = "kind int, bucket int, sub int, key long, c double, t double, part binary"
-#: Kinds of rows of the table of seats.
-CONTEXT, WORD, TOTALS, RARE, PAIRS = range(5)
+#: Kinds of rows of the table of seats. Sums that no sweep changes have the sub 0, others 1.
+CONTEXT, WORD, TOTALS, RARE, PAIRS, SHARED, SEATED = range(7)
+FIXED, DRAWN = 0, 1
 
 
-def _seats(bucket: int, rows: dict[int, _Pairs]) -> pa.Table:
-    """Rows of a bucket: its pairs, and their customers and tables by frequent context, frequent word,
-    in all, and by rarer context."""
+class _Seated:
+    """Pairs of a row that are seen at least twice, with their tables; ``base`` has the tables of other pairs, by rarer context."""
+
+    def __init__(self, b: _Pairs):
+        at = np.flatnonzero(b.count > 1)
+        words, word = np.unique(b.word[at], return_inverse=True)
+        contexts, context = np.unique(b.context[at], return_inverse=True)
+        self.count, self.tables, self.base = b.count[at], b.tables[at], None
+        self.word, self.context = word.astype(np.int32), context.astype(np.int32)
+        self.hot_word, self.hot_context = b.hot_word[words], b.hot_context[contexts]
+        self.rare = b.contexts[contexts[self.hot_context < 0]]
+        self.words, self.once = words, np.bincount(b.word, b.count == 1, len(b.words)).astype(np.int64)[words]
+        self.cuts = np.searchsorted(at, [0, *(pairs.stop for pairs, _ in b.parts())])
+
+    def packed(self) -> bytes:
+        narrow = {k: _narrow(getattr(self, k)) for k in ("count", "tables", "once")}
+        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(self.__dict__ | narrow))
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> "_Seated":
+        b = cls.__new__(cls)
+        b.__dict__.update(_unpacked(blob))
+        b.count, b.tables, b.once = (x.astype(np.int64) for x in (b.count, b.tables, b.once))
+        return b
+
+    def t_word(self) -> np.ndarray:
+        """Tables of each word in this row, pairs seen once included."""
+        return self.once + np.bincount(self.word, self.tables, len(self.once))
+
+
+def _hot(kind: int, place: np.ndarray, c: np.ndarray, t: np.ndarray) -> tuple:
+    at = place >= 0
+    return np.full(at.sum(), kind), place[at], c[at], t[at]
+
+
+def _by_key(kind: int, parts: list) -> tuple:
+    key, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    c, t = (np.bincount(index, np.concatenate([p[i] for p in parts]), len(key)) for i in (1, 2))
+    return np.full(len(key), kind), key, c, t
+
+
+def _seats(bucket: int, sums: dict[int, list], blobs: list) -> pa.Table:
+    """Rows of (kind, key, c, t) by what they are, then of (kind, sub, blob)."""
+    kind, key, c, t = (np.concatenate(x) for x in zip(*(
+        (k, np.asarray(key, np.int64), c, t) for some in sums.values() for k, key, c, t in some)))
+    what = np.concatenate([np.full(sum(len(x[0]) for x in some), own) for own, some in sums.items()])
+    n, zero = len(blobs), np.zeros(len(blobs))
+    return pa.table({"kind": pa.array(np.append(kind, [k for k, _, _ in blobs]).astype(np.int32)),
+                     "bucket": pa.array(np.full(len(kind) + n, bucket, np.int32)),
+                     "sub": pa.array(np.append(what, [sub for _, sub, _ in blobs]).astype(np.int32)),
+                     "key": pa.array(np.append(key, zero.astype(np.int64))), "c": pa.array(np.append(c, zero).astype(float)),
+                     "t": pa.array(np.append(t, zero).astype(float)),
+                     "part": pa.array([None] * len(kind) + [blob for _, _, blob in blobs], pa.binary())})
+
+
+def _drawn(rows: dict[int, _Seated]) -> tuple[list, list]:
+    """Tables of drawn pairs by frequent context, frequent word, in all and by rarer context, and the pairs."""
     sums, rare, blobs = [], [], []
     for sub, b in rows.items():
-        c_context, t_context = (np.bincount(b.context, v, len(b.contexts)) for v in (b.count, b.tables))
-        c_word, t_word = (np.bincount(b.word, v, len(b.words)) for v in (b.count, b.tables))
-        for kind, place, c, t in ((CONTEXT, b.hot_context, c_context, t_context), (WORD, b.hot_word, c_word, t_word)):
-            at = place >= 0
-            sums.append((np.full(at.sum(), kind), place[at], c[at], t[at]))
-        at, own = b.hot_context < 0, (b.hot_word < 0) & (c_word > 0)
-        rare.append((b.contexts[at].view(np.int64), c_context[at], t_context[at]))
-        totals = [own.sum(), (b.count == 1).sum(), (b.count == 2).sum(), (t_word[own] == 1).sum(),
-                  (t_word[own] == 2).sum(), t_word[own].sum(), c_context.sum()]
-        sums.append((np.full(len(totals), TOTALS), np.arange(len(totals)), np.array(totals, float), np.zeros(len(totals))))
-        blobs.append(b.packed())
-    key, index = np.unique(np.concatenate([r[0] for r in rare]), return_inverse=True)
-    c, t = (np.bincount(index, np.concatenate([r[i] for r in rare]), len(key)) for i in (1, 2))
-    sums += [(np.full(len(key), RARE), key, c, t), (np.full(len(rows), PAIRS), np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows)))]
-    kind, key, c, t = (np.concatenate(x) for x in zip(*((k, np.asarray(key, np.int64), c, t) for k, key, c, t in sums)))
-    none = len(kind) - len(rows)
-    return pa.table({"kind": pa.array(kind.astype(np.int32)), "bucket": pa.array(np.full(len(kind), bucket, np.int32)),
-                     "sub": pa.array([0] * none + list(rows), pa.int32()), "key": pa.array(key),
-                     "c": pa.array(c.astype(float)), "t": pa.array(t.astype(float)),
-                     "part": pa.array([None] * none + blobs, pa.binary())})
+        t_context, t_word = np.bincount(b.context, b.tables, len(b.hot_context)), np.bincount(b.word, b.tables, len(b.once))
+        sums += [_hot(CONTEXT, b.hot_context, np.zeros(len(t_context)), t_context), _hot(WORD, b.hot_word, np.zeros(len(t_word)), t_word)]
+        own = b.t_word()[b.hot_word < 0]
+        totals = np.array([(own == 1).sum(), (own == 2).sum(), own.sum()], float)
+        sums.append((np.full(3, TOTALS), np.arange(4, 7), totals, np.zeros(3)))
+        t = t_context[b.hot_context < 0]
+        rare.append((b.rare.view(np.int64), np.zeros(len(t)), t))
+        blobs.append((SEATED, sub, b.packed()))
+    return [*sums, _by_key(SHARED, rare)], blobs
 
 
 def _first(sent):
-    """Pairs of a bucket from those of all blocks, one table each."""
+    """Pairs of a bucket from those of all blocks, one table each, and what is known of them for good: customers,
+    and tables of pairs seen once, by frequent context, frequent word, in all, and by rarer context."""
     def run(group: pa.Table) -> pa.Table:
-        rows = {sub: _Pairs([_unpacked(blob) for _, blob in parts], sent.value) for sub, parts in _by_sub(group).items()}
-        return _seats(group["bucket"][0].as_py(), rows)
+        sums, rare, blobs, seated = [], [], [], {}
+        for sub, parts in _by_sub(group).items():
+            b = _Pairs([_unpacked(blob) for _, blob in parts], sent.value)
+            seated[sub] = drawn = _Seated(b)
+            once = b.count == 1
+            c_context, t_context = (np.bincount(b.context, v, len(b.contexts)) for v in (b.count, once))
+            c_word, t_word = (np.bincount(b.word, v, len(b.words)) for v in (b.count, once))
+            sums += [_hot(CONTEXT, b.hot_context, c_context, t_context), _hot(WORD, b.hot_word, c_word, t_word)]
+            at, own = b.hot_context < 0, (b.hot_word < 0) & (c_word > 0)
+            rare.append((b.contexts[at].view(np.int64), c_context[at], t_context[at]))
+            alone = own.copy()
+            alone[drawn.words] = False
+            totals = [own.sum(), once.sum(), (b.count == 2).sum(), c_context.sum(),
+                      (t_word[alone] == 1).sum(), (t_word[alone] == 2).sum(), t_word[alone].sum()]
+            sums.append((np.full(len(totals), TOTALS), np.arange(len(totals)), np.array(totals, float), np.zeros(len(totals))))
+            blobs.append((PAIRS, sub, b.packed()))
+        more, drawn = _drawn(seated)
+        return _seats(group["bucket"][0].as_py(), {FIXED: [*sums, _by_key(RARE, rare)], DRAWN: more}, blobs + drawn)
 
     return run
 
@@ -362,21 +424,26 @@ class _Sums:
     parent_discount: float
 
 
-def _collected(seats: DataFrame, frequent: np.ndarray) -> _Sums:
-    rows = (seats.where(F.col("kind").isin(CONTEXT, WORD, TOTALS)).groupBy("kind", "key")
+def _collected(seats: DataFrame, frequent: np.ndarray, fixed: list | None = None) -> tuple[_Sums, list]:
+    """Sums of a seating, and those of them that no sweep changes; the first table has both, others get the latter."""
+    rows = (seats.where(F.col("kind").isin(CONTEXT, WORD, TOTALS)).groupBy("kind", "key", "sub")
             .agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toArrow())
-    kind, key, c, t = (rows[n].to_numpy() for n in ("kind", "key", "c", "t"))
-
-    def dense(k, values, size):
-        out = np.zeros(size)
-        out[key[kind == k]] = values[kind == k]
+    kind, key, sub, c, t = (rows[n].to_numpy() for n in ("kind", "key", "sub", "c", "t"))
+
+    def dense(own):
+        out = []
+        for k, values, size in ((CONTEXT, c, len(frequent)), (CONTEXT, t, len(frequent)), (WORD, c, len(frequent)),
+                                (WORD, t, len(frequent)), (TOTALS, c, 7)):
+            at = (kind == k) & (sub == own)
+            out.append(np.zeros(size))
+            out[-1][key[at]] = values[at]
         return out
 
-    c_word, t_word = dense(WORD, c, len(frequent)), dense(WORD, t, len(frequent))
-    totals = dense(TOTALS, c, 7)
-    ones, twos = totals[3] + (t_word == 1).sum(), totals[4] + (t_word == 2).sum()
-    return _Sums(frequent, dense(CONTEXT, c, len(frequent)), dense(CONTEXT, t, len(frequent)), c_word, t_word, totals[6],
-                 totals[0] + (c_word > 0).sum(), totals[5] + t_word.sum(), _discount(totals[1], totals[2]), _discount(ones, twos))
+    fixed = fixed or dense(FIXED)
+    c_context, t_context, c_word, t_word, totals = (a + b for a, b in zip(fixed, dense(DRAWN)))
+    ones, twos = totals[4] + (t_word == 1).sum(), totals[5] + (t_word == 2).sum()
+    return _Sums(frequent, c_context, t_context, c_word, t_word, totals[3], totals[0] + (c_word > 0).sum(),
+                 totals[6] + t_word.sum(), _discount(totals[1], totals[2]), _discount(ones, twos)), fixed
 
 
 def _parent(t_word: np.ndarray, m: _Sums, s: Settings) -> np.ndarray:
@@ -385,19 +452,18 @@ def _parent(t_word: np.ndarray, m: _Sums, s: Settings) -> np.ndarray:
     return (np.maximum(t_word - d, 0) + (s.strength + d * m.words) / (m.words + 1)) / all_
 
 
-def _known_sums(b: _Pairs, m: _Sums, rare: pa.Table) -> tuple[np.ndarray, ...]:
-    """Customers and tables of each context, then of each word, of a row in all rows together."""
+def _found(rare: pa.Table, wanted: np.ndarray) -> np.ndarray:
+    """Rows of the wanted contexts, all of which are there."""
     key = rare["key"].to_numpy().view(np.uint64)
     order = np.argsort(key)
-    place = order[np.searchsorted(key[order], b.contexts[b.hot_context < 0])]
-    out = []
-    for name, hot in (("c", m.c_context), ("t", m.t_context)):
-        values = hot[b.hot_context]
-        values[b.hot_context < 0] = rare[name].to_numpy()[place]
-        out.append(values)
-    for own, hot in ((b.count, m.c_word), (b.tables, m.t_word)):
-        out.append(np.where(b.hot_word >= 0, hot[b.hot_word], np.bincount(b.word, own, len(b.words))))
-    return tuple(out)
+    return order[np.searchsorted(key[order], wanted)]
+
+
+def _spliced(hot: np.ndarray, place: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Values of frequent contexts by place, of others in their order."""
+    values = hot[place]
+    values[place < 0] = rare
+    return values
 
 
 def _predict(b: _Pairs, m: _Sums, sums, s: Settings) -> None:
@@ -415,16 +481,19 @@ def _sweep(sent, sweep: int, s: Settings):
     def run(group: pa.Table, rare: pa.Table) -> pa.Table:
         m, rows, bucket = sent.value, {}, group["bucket"][0].as_py()
         for sub, blob in sorted(zip(group["sub"].to_pylist(), group["part"].to_pylist())):
-            rows[sub] = b = _Pairs.unpacked(blob)
-            sums = _known_sums(b, m, rare)
-            if sweep > s.burn:
-                _predict(b, m, sums, s)
+            rows[sub] = b = _Seated.unpacked(blob)
+            at = _found(rare, b.rare)
+            if b.base is None:
+                b.base = rare["base"].to_numpy()[at]
+            t_context = _spliced(m.t_context, b.hot_context, b.base + rare["t"].to_numpy()[at])
+            t_word = np.where(b.hot_word >= 0, m.t_word[b.hot_word], b.t_word())
             rng = np.random.default_rng([bucket, sub, sweep])
-            for pairs, _ in b.parts():
+            for pairs in map(slice, b.cuts[:-1], b.cuts[1:]):
                 other = np.maximum(b.tables[pairs] - 1, 0)
-                fresh = s.strength + m.discount * (sums[1][b.context[pairs]] - other)
-                b.tables[pairs] = seat(b.count[pairs], fresh * _parent(sums[3][b.word[pairs]] - other, m, s), m.discount, rng)
-        return _seats(bucket, rows)
+                fresh = s.strength + m.discount * (t_context[b.context[pairs]] - other)
+                b.tables[pairs] = seat(b.count[pairs], fresh * _parent(t_word[b.word[pairs]] - other, m, s), m.discount, rng)
+        sums, blobs = _drawn(rows)
+        return _seats(bucket, {DRAWN: sums}, blobs)
 
     return run
 
@@ -432,16 +501,26 @@ def _sweep(sent, sweep: int, s: Settings):
 def _predicted(sent, s: Settings):
     """The bucket's pairs with score, and base score and whether it is known for each word."""
     def run(group: pa.Table, rare: pa.Table) -> pa.Table:
-        m, out = sent.value, []
-        for blob in group["part"].to_pylist():
-            b = _Pairs.unpacked(blob)
-            sums = _known_sums(b, m, rare)
-            _predict(b, m, sums, s)
+        models, blobs, out = sent.value, {}, []
+        for sub, seating, blob in zip(*(group[n].to_pylist() for n in ("sub", "seating", "part"))):
+            blobs.setdefault(sub, {})[seating] = blob
+        for own in blobs.values():
+            b = _Pairs.unpacked(own[-1])
+            at, drawn = _found(rare, b.contexts[b.hot_context < 0]), np.flatnonzero(b.count > 1)
+            c, t = (rare[n].to_numpy()[at] for n in ("c", "base"))
+            c_context = _spliced(models[0].c_context, b.hot_context, c)
+            c_word = np.where(b.hot_word >= 0, models[0].c_word[b.hot_word], np.bincount(b.word, b.count, len(b.words)))
+            for i, m in enumerate(models):
+                b.tables[drawn] = _Seated.unpacked(own[i]).tables
+                t_context = _spliced(m.t_context, b.hot_context, t + rare[f"t{i}"].to_numpy()[at])
+                t_word = np.where(b.hot_word >= 0, m.t_word[b.hot_word], np.bincount(b.word, b.tables, len(b.words)))
+                _predict(b, m, (c_context, t_context, c_word, t_word), s)
             b.p = np.log10(b.p / s.samples)
-            b.base = np.log10((sums[2] + 0.5) / (m.tokens + 0.5 * (m.words + 1)))
-            b.known = sums[2] > 0
+            b.base = np.log10((c_word + 0.5) / (models[0].tokens + 0.5 * (models[0].words + 1)))
+            b.known = c_word > 0
             out.append(b.packed())
-        return pa.table({"bucket": group["bucket"].cast(pa.int32()), "sub": group["sub"].cast(pa.int32()), "part": pa.array(out, pa.binary())})
+        return pa.table({"bucket": pa.array([group["bucket"][0].as_py()] * len(out), pa.int32()),
+                         "sub": pa.array(list(blobs), pa.int32()), "part": pa.array(out, pa.binary())})
 
     return run
 
@@ -490,28 +569,52 @@ def predicted(docs: DataFrame, s: Settings = Settings()):
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, ceil(letters / 6 / s.bucket_events))  # a word has about six bytes, its blank included
 
-    def rare_of(seats):
-        both = Window.partitionBy("key")
-        return (seats.where(F.col("kind") == RARE)
-                .select("bucket", "key", F.sum("c").over(both).alias("c"), F.sum("t").over(both).alias("t")).groupBy("bucket"))
-
-    def pairs_of(seats):
-        return seats.where(F.col("kind") == PAIRS).select("bucket", "sub", "part").groupBy("bucket")
+    both = Window.partitionBy("key")
 
-    path = work_dir(spark, "seats")
+    def rare_of(seats):
+        """Tables of rarer contexts with pairs that are drawn: of these, and in the first table those of other pairs."""
+        t = {kind: F.sum(F.when(F.col("kind") == kind, F.col("t"))).over(both) for kind in (RARE, SHARED)}
+        return (seats.where(F.col("kind").isin(RARE, SHARED)).select("kind", "bucket", "key", t[RARE].alias("base"), t[SHARED].alias("t"))
+                .where(F.col("kind") == SHARED).drop("kind").groupBy("bucket"))
+
+    def all_rare(first, kept):
+        """Customers and tables of all rarer contexts, the latter for each seating."""
+        rows = first.where(F.col("kind") == RARE).withColumn("of", F.lit(-1))
+        for i, seats in enumerate(kept):
+            rows = rows.unionByName(seats.where(F.col("kind") == SHARED).withColumn("of", F.lit(i)))
+        total = {n: F.coalesce(F.sum(F.when(F.col("of") == i, F.col(c))).over(both), F.lit(0.0)).alias(n)
+                 for n, i, c in (("c", -1, "c"), ("base", -1, "t"), *((f"t{i}", i, "t") for i in range(len(kept))))}
+        return rows.select("of", "bucket", "key", *total.values()).where("of = -1").drop("of").groupBy("bucket")
+
+    def blobs_of(seats, kind, seating):
+        return seats.where(F.col("kind") == kind).select("bucket", "sub", F.lit(seating).alias("seating"), "part")
+
+    start = path = work_dir(spark, "seats")
+    paths, kept, models = [start], [], []
     with passing_shuffles(spark):
-        seats = written_at(docs.mapInArrow(_packed(sent, buckets, False), _PACKED)
-                           .groupBy("bucket").applyInArrow(_first(sent), _SEATS), path)
+        first = seats = written_at(docs.mapInArrow(_packed(sent, buckets, False), _PACKED)
+                                   .groupBy("bucket").applyInArrow(_first(sent), _SEATS), path)
+        sums, fixed = _collected(first, frequent)
         for sweep in range(s.burn + s.samples):
-            model = spark.sparkContext.broadcast(_collected(seats, frequent))
+            model = spark.sparkContext.broadcast(sums)
             old, path = path, work_dir(spark, "seats")
-            seats = written_at(pairs_of(seats).cogroup(rare_of(seats)).applyInArrow(_sweep(model, sweep, s), _SEATS), path)
-            remove(spark, old)
+            seats = written_at(blobs_of(seats, SEATED, 0).groupBy("bucket").cogroup(rare_of(seats))
+                               .applyInArrow(_sweep(model, sweep, s), _SEATS), path)
             model.unpersist()
-        sums = _collected(seats, frequent)
-        pairs = written(pairs_of(seats).cogroup(rare_of(seats)).applyInArrow(
-            _predicted(spark.sparkContext.broadcast(sums), s), "bucket int, sub int, part binary"), "predicted")
-    remove(spark, path)
+            if old not in paths:
+                remove(spark, old)
+            sums, _ = _collected(seats, frequent, fixed)
+            if sweep >= s.burn:
+                paths.append(path)
+                kept.append(seats)
+                models.append(sums)
+        blobs = blobs_of(first, PAIRS, -1)
+        for i, seats in enumerate(kept):
+            blobs = blobs.unionByName(blobs_of(seats, SEATED, i))
+        pairs = written(blobs.groupBy("bucket").cogroup(all_rare(first, kept)).applyInArrow(
+            _predicted(spark.sparkContext.broadcast(models), s), "bucket int, sub int, part binary"), "predicted")
+    for path in paths:
+        remove(spark, path)
     return pairs, sent, buckets, int(sums.tokens)
 
 

@@ -198,6 +198,16 @@ def test_probabilities_of_each_context_sum_to_one(spark):
     assert all(abs(total[c] - 1) < 1e-5 for c in whole)
 
 
+def test_sweeps_move_repeated_pairs_only():
+    """A pair seen once has one table whatever is drawn; it counts, but doesn't travel."""
+    part = [np.array([1, 2, 3], np.uint64), np.array([2, 2, 1]), np.array([5, 6, 7], np.uint64), np.array([0, 1, 1, 2, 0]),
+            np.array([1, 3, 0, 2, 1])]
+    b = pitman_yor._Pairs([part], np.array([6], np.uint64))
+    drawn = pitman_yor._Seated.unpacked(pitman_yor._Seated(b).packed())
+    assert drawn.count.tolist() == [3, 2] and drawn.tables.tolist() == [1, 1] and drawn.cuts.tolist() == [0, 2]
+    assert drawn.t_word().tolist() == [2, 1] and drawn.rare.tolist() == [7]
+
+
 def test_every_context_has_its_own_restaurant(spark):
     """More contexts than are broadcast, each with one successor that nothing else has."""
     train = [(i, True, " ".join(f"a{i + k} b{i + k}" for k in range(0, 1200, 60))) for i in range(60) for _ in range(9)]
