@@ -216,6 +216,20 @@ def _by_sub(group: pa.Table) -> dict[int, list]:
     return out
 
 
+def _state(fields: dict) -> bytes:
+    """Fields of pairs in order of word and context: words as runs, contexts by the place of their bytes, which are alike."""
+    planes = fields["context"].astype("<i4").view(np.uint8).reshape(-1, 4).T
+    own = {"word": _narrow(np.bincount(fields["word"])), "context": planes.tobytes()}
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(fields | own))
+
+
+def _stated(blob: bytes) -> dict:
+    fields = _unpacked(blob)
+    planes = np.frombuffer(fields["context"], np.uint8).reshape(4, -1).T
+    return fields | {"word": np.repeat(np.arange(len(fields["word"]), dtype=np.int32), fields["word"]),
+                     "context": np.ascontiguousarray(planes).view("<i4").ravel()}
+
+
 class _Pairs:
     """Distinct pairs of a row, in order of word and context, with counts, tables and summed predictions."""
 
@@ -235,13 +249,12 @@ class _Pairs:
         return (np.repeat(word, part[1]) << 32) | context[part[3]]
 
     def packed(self) -> bytes:
-        state = self.__dict__ | {"count": _narrow(self.count), "tables": _narrow(self.tables)}
-        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(state))
+        return _state(self.__dict__ | {"count": _narrow(self.count), "tables": _narrow(self.tables)})
 
     @classmethod
     def unpacked(cls, blob: bytes) -> "_Pairs":
         b = cls.__new__(cls)
-        b.__dict__.update(_unpacked(blob))
+        b.__dict__.update(_stated(blob))
         b.count, b.tables = b.count.astype(np.int64), b.tables.astype(np.int64)
         return b
 
@@ -309,13 +322,16 @@ FIXED, DRAWN = 0, 1
 
 
 class _Seated:
-    """Pairs of a row that are seen at least twice, with their tables; ``base`` has the tables of other pairs, by rarer context."""
+    """Pairs of a row that are seen at least twice, with their tables.
+
+    ``base`` has the tables of other pairs by rarer context, ``kept`` those of these pairs in each seating that counts.
+    """
 
     def __init__(self, b: _Pairs):
         at = np.flatnonzero(b.count > 1)
         words, word = np.unique(b.word[at], return_inverse=True)
         contexts, context = np.unique(b.context[at], return_inverse=True)
-        self.count, self.tables, self.base = b.count[at], b.tables[at], None
+        self.count, self.tables, self.base, self.kept = b.count[at], b.tables[at], None, []
         self.word, self.context = word.astype(np.int32), context.astype(np.int32)
         self.hot_word, self.hot_context = b.hot_word[words], b.hot_context[contexts]
         self.rare = b.contexts[contexts[self.hot_context < 0]]
@@ -324,12 +340,12 @@ class _Seated:
 
     def packed(self) -> bytes:
         narrow = {k: _narrow(getattr(self, k)) for k in ("count", "tables", "once")}
-        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(self.__dict__ | narrow))
+        return _state(self.__dict__ | narrow)
 
     @classmethod
     def unpacked(cls, blob: bytes) -> "_Seated":
         b = cls.__new__(cls)
-        b.__dict__.update(_unpacked(blob))
+        b.__dict__.update(_stated(blob))
         b.count, b.tables, b.once = (x.astype(np.int64) for x in (b.count, b.tables, b.once))
         return b
 
@@ -492,6 +508,8 @@ def _sweep(sent, sweep: int, s: Settings):
                 other = np.maximum(b.tables[pairs] - 1, 0)
                 fresh = s.strength + m.discount * (t_context[b.context[pairs]] - other)
                 b.tables[pairs] = seat(b.count[pairs], fresh * _parent(t_word[b.word[pairs]] - other, m, s), m.discount, rng)
+            if sweep >= s.burn:
+                b.kept.append(_narrow(b.tables))
         sums, blobs = _drawn(rows)
         return _seats(bucket, {DRAWN: sums}, blobs)
 
@@ -502,16 +520,16 @@ def _predicted(sent, s: Settings):
     """The bucket's pairs with score, and base score and whether it is known for each word."""
     def run(group: pa.Table, rare: pa.Table) -> pa.Table:
         models, blobs, out = sent.value, {}, []
-        for sub, seating, blob in zip(*(group[n].to_pylist() for n in ("sub", "seating", "part"))):
-            blobs.setdefault(sub, {})[seating] = blob
+        for sub, kind, blob in zip(*(group[n].to_pylist() for n in ("sub", "kind", "part"))):
+            blobs.setdefault(sub, {})[kind] = blob
         for own in blobs.values():
-            b = _Pairs.unpacked(own[-1])
+            b, kept = _Pairs.unpacked(own[PAIRS]), _Seated.unpacked(own[SEATED]).kept
             at, drawn = _found(rare, b.contexts[b.hot_context < 0]), np.flatnonzero(b.count > 1)
             c, t = (rare[n].to_numpy()[at] for n in ("c", "base"))
             c_context = _spliced(models[0].c_context, b.hot_context, c)
             c_word = np.where(b.hot_word >= 0, models[0].c_word[b.hot_word], np.bincount(b.word, b.count, len(b.words)))
             for i, m in enumerate(models):
-                b.tables[drawn] = _Seated.unpacked(own[i]).tables
+                b.tables[drawn] = kept[i]
                 t_context = _spliced(m.t_context, b.hot_context, t + rare[f"t{i}"].to_numpy()[at])
                 t_word = np.where(b.hot_word >= 0, m.t_word[b.hot_word], np.bincount(b.word, b.tables, len(b.words)))
                 _predict(b, m, (c_context, t_context, c_word, t_word), s)
@@ -584,10 +602,10 @@ def predicted(docs: DataFrame, s: Settings = Settings()):
             rows = rows.unionByName(seats.where(F.col("kind") == SHARED).withColumn("of", F.lit(i)))
         total = {n: F.coalesce(F.sum(F.when(F.col("of") == i, F.col(c))).over(both), F.lit(0.0)).alias(n)
                  for n, i, c in (("c", -1, "c"), ("base", -1, "t"), *((f"t{i}", i, "t") for i in range(len(kept))))}
-        return rows.select("of", "bucket", "key", *total.values()).where("of = -1").drop("of").groupBy("bucket")
+        return rows.select("of", "bucket", "key", *total.values()).where("of = -1").drop("of")
 
-    def blobs_of(seats, kind, seating):
-        return seats.where(F.col("kind") == kind).select("bucket", "sub", F.lit(seating).alias("seating"), "part")
+    def blobs_of(seats, kind):
+        return seats.where(F.col("kind") == kind).select("kind", "bucket", "sub", "part")
 
     start = path = work_dir(spark, "seats")
     paths, kept, models = [start], [], []
@@ -598,7 +616,7 @@ def predicted(docs: DataFrame, s: Settings = Settings()):
         for sweep in range(s.burn + s.samples):
             model = spark.sparkContext.broadcast(sums)
             old, path = path, work_dir(spark, "seats")
-            seats = written_at(blobs_of(seats, SEATED, 0).groupBy("bucket").cogroup(rare_of(seats))
+            seats = written_at(blobs_of(seats, SEATED).groupBy("bucket").cogroup(rare_of(seats))
                                .applyInArrow(_sweep(model, sweep, s), _SEATS), path)
             model.unpersist()
             if old not in paths:
@@ -608,12 +626,14 @@ def predicted(docs: DataFrame, s: Settings = Settings()):
                 paths.append(path)
                 kept.append(seats)
                 models.append(sums)
-        blobs = blobs_of(first, PAIRS, -1)
-        for i, seats in enumerate(kept):
-            blobs = blobs.unionByName(blobs_of(seats, SEATED, i))
-        pairs = written(blobs.groupBy("bucket").cogroup(all_rare(first, kept)).applyInArrow(
+        rare = work_dir(spark, "rare")
+        sums_of_rare = written_at(all_rare(first, kept), rare)
+        for old in paths[1:-1]:
+            remove(spark, old)
+        blobs = blobs_of(first, PAIRS).unionByName(blobs_of(seats, SEATED)).groupBy("bucket")
+        pairs = written(blobs.cogroup(sums_of_rare.groupBy("bucket")).applyInArrow(
             _predicted(spark.sparkContext.broadcast(models), s), "bucket int, sub int, part binary"), "predicted")
-    for path in paths:
+    for path in (start, path, rare):
         remove(spark, path)
     return pairs, sent, buckets, int(sums.tokens)
 
