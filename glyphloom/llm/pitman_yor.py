@@ -104,7 +104,7 @@ def _blocks(batches):
             out[np.arange(len(words.hashes)) + words.owner()] = words.hashes
             hashes.append(out)
             counts.append(np.diff(bounds))
-            owners.append(np.repeat(np.arange(words.rows[0], words.rows[1]), np.diff(bounds) + 1))
+            owners.append(np.repeat(np.arange(words.rows[0], words.rows[1], dtype=np.int32), np.diff(bounds) + 1))
         yield (part.column(0), part.column(1).to_numpy().astype(bool), np.concatenate(counts),
                np.concatenate(hashes), np.concatenate(owners))
 
@@ -149,17 +149,23 @@ def _packed(sent, buckets: int, with_docs: bool):
             bits = max(len(word) - 1, 1).bit_length()
             hot = frequent[np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)] == word
             context = np.append(start, key[:-1])
-            key = (key << bits) | context
+            key <<= bits
+            key |= context
             del hashes, context  # a block's arrays are large beside what comes of them
             extra = max(len(train) - 1, 1).bit_length() if with_docs else 1
-            key = (key << extra) | (owner if with_docs else train[owner])
+            key <<= extra
+            key |= owner if with_docs else train[owner]
             del owner
-            key, times = np.unique(key, return_counts=True)
-            last = key & ((1 << extra) - 1)
+            key.sort()
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            times = np.diff(np.append(first, len(key))).astype(np.int32)
+            key = key[first]
+            last = (key & ((1 << extra) - 1)).astype(np.int32)
             key >>= extra
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             pair = key[first]
-            own, context = pair >> bits, pair & ((1 << bits) - 1)
+            own, context = (pair >> bits).astype(np.int32), (pair & ((1 << bits) - 1)).astype(np.int32)
+            del key
             w = word[own]
             dealt = np.where(hot[own], mix(w ^ (word[context] * END)), w)
             row = ((dealt >> np.uint64(40)) % np.uint64(buckets) * np.uint64(SUBS)).astype(np.int32)
@@ -168,14 +174,16 @@ def _packed(sent, buckets: int, with_docs: bool):
             if with_docs:
                 most = 1 << _TIMES_BITS
                 pieces = (times + most - 1) // most
-                left = np.full(int(pieces.sum()), most)
+                left = np.full(int(pieces.sum()), most, np.int32)
                 left[np.cumsum(pieces) - 1] = times - (pieces - 1) * most
                 event = ((np.repeat(last, pieces) << _TIMES_BITS) | (left - 1)).astype(np.uint16)
                 size = np.add.reduceat(pieces, first)
                 of_event = np.argsort(np.repeat(row, size), kind="stable")
+                del left, pieces
                 event, bounds = event[of_event], np.append(0, np.cumsum(np.bincount(row, size, numbers))).astype(np.int64)
             else:
                 size = np.add.reduceat(times * last, first)
+            del times, last, first
             order = np.argsort(row, kind="stable")
             cuts = np.searchsorted(row[order], np.arange(numbers + 1))
             block, out = (task << 32) | number, []
