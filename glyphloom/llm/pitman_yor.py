@@ -73,15 +73,15 @@ class Settings:
 
 # --- events -------------------------------------------------------------------
 
-def _gathered(batches):
-    """Tables of at most BLOCK_DOCS rows and, but for a longer text, BLOCK_BYTES of text."""
+def _gathered(batches, most: int):
+    """Tables of at most BLOCK_DOCS rows and, but for a longer text, ``most`` bytes of text."""
     held, docs, size = [], 0, 0
     for batch in batches:
         texts = batch.column(2).cast(pa.large_string()).fill_null("")
         ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
         at = 0
         while at < batch.num_rows:
-            room = int(np.searchsorted(ends, ends[at] + BLOCK_BYTES - size, "right")) - 1 - at
+            room = int(np.searchsorted(ends, ends[at] + most - size, "right")) - 1 - at
             n = min(room, BLOCK_DOCS - docs, batch.num_rows - at)
             if n <= 0 and held:
                 yield pa.Table.from_batches(held)
@@ -94,9 +94,9 @@ def _gathered(batches):
         yield pa.Table.from_batches(held)
 
 
-def _blocks(batches):
+def _blocks(batches, most: int = BLOCK_BYTES):
     """(ids, training flags, words per document, hashes with an end after each document, document of each)."""
-    for part in _gathered(batches):
+    for part in _gathered(batches, most):
         hashes, owners, counts = [], [], []
         for words in word_slices(part.column(2), lower=True):
             bounds, n = words.bounds, len(words.bounds) - 1
@@ -143,7 +143,8 @@ def _packed(sent, buckets: int, with_docs: bool):
         task, number = TaskContext.get().partitionId(), 0
         pack = zstandard.ZstdCompressor(level=1)
         numbers = buckets * SUBS
-        for ids, train, counts, hashes, owner in _blocks(batches):
+        # events come on top of pairs, so blocks that have them are smaller
+        for ids, train, counts, hashes, owner in _blocks(batches, BLOCK_BYTES // 2 if with_docs else BLOCK_BYTES):
             word, key = np.unique(hashes, return_inverse=True)
             start = np.searchsorted(word, END)  # a document begins after an end
             bits = max(len(word) - 1, 1).bit_length()
