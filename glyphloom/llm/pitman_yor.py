@@ -17,16 +17,17 @@ each with the sums of its own seating, so that those of a context sum to 1.
 
 1. Words that are frequent somewhere are found from counts of blocks of documents.
    They only say how pairs are dealt and which sums are broadcast, not the results.
-2. A pass turns texts into pairs (word, context), counts them by block and deals
-   them to buckets: by word, or by word and context for frequent words, so that no
-   word makes a bucket of its own. A bucket becomes four rows of a written table.
+2. A pass turns texts into pairs (word, context) with the documents of each, by block,
+   and deals them to buckets: by word, or by word and context for frequent words, so that
+   no word makes a bucket of its own. A bucket becomes four rows of pairs and four of their
+   documents in a written table; frequent words travel as places among themselves.
 3. A pair seen once always has one table; so a sweep reads and writes pairs seen at
    least twice, with the tables of their words and contexts. Sums of at most
    ``contexts`` frequent words are broadcast. A rarer word lies in one row; sums of
    rarer contexts meet by context and return to the buckets that have them. Seatings
    after ``burn`` are kept, and all pairs meet them and their sums once, in the end.
-4. A last pass over the texts sends each document's pairs to the buckets, which look
-   up their probabilities; a document's sums from all buckets meet by block.
+4. In the end each bucket adds up the probabilities of its documents' pairs, some of the
+   buckets at a time, and documents add up what buckets say. Texts are not read again.
 
 The number of buckets follows the number of tokens, so a bucket stays bounded.
 Results are log10 probabilities.
@@ -38,13 +39,14 @@ uniform over one symbol; repeated rows count as often as they occur.
 
 import pickle
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.llm.frames import passing_shuffles, small_batches
@@ -58,6 +60,8 @@ BLOCK_BYTES = 10 << 20
 SUBS = 4
 SMALL = 64
 PART_PAIRS = 200_000
+#: Documents are scored by so many shares of the buckets, one after the other: a share is all that is shuffled at once.
+SHARES = 4
 
 
 @dataclass(frozen=True)
@@ -94,19 +98,22 @@ def _gathered(batches, most: int):
         yield pa.Table.from_batches(held)
 
 
+def _tokens(part: pa.Table):
+    hashes, owners, counts = [], [], []
+    for words in word_slices(part.column(2), lower=True):
+        bounds, n = words.bounds, len(words.bounds) - 1
+        out = np.full(len(words.hashes) + n, END)
+        out[np.arange(len(words.hashes)) + words.owner()] = words.hashes
+        hashes.append(out)
+        counts.append(np.diff(bounds))
+        owners.append(np.repeat(np.arange(words.rows[0], words.rows[1], dtype=np.int32), np.diff(bounds) + 1))
+    return (part.column(0), part.column(1).to_numpy().astype(bool), np.concatenate(counts),
+            np.concatenate(hashes), np.concatenate(owners))
+
+
 def _blocks(batches, most: int = BLOCK_BYTES):
     """(ids, training flags, words per document, hashes with an end after each document, document of each)."""
-    for part in _gathered(batches, most):
-        hashes, owners, counts = [], [], []
-        for words in word_slices(part.column(2), lower=True):
-            bounds, n = words.bounds, len(words.bounds) - 1
-            out = np.full(len(words.hashes) + n, END)
-            out[np.arange(len(words.hashes)) + words.owner()] = words.hashes
-            hashes.append(out)
-            counts.append(np.diff(bounds))
-            owners.append(np.repeat(np.arange(words.rows[0], words.rows[1], dtype=np.int32), np.diff(bounds) + 1))
-        yield (part.column(0), part.column(1).to_numpy().astype(bool), np.concatenate(counts),
-               np.concatenate(hashes), np.concatenate(owners))
+    return map(_tokens, _gathered(batches, most))  # no frame keeps a block's arrays while another works on them
 
 
 def _frequent(docs: DataFrame, most: int) -> np.ndarray:
@@ -131,76 +138,109 @@ def _frequent(docs: DataFrame, most: int) -> np.ndarray:
     return np.union1d(words, np.array([END]))
 
 
-def _packed(sent, buckets: int, with_docs: bool):
-    """Pairs of each block and row of a bucket, compressed, with counts or with their documents.
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct hashes and the number of each: as numpy's unique, in half its memory."""
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    new = np.append(True, hashes[1:] != hashes[:-1])[:len(hashes)]
+    distinct, number = hashes[new], np.empty(len(order), np.int32)
+    del hashes
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return distinct, number
+
+
+def _coded(hashes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes as steps from place to place of frequent ones, and the others as they are."""
+    return _narrow(np.diff(place[place >= 0], prepend=0)), hashes[place < 0]
+
+
+def _hashes(coded: tuple[np.ndarray, np.ndarray], frequent: np.ndarray) -> np.ndarray:
+    steps, others = coded
+    return np.sort(np.concatenate((frequent[np.cumsum(steps, dtype=np.int64)], others)), kind="stable")
+
 
-    A part is (words, pairs of each, contexts, context of each pair), then the
-    training count of each pair, or (events of each pair, document and times of
-    each event, number of documents, ids and lengths in one part a block).
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit integers by the place of their bytes, which are alike."""
+    return values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _packed(sent, buckets: int):
+    """Pairs of each block and row of a bucket with their documents, compressed.
+
+    A part is (words, pairs of each, contexts, context of each pair, events of each pair,
+    document and times of each event, number of documents, of which the first ones train,
+    how many these are; ids and lengths in one part a block). Words and contexts are coded.
     """
     def run(batches):
         frequent = sent.value
         task, number = TaskContext.get().partitionId(), 0
         pack = zstandard.ZstdCompressor(level=1)
         numbers = buckets * SUBS
-        # events come on top of pairs, so blocks that have them are smaller
-        for ids, train, counts, hashes, owner in _blocks(batches, BLOCK_BYTES // 2 if with_docs else BLOCK_BYTES):
-            word, key = np.unique(hashes, return_inverse=True)
+        for ids, train, counts, hashes, owner in _blocks(batches):
+            docs, trained = len(train), int(train.sum())
+            first_train = np.argsort(~train, kind="stable")
+            ids, counts = ids.take(pa.array(first_train)), counts[first_train]
+            rank = np.empty(docs, np.int64)
+            rank[first_train] = np.arange(docs)
+            word, token = _numbered(hashes)
+            del hashes  # a block's arrays are large beside what comes of them
             start = np.searchsorted(word, END)  # a document begins after an end
-            bits = max(len(word) - 1, 1).bit_length()
-            hot = frequent[np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)] == word
-            context = np.append(start, key[:-1])
+            bits, extra = max(len(word) - 1, 1).bit_length(), max(docs - 1, 1).bit_length()
+            place = _places(word, frequent)
+            key = token.astype(np.int64)
             key <<= bits
-            key |= context
-            del hashes, context  # a block's arrays are large beside what comes of them
-            extra = max(len(train) - 1, 1).bit_length() if with_docs else 1
+            key[0] |= start
+            key[1:] |= token[:-1]
+            del token
             key <<= extra
-            key |= owner if with_docs else train[owner]
+            key |= rank[owner]
             del owner
             key.sort()
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             times = np.diff(np.append(first, len(key))).astype(np.int32)
             key = key[first]
-            last = (key & ((1 << extra) - 1)).astype(np.int32)
+            doc = (key & ((1 << extra) - 1)).astype(np.int32)
             key >>= extra
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            pair = key[first]
-            own, context = (pair >> bits).astype(np.int32), (pair & ((1 << bits) - 1)).astype(np.int32)
+            key = key[first]
+            own, context = (key >> bits).astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32)
             del key
             w = word[own]
-            dealt = np.where(hot[own], mix(w ^ (word[context] * END)), w)
+            dealt = np.where(place[own] >= 0, mix(w ^ (word[context] * END)), w)
             row = ((dealt >> np.uint64(40)) % np.uint64(buckets) * np.uint64(SUBS)).astype(np.int32)
             row += ((dealt >> np.uint64(20)) & np.uint64(SUBS - 1)).astype(np.int32)
-            del w, dealt, pair
-            if with_docs:
-                most = 1 << _TIMES_BITS
-                pieces = (times + most - 1) // most
-                left = np.full(int(pieces.sum()), most, np.int32)
-                left[np.cumsum(pieces) - 1] = times - (pieces - 1) * most
-                event = ((np.repeat(last, pieces) << _TIMES_BITS) | (left - 1)).astype(np.uint16)
-                size = np.add.reduceat(pieces, first)
-                of_event = np.argsort(np.repeat(row, size), kind="stable")
-                del left, pieces
-                event, bounds = event[of_event], np.append(0, np.cumsum(np.bincount(row, size, numbers))).astype(np.int64)
-            else:
-                size = np.add.reduceat(times * last, first)
-            del times, last, first
+            del w, dealt
+            most = 1 << _TIMES_BITS
+            pieces = (times + most - 1) // most
+            left = np.full(int(pieces.sum()), most, np.int32)
+            left[np.cumsum(pieces) - 1] = times - (pieces - 1) * most
+            event = ((np.repeat(doc, pieces) << _TIMES_BITS) | (left - 1)).astype(np.uint16)
+            del left, times, doc
+            size = np.add.reduceat(pieces, first)
+            del pieces, first
+            event = event[np.argsort(np.repeat(row, size), kind="stable")]
+            bounds = np.append(0, np.cumsum(np.bincount(row, size, numbers))).astype(np.int64)
             order = np.argsort(row, kind="stable")
             cuts = np.searchsorted(row[order], np.arange(numbers + 1))
             block, out = (task << 32) | number, []
+            home = int(mix(np.array([block], np.uint64))[0] % np.uint64(numbers))
             number += 1
-            sent_rows = [b for b in range(numbers) if cuts[b] < cuts[b + 1] or (with_docs and b == 0)]
+            sent_rows = [b for b in range(numbers) if cuts[b] < cuts[b + 1] or b == home]
             for b in sent_rows:
                 at = order[cuts[b]:cuts[b + 1]]
                 mine = own[at]
                 begin = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])) if len(mine) else np.zeros(0, np.int64)
                 runs = np.diff(np.append(begin, len(mine))).astype(np.uint32)
                 contexts, which = np.unique(context[at], return_inverse=True)
+                words = mine[begin]
                 which = which.astype(np.uint16 if len(contexts) <= 1 << 16 else np.uint32)
-                part = [word[mine[begin]], runs, word[contexts], which, size[at].astype(np.uint32)]
-                if with_docs:
-                    head = (ids.to_pylist(), counts.astype(np.int32)) if b == 0 else None
-                    part += [event[bounds[b]:bounds[b + 1]], len(train), head]
+                head = (ids.to_pylist(), counts.astype(np.int32)) if b == home else None
+                part = [_coded(word[words], place[words]), _narrow(runs), _coded(word[contexts], place[contexts]), which,
+                        _narrow(size[at]), event[bounds[b]:bounds[b + 1]], docs, trained, head]
                 out.append(pack.compress(pickle.dumps(part)))
             sent_rows = np.array(sent_rows, np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -227,16 +267,49 @@ def _by_sub(group: pa.Table) -> dict[int, list]:
 
 def _state(fields: dict) -> bytes:
     """Fields of pairs in order of word and context: words as runs, contexts by the place of their bytes, which are alike."""
-    planes = fields["context"].astype("<i4").view(np.uint8).reshape(-1, 4).T
-    own = {"word": _narrow(np.bincount(fields["word"])), "context": planes.tobytes()}
+    own = {"word": _narrow(np.bincount(fields["word"])), "context": _planes(fields["context"])}
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(fields | own))
 
 
 def _stated(blob: bytes) -> dict:
     fields = _unpacked(blob)
-    planes = np.frombuffer(fields["context"], np.uint8).reshape(4, -1).T
     return fields | {"word": np.repeat(np.arange(len(fields["word"]), dtype=np.int32), fields["word"]),
-                     "context": np.ascontiguousarray(planes).view("<i4").ravel()}
+                     "context": _from_planes(fields["context"])}
+
+
+def _counts(part: list) -> np.ndarray:
+    """Times that each pair of a part occurs in training documents."""
+    size, event, _, trained = part[4:8]
+    times = np.where(event >> _TIMES_BITS < trained, (event & ((1 << _TIMES_BITS) - 1)) + 1, 0)
+    return np.bincount(np.repeat(np.arange(len(size)), size), times, len(size))
+
+
+class _Events:
+    """Documents of the pairs of a row, block by block: (block, place of each pair in the row, events of each, events,
+    documents); ``heads`` has ids and lengths of blocks whose home is this row."""
+
+    def __init__(self, blocks: list[int], parts: list, places: list[np.ndarray]):
+        self.blocks, self.docs = np.array(blocks), np.array([p[6] for p in parts], np.int32)
+        self.pairs, self.length = (np.array([len(p[i]) for p in parts], np.int32) for i in (4, 5))
+        self.steps = np.concatenate([np.diff(x, prepend=0) for x in places])
+        self.size, self.event = (np.concatenate([p[i] for p in parts]) for i in (4, 5))
+        self.heads = {block: p[8] for block, p in zip(blocks, parts) if p[8]}
+
+    def packed(self) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(self.__dict__ | {"steps": _planes(self.steps)}))
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> "_Events":
+        e = cls.__new__(cls)
+        e.__dict__.update(_unpacked(blob))
+        e.steps = _from_planes(e.steps)
+        return e
+
+    def __iter__(self):
+        pairs, events = (np.append(0, np.cumsum(x, dtype=np.int64)) for x in (self.pairs, self.length))
+        for i, (block, docs) in enumerate(zip(self.blocks.tolist(), self.docs.tolist())):
+            mine, own = slice(pairs[i], pairs[i + 1]), slice(events[i], events[i + 1])
+            yield block, np.cumsum(self.steps[mine], dtype=np.int64), self.size[mine], self.event[own], docs
 
 
 class _Pairs:
@@ -267,6 +340,21 @@ class _Pairs:
         b.count, b.tables = b.count.astype(np.int64), b.tables.astype(np.int64)
         return b
 
+    def unseated(self) -> bytes:
+        """Pairs as they are before anything is drawn: what frequent words, counts and places say for themselves is left out."""
+        return _state({"word": self.word, "context": self.context, "count": _narrow(self.count),
+                       "words": _coded(self.words, self.hot_word), "contexts": _coded(self.contexts, self.hot_context)})
+
+    @classmethod
+    def seatable(cls, blob: bytes, frequent: np.ndarray) -> "_Pairs":
+        b = cls.__new__(cls)
+        b.__dict__.update(_stated(blob))
+        b.words, b.contexts = _hashes(b.words, frequent), _hashes(b.contexts, frequent)
+        b.hot_word, b.hot_context = _places(b.words, frequent), _places(b.contexts, frequent)
+        b.count = b.count.astype(np.int64)
+        b.tables, b.p = np.minimum(b.count, 1), np.zeros(len(b.count))
+        return b
+
     def parts(self):
         """Stretches of pairs of whole words: (pairs, words) as slices."""
         ends = np.searchsorted(self.word, np.arange(len(self.words)), "right")
@@ -326,7 +414,7 @@ def seat(count: np.ndarray, fresh: np.ndarray, d: float, rng) -> np.ndarray:
 
 _SEATS = "kind int, bucket int, sub int, key long, c double, t double, part binary"
 #: Kinds of rows of the table of seats. Sums that no sweep changes have the sub 0, others 1.
-CONTEXT, WORD, TOTALS, RARE, PAIRS, SHARED, SEATED = range(7)
+CONTEXT, WORD, TOTALS, RARE, PAIRS, SHARED, SEATED, EVENTS = range(8)
 FIXED, DRAWN = 0, 1
 
 
@@ -404,12 +492,19 @@ def _drawn(rows: dict[int, _Seated]) -> tuple[list, list]:
 
 
 def _first(sent):
-    """Pairs of a bucket from those of all blocks, one table each, and what is known of them for good: customers,
+    """Pairs of a bucket from those of all blocks, one table each, their documents, and what is known for good: customers,
     and tables of pairs seen once, by frequent context, frequent word, in all, and by rarer context."""
     def run(group: pa.Table) -> pa.Table:
         sums, rare, blobs, seated = [], [], [], {}
-        for sub, parts in _by_sub(group).items():
-            b = _Pairs([_unpacked(blob) for _, blob in parts], sent.value)
+        for sub, blocks in _by_sub(group).items():
+            parts = [_unpacked(blob) for _, blob in blocks]
+            coded = [[_hashes(p[0], sent.value), p[1], _hashes(p[2], sent.value), p[3], _counts(p)] for p in parts]
+            b = _Pairs(coded, sent.value)
+            keys = (b.word.astype(np.int64) << 32) | b.context
+            events = _Events([block for block, _ in blocks], parts, [np.searchsorted(keys, b.keys(p)) for p in coded])
+            del parts, coded, keys
+            blobs.append((EVENTS, sub, events.packed()))
+            del events
             seated[sub] = drawn = _Seated(b)
             once = b.count == 1
             c_context, t_context = (np.bincount(b.context, v, len(b.contexts)) for v in (b.count, once))
@@ -422,7 +517,7 @@ def _first(sent):
             totals = [own.sum(), once.sum(), (b.count == 2).sum(), c_context.sum(),
                       (t_word[alone] == 1).sum(), (t_word[alone] == 2).sum(), t_word[alone].sum()]
             sums.append((np.full(len(totals), TOTALS), np.arange(len(totals)), np.array(totals, float), np.zeros(len(totals))))
-            blobs.append((PAIRS, sub, b.packed()))
+            blobs.append((PAIRS, sub, b.unseated()))
         more, drawn = _drawn(seated)
         return _seats(group["bucket"][0].as_py(), {FIXED: [*sums, _by_key(RARE, rare)], DRAWN: more}, blobs + drawn)
 
@@ -525,71 +620,95 @@ def _sweep(sent, sweep: int, s: Settings):
     return run
 
 
+def _with_probabilities(group: pa.Table, rare: pa.Table, models: list[_Sums], s: Settings):
+    """(sub, pairs, documents' events) of each row of a bucket: pairs with score, words with base score and whether they are known."""
+    blobs = {}
+    for sub, kind, blob in zip(*(group[n] for n in ("sub", "kind", "part"))):
+        blobs.setdefault(sub.as_py(), {})[kind.as_py()] = blob
+    key = rare["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    for sub, own in sorted(blobs.items()):
+        b, kept = _Pairs.seatable(own[PAIRS].as_py(), models[0].frequent), _Seated.unpacked(own[SEATED].as_py()).kept
+        at, drawn = order[np.searchsorted(key, b.contexts[b.hot_context < 0])], np.flatnonzero(b.count > 1)
+        c, t = (rare[n].to_numpy()[at] for n in ("c", "base"))
+        c_context = _spliced(models[0].c_context, b.hot_context, c)
+        c_word = np.where(b.hot_word >= 0, models[0].c_word[b.hot_word], np.bincount(b.word, b.count, len(b.words)))
+        for i, m in enumerate(models):
+            b.tables[drawn] = kept[i]
+            t_context = _spliced(m.t_context, b.hot_context, t + rare[f"t{i}"].to_numpy()[at])
+            t_word = np.where(b.hot_word >= 0, m.t_word[b.hot_word], np.bincount(b.word, b.tables, len(b.words)))
+            _predict(b, m, (c_context, t_context, c_word, t_word), s)
+        b.p = np.log10(b.p / s.samples)
+        b.base = np.log10((c_word + 0.5) / (models[0].tokens + 0.5 * (models[0].words + 1)))
+        b.known = c_word > 0
+        yield sub, b, own.get(EVENTS)
+
+
 def _predicted(sent, s: Settings):
-    """The bucket's pairs with score, and base score and whether it is known for each word."""
+    """The bucket's pairs with their probabilities."""
     def run(group: pa.Table, rare: pa.Table) -> pa.Table:
-        models, blobs, out = sent.value, {}, []
-        for sub, kind, blob in zip(*(group[n].to_pylist() for n in ("sub", "kind", "part"))):
-            blobs.setdefault(sub, {})[kind] = blob
-        for own in blobs.values():
-            b, kept = _Pairs.unpacked(own[PAIRS]), _Seated.unpacked(own[SEATED]).kept
-            at, drawn = _found(rare, b.contexts[b.hot_context < 0]), np.flatnonzero(b.count > 1)
-            c, t = (rare[n].to_numpy()[at] for n in ("c", "base"))
-            c_context = _spliced(models[0].c_context, b.hot_context, c)
-            c_word = np.where(b.hot_word >= 0, models[0].c_word[b.hot_word], np.bincount(b.word, b.count, len(b.words)))
-            for i, m in enumerate(models):
-                b.tables[drawn] = kept[i]
-                t_context = _spliced(m.t_context, b.hot_context, t + rare[f"t{i}"].to_numpy()[at])
-                t_word = np.where(b.hot_word >= 0, m.t_word[b.hot_word], np.bincount(b.word, b.tables, len(b.words)))
-                _predict(b, m, (c_context, t_context, c_word, t_word), s)
-            b.p = np.log10(b.p / s.samples)
-            b.base = np.log10((c_word + 0.5) / (models[0].tokens + 0.5 * (models[0].words + 1)))
-            b.known = c_word > 0
-            out.append(b.packed())
+        out = [(sub, b.packed()) for sub, b, _ in _with_probabilities(group, rare, sent.value, s)]
         return pa.table({"bucket": pa.array([group["bucket"][0].as_py()] * len(out), pa.int32()),
-                         "sub": pa.array(list(blobs), pa.int32()), "part": pa.array(out, pa.binary())})
+                         "sub": pa.array([sub for sub, _ in out], pa.int32()), "part": pa.array([b for _, b in out], pa.binary())})
 
     return run
 
 
-def _scores(group: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Sums by document of a block in one bucket: score, base score, known tokens."""
-    model, sums, heads = dict(zip(pairs["sub"].to_pylist(), pairs["part"].to_pylist())), {}, {}
-    for sub, parts in _by_sub(group).items():
-        b = None
-        for block, blob in parts:
-            part = _unpacked(blob)
-            size, event, docs, head = part[4:]
-            if head:
-                heads[block] = head
-            before = sums.setdefault(block, [np.zeros(docs), np.zeros(docs), np.zeros(docs)])
-            if not len(event):
-                continue
-            if b is None:
-                b = _Pairs.unpacked(model[sub])
-                keys = (b.word.astype(np.int64) << 32) | b.context
-            at = np.repeat(np.searchsorted(keys, b.keys(part)), size)
-            doc, times = event >> _TIMES_BITS, (event & ((1 << _TIMES_BITS) - 1)).astype(np.int64) + 1
-            for total, values in zip(before, (b.p[at], b.base[b.word[at]], b.known[b.word[at]])):
-                total += np.bincount(doc, values * times, docs)
-    out = []
-    for block, (score, base, known) in sums.items():
-        small = np.uint16 if known.max(initial=0) < 1 << 16 else np.uint32
-        out.append(pickle.dumps((score, base, known.astype(small), heads.get(block))))
-    return pa.table({"block": pa.array(list(sums), pa.int64()), "sums": pa.array(out, pa.binary())})
+def _scores(sent, s: Settings):
+    """Sums by document of a block in one bucket: score, base score, known tokens; of its documents with pairs there."""
+    def run(group: pa.Table, rare: pa.Table) -> pa.Table:
+        sums, heads = {}, {}
+        for _, b, blob in _with_probabilities(group, rare, sent.value, s):
+            events = _Events.unpacked(blob.as_py())
+            heads.update(events.heads)
+            for block, place, size, event, docs in events:
+                before = sums.setdefault(block, [np.zeros(docs), np.zeros(docs), np.zeros(docs), np.zeros(docs, bool)])
+                at = np.repeat(place, size)
+                doc, times = event >> _TIMES_BITS, (event & ((1 << _TIMES_BITS) - 1)).astype(np.int64) + 1
+                before[3][doc] = True
+                for total, values in zip(before, (b.p[at], b.base[b.word[at]], b.known[b.word[at]])):
+                    total += np.bincount(doc, values * times, docs)
+        out = []
+        for block, (score, base, known, met) in sums.items():
+            at = np.flatnonzero(met).astype(np.uint16)
+            out.append(pickle.dumps((at, score[at], base[at], _narrow(known[at].astype(np.int64)), heads.get(block))))
+        return pa.table({"block": pa.array(list(sums), pa.int64()), "sums": pa.array(out, pa.binary())})
+
+    return run
 
 
 def _documents(group: pa.Table) -> pa.Table:
     parts = [pickle.loads(x) for x in group["sums"].to_pylist()]
-    ids, counts = next(p[3] for p in parts if p[3])
-    score, base, known = (np.sum([p[i] for p in parts], axis=0, dtype=float) for i in range(3))
+    ids, counts = next(p[4] for p in parts if p[4])
+    score, base, known = totals = np.zeros((3, len(ids)))
+    for at, *sums, _ in parts:
+        for total, values in zip(totals, sums):
+            total[at] += values
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(counts.astype(np.int64) + 1),
                      "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
 
-def predicted(docs: DataFrame, s: Settings = Settings()):
-    """Pairs (bucket, sub, part) of ``docs`` (doc_id, train, text) with their probabilities, the broadcast
-    frequent words, the number of buckets and that of training tokens."""
+@dataclass
+class _Learnt:
+    """Rows of buckets (kind, bucket, sub, part), sums of rarer contexts, the broadcast sums of each seating that
+    counts, the broadcast frequent words, the number of buckets and that of training tokens."""
+
+    rows: DataFrame
+    rare: DataFrame
+    models: object
+    frequent: object
+    buckets: int
+    tokens: int
+    paths: list[str]
+
+    def by_bucket(self, kinds: list[int], share: Column):
+        """Groups of the rows and of the sums of each bucket of a share."""
+        rows, rare = self.rows.where(F.col("kind").isin(kinds) & share), self.rare.where(share)
+        return rows.groupBy("bucket").cogroup(rare.groupBy("bucket"))
+
+
+def _learnt(docs: DataFrame, s: Settings) -> _Learnt:
     spark = docs.sparkSession
     frequent = _frequent(docs, s.contexts)
     sent = spark.sparkContext.broadcast(frequent)
@@ -613,13 +732,13 @@ def predicted(docs: DataFrame, s: Settings = Settings()):
                  for n, i, c in (("c", -1, "c"), ("base", -1, "t"), *((f"t{i}", i, "t") for i in range(len(kept))))}
         return rows.select("of", "bucket", "key", *total.values()).where("of = -1").drop("of")
 
-    def blobs_of(seats, kind):
-        return seats.where(F.col("kind") == kind).select("kind", "bucket", "sub", "part")
+    def blobs_of(seats, *kinds):
+        return seats.where(F.col("kind").isin(*kinds)).select("kind", "bucket", "sub", "part")
 
     start = path = work_dir(spark, "seats")
     paths, kept, models = [start], [], []
     with passing_shuffles(spark):
-        first = seats = written_at(docs.mapInArrow(_packed(sent, buckets, False), _PACKED)
+        first = seats = written_at(docs.mapInArrow(_packed(sent, buckets), _PACKED)
                                    .groupBy("bucket").applyInArrow(_first(sent), _SEATS), path)
         sums, fixed = _collected(first, frequent)
         for sweep in range(s.burn + s.samples):
@@ -639,21 +758,30 @@ def predicted(docs: DataFrame, s: Settings = Settings()):
         sums_of_rare = written_at(all_rare(first, kept), rare)
         for old in paths[1:-1]:
             remove(spark, old)
-        blobs = blobs_of(first, PAIRS).unionByName(blobs_of(seats, SEATED)).groupBy("bucket")
-        pairs = written(blobs.cogroup(sums_of_rare.groupBy("bucket")).applyInArrow(
-            _predicted(spark.sparkContext.broadcast(models), s), "bucket int, sub int, part binary"), "predicted")
-    for path in (start, path, rare):
-        remove(spark, path)
-    return pairs, sent, buckets, int(sums.tokens)
+    return _Learnt(blobs_of(first, PAIRS, EVENTS).unionByName(blobs_of(seats, SEATED)), sums_of_rare,
+                   spark.sparkContext.broadcast(models), sent, buckets, int(sums.tokens), [start, path, rare])
+
+
+def predicted(docs: DataFrame, s: Settings = Settings()):
+    """Pairs (bucket, sub, part) of ``docs`` (doc_id, train, text) with their probabilities, the broadcast
+    frequent words, the number of buckets and that of training tokens."""
+    m = _learnt(docs, s)
+    pairs = m.by_bucket([PAIRS, SEATED], F.lit(True)).applyInArrow(_predicted(m.models, s), "bucket int, sub int, part binary")
+    return pairs, m.frequent, m.buckets, m.tokens
 
 
 def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of ``docs`` (doc_id, train, text)."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "train", "text")
-    pairs, sent, buckets, tokens = predicted(docs, s)
-    events = docs.mapInArrow(_packed(sent, buckets, True), _PACKED)
-    scores = events.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_scores, "block long, sums binary")
-    return (scores.groupBy("block").applyInArrow(
+    spark = docs.sparkSession
+    small_batches(spark)
+    m = _learnt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "train", "text"), s)
+    scores = []
+    with passing_shuffles(spark):
+        for i in range(min(SHARES, m.buckets)):
+            share = m.by_bucket([PAIRS, EVENTS, SEATED], F.col("bucket") % SHARES == i)
+            scores.append(written(share.applyInArrow(_scores(m.models, s), "block long, sums binary"), "scores"))
+    for path in m.paths:
+        remove(spark, path)
+    return (reduce(DataFrame.unionByName, scores).groupBy("block").applyInArrow(
         _documents, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-        .withColumn("train_tokens", F.lit(tokens).cast("long")))
+        .withColumn("train_tokens", F.lit(m.tokens).cast("long")))

@@ -208,6 +208,25 @@ def test_sweeps_move_repeated_pairs_only():
     assert drawn.t_word().tolist() == [2, 1] and drawn.rare.tolist() == [7]
 
 
+def test_frequent_words_travel_as_places():
+    """Coded hashes come back whole and in order; frequent ones take two bytes at most."""
+    rng = np.random.default_rng(3)
+    frequent = np.sort(rng.integers(1, 1 << 63, 60_000).astype(np.uint64))
+    hashes = np.unique(np.concatenate((rng.choice(frequent, 5000), rng.integers(1, 1 << 63, 700).astype(np.uint64))))
+    for some in (hashes, hashes[:0], frequent[:1], frequent[-1:]):
+        steps, others = coded = pitman_yor._coded(some, pitman_yor._places(some, frequent))
+        assert steps.itemsize <= 2 and len(others) <= 700
+        assert np.array_equal(pitman_yor._hashes(coded, frequent), some)
+
+
+def test_scores_do_not_read_texts_again(spark):
+    """Documents' pairs lie in the buckets with their documents: what is left to do in the end is adding up sums."""
+    df = spark.createDataFrame([(i, i % 3 > 0, f"w{i % 7} w{i % 5} " * (i + 1)) for i in range(40)], "doc_id long, train boolean, text string")
+    out = pitman_yor.scored(df, pitman_yor.Settings(contexts=4, bucket_events=300))
+    assert "text" not in out._jdf.queryExecution().toString()
+    assert sorted((r.doc_id, r.n_tokens) for r in out.collect()) == [(i, 2 * i + 3) for i in range(40)]
+
+
 def test_every_context_has_its_own_restaurant(spark):
     """More contexts than are broadcast, each with one successor that nothing else has."""
     train = [(i, True, " ".join(f"a{i + k} b{i + k}" for k in range(0, 1200, 60))) for i in range(60) for _ in range(9)]
