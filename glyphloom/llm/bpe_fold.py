@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from glyphloom.llm.frames import appended, passing_shuffles, quoted, small_batches
+from glyphloom.llm.frames import appended, lean, passing_shuffles, quoted, small_batches
 from glyphloom.llm.pretokens import PATTERN, HashIndex, pretokens, sliced_hashes, spread
 from glyphloom.session import remove, work_dir, written_at
 
@@ -295,7 +295,7 @@ class Codec:
     def counts(self, docs: DataFrame, text: str) -> DataFrame:
         """(word, n) of words short enough to be broadcast; a block of texts counts its words before they move."""
         small_batches(docs.sparkSession)
-        partial = docs.select(quoted(text).alias("text")).mapInArrow(_counted, "word binary, n long")
+        partial = docs.select(quoted(text).alias("text")).mapInArrow(lean(_counted), "word binary, n long")
         return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
     def folds(self, words: DataFrame) -> DataFrame:

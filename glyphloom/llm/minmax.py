@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField
 
 from glyphloom.llm.components import components
-from glyphloom.llm.frames import appended, guarded
+from glyphloom.llm.frames import appended, guarded, lean, slimmed
 from glyphloom.llm.wordhash import mix, run_positions, runs, starts_of, word_slices
 from glyphloom.session import written
 
@@ -160,7 +160,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
 
     return (docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), _slot("doc_id").alias("slot"), "text")
-            .mapInArrow(run, "id long, shingles array<long>"))
+            .mapInArrow(lean(run), "id long, shingles array<long>"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -249,7 +249,7 @@ def _rest_links(shared: DataFrame, labels: DataFrame, docs: DataFrame, s: Settin
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id",
                           "component").join(sets, "id")
-    return blocks.groupBy("cluster", "i", "j").applyInArrow(_comparer(s), "a long, b long")
+    return blocks.groupBy("cluster", "i", "j").applyInArrow(slimmed(_comparer(s)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

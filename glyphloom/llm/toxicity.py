@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from glyphloom.llm.frames import appended, passing_shuffles, records_a_batch
+from glyphloom.llm.frames import appended, passing_shuffles, records_a_batch, slim, slimmed
 from glyphloom.llm.wordhash import PUNCTUATED, mix, runs, word_slices
 from glyphloom.session import remove, work_dir, written_at
 
@@ -171,7 +171,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
 _RANGE_BITS = 4
 #: Fixed value: the step that stands for a farther one.
 _FAR = (1 << 16) - 1
-_PACKED = "shard int, labels binary, lengths binary, features binary, far binary, coordinates binary"
+_PACKED = "shard int, labels binary, lengths binary, features binary, far binary, coordinates binary, beyond binary"
 
 
 class _Rows:
@@ -203,28 +203,42 @@ def _steps(rows) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(steps), np.concatenate(far)
 
 
+def _blob(values: np.ndarray) -> pa.Array:
+    """One binary value of the bytes of an array, which aren't copied."""
+    ends = pa.py_buffer(np.array([0, values.nbytes], np.int32))
+    return pa.Array.from_buffers(pa.binary(), 1, [None, ends, pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _included(rows: list[np.ndarray], bits: int) -> np.ndarray:
+    """Ascending coordinates of all texts of a shard, told by a flag each: they aren't sorted together."""
+    present = np.zeros(1 << bits, bool)
+    for r in rows:
+        present[r] = True
+    return np.flatnonzero(present).astype(np.int32)
+
+
 def _packer(s: Settings):
     """One row of a shard: the coordinates it includes, and each text's places among them."""
 
     def pack(group: pa.Table) -> pa.Table:
         order = np.argsort(group["doc_id"].to_numpy(), kind="stable")
+        labels, shard = group["label"].to_numpy()[order].astype(np.float64), group["shard"][0].as_py()
         rows = [np.frombuffer(x, np.int32) for x in features(group["text"], s.bits)]
         rows = [rows[i] for i in order]
-        found = _distinct(np.concatenate(rows))
+        found = _included(rows, s.bits)
         lengths = np.array([len(r) for r in rows], np.int32)
         # a text at a time: places of all at once take several times the memory
         inside, far = _steps(np.searchsorted(found, r) for r in rows)
-        blobs = [group["label"].to_numpy()[order].astype(np.float64), lengths, inside, far, found]
-        arrays = [pa.array([group["shard"][0].as_py()], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)]
-        return pa.table(arrays, names=["shard", "labels", "lengths", "features", "far", "coordinates"])
+        arrays = [pa.array([shard], pa.int32()), *map(_blob, (labels, lengths, inside, far, *_steps([found])))]
+        return pa.table(arrays, names=["shard", "labels", "lengths", "features", "far", "coordinates", "beyond"])
 
-    return pack
+    return slimmed(pack)
 
 
 def _looked_up(state: dict[int, bytes], at: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """z and n of ascending coordinates, a range at a time."""
     out = np.zeros((2, len(at)), np.float32)
-    cuts = np.searchsorted(at >> (s.bits - _RANGE_BITS), np.arange((1 << _RANGE_BITS) + 2))
+    cuts = np.searchsorted(at, np.arange((1 << _RANGE_BITS) + 2, dtype=np.int32) << (s.bits - _RANGE_BITS))
     for i, blob in state.items():
         lo, hi = cuts[i], cuts[i + 1]
         keys, *values = _unpacked(blob)
@@ -240,24 +254,26 @@ def _epochs(common, epochs: range, s: Settings):
         for batch in batches:
             for k in range(batch.num_rows):
                 shard = batch.column("shard")[k].as_py()
-                labels, lengths, steps, far, coordinates = (
+                labels, lengths, steps, far, *coordinates = (
                     np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (
                         ("labels", np.float64), ("lengths", np.int32), ("features", np.uint16),
-                        ("far", np.int32), ("coordinates", np.int32)))
-                at = np.append(coordinates, np.int32(1 << s.bits))
+                        ("far", np.int32), ("coordinates", np.uint16), ("beyond", np.int32)))
+                at = np.append(_Rows(np.array([len(coordinates[0])]), *coordinates)[0].astype(np.int32), np.int32(1 << s.bits))
                 rows = _Rows(lengths, steps, far)
                 z, n = _looked_up(common.value, at, s)
                 own = _State(s, z.astype(float), n.astype(float))
                 for epoch in epochs:
                     for i in np.random.default_rng([epoch, shard]).permutation(len(rows)):
                         own.learn(np.append(rows[i], len(at) - 1), labels[i])
-                moved = np.flatnonzero(own.n != n)
-                cuts = np.searchsorted(at[moved] >> (s.bits - _RANGE_BITS), np.arange((1 << _RANGE_BITS) + 2))
+                del rows, steps, far
+                cuts = np.searchsorted(at, np.arange((1 << _RANGE_BITS) + 2, dtype=np.int32) << (s.bits - _RANGE_BITS))
                 for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    some = moved[lo:hi]
+                    some = lo + np.flatnonzero(own.n[lo:hi] != n[lo:hi])  # a range at a time, like all that is as long as the state
                     blob = _packed(at[some].astype(np.int64), own.z[some] - z[some], own.n[some] - n[some])
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([shard], pa.int32()),
                                                       pa.array([blob], pa.binary())], names=["range", "shard", "state"])
+                del own, z, n, at, coordinates
+                slim()
 
     return run
 
@@ -291,15 +307,17 @@ def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
     path = work_dir(spark, "labelled")
     with passing_shuffles(spark):
         rows = written_at(sample.withColumn("shard", dealt).select("shard", "doc_id", "text", "label")
-                       .groupBy("shard").applyInArrow(_packer(s), _PACKED), path)
+                       .groupBy("shard").applyInArrow(_packer(s), _PACKED), path, "uncompressed")
         for some in map(range, steps, steps[1:]):
             common = spark.sparkContext.broadcast(state)
             changes = rows.mapInArrow(_epochs(common, some, s), "range int, shard int, state binary")
             with records_a_batch(spark, 1):
-                parts = changes.groupBy("range").applyInArrow(_averaged, "range int, state binary").toArrow()
+                parts = changes.groupBy("range").applyInArrow(slimmed(_averaged), "range int, state binary").toArrow()
             common.destroy()
-            for i, change in zip(parts["range"].to_pylist(), parts["state"].to_pylist()):
-                state[i] = _moved(state[i], change) if i in state else change
+            for i, change in zip(parts["range"].to_pylist(), parts["state"]):
+                state[i] = _moved(state[i], change.as_py()) if i in state else change.as_py()
+            del parts, common
+            slim()  # the driver's memory counts as well
     remove(spark, path)
     last = 1 << _RANGE_BITS     # the range that holds the bias alone
     if last not in state:
@@ -314,6 +332,8 @@ def fit(sample: DataFrame, settings: Settings = Settings()) -> Model:
         coordinates.append(at[kept].astype(np.int64))
         weights.append(w[kept])
         bias = float(w[-1])
+    del state, at, z, n
+    slim()
     return Model(s.bits, np.concatenate(coordinates[:-1] or [np.zeros(0, np.int64)]),
                  np.concatenate(weights[:-1] or [np.zeros(0)]), bias)
 

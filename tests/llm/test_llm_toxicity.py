@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphloom.llm import toxicity
+from glyphloom.llm import frames, toxicity
 from glyphloom.llm.queries import QUERIES
 
 SMALL = toxicity.Settings(rows=400, shards=2, epochs=8, l1=2.0)
@@ -94,3 +94,32 @@ def test_places_of_a_shard_take_two_bytes_each():
     kept = toxicity._Rows(np.array([len(r) for r in rows], np.int32), steps, far)
     assert steps.itemsize == 2 and len(kept) == len(rows) and far.tolist() == [65_535, 68_931, 65_535, 3_934_462, 65_535]
     assert all(kept[i].tolist() == r.tolist() for i, r in enumerate(rows))
+
+
+def test_coordinates_of_a_shard_are_told_by_flags_and_kept_as_steps(spark, labelled):
+    rows = [np.array(r, np.int32) for r in ([], [5, 70_000], [0, 5, 4_194_303])]
+    found = toxicity._included(rows, 22)
+    steps, beyond = toxicity._steps([found])
+    assert found.tolist() == [0, 5, 70_000, 4_194_303] and steps.itemsize == 2
+    assert toxicity._Rows(np.array([len(found)]), steps, beyond)[0].tolist() == found.tolist()
+    assert toxicity._blob(found).to_pylist() == [found.tobytes()] and toxicity._blob(found[:0]).to_pylist() == [b""]
+
+
+def test_workers_give_memory_back():
+    """What a group needed does not stay with its worker for all stages after."""
+    import os
+    import pyarrow as pa
+
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    def group(table):
+        kept = [bytes(60_000) for _ in range(4000)]
+        last = bytes(100)  # keeps the heap from shrinking at its end
+        del kept
+        return table.append_column("held", pa.array([last]))
+
+    before = resident()
+    assert frames.slimmed(group)(pa.table({"x": [1]})).num_rows == 1
+    assert list(frames.lean(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3]
+    assert resident() - before < 60
