@@ -23,8 +23,8 @@ each with the sums of its own seating, so that those of a context sum to 1.
    documents in a written table; frequent words travel as places among themselves.
 3. A pair seen once always has one table; so a sweep reads and writes pairs seen at
    least twice, with the tables of their words and contexts. Sums of at most
-   ``contexts`` frequent words are broadcast. A rarer word lies in one row; sums of
-   rarer contexts meet by context and return to the buckets that have them. Seatings
+   ``contexts`` frequent words are added up in arrays and broadcast. A rarer word lies in
+   one row; sums of rarer contexts that lie in several buckets meet by context and return. Seatings
    after ``burn`` are kept, and all pairs meet them and their sums once, in the end.
 4. In the end each bucket adds up the probabilities of its documents' pairs, some of the
    buckets at a time, and documents add up what buckets say. Texts are not read again.
@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphloom.llm.frames import passing_shuffles, small_batches
+from glyphloom.llm.frames import passing_shuffles, slim, slimmed, small_batches
 from glyphloom.llm.wordhash import mix, word_slices
 from glyphloom.session import remove, work_dir, written, written_at
 
@@ -246,6 +246,8 @@ def _packed(sent, buckets: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sent_rows // SUBS), pa.array(sent_rows % SUBS), pa.array(np.full(len(sent_rows), block)),
                  pa.array(out, pa.binary())], names=["bucket", "sub", "block", "part"])
+            del own, context, row, event, order, out, word, place
+            slim()
 
     return run
 
@@ -413,22 +415,25 @@ def seat(count: np.ndarray, fresh: np.ndarray, d: float, rng) -> np.ndarray:
 
 
 _SEATS = "kind int, bucket int, sub int, key long, c double, t double, part binary"
-#: Kinds of rows of the table of seats. Sums that no sweep changes have the sub 0, others 1.
-CONTEXT, WORD, TOTALS, RARE, PAIRS, SHARED, SEATED, EVENTS = range(8)
-FIXED, DRAWN = 0, 1
+#: Kinds of rows of the table of seats: sums that no sweep changes and others, by frequent word and in all; customers and
+#: tables by rarer context; pairs; tables of drawn pairs by rarer context, of contexts of several buckets and of one alone.
+FIXED, DRAWN, RARE, PAIRS, SHARED, ALONE, SEATED, EVENTS = range(8)
+#: Sums by frequent word are added up in so many ranges.
+RANGES = 16
 
 
 class _Seated:
     """Pairs of a row that are seen at least twice, with their tables.
 
-    ``base`` has the tables of other pairs by rarer context, ``kept`` those of these pairs in each seating that counts.
+    ``base`` has the tables of other pairs by rarer context, ``alone`` says which of these have drawn pairs in this bucket
+    alone, ``kept`` has the tables of these pairs in each seating that counts.
     """
 
     def __init__(self, b: _Pairs):
         at = np.flatnonzero(b.count > 1)
         words, word = np.unique(b.word[at], return_inverse=True)
         contexts, context = np.unique(b.context[at], return_inverse=True)
-        self.count, self.tables, self.base, self.kept = b.count[at], b.tables[at], None, []
+        self.count, self.tables, self.base, self.alone, self.kept = b.count[at], b.tables[at], None, None, []
         self.word, self.context = word.astype(np.int32), context.astype(np.int32)
         self.hot_word, self.hot_context = b.hot_word[words], b.hot_context[contexts]
         self.rare = b.contexts[contexts[self.hot_context < 0]]
@@ -451,9 +456,43 @@ class _Seated:
         return self.once + np.bincount(self.word, self.tables, len(self.once))
 
 
-def _hot(kind: int, place: np.ndarray, c: np.ndarray, t: np.ndarray) -> tuple:
-    at = place >= 0
-    return np.full(at.sum(), kind), place[at], c[at], t[at]
+class _Frequent:
+    """Customers and tables of frequent contexts, those of frequent words, and totals."""
+
+    def __init__(self, size: int):
+        self.sums = [*(np.zeros(size) for _ in range(4)), np.zeros(7)]
+
+    def add(self, b, context: tuple, word: tuple) -> None:
+        for place, pair, own in ((b.hot_context, self.sums[:2], context), (b.hot_word, self.sums[2:4], word)):
+            at = place >= 0
+            for total, values in zip(pair, own):
+                total[place[at]] += values[at]
+
+    def packed(self) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps([_narrow(x.astype(np.int64)) for x in self.sums]))
+
+
+def _added(batches):
+    """Sums of the buckets that a task reads, by kind and range."""
+    sums = {}
+    for batch in batches:
+        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("part")):
+            own = _unpacked(blob.as_py())
+            before = sums.setdefault(kind, [np.zeros(len(x)) for x in own])
+            for total, values in zip(before, own):
+                total += values
+    rows = [(kind, i, pickle.dumps([np.array_split(x, RANGES)[i] for x in total])) for kind, total in sums.items() for i in range(RANGES)]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+                                      pa.array([r[2] for r in rows], pa.binary())], names=["kind", "range", "part"])
+
+
+def _added_up(group: pa.Table) -> pa.Table:
+    """Sums of a kind and range from those of all tasks."""
+    total = None
+    for blob in group["part"]:
+        own = pickle.loads(blob.as_py())
+        total = own if total is None else [a + b for a, b in zip(total, own)]
+    return pa.table({"kind": group["kind"][:1], "range": group["range"][:1], "part": pa.array([pickle.dumps(total)], pa.binary())})
 
 
 def _by_key(kind: int, parts: list) -> tuple:
@@ -462,40 +501,50 @@ def _by_key(kind: int, parts: list) -> tuple:
     return np.full(len(key), kind), key, c, t
 
 
-def _seats(bucket: int, sums: dict[int, list], blobs: list) -> pa.Table:
-    """Rows of (kind, key, c, t) by what they are, then of (kind, sub, blob)."""
-    kind, key, c, t = (np.concatenate(x) for x in zip(*(
-        (k, np.asarray(key, np.int64), c, t) for some in sums.values() for k, key, c, t in some)))
-    what = np.concatenate([np.full(sum(len(x[0]) for x in some), own) for own, some in sums.items()])
+def _seats(bucket: int, sums: list, blobs: list) -> pa.Table:
+    """Rows of (kind, key, c, t), then of (kind, sub, blob)."""
+    kind, key, c, t = (np.concatenate(x) for x in zip(*sums))
     n, zero = len(blobs), np.zeros(len(blobs))
     return pa.table({"kind": pa.array(np.append(kind, [k for k, _, _ in blobs]).astype(np.int32)),
                      "bucket": pa.array(np.full(len(kind) + n, bucket, np.int32)),
-                     "sub": pa.array(np.append(what, [sub for _, sub, _ in blobs]).astype(np.int32)),
-                     "key": pa.array(np.append(key, zero.astype(np.int64))), "c": pa.array(np.append(c, zero).astype(float)),
-                     "t": pa.array(np.append(t, zero).astype(float)),
+                     "sub": pa.array(np.append(np.zeros(len(kind)), [sub for _, sub, _ in blobs]).astype(np.int32)),
+                     "key": pa.array(np.append(key, zero.astype(np.int64)).astype(np.int64)),
+                     "c": pa.array(np.append(c, zero).astype(float)), "t": pa.array(np.append(t, zero).astype(float)),
                      "part": pa.array([None] * len(kind) + [blob for _, _, blob in blobs], pa.binary())})
 
 
-def _drawn(rows: dict[int, _Seated]) -> tuple[list, list]:
-    """Tables of drawn pairs by frequent context, frequent word, in all and by rarer context, and the pairs."""
-    sums, rare, blobs = [], [], []
+def _drawn(rows: dict[int, _Seated], size: int, kept: bool = True) -> tuple[list, list]:
+    """Tables of drawn pairs by rarer context, and as blobs by frequent context and word and in all, and the pairs.
+
+    Those by contexts that lie in this bucket alone are only told where the seating is kept, for other pairs of theirs.
+    """
+    sums, parts, blobs = _Frequent(size), {SHARED: [], ALONE: []}, []
     for sub, b in rows.items():
         t_context, t_word = np.bincount(b.context, b.tables, len(b.hot_context)), np.bincount(b.word, b.tables, len(b.once))
-        sums += [_hot(CONTEXT, b.hot_context, np.zeros(len(t_context)), t_context), _hot(WORD, b.hot_word, np.zeros(len(t_word)), t_word)]
+        sums.add(b, (np.zeros(len(t_context)), t_context), (np.zeros(len(t_word)), t_word))
         own = b.t_word()[b.hot_word < 0]
-        totals = np.array([(own == 1).sum(), (own == 2).sum(), own.sum()], float)
-        sums.append((np.full(3, TOTALS), np.arange(4, 7), totals, np.zeros(3)))
-        t = t_context[b.hot_context < 0]
-        rare.append((b.rare.view(np.int64), np.zeros(len(t)), t))
+        sums.sums[4][4:] += (own == 1).sum(), (own == 2).sum(), own.sum()
+        t, alone = t_context[b.hot_context < 0], np.zeros(len(b.rare), bool) if b.alone is None else b.alone
+        for kind, at in ((SHARED, ~alone), (ALONE, alone)):
+            parts[kind].append((b.rare[at].view(np.int64), np.zeros(at.sum()), t[at]))
         blobs.append((SEATED, sub, b.packed()))
-    return [*sums, _by_key(SHARED, rare)], blobs
+    blobs.append((DRAWN, 0, sums.packed()))
+    return [_by_key(kind, parts[kind]) for kind in ([SHARED, ALONE] if kept else [SHARED])], blobs
+
+
+def _alone(rows: dict[int, _Seated]) -> dict[int, np.ndarray]:
+    """Tables of contexts that lie in this bucket alone, for each of its rows."""
+    t = [np.bincount(b.context, b.tables, len(b.hot_context))[b.hot_context < 0][b.alone] for b in rows.values()]
+    _, index = np.unique(np.concatenate([b.rare[b.alone] for b in rows.values()]), return_inverse=True)
+    total = np.bincount(index, np.concatenate(t))[index]
+    return dict(zip(rows, np.split(total, np.cumsum([len(x) for x in t])[:-1])))
 
 
 def _first(sent):
     """Pairs of a bucket from those of all blocks, one table each, their documents, and what is known for good: customers,
     and tables of pairs seen once, by frequent context, frequent word, in all, and by rarer context."""
     def run(group: pa.Table) -> pa.Table:
-        sums, rare, blobs, seated = [], [], [], {}
+        sums, rare, blobs, seated = _Frequent(len(sent.value)), [], [], {}
         for sub, blocks in _by_sub(group).items():
             parts = [_unpacked(blob) for _, blob in blocks]
             coded = [[_hashes(p[0], sent.value), p[1], _hashes(p[2], sent.value), p[3], _counts(p)] for p in parts]
@@ -509,17 +558,16 @@ def _first(sent):
             once = b.count == 1
             c_context, t_context = (np.bincount(b.context, v, len(b.contexts)) for v in (b.count, once))
             c_word, t_word = (np.bincount(b.word, v, len(b.words)) for v in (b.count, once))
-            sums += [_hot(CONTEXT, b.hot_context, c_context, t_context), _hot(WORD, b.hot_word, c_word, t_word)]
+            sums.add(b, (c_context, t_context), (c_word, t_word))
             at, own = b.hot_context < 0, (b.hot_word < 0) & (c_word > 0)
             rare.append((b.contexts[at].view(np.int64), c_context[at], t_context[at]))
             alone = own.copy()
             alone[drawn.words] = False
-            totals = [own.sum(), once.sum(), (b.count == 2).sum(), c_context.sum(),
-                      (t_word[alone] == 1).sum(), (t_word[alone] == 2).sum(), t_word[alone].sum()]
-            sums.append((np.full(len(totals), TOTALS), np.arange(len(totals)), np.array(totals, float), np.zeros(len(totals))))
+            sums.sums[4] += (own.sum(), once.sum(), (b.count == 2).sum(), c_context.sum(),
+                             (t_word[alone] == 1).sum(), (t_word[alone] == 2).sum(), t_word[alone].sum())
             blobs.append((PAIRS, sub, b.unseated()))
-        more, drawn = _drawn(seated)
-        return _seats(group["bucket"][0].as_py(), {FIXED: [*sums, _by_key(RARE, rare)], DRAWN: more}, blobs + drawn)
+        more, drawn = _drawn(seated, len(sent.value))
+        return _seats(group["bucket"][0].as_py(), [_by_key(RARE, rare), *more], [*blobs, (FIXED, 0, sums.packed()), *drawn])
 
     return run
 
@@ -546,18 +594,13 @@ class _Sums:
 
 def _collected(seats: DataFrame, frequent: np.ndarray, fixed: list | None = None) -> tuple[_Sums, list]:
     """Sums of a seating, and those of them that no sweep changes; the first table has both, others get the latter."""
-    rows = (seats.where(F.col("kind").isin(CONTEXT, WORD, TOTALS)).groupBy("kind", "key", "sub")
-            .agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toArrow())
-    kind, key, sub, c, t = (rows[n].to_numpy() for n in ("kind", "key", "sub", "c", "t"))
+    rows = (seats.where(F.col("kind").isin(FIXED, DRAWN)).select("kind", "part")
+            .mapInArrow(_added, "kind int, range int, part binary").groupBy("kind", "range")
+            .applyInArrow(_added_up, "kind int, range int, part binary").toArrow().to_pylist())
 
     def dense(own):
-        out = []
-        for k, values, size in ((CONTEXT, c, len(frequent)), (CONTEXT, t, len(frequent)), (WORD, c, len(frequent)),
-                                (WORD, t, len(frequent)), (TOTALS, c, 7)):
-            at = (kind == k) & (sub == own)
-            out.append(np.zeros(size))
-            out[-1][key[at]] = values[at]
-        return out
+        parts = [pickle.loads(r["part"]) for r in sorted(rows, key=lambda r: r["range"]) if r["kind"] == own]
+        return [np.concatenate(x) for x in zip(*parts)] or _Frequent(len(frequent)).sums
 
     fixed = fixed or dense(FIXED)
     c_context, t_context, c_word, t_word, totals = (a + b for a, b in zip(fixed, dense(DRAWN)))
@@ -599,13 +642,18 @@ def _predict(b: _Pairs, m: _Sums, sums, s: Settings) -> None:
 def _sweep(sent, sweep: int, s: Settings):
     """Draw the tables of a bucket anew, given all sums of the seating before."""
     def run(group: pa.Table, rare: pa.Table) -> pa.Table:
-        m, rows, bucket = sent.value, {}, group["bucket"][0].as_py()
-        for sub, blob in sorted(zip(group["sub"].to_pylist(), group["part"].to_pylist())):
-            rows[sub] = b = _Seated.unpacked(blob)
-            at = _found(rare, b.rare)
+        m, bucket = sent.value, group["bucket"][0].as_py()
+        rows = {sub: _Seated.unpacked(blob) for sub, blob in sorted(zip(group["sub"].to_pylist(), group["part"].to_pylist()))}
+        for b in rows.values():
             if b.base is None:
-                b.base = rare["base"].to_numpy()[at]
-            t_context = _spliced(m.t_context, b.hot_context, b.base + rare["t"].to_numpy()[at])
+                at = _found(rare, b.rare)
+                b.base, b.alone = rare["base"].to_numpy()[at], rare["buckets"].to_numpy()[at] == 1
+        own = _alone(rows)
+        for sub, b in rows.items():
+            t_rare = np.zeros(len(b.rare))
+            t_rare[b.alone] = own[sub]
+            t_rare[~b.alone] = rare["t"].to_numpy()[_found(rare, b.rare[~b.alone])]
+            t_context = _spliced(m.t_context, b.hot_context, b.base + t_rare)
             t_word = np.where(b.hot_word >= 0, m.t_word[b.hot_word], b.t_word())
             rng = np.random.default_rng([bucket, sub, sweep])
             for pairs in map(slice, b.cuts[:-1], b.cuts[1:]):
@@ -614,8 +662,7 @@ def _sweep(sent, sweep: int, s: Settings):
                 b.tables[pairs] = seat(b.count[pairs], fresh * _parent(t_word[b.word[pairs]] - other, m, s), m.discount, rng)
             if sweep >= s.burn:
                 b.kept.append(_narrow(b.tables))
-        sums, blobs = _drawn(rows)
-        return _seats(bucket, {DRAWN: sums}, blobs)
+        return _seats(bucket, *_drawn(rows, len(m.frequent), sweep >= s.burn))
 
     return run
 
@@ -720,14 +767,16 @@ def _learnt(docs: DataFrame, s: Settings) -> _Learnt:
     def rare_of(seats):
         """Tables of rarer contexts with pairs that are drawn: of these, and in the first table those of other pairs."""
         t = {kind: F.sum(F.when(F.col("kind") == kind, F.col("t"))).over(both) for kind in (RARE, SHARED)}
-        return (seats.where(F.col("kind").isin(RARE, SHARED)).select("kind", "bucket", "key", t[RARE].alias("base"), t[SHARED].alias("t"))
+        buckets = F.count(F.when(F.col("kind") == SHARED, 1)).over(both).alias("buckets")
+        return (seats.where(F.col("kind").isin(RARE, SHARED))
+                .select("kind", "bucket", "key", t[RARE].alias("base"), t[SHARED].alias("t"), buckets)
                 .where(F.col("kind") == SHARED).drop("kind").groupBy("bucket"))
 
     def all_rare(first, kept):
         """Customers and tables of all rarer contexts, the latter for each seating."""
         rows = first.where(F.col("kind") == RARE).withColumn("of", F.lit(-1))
         for i, seats in enumerate(kept):
-            rows = rows.unionByName(seats.where(F.col("kind") == SHARED).withColumn("of", F.lit(i)))
+            rows = rows.unionByName(seats.where(F.col("kind").isin(SHARED, ALONE)).withColumn("of", F.lit(i)))
         total = {n: F.coalesce(F.sum(F.when(F.col("of") == i, F.col(c))).over(both), F.lit(0.0)).alias(n)
                  for n, i, c in (("c", -1, "c"), ("base", -1, "t"), *((f"t{i}", i, "t") for i in range(len(kept))))}
         return rows.select("of", "bucket", "key", *total.values()).where("of = -1").drop("of")
@@ -739,13 +788,13 @@ def _learnt(docs: DataFrame, s: Settings) -> _Learnt:
     paths, kept, models = [start], [], []
     with passing_shuffles(spark):
         first = seats = written_at(docs.mapInArrow(_packed(sent, buckets), _PACKED)
-                                   .groupBy("bucket").applyInArrow(_first(sent), _SEATS), path)
+                                   .groupBy("bucket").applyInArrow(slimmed(_first(sent)), _SEATS), path, "uncompressed")
         sums, fixed = _collected(first, frequent)
         for sweep in range(s.burn + s.samples):
             model = spark.sparkContext.broadcast(sums)
             old, path = path, work_dir(spark, "seats")
             seats = written_at(blobs_of(seats, SEATED).groupBy("bucket").cogroup(rare_of(seats))
-                               .applyInArrow(_sweep(model, sweep, s), _SEATS), path)
+                               .applyInArrow(slimmed(_sweep(model, sweep, s)), _SEATS), path, "uncompressed")
             model.unpersist()
             if old not in paths:
                 remove(spark, old)
@@ -779,7 +828,7 @@ def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     with passing_shuffles(spark):
         for i in range(min(SHARES, m.buckets)):
             share = m.by_bucket([PAIRS, EVENTS, SEATED], F.col("bucket") % SHARES == i)
-            scores.append(written(share.applyInArrow(_scores(m.models, s), "block long, sums binary"), "scores"))
+            scores.append(written(share.applyInArrow(slimmed(_scores(m.models, s)), "block long, sums binary"), "scores"))
     for path in m.paths:
         remove(spark, path)
     return (reduce(DataFrame.unionByName, scores).groupBy("block").applyInArrow(
