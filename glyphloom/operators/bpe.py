@@ -30,8 +30,10 @@ driver nor a task holds anything that grows with the corpus, and both numbers ch
 the number of phases only, never a merge.
 """
 
+import gc
 import heapq
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import patterns as p
 from glyphloom.functions import text as t
+from glyphloom.functions.memory import lean, slim, together
 from glyphloom.functions.merging import Merges  # noqa: F401
 from glyphloom.session import remove, small_table, spread, work_dir, written, written_at
 
@@ -49,6 +52,8 @@ _BITS = 21                  # a symbol fits in 21 bits, a group in the 21 above
 _MASK = (1 << _BITS) - 1
 _PAIR = (1 << 2 * _BITS) - 1
 STATE = "gid int, symbols array<int>, n bigint"
+_STEP = 1 << 20             # symbols whose pairs a task looks at at once
+_ROWS = 65_536              # words that a task counts or cuts at once
 MAX_ACTIVE = 4_000_000      # active pairs of all groups, which every task looks up
 
 
@@ -63,20 +68,6 @@ class Vocabulary:
 
 # --- task side ---------------------------------------------------------------
 
-def _joined(batches, rows: int = 65_536):
-    """Batches put together until they hold ``rows`` rows: fewer partial sums."""
-    held, size = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.num_rows
-        if size >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _flat(batch):
     """Symbols of a batch laid end to end, with the row each belongs to."""
     col = batch.column("symbols")
@@ -93,7 +84,7 @@ def _pair_keys(values, rows, gids):
 
 def _counted(batches):
     """Pairs of each batch with their counts."""
-    for batch in _joined(batches):
+    for batch in together(batches, _ROWS):
         gids = batch.column("gid").to_numpy().astype(np.int64)
         values, rows = _flat(batch)
         key, inside = _pair_keys(values, rows, gids)
@@ -106,7 +97,7 @@ def _counted(batches):
 def _cutter(active):
     """Stretches of two symbols or more in which every neighbouring pair is active."""
     def cut(batches):
-        for batch in _joined(batches):
+        for batch in together(batches, _ROWS):
             gids = batch.column("gid").to_numpy().astype(np.int64)
             values, rows = _flat(batch)
             if len(values) < 2 or not len(active.value):
@@ -130,7 +121,7 @@ def _cutter(active):
 def _rewriter(merges):
     """Words after the merges of a phase, group by group; single symbols have no pair left and go."""
     def rewrite(batches):
-        for batch in _joined(batches, 1 << 19):
+        for batch in together(batches, 1 << 19):
             gids, weights = batch.column("gid").to_numpy(), batch.column("n").to_numpy()
             values, rows = _flat(batch)
             for gid in np.unique(gids).tolist():
@@ -218,26 +209,53 @@ class _Chain:
 
     def __init__(self, values: np.ndarray, rows: np.ndarray, weights: np.ndarray):
         n = self.end = len(values)
-        inner = rows[:-1] == rows[1:]
-        self.rows, self.weights = rows.astype(np.int32), weights
-        self.symbols = np.append(values, -1).astype(np.int32)
-        self.after = np.full(n + 1, n, np.int32)
-        self.after[:-2][inner] = np.flatnonzero(inner) + 1
-        self.before = np.full(n + 1, n, np.int32)
-        self.before[1:-1][inner] = np.flatnonzero(inner)
+        self.rows, self.weights = rows.astype(np.int32, copy=False), weights
+        self.symbols = np.empty(n + 1, np.int32)
+        self.symbols[:-1], self.symbols[-1] = values, -1
+        heads = np.flatnonzero(rows[1:] != rows[:-1]) + 1       # first places of stretches but the first one
+        self.after = np.arange(1, n + 2, dtype=np.int32)
+        self.before = np.arange(-1, n, dtype=np.int32)
+        self.after[heads - 1] = self.before[heads] = n
+        self.after[-1] = self.before[0] = self.before[-1] = n
+
+    def _keyed(self):
+        """Some places that begin a pair, and their pairs, step by step from left to right."""
+        for at in range(0, self.end, _STEP):
+            places = np.flatnonzero(self.after[at:min(at + _STEP, self.end)] != self.end) + at
+            yield places.astype(np.int32), self.symbols[places].astype(np.int64) << _BITS | self.symbols[places + 1]
 
     def pairs(self, wanted: np.ndarray | None = None):
-        """Pairs (of ``wanted`` ones), how often each occurs, and its places in order."""
-        starts = np.flatnonzero(self.after[:-1] != self.end).astype(np.int32)
-        keys = self.symbols[starts].astype(np.int64) << _BITS | self.symbols[starts + 1]
-        if wanted is not None:
-            kept = np.isin(keys, wanted)
-            starts, keys = starts[kept], keys[kept]
-        order = np.argsort(keys, kind="stable")
-        starts, keys = starts[order], keys[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        sums = np.add.reduceat(self.weights[self.rows[starts]], first) if len(first) else np.zeros(0, np.int64)
-        return keys[first].tolist(), sums.tolist(), np.split(starts, first[1:])
+        """Pairs (of ``wanted`` ones), how often each occurs, and its places in order.
+
+        Places are dealt to their pairs step by step, so that no array but theirs is as long as the symbols.
+        """
+        kinds, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _, keys in self._keyed():
+            found, n = np.unique(keys if wanted is None else keys[np.isin(keys, wanted)], return_counts=True)
+            both, where = np.unique(np.concatenate((kinds, found)), return_inverse=True)
+            more = np.zeros(len(both), np.int64)
+            more[where[:len(kinds)]] = sizes
+            more[where[len(kinds):]] += n
+            kinds, sizes = both, more
+        ends = np.cumsum(sizes)
+        free, sums = ends - sizes, np.zeros(len(kinds), np.int64)
+        places = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        for starts, keys in self._keyed() if len(kinds) else ():
+            code = np.minimum(np.searchsorted(kinds, keys), len(kinds) - 1)
+            if wanted is not None:
+                kept = kinds[code] == keys
+                code, starts = code[kept], starts[kept]
+            code = code.astype(np.uint16 if len(kinds) < 1 << 16 else np.int64)
+            order = np.argsort(code, kind="stable")
+            code, starts = code[order], starts[order]
+            first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+            if not len(first):
+                continue
+            mine, n = code[first], np.diff(np.append(first, len(code)))
+            places[np.repeat(free[mine] - first, n) + np.arange(len(code))] = starts
+            free[mine] += n
+            sums[mine] += np.add.reduceat(self.weights[self.rows[starts]], first)
+        return kinds.tolist(), sums.tolist(), np.split(places, ends[:-1]) if len(ends) else []
 
     def merge(self, left: int, right: int, made: int, places: list):
         """Put all occurrences of a pair together, from left to right.
@@ -245,7 +263,9 @@ class _Chain:
         Yields ``(old pair, new pair, count, places of the new one)`` for their neighbours,
         first of all the merged pair itself with no new one.
         """
-        at = np.unique(np.concatenate(places)) if len(places) > 1 else places[0]
+        at = np.concatenate(places) if len(places) > 1 else places[0]
+        if (at[1:] <= at[:-1]).any():       # places noted at different times
+            at = np.unique(at)
         symbols, after = self.symbols, self.after
         at = at[(symbols[at] == left) & (symbols[after[at]] == right)]     # others were merged into neighbours since
         if left == right and len(at) > 1:       # of overlapping ones every second
@@ -287,39 +307,45 @@ def learnt(values: np.ndarray, rows: np.ndarray, weights: np.ndarray, names: _Na
     is in and ``weights`` how often that occurs. ``last`` is the rank (-n, pair) of the best
     inactive pair; ``room`` bounds new symbols. A pair is an integer, its left symbol in the high bits.
     """
-    chain = _Chain(values, rows, weights)
+    return _learnt(_Chain(values, rows, weights), names, active, last, room, floor)
+
+
+def _learnt(chain: _Chain, names: _Names, active: set, last: tuple | None, room: int, floor: int) -> list[tuple[int, int, int]]:
     found, sums, split = chain.pairs()
     counts: dict[int, int] = dict(zip(found, sums))
-    places: dict[int, list] = {k: [part] for k, part in zip(found, split)}
-    heap = [(-n, pair) for pair, n in counts.items()]
+    # most pairs occur once or twice: bytes and one number take a third of what arrays and tuples would
+    places: dict[int, bytes] = {k: part.tobytes() for k, part in zip(found, split)}
+    del found, sums, split
+    heap = [pair - (n << 2 * _BITS) for pair, n in counts.items()]      # order of (-n, pair)
     heapq.heapify(heap)
+    worst = last and last[1] + (last[0] << 2 * _BITS)
     junctions = _Junctions(active, -last[0]) if last else None
     out = []
     while heap and room > 0:
         rank = heap[0]
-        pair, n = rank[1], -rank[0]
+        pair, n = rank & _PAIR, -(rank >> 2 * _BITS)
         if counts.get(pair) != n:
             heapq.heappop(heap)     # an entry from before the count changed
             continue
-        if n < floor or (last and rank >= last) or (junctions and junctions.doubtful(pair, n, counts)):
+        if n < floor or (last and rank >= worst) or (junctions and junctions.doubtful(pair, n, counts)):
             break
         left, right = pair >> _BITS, pair & _MASK
         made, new = names.merged(left, right)
         out.append((left, right, n))
         room -= new
         changed: dict[int, int] = {}
-        for old, fresh, w, where in chain.merge(left, right, made, places.pop(pair)):
+        for old, fresh, w, where in chain.merge(left, right, made, [np.frombuffer(places.pop(pair), np.int32)]):
             changed[old] = changed.get(old, 0) - w
             if fresh is not None:
                 changed[fresh] = changed.get(fresh, 0) + w
-                places.setdefault(fresh, []).append(where)
+                places[fresh] = places.get(fresh, b"") + where.astype(np.int32, copy=False).tobytes()
         for other, delta in changed.items():
             if not delta:
                 continue
             total = counts.get(other, 0) + delta
             if total > 0:
                 counts[other] = total
-                heapq.heappush(heap, (-total, other))
+                heapq.heappush(heap, other - (total << 2 * _BITS))
             else:
                 counts.pop(other, None)
                 places.pop(other, None)
@@ -349,16 +375,31 @@ def replayed(values: np.ndarray, rows: np.ndarray, merges: list[tuple[int, int,
 
 def _learner(groups, active, floor: int):
     """One group's stretches to its merges of this phase."""
-    def learn(table: pa.Table) -> pa.Table:
-        gid = table.column("gid")[0].as_py()
+    def laid(batches) -> tuple[int, _Chain]:
+        """The group and its stretches; a batch goes as soon as it is laid down."""
+        gid, parts, sizes, weights = None, [], [], []
+        for batch in batches:
+            if batch.num_rows:
+                gid = batch.column("gid")[0].as_py()
+                column = batch.column("symbols")
+                parts.append(column.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+                sizes.append(np.diff(column.offsets.to_numpy()))
+                weights.append(batch.column("n").to_numpy().copy())
+        sizes = np.concatenate(sizes)
+        return gid, _Chain(np.concatenate(parts), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.concatenate(weights))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gid, chain = laid(batches)
         symbols, room, last = groups.value[gid]
         lo, hi = np.searchsorted(active.value, [gid << (2 * _BITS), (gid + 1) << (2 * _BITS)])
         pairs = {k & _PAIR for k in active.value[lo:hi].tolist()} if last else set()
-        batch = table.combine_chunks().to_batches()[0]
-        merges = learnt(*_flat(batch), batch.column("n").to_numpy(), _Names(list(symbols)), pairs, last, room, floor)
+        merges = _learnt(chain, _Names(list(symbols)), pairs, last, room, floor)
+        del chain
+        gc.collect()
+        slim()
         columns = list(zip(*merges)) or [(), (), ()]
-        return pa.table([pa.array([gid] * len(merges), pa.int32()), pa.array(range(len(merges)), pa.int64()),
-                         *(pa.array(c, pa.int64()) for c in columns)], names=["gid", "seq", "a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([gid] * len(merges), pa.int32()), pa.array(range(len(merges)), pa.int64()),
+                                          *(pa.array(c, pa.int64()) for c in columns)], names=["gid", "seq", "a", "b", "n"])
     return learn
 
 
@@ -390,7 +431,7 @@ class _Group:
 
 def _ranked(state: DataFrame, active: int) -> dict[int, list[tuple]]:
     """The best ``active`` + 1 pairs of each group, by rank."""
-    counts = state.mapInArrow(_counted, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = state.mapInArrow(lean(_counted), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("gid").orderBy(F.desc("n"), "pair")
     best = (counts.withColumn("gid", F.shiftright("pair", 2 * _BITS)).withColumn("rank", F.row_number().over(top))
             .filter(F.col("rank") <= active + 1).select("pair", "n").toArrow())
@@ -410,7 +451,7 @@ def _stretches(state: DataFrame, ranked: dict[int, list[tuple]], active: int, sy
     while True:
         keys = np.array(sorted(k for gid, m in share.items() for _, k in ranked[gid][:m]), np.int64)
         held = spark.sparkContext.broadcast(keys)
-        cut = source.mapInArrow(_cutter(held), STATE).groupBy("gid", "symbols").agg(F.sum("n").alias("n"))
+        cut = source.mapInArrow(lean(_cutter(held)), STATE).groupBy("gid", "symbols").agg(F.sum("n").alias("n"))
         old, path = path, work_dir(spark, "stretches")
         source = written_at(cut, path)
         if old:
@@ -448,7 +489,7 @@ def train(words: DataFrame, target_size: int, by=("label", "config"), min_pair_c
     path = work_dir(spark, "state")
     state = written_at(spread(words, "word").filter(F.length("word") > 1).join(numbers, list(by)).select(
         "gid", F.transform(F.split("word", ""), F.ascii).alias("symbols"), "n"), path)
-    phases = 0
+    phases, found, merges, taken = 0, None, {}, {}
     while not all(g.done for g in groups):
         open_ = [i for i, g in enumerate(groups) if not g.done]
         state = state.filter(F.col("gid").isin(open_))
@@ -460,7 +501,7 @@ def train(words: DataFrame, target_size: int, by=("label", "config"), min_pair_c
                                                       "gid int, seq bigint, a bigint, b bigint, n bigint").toArrow()
         remove(spark, cut_path)
         phases += 1
-        merges: dict[int, list] = {}
+        merges = {}
         for row in sorted(zip(*(c.to_pylist() for c in found.columns))):
             merges.setdefault(row[0], []).append(row[2:])
         taken = {i: groups[i].take(merges.get(i, [])) for i in open_}
@@ -471,10 +512,13 @@ def train(words: DataFrame, target_size: int, by=("label", "config"), min_pair_c
             applied = spark.sparkContext.broadcast({i: taken[i] for i in open_ if not groups[i].done})
             old, path = path, work_dir(spark, "state")
             left = state.filter(F.col("gid").isin([i for i in open_ if not groups[i].done]))
-            state = written_at(left.mapInArrow(_rewriter(applied), STATE), path)
+            state = written_at(left.mapInArrow(lean(_rewriter(applied)), STATE), path)
             remove(spark, old)
     remove(spark, path)
-    return _tables(spark, words, by, names, groups, phases)
+    out = _tables(spark, words, by, names, groups, phases)
+    del groups, found, merges, taken
+    slim()      # the driver's memory counts as well
+    return out
 
 
 def _ddl(df: DataFrame, by) -> str:

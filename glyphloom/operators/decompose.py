@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from glyphloom.functions import opcodes as oc
 from glyphloom.functions import spelling as sp
 from glyphloom.functions import text as t
+from glyphloom.functions.memory import lean, together
 from glyphloom.operators.configs import CATALOGUE
 from glyphloom.operators.pieces import counted_units, normalized, stream_of, with_configs
 
@@ -42,7 +43,7 @@ def spelled(counts: DataFrame, config_names) -> DataFrame:
     names = [f.name for f in schema]
 
     def spell(batches):
-        for batch in batches:
+        for batch in together(batches):
             for stream, configs in readers.items():
                 mine = batch.filter(pc.equal(batch.column("stream"), stream))
                 for c in configs if mine.num_rows else ():
@@ -51,7 +52,7 @@ def spelled(counts: DataFrame, config_names) -> DataFrame:
                         [*(mine.column(k) for k in by), pa.array([c.name] * mine.num_rows, pa.string()),
                          *(mine.column(k) for k in kept), words], names=names)
 
-    return counts.mapInArrow(spell, schema)
+    return counts.mapInArrow(lean(spell), schema)
 
 
 def op_occurrences(dic: DataFrame, by=("label", "config")) -> DataFrame:

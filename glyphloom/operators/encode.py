@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from glyphloom.functions import opcodes as oc
 from glyphloom.functions import patterns as p
 from glyphloom.functions import text as t
+from glyphloom.functions.memory import lean, small_batches, together
 from glyphloom.functions.merging import Merges
 from glyphloom.functions.wordtable import LONGEST, WordTable, gather
 from glyphloom.operators.configs import CATALOGUE
@@ -27,6 +28,8 @@ from glyphloom.session import written
 MAX_BROADCAST_ENTRIES = 8_000_000   # merges + vocabulary entries shipped to a task
 HOT_BYTES = 64 << 20                # size of the table of frequent units that tasks look up
 _ENTRY = 48                         # bytes of such an entry beside its string and ids
+SEEN = 1 << 14                      # short words of a vocabulary whose ids a task remembers
+ITEMS = 1 << 18                     # units or ids of documents that a task works on at once
 KEYS = ["label", "config"]
 
 
@@ -60,6 +63,17 @@ def _by_group(df: DataFrame, by, names: list[str], *columns: str) -> dict[str, l
     return out
 
 
+def _limited(batches, column: str):
+    """Batches in parts of some ``ITEMS`` items of a list column; a longer list is a part of its own."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        part = ends // ITEMS
+        heads = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(heads, heads[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def _spans(column) -> tuple[list, list[tuple[int, int]]]:
     """Distinct values of a sorted column, and (offset, length) of each."""
     runs = pc.run_end_encode(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
@@ -86,6 +100,8 @@ class _Speller:
             return self._spelled(word)
         found = self.seen.get(word)
         if found is None:
+            if len(self.seen) >= SEEN:
+                self.seen.clear()
             found = self.seen[word] = self._spelled(word)
         return found
 
@@ -98,7 +114,7 @@ def _speller(tables):
     """Per batch: the words of each row to the row's ids."""
     def encode(batches):
         spellers = {}
-        for batch in batches:
+        for batch in together(batches):
             ids, dropped = [], []
             for group, words in zip(batch.column("group").to_pylist(), batch.column("_words").to_pylist()):
                 if group not in spellers:
@@ -129,7 +145,7 @@ def _encoded(rows: DataFrame, words: Column, merges: DataFrame, vocab: DataFrame
         none = [pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.string())]
         tables = rows.sparkSession.sparkContext.broadcast({g: (ids[g], ranked.get(g, none)) for g in ids})
         mine = rows.filter(_group(by).isin(names)).withColumn("_words", words).withColumn("group", _group(by))
-        parts.append(mine.mapInArrow(_speller(tables), schema))
+        parts.append(mine.mapInArrow(lean(_speller(tables)), schema))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -202,7 +218,7 @@ def _encoder(tables, readers, carried):
 
     def encode(batches):
         empty = WordTable.of(pa.array([], pa.string()), np.zeros(0, np.int64), pa.array([], pa.list_(pa.int32())))
-        for batch in batches:
+        for batch in _limited(batches, "units"):
             bounds, numbers, pieces, run = _numbered(batch.column("units"))
             labels, streams = (batch.column(c).to_pylist() for c in ("label", "stream"))
             kinds: dict[tuple, list[int]] = {}
@@ -240,7 +256,7 @@ def _encoder(tables, readers, carried):
 
 def _filled(batches):
     """Ids with the ids of units from elsewhere put into their holes."""
-    for batch in batches:
+    for batch in _limited(batches, "ids"):
         out = []
         for ids, fills in zip(batch.column("ids"), batch.column("_fills").to_pylist()):
             ids = ids.values.to_numpy(zero_copy_only=False)
@@ -262,6 +278,7 @@ def encode_corpus(units: DataFrame, coded: DataFrame, config_names, budget: int
     shuffled, not results.
     """
     spark: SparkSession = units.sparkSession
+    small_batches(spark)
     readers: dict[str, list[str]] = {}
     for c in (CATALOGUE[n] for n in config_names):
         readers.setdefault(stream_of(c), []).append(c.name)
@@ -271,7 +288,7 @@ def encode_corpus(units: DataFrame, coded: DataFrame, config_names, budget: int
     schema = T.StructType([types["label"], T.StructField("config", T.StringType()), *(types[c] for c in carried),
                            *T.StructType.fromDDL("ids array<int>, dropped bigint, holes array<struct<piece: string, "
                                                  "run: int, at: array<bigint>>>").fields])
-    rows = written(units.filter(F.col("stream").isin(list(readers))).mapInArrow(_encoder(tables, readers, carried), schema)
+    rows = written(units.filter(F.col("stream").isin(list(readers))).mapInArrow(lean(_encoder(tables, readers, carried)), schema)
                    .withColumn("_row", F.monotonically_increasing_id()), "encoded")
     missing = rows.select("_row", *KEYS, F.inline("holes"))
     fills = (missing.join(coded.select(*KEYS, "piece", "run", F.col("ids"), F.col("dropped").alias("_n")), [*KEYS, "piece", "run"])
@@ -282,7 +299,7 @@ def encode_corpus(units: DataFrame, coded: DataFrame, config_names, budget: int
         "_fills", F.coalesce("_fills", F.array().cast("array<struct<at: array<bigint>, ids: array<int>>>"))).drop("_row", "_more")
     whole = rows.filter(F.size("holes") == 0).drop("holes", "_row")
     order = ["label", "config", *carried, "ids", "dropped"]
-    filled = holed.select(*order, "_fills").mapInArrow(_filled, whole.select(*order).schema)
+    filled = holed.select(*order, "_fills").mapInArrow(lean(_filled), whole.select(*order).schema)
     return whole.select(*order).unionByName(filled)
 
 
@@ -291,7 +308,7 @@ def encode_corpus(units: DataFrame, coded: DataFrame, config_names, budget: int
 def _decoder(tables):
     """Ids to the text of their tokens, by the place of each token's bytes."""
     def decode(batches):
-        for batch in batches:
+        for batch in _limited(batches, "ids"):
             ids = batch.column("ids")
             sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             flat = ids.flatten().to_numpy(zero_copy_only=False)
@@ -327,6 +344,7 @@ def _spellings(numbers: pa.Array, tokens: pa.Array) -> tuple[np.ndarray, np.ndar
 
 def decode_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
     """``encoded`` with ``tokens_text``, ``has_unk`` and ``decoded`` instead of ids: one pass, nothing is shuffled."""
+    small_batches(encoded.sparkSession)
     schema = T.StructType([f for f in encoded.schema if f.name != "ids"]
                           + T.StructType.fromDDL("tokens_text string, has_unk boolean").fields)
     parts = []
@@ -334,7 +352,7 @@ def decode_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
         found = _by_group(vocab, KEYS, names, "id", "token")
         tables = encoded.sparkSession.sparkContext.broadcast({g: _spellings(*x) for g, x in found.items()})
         mine = encoded.filter(_group(KEYS).isin(names)).withColumn("group", _group(KEYS))
-        parts.append(mine.mapInArrow(_decoder(tables), schema))
+        parts.append(mine.mapInArrow(lean(_decoder(tables)), schema))
     streams = parts[0]
     for part in parts[1:]:
         streams = streams.unionByName(part)
@@ -343,6 +361,7 @@ def decode_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def _looked_up(df: DataFrame, vocab: DataFrame, column: str, out: str, kind: T.DataType, table, find) -> DataFrame:
     """``df`` with ``out``: each element of the array ``column`` looked up in the row's vocabulary, where it lies."""
+    small_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(kind))])
     parts = []
     for names in _sets(vocab, None, KEYS):
@@ -350,7 +369,7 @@ def _looked_up(df: DataFrame, vocab: DataFrame, column: str, out: str, kind: T.D
         tables = df.sparkSession.sparkContext.broadcast({g: table(*x) for g, x in found.items()})
 
         def look_up(batches, tables=tables):
-            for batch in batches:
+            for batch in _limited(batches, column):
                 groups = batch.column("group").dictionary_encode()
                 codes = groups.indices.to_numpy(zero_copy_only=False)
                 rows = [np.flatnonzero(codes == code) for code in range(len(groups.dictionary))]
@@ -361,7 +380,7 @@ def _looked_up(df: DataFrame, vocab: DataFrame, column: str, out: str, kind: T.D
                 whole = pa.concat_arrays(lists).take(pa.array(back)) if lists else batch.column(column).slice(0, 0)
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), whole], names=[*kept, out])
 
-        parts.append(df.filter(_group(KEYS).isin(names)).withColumn("group", _group(KEYS)).mapInArrow(look_up, schema))
+        parts.append(df.filter(_group(KEYS).isin(names)).withColumn("group", _group(KEYS)).mapInArrow(lean(look_up), schema))
     done = parts[0]
     for part in parts[1:]:
         done = done.unionByName(part)
