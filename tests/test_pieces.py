@@ -141,3 +141,22 @@ def test_diagnostics(spark):
     assert (rows["split"].pct_line_ends_kept, rows["whitespace"].pct_line_ends_kept) == (100, 0)
     assert (rows["split"].docs_with_symbol_runs, rows["split"].pct_symbol_runs_kept) == (1, 100)
     assert (rows["split"].pct_spaces_kept, rows["whitespace"].pct_spaces_kept) == (100, 0)
+
+
+def test_shares_of_pieces_equal_counts_by_share(spark):
+    """One shuffle of packed rows; it were two of single rows."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)] + ["x" * 5_000, "é" * 70, "\n", "  "]
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2, None]), i, rng.random() < 0.3,
+             rng.choice([None, "", *[" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(20)]])) for i in range(500)]
+    docs = spark.createDataFrame(rows, "label string, seed bigint, doc_id bigint, held boolean, text string")
+    names, by = ("split", "llama", "metaspace"), ("label", "seed")
+    found = pcs.piece_shares(docs, names, "held", by)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in plan
+    counts = pcs.piece_counts(docs, names, (*by, "held"))
+    want = counts.groupBy(*by, "pre_tokenizer", "piece").agg(
+        F.sum(F.when(F.col("held"), 0).otherwise(F.col("n"))).alias("n_train"), F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)).alias("n_valid"))
+    assert found.columns == want.columns
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    assert pcs.piece_shares(docs.limit(0), names, "held", by).count() == 0
