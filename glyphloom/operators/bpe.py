@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ from glyphloom.functions import patterns as p
 from glyphloom.functions import text as t
 from glyphloom.functions.memory import lean, slim, together
 from glyphloom.functions.merging import Merges  # noqa: F401
-from glyphloom.session import remove, small_table, spread, work_dir, written, written_at
+from glyphloom.session import remove, small_table, small_tables, spread, work_dir, written, written_at
 
 FIRST_MERGE = 0x110000      # symbols below are code points
 _BITS = 21                  # a symbol fits in 21 bits, a group in the 21 above two of them
@@ -489,7 +490,7 @@ def train(words: DataFrame, target_size: int, by=("label", "config"), min_pair_c
     path = work_dir(spark, "state")
     state = written_at(spread(words, "word").filter(F.length("word") > 1).join(numbers, list(by)).select(
         "gid", F.transform(F.split("word", ""), F.ascii).alias("symbols"), "n"), path)
-    phases, found, merges, taken = 0, None, {}, {}
+    phases, found, merges, taken = 0, None, [], {}
     while not all(g.done for g in groups):
         open_ = [i for i, g in enumerate(groups) if not g.done]
         state = state.filter(F.col("gid").isin(open_))
@@ -501,15 +502,16 @@ def train(words: DataFrame, target_size: int, by=("label", "config"), min_pair_c
                                                       "gid int, seq bigint, a bigint, b bigint, n bigint").toArrow()
         remove(spark, cut_path)
         phases += 1
-        merges = {}
-        for row in sorted(zip(*(c.to_pylist() for c in found.columns))):
-            merges.setdefault(row[0], []).append(row[2:])
-        taken = {i: groups[i].take(merges.get(i, [])) for i in open_}
-        for i in open_:
+        found, taken = found.sort_by([("gid", "ascending"), ("seq", "ascending")]), {}
+        for i in open_:     # one group at a time: those of all groups together are large as Python objects
+            mine = found.filter(pc.equal(found.column("gid"), i))
+            merges = groups[i].take(list(zip(*(mine.column(c).to_pylist() for c in "abn"))))
             # without an inactive pair a phase ends only where training does
-            groups[i].done = not taken[i] or groups[i].room <= 0 or lasts.get(i) is None
+            groups[i].done = not merges or groups[i].room <= 0 or lasts.get(i) is None
+            if not groups[i].done:
+                taken[i] = merges
         if not all(g.done for g in groups):
-            applied = spark.sparkContext.broadcast({i: taken[i] for i in open_ if not groups[i].done})
+            applied = spark.sparkContext.broadcast(taken)
             old, path = path, work_dir(spark, "state")
             left = state.filter(F.col("gid").isin([i for i in open_ if not groups[i].done]))
             state = written_at(left.mapInArrow(lean(_rewriter(applied)), STATE), path)
@@ -527,19 +529,21 @@ def _ddl(df: DataFrame, by) -> str:
 
 def _tables(spark: SparkSession, words: DataFrame, by, names, groups, phases) -> Vocabulary:
     keys = _ddl(words, by)
-    merges = [(*name, k, *m) for name, g in zip(names, groups) for k, m in enumerate(g.merges)]
-    vocab = []
-    for name, g in zip(names, groups):
+    merges = ([(*name, k, *m) for k, m in enumerate(g.merges)] for name, g in zip(names, groups))
+
+    def entries(name, g) -> list[tuple]:
         ranks = {}
         for k, (_, _, token, _) in enumerate(g.merges):
             ranks.setdefault(token, k)
-        entries = itertools.chain(
+        found = itertools.chain(
             ((s, "special", None) for s in p.SPECIAL_TOKENS),
             ((c, "alphabet", None) for c in g.alphabet),
             ((s, "merge", ranks[s]) for s in g.names.symbols))
-        vocab += [(*name, token, i, kind, rank) for i, (token, kind, rank) in enumerate(entries)]
+        return [(*name, token, i, kind, rank) for i, (token, kind, rank) in enumerate(found)]
+
+    vocab = (entries(name, g) for name, g in zip(names, groups))
     return Vocabulary(
-        small_table(spark, merges, f"{keys}, rank bigint, left string, right string, "
+        small_tables(spark, merges, f"{keys}, rank bigint, left string, right string, "
                                       "token string, n bigint"),
-        small_table(spark, vocab, f"{keys}, token string, id bigint, kind string, merge_rank bigint"),
+        small_tables(spark, vocab, f"{keys}, token string, id bigint, kind string, merge_rank bigint"),
         phases)
